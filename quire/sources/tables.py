@@ -18,3 +18,17 @@ def events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = table(spark, sf_dir, "events")
     df = df.withColumn("ts", F.col("ts").cast("timestamp"))
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartitions an input that arrives in fewer pieces than there are cores.
+
+    A file with one row group is one task however many cores wait. Inputs of the size this library is
+    meant for arrive in many more pieces than cores, and are left exactly as they are.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted, *keys) if df.rdd.getNumPartitions() < wanted else df
+
+
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents", *columns), *(["doc_id"] if "doc_id" in columns or not columns else []))
