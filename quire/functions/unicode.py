@@ -34,3 +34,26 @@ def _fold(text: str | None) -> str | None:
 def folded(text: pd.Series) -> pd.Series:
     """Lower-case and accent-free, for matching only."""
     return text.map(_fold)
+
+
+def _single_folds() -> tuple[str, str, str]:
+    """Characters below U+0250 that fold to one character, what they fold to, and those that do not."""
+    source, target, other = [], [], []
+    for code in range(0x80, 0x250):
+        char = chr(code)
+        plain = _fold("x" + char + "x")[1:-1]
+        if plain == char.lower() == char:
+            continue
+        (source.append(char), target.append(plain)) if len(plain) == 1 and len(char.lower()) == 1 else other.append(char)
+    return "".join(source), "".join(target), "".join(other)
+
+
+_SOURCE, _TARGET, _OTHER = _single_folds()
+
+
+def fold(text):
+    """``folded`` without leaving the JVM for text in plain Latin letters; only other text is sent to Python."""
+    from quire.functions.text import strip
+
+    beyond = text.rlike(r"[^\x{0}-\x{24F}]|[" + _OTHER + "]")
+    return F.coalesce(folded(F.when(beyond, text)), strip(F.translate(F.lower(text), _SOURCE, _TARGET)))

@@ -60,7 +60,8 @@ def compare(df, con, sql: str):
     wanted = Counter(tuple(plain(r[i]) for i in index) for r in theirs)
     if ours == wanted:
         return None
-    return f"rows {sum(ours.values())} vs {sum(wanted.values())}\n  only spark: {list((ours - wanted).items())[:3]}\n  only sql:   {list((wanted - ours).items())[:3]}\n  columns {order}"
+    a, b = (str(sorted(x.items(), key=str)[:4])[:700] for x in (ours - wanted, wanted - ours))
+    return f"rows {sum(ours.values())} vs {sum(wanted.values())}\n  only spark: {a}\n  only sql:   {b}\n  columns {order}"
 
 
 def main(argv: list[str]) -> int:
