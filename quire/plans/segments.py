@@ -66,5 +66,5 @@ def merge_ranges(df: DataFrame, keys: list[str], start: str = "start", end: str
     bucket = F.floor(F.col(start) / span)
     seen = with_previous(distinct, keys, [start], bucket, {"_reach": ("max", F.col(end))})
     fresh = F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))
-    numbered = islands(seen.drop("_reach").withColumn("_fresh", fresh), keys, [start], bucket, F.col("_fresh"))
+    numbered = islands(seen.withColumn("_fresh", fresh).drop("_reach"), keys, [start], bucket, F.col("_fresh"))
     return numbered.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
