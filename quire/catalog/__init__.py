@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("text_profile", "text_cleaning", "searching")
+MODULES = ("text_profile", "text_cleaning", "searching", "readings")
 
 
 def _merged(attribute: str) -> dict:

@@ -57,3 +57,8 @@ def fold(text):
 
     beyond = text.rlike(r"[^\x{0}-\x{24F}]|[" + _OTHER + "]")
     return F.coalesce(folded(F.when(beyond, text)), strip(F.translate(F.lower(text), _SOURCE, _TARGET)))
+
+
+def composed(text):
+    """NFC. Text below U+0300 is composed as it stands and is not sent to Python."""
+    return F.coalesce(nfc(F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), text)), text)
