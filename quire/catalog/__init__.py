@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("text_profile", "text_cleaning", "searching", "readings")
+MODULES = ("text_profile", "text_cleaning", "searching", "readings", "numeric", "page_plans")
 
 
 def _merged(attribute: str) -> dict:
