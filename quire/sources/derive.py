@@ -42,3 +42,38 @@ def second_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(n % 13 == 5, F.regexp_replace("text", "[aeiou]", "x")).otherwise(F.regexp_replace("text", "the", "tbe"))
     docs = documents(spark, sf_dir, "doc_id", "text").filter(n % 17 != 4)
     return docs.select("doc_id", text.alias("ocr_text"), ((n % 50 + 50) / 100).alias("confidence"))
+
+
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrapped documents set on pages of 50 lines: 6 wide, 20 apart, 14 more after every eighth line."""
+    lines = wrapped_documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    l = F.col("i") % PAGE_LINES
+    h = F.when(l == 0, 22.0).when(l % 16 == 8, 16.0).otherwise(12.0)
+    return lines.filter("text <> ''").select(
+        "doc_id", (F.floor(F.col("i") / PAGE_LINES) + 1).cast("int").alias("page_no"), l.alias("line_no"), F.floor(l / 8).cast("int").alias("block"),
+        F.when(F.col("i") % 5 == 4, 50.0).otherwise(30.0).alias("x"), (20.0 * l + 14.0 * F.floor(l / 8)).alias("y"), (6.0 * F.length("text")).alias("w"), h.alias("h"), "text")
+
+
+def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of those lines with boxes and a confidence; some sit high enough to touch the line above."""
+    from quire.operators.layout import word_boxes
+
+    words = word_boxes(page_lines(spark, sf_dir), ["doc_id", "page_no", "line_no", "block"])
+    n = F.col("doc_id") * 31 + F.col("line_no") * 17 + F.col("word_no") * 7
+    high = F.when(n % 37 == 0, 11.0).otherwise(0.0)
+    return words.select(
+        "doc_id", "page_no", "block", F.lit(0).alias("par"), F.col("line_no").alias("line"), "word_no",
+        "x", (F.col("y") - high).alias("y"), "w", "h", ((n % 97) / 97).alias("conf"), "text")
+
+
+def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions over the blocks of those pages: one per block, a second and competing one over every other block."""
+    labels = F.array(*[F.lit(v) for v in ("text", "paragraph_title", "table", "doc_title", "figure_title", "image", "header", "number")])
+    blocks = page_lines(spark, sf_dir).select("doc_id", "page_no", "block").distinct()
+    n = F.col("doc_id") * 7 + F.col("page_no") * 3 + F.col("block") * 5
+    twice = F.explode(F.when(F.col("block") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    rows = blocks.withColumn("copy", twice)
+    return rows.select(
+        "doc_id", "page_no", (F.col("block") * 2 + F.col("copy")).alias("region_no"),
+        F.element_at(labels, ((n + F.col("copy") * 3) % 8 + 1).cast("int")).alias("label"), ((n * 3 + F.col("copy")) % 10 / 10).alias("score"),
+        (20.0 + 5.0 * F.col("copy")).alias("x"), (174.0 * F.col("block") - 4.0).alias("y"), (400.0 - 20.0 * F.col("copy")).alias("w"), F.lit(168.0).alias("h"))
