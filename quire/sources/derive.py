@@ -77,3 +77,45 @@ def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "page_no", (F.col("block") * 2 + F.col("copy")).alias("region_no"),
         F.element_at(labels, ((n + F.col("copy") * 3) % 8 + 1).cast("int")).alias("label"), ((n * 3 + F.col("copy")) % 10 / 10).alias("score"),
         (20.0 + 5.0 * F.col("copy")).alias("x"), (174.0 * F.col("block") - 4.0).alias("y"), (400.0 - 20.0 * F.col("copy")).alias("w"), F.lit(168.0).alias("h"))
+
+
+def pdf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words as a PDF gives them: edges and a type size."""
+    w = page_words(spark, sf_dir)
+    return w.select(
+        "doc_id", "page_no", (F.col("line") * 10000 + F.col("word_no")).cast("int").alias("word_no"), "text", F.col("x").alias("x0"), (F.col("x") + F.col("w")).alias("x1"),
+        F.col("y").alias("top"), (F.col("y") + F.col("h")).alias("bottom"), F.col("h").alias("size"))
+
+
+def page_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of the lines in PDF coordinates (upwards), bold in stretches of 15, a line feed after each line."""
+    lines = page_lines(spark, sf_dir).select("doc_id", "page_no", "line_no", "x", "y", "h", F.posexplode(F.split(F.concat("text", F.lit("\n")), "")).alias("p", "ch"))
+    return lines.filter("ch <> ''").select(
+        "doc_id", "page_no", (F.col("line_no") * 1000000 + F.col("p")).alias("char_no"), "ch", (F.col("x") + 6.0 * F.col("p")).alias("l"), (F.col("x") + 6.0 * F.col("p") + 6.0).alias("r"),
+        (1200.0 - F.col("y") - F.col("h")).alias("b"), (1200.0 - F.col("y")).alias("t"), F.col("h").alias("size"),
+        ((F.col("line_no") + F.floor(F.col("p") / 15)) % 3 == 0).alias("bold"), F.lit(False).alias("italic"), F.lit("#000000").alias("colour"))
+
+
+def rule_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under every line pieces of a rule: eight with gaps under every sixth line, else two that touch."""
+    n = F.col("line_no") % 6 == 0
+    rows = page_lines(spark, sf_dir).select("doc_id", "page_no", "line_no", "x", "y", "h", F.explode(F.sequence(F.lit(0), F.when(n, 7).otherwise(1))).alias("i"))
+    step, size = F.when(n, 6.0).otherwise(40.0), F.when(n, 4.0).otherwise(40.0)
+    return rows.select(
+        "doc_id", "page_no", F.lit("h").alias("dir"), (F.col("y") + F.col("h") + 1).alias("pos"), (F.col("x") + step * F.col("i")).alias("a"), (F.col("x") + step * F.col("i") + size).alias("b"),
+        (0.5 + F.col("i") % 3).alias("thick"), F.lit("000000").alias("colour"))
+
+
+def frame_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames around blocks: every third lacks its left side, every fourth holds a smaller frame."""
+    blocks = page_lines(spark, sf_dir).select("doc_id", "page_no", "block").distinct()
+    inner = F.explode(F.when(F.col("block") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("inner")
+    b = blocks.select("*", inner)
+    x0, x1 = 20.0 + 10 * F.col("inner"), 420.0 - 30 * F.col("inner")
+    y0, y1 = 174.0 * F.col("block") - 5 + 10 * F.col("inner"), 174.0 * F.col("block") + 160 - 30 * F.col("inner")
+    row = lambda n, d, pos, a, e: F.struct(F.lit(n).alias("n"), F.lit(d).alias("dir"), pos.alias("pos"), a.alias("a"), e.alias("b"))
+    sides = F.array(row(0, "h", y0, x0, x1), row(1, "h", y1, x0 + 1, x1 + 1), row(2, "v", x1, y0, y1), row(3, "v", x0, y0, y1))
+    rows = b.select("doc_id", "page_no", "block", "inner", F.explode(sides).alias("s")).filter(~((F.col("block") % 3 == 1) & (F.col("s.n") == 3)))
+    return rows.select(
+        "doc_id", "page_no", (F.col("block") * 8 + F.col("inner") * 4 + F.col("s.n")).alias("ordinal"), "s.dir", "s.pos", "s.a", "s.b",
+        (0.5 + F.col("block") % 3).alias("thick"), F.lit("333333").alias("colour"))
