@@ -52,3 +52,13 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     label tables, benchmark items), whose size is not known to be bounded in advance.
     """
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints: shared storage on a cluster, a temporary one where none is set."""
+    import uuid
+
+    base = spark.sparkContext.getConf().get(CHECKPOINT_CONF) or spark.conf.get(CHECKPOINT_CONF, None)
+    if not base:
+        return tempfile.mkdtemp(prefix=f"spark-quire-{name}-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
