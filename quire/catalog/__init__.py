@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("text_profile", "text_cleaning", "searching", "readings", "numeric", "page_plans", "layout", "flow", "assets", "events")
+MODULES = ("text_profile", "text_cleaning", "searching", "readings", "numeric", "page_plans", "layout", "flow", "assets", "events", "composed")
 
 
 def _merged(attribute: str) -> dict:
