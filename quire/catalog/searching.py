@@ -20,7 +20,7 @@ def keyword_search_documents(spark, d):
 
 
 def grouped_search(spark, d):
-    hits = searching.keyword_scores(table(spark, d, "part"), "small economy", "p_name", ["p_type"]).select("p_partkey", "p_name", "p_brand", "score")
+    hits = searching.keyword_scores(table(spark, d, "part"), "small economy", "p_name", ["p_type"]).filter("score > 0").select("p_partkey", "p_name", "p_brand", "score")
     return searching.grouped_search(hits, "p_brand", "p_partkey", "p_partkey")
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.plans.folds import task_count
+
 # Fixed value: past this many lines on a side, lines are not matched up and nothing is marked.
 DIFF_LINES = 2000
 
@@ -16,7 +18,7 @@ DIFF_LINES = 2000
 def lines_changed(before: DataFrame, after: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines removed and added per document as multisets: one signed count, combined before the shuffle."""
     def signed(df: DataFrame, sign: int) -> DataFrame:
-        return df.select(key, F.explode(F.split(text, "\n")).alias("line"), F.lit(sign).alias("n"))
+        return df.select(key, F.explode_outer(F.split(text, "\n")).alias("line"), F.lit(sign).alias("n"))
     balance = signed(before, 1).unionByName(signed(after, -1)).groupBy(key, "line").agg(F.sum("n").alias("n"))
     return balance.filter("n <> 0").select(key, "line", F.when(F.col("n") > 0, "removed").otherwise("added").alias("change"), F.abs("n").alias("times"))
 
@@ -49,6 +51,7 @@ def line_diff(before: DataFrame, after: DataFrame, key: str = "doc_id", text: st
     Equal documents are dropped by the join itself; a pair is one row, so it never gathers a group.
     """
     pairs = before.select(key, F.col(text).alias("_a")).join(after.select(key, F.col(text).alias("_b")), key).filter("_a <> _b")
+    pairs = pairs.repartition(task_count(pairs), key)
     schema = f"{key} {before.schema[key].dataType.simpleString()}, side string, line_no int, line string, changed boolean"
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -86,7 +86,7 @@ def similar_passages(docs: DataFrame, items: DataFrame, minimum: float, doc: str
     item_rows = items.select(item, tokens.alias("ws")).select(item, F.size("ws").alias("item_words"), F.explode("ws").alias("word"))
     item_words = item_rows.groupBy(item, "item_words", "word").agg(F.count(F.lit(1)).alias("m"))
     vocabulary = broadcast_if_small(item_words.select("word").distinct())
-    doc_rows = docs.select(doc, tokens.alias("ws")).select(doc, F.size("ws").alias("doc_words"), F.explode("ws").alias("word"))
+    doc_rows = docs.select(doc, tokens.alias("ws")).select(doc, F.size("ws").alias("doc_words"), F.explode_outer("ws").alias("word"))
     doc_words = doc_rows.join(vocabulary, "word", "left_semi").groupBy(doc, "doc_words", "word").agg(F.count(F.lit(1)).alias("n"))
 
     rarity = doc_words.groupBy("word").agg(F.count(F.lit(1)).alias("documents"))

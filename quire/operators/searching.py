@@ -15,7 +15,7 @@ PHRASE_HITS = 5000
 
 
 def keyword_scores(items: DataFrame, query: str, name: str, rest: list[str]) -> DataFrame:
-    """Items matching every word of the query, with a score: name prefix 3, name 2, anywhere else 1."""
+    """Items with a score: per word of the query name prefix 3, name 2, anywhere else 1; null if a word is missing."""
     words = un._fold(query).split()
     if not words:
         return items.withColumn("score", F.lit(0)).limit(0)
@@ -24,12 +24,13 @@ def keyword_scores(items: DataFrame, query: str, name: str, rest: list[str]) ->
     for word in words:
         # A word that matches nowhere is null, and so is the sum.
         score = score + F.when(F.col("_name").startswith(word), 3).when(F.col("_name").contains(word), 2).when(F.col("_rest").contains(word), 1)
-    return out.withColumn("score", score).filter("score > 0").drop("_name", "_rest")
+    return out.withColumn("score", score).drop("_name", "_rest")
 
 
 def keyword_search(items: DataFrame, query: str, k: int, name: str, rest: list[str], ordinal: str) -> DataFrame:
     """The best ``k`` items; ties keep the table's order."""
-    return keyword_scores(items, query, name, rest).orderBy(F.desc("score"), ordinal).limit(k)
+    # Filtered after the limit: before it, the optimizer would repeat the folded texts inside the filter.
+    return keyword_scores(items, query, name, rest).orderBy(F.desc_nulls_last("score"), ordinal).limit(k).filter("score > 0")
 
 
 def grouped_search(hits: DataFrame, group: str, item: str, ordinal: str) -> DataFrame:

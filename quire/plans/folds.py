@@ -16,6 +16,15 @@ from pyspark.sql import DataFrame
 Group = dict[str, np.ndarray]
 
 
+def task_count(df: DataFrame) -> int:
+    """Tasks for work in Python: as many as the session shuffles into, not fewer than its cores.
+
+    Given explicitly, because adaptive coalescing goes by bytes and these rows are small but slow.
+    """
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def fold_groups(df: DataFrame, keys: list[str], order: list[str], schema: str, rule: Callable[[Group], Group | None]) -> DataFrame:
     """``rule`` gets a group's columns in ``order`` and returns columns of the result (any length)."""
     columns = df.columns
@@ -56,4 +65,4 @@ def fold_groups(df: DataFrame, keys: list[str], order: list[str], schema: str, r
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, schema)
+    return df.repartition(task_count(df), *keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, schema)

@@ -46,7 +46,7 @@ def second_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wrapped documents set on pages of 50 lines: 6 wide, 20 apart, 14 more after every eighth line."""
-    lines = wrapped_documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    lines = wrapped_documents(spark, sf_dir).select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("i", "text"))
     l = F.col("i") % PAGE_LINES
     h = F.when(l == 0, 22.0).when(l % 16 == 8, 16.0).otherwise(12.0)
     return lines.filter("text <> ''").select(
@@ -89,7 +89,7 @@ def pdf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of the lines in PDF coordinates (upwards), bold in stretches of 15, a line feed after each line."""
-    lines = page_lines(spark, sf_dir).select("doc_id", "page_no", "line_no", "x", "y", "h", F.posexplode(F.split(F.concat("text", F.lit("\n")), "")).alias("p", "ch"))
+    lines = page_lines(spark, sf_dir).select("doc_id", "page_no", "line_no", "x", "y", "h", F.posexplode_outer(F.split(F.concat("text", F.lit("\n")), "")).alias("p", "ch"))
     return lines.filter("ch <> ''").select(
         "doc_id", "page_no", (F.col("line_no") * 1000000 + F.col("p")).alias("char_no"), "ch", (F.col("x") + 6.0 * F.col("p")).alias("l"), (F.col("x") + 6.0 * F.col("p") + 6.0).alias("r"),
         (1200.0 - F.col("y") - F.col("h")).alias("b"), (1200.0 - F.col("y")).alias("t"), F.col("h").alias("size"),
