@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # --- fixed values -----------------------------------------------------------------------------
 # What counts as white space in the source data (wider than Java's \s).
 SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+SPACE_CHARS = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Reading speed, words per minute.
 WPM_LATIN = 238
 WPM_DEVANAGARI = 180
@@ -27,7 +28,7 @@ INLINE_RULES = {
         (r"[ \t]+([,.;:!?।॥)\]}])", "$1"),
         (r"([(\[{])[ \t]+", "$1"),
         (r"([,;!?।॥])(?=\p{L})", "$1 "),
-        (r"(\p{Ll}{2})\.(?=\p{Lu})", "$1. "),
+        (r"\.(?<=\p{Ll}{2}\.)(?=\p{Lu})", ". "),
     ],
     "extraSpaces": [(r"[ \t\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]{2,}", " ")],
 }
@@ -53,7 +54,12 @@ BULLET_START = "^[" + SPACE + "]*[" + BULLET_MARKERS + "]"
 ORDERED_START = "^[" + SPACE + r"]*(?:\d|[a-zA-Z]|[०-९])"
 # -----------------------------------------------------------------------------------------------
 
-WORD = r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*"
+# Plain letters first: one range test each, where the property classes cost several.
+WORD = r"(?>[A-Za-z0-9]+|[\p{L}\p{M}\p{N}]+)+(?:['’][\p{L}\p{M}]+)*"
+# Above this nothing of the Latin ranges is left; texts without such characters take narrower patterns,
+# whose classes are one table lookup per character.
+WIDE = r"[\x{900}-\x{10FFFF}]"
+SPACE_LATIN = r"\t\n\x0B\f\r \xA0"
 SENTENCE = r"[\p{L}\p{N}][^.!?।॥\n]*"
 NON_SPACE = "[^" + SPACE + "]"
 BEYOND_LATIN = r"[^\x{0}-\x{2FF}]"
@@ -69,11 +75,34 @@ def count(text: Column, pattern: str) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim of every white-space character, not only U+0020."""
-    return F.regexp_replace(F.regexp_replace(text, "^[" + SPACE + "]+", ""), "[" + SPACE + r"]+\z", "")
+    return F.btrim(text, lit(SPACE_CHARS))
+
+
+def strip_left(text: Column) -> Column:
+    return F.ltrim(text, lit(SPACE_CHARS))
+
+
+def strip_right(text: Column) -> Column:
+    return F.rtrim(text, lit(SPACE_CHARS))
 
 
 def is_blank(text: Column) -> Column:
-    return ~text.rlike(NON_SPACE)
+    return strip(text) == ""
+
+
+def by_width(text: Column, make) -> Column:
+    """``make(pattern → pattern)`` built twice: with narrowed classes for plain Latin text, in full for the rest."""
+    return F.when(text.rlike(WIDE), make(lambda p: p)).otherwise(make(narrow))
+
+
+def narrow(pattern: str) -> str:
+    """The pattern without what Latin text cannot hold."""
+    for wide, latin in (
+        (SPACE, SPACE_LATIN), (SPACE.replace(r"\n", ""), SPACE_LATIN.replace(r"\n", "")), (SPACE.replace(r"\n", "").replace(r"\r", ""), SPACE_LATIN.replace(r"\n", "").replace(r"\r", "")),
+        (r"\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}", r"\xA0"), (r"\x{200B}\x{2060}\x{FEFF}\x{FFFD}\x{E000}-\x{F8FF}", ""), ("।॥", ""), (r"\x{2013}\x{2014}", ""), (r"\x{900}-\x{97F}", ""),
+    ):
+        pattern = pattern.replace(wide, latin)
+    return pattern
 
 
 def unix_lines(text: Column) -> Column:
@@ -90,7 +119,7 @@ def characters(text: Column) -> Column:
 
 def characters_no_spaces(text: Column) -> Column:
     inner = SPACE.replace(r"\n", "").replace(r"\r", "")
-    return characters(text) - count(text, r"(?:\r(?!\n)|[" + inner + r"])(?!\p{M})")
+    return characters(text) - by_width(text, lambda n: count(text, r"(?:\r(?!\n)|[" + n(inner) + r"])(?!\p{M})"))
 
 
 def words(text: Column) -> Column:
@@ -103,7 +132,7 @@ def devanagari_words(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return count(text, SENTENCE).cast("long")
+    return by_width(text, lambda n: count(text, n(SENTENCE))).cast("long")
 
 
 def paragraphs(text: Column) -> Column:
@@ -112,17 +141,17 @@ def paragraphs(text: Column) -> Column:
 
 
 def filled_lines(text: Column) -> Column:
-    return count(text, NON_SPACE + r"[^\n]*").cast("long")
+    return by_width(text, lambda n: count(text, n(NON_SPACE) + r"[^\n]*")).cast("long")
 
 
 def reading_words(text: Column, pattern: str = READING_BREAK) -> Column:
     """Words by which two readings are compared (at least one letter each). Text is taken as NFC."""
-    return F.filter(F.split(text, pattern), lambda w: w.rlike(r"\p{L}"))
+    return F.filter(by_width(text, lambda n: F.split(text, n(pattern))), lambda w: w.rlike(r"\p{L}"))
 
 
 def lower_words(text: Column) -> Column:
     """Lower-case word characters, Devanagari signs included."""
-    return F.regexp_extract_all(F.lower(text), lit(r"[\p{L}\p{N}_\x{900}-\x{97F}]+"), lit(0))
+    return F.regexp_extract_all(F.lower(text), lit(r"(?>[a-z0-9_]+|[\p{L}\p{N}_\x{900}-\x{97F}]+)+"), lit(0))
 
 
 def words_and_gaps(text: Column, pattern: str, change) -> Column:

@@ -36,15 +36,23 @@ def _rule_set(rules: Iterable[str] | None) -> frozenset:
     return chosen
 
 
+def _beyond_latin(pattern: str) -> bool:
+    """A class of characters none of which Latin text holds (typographic quotes)."""
+    return pattern.startswith(r"[\x{20")
+
+
 def _inline(df: DataFrame, chosen: frozenset) -> DataFrame:
+    # Paragraph marks are beyond Latin themselves, so the width is that of the text without them.
+    df = df.withColumn("_wide", F.replace(F.col("_t"), F.lit(_PARA), F.lit("\n")).rlike(tx.WIDE))
     for rule in INLINE_ORDER:
         if rule not in chosen:
             continue
         for pattern, replacement in tx.INLINE_RULES[rule]:
-            df = df.withColumn("_next", F.regexp_replace("_t", pattern, replacement))
+            plain = F.col("_t") if _beyond_latin(pattern) else F.regexp_replace("_t", tx.narrow(pattern), replacement)
+            df = df.withColumn("_next", F.when(F.col("_wide"), F.regexp_replace("_t", pattern, replacement)).otherwise(plain))
             found = F.when(F.col("_next") == F.col("_t"), 0).otherwise(tx.count(F.col("_t"), pattern))
             df = df.withColumn(rule, F.col(rule) + found).withColumn("_t", F.col("_next")).drop("_next")
-    return df
+    return df.drop("_wide")
 
 
 def _join_breaks(df: DataFrame) -> DataFrame:
@@ -109,16 +117,16 @@ def _drop_repeats(df: DataFrame) -> DataFrame:
 
 def _trim_edges(df: DataFrame) -> DataFrame:
     """White space at line ends, and where a joined piece meets the one before it."""
-    ends, starts = "[" + tx.SPACE + r"]\z", "^[" + tx.SPACE + "]"
+    ends = lambda p: tx.strip_right(p) != p
 
     def pieces(line: Column) -> Column:
         def use(ps: Column) -> Column:
             def trimmed(p: Column, j: Column) -> Column:
                 before = F.get(ps, j - 1)
-                emptied = tx.is_blank(before) & ((j == 1) | F.coalesce(F.get(ps, j - 2).rlike(ends), F.lit(False)))
-                left = (j == 0) | (before.rlike(ends) & ~emptied)
-                out = F.when(left & p.rlike(starts), F.regexp_replace(p, "^[" + tx.SPACE + "]+", "")).otherwise(p)
-                return F.when((j == F.size(ps) - 1) & out.rlike(ends), F.regexp_replace(out, "[" + tx.SPACE + r"]+\z", "")).otherwise(out)
+                emptied = tx.is_blank(before) & ((j == 1) | F.coalesce(ends(F.get(ps, j - 2)), F.lit(False)))
+                left = (j == 0) | (ends(before) & ~emptied)
+                out = F.when(left, tx.strip_left(p)).otherwise(p)
+                return F.when(j == F.size(ps) - 1, tx.strip_right(out)).otherwise(out)
             return F.transform(ps, trimmed)
         return _let(F.split(line, _GLUE), use)
 

@@ -29,7 +29,8 @@ def fold_groups(df: DataFrame, keys: list[str], order: list[str], schema: str, r
     """``rule`` gets a group's columns in ``order`` and returns columns of the result (any length)."""
     columns = df.columns
 
-    def finish(part: pd.DataFrame, out: list[pd.DataFrame]) -> None:
+    def finish(part: pd.DataFrame) -> pd.DataFrame | None:
+        made: list[Group] = []
         values = {c: part[c].to_numpy() for c in columns}
         changed = np.zeros(len(part), bool)
         changed[0] = True
@@ -40,7 +41,11 @@ def fold_groups(df: DataFrame, keys: list[str], order: list[str], schema: str, r
         for lo, hi in zip(starts, np.append(starts[1:], len(part))):
             result = rule({c: v[lo:hi] for c, v in values.items()})
             if result is not None:
-                out.append(pd.DataFrame(result))
+                made.append(result)
+        if not made:
+            return None
+        # One frame per batch: small frames per group would cost more than the rule itself.
+        return pd.DataFrame({c: np.concatenate([np.asarray(m[c], dtype=object if isinstance(m[c], list) else None) for m in made]) for c in made[0]})
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -55,14 +60,12 @@ def fold_groups(df: DataFrame, keys: list[str], order: list[str], schema: str, r
             first = len(part) - int(np.argmin(last[::-1])) if not last.all() else 0
             held = part.iloc[first:].reset_index(drop=True)
             if first:
-                out: list[pd.DataFrame] = []
-                finish(part.iloc[:first], out)
-                if out:
-                    yield pd.concat(out, ignore_index=True)
+                out = finish(part.iloc[:first])
+                if out is not None:
+                    yield out
         if held is not None and len(held):
-            out = []
-            finish(held, out)
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            out = finish(held)
+            if out is not None:
+                yield out
 
     return df.repartition(task_count(df), *keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, schema)
