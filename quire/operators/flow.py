@@ -35,15 +35,15 @@ def char_runs(chars: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     def rule(g: Group) -> Group | None:
         ch = g["ch"]
         l, r, b, t, size = (g[c].astype(float) for c in ("l", "r", "b", "t", "size"))
-        blank = np.array([c.isspace() for c in ch])
-        feed = np.array([c in "\r\n\x02" or c == "" for c in ch])
+        kinds = {c: (c.isspace(), c in ("\r", "\n", "\x02", "")) for c in set(ch.tolist())}
+        blank, feed = (np.array(v) for v in zip(*map(kinds.__getitem__, ch)))
         ink = np.flatnonzero(~blank & ~feed)
         if not len(ink):
             return None
-        style = np.array([f"{x}|{y}|{z}" for x, y, z in zip(g["bold"], g["italic"], g["colour"])])
-        feeds = np.cumsum(feed)
         hard = np.ones(len(ink), bool)
-        hard[1:] = (style[ink][1:] != style[ink][:-1]) | (feeds[ink][1:] != feeds[ink][:-1])
+        hard[1:] = False
+        for mark in (g["bold"], g["italic"], g["colour"], np.cumsum(feed)):
+            hard[1:] |= (mark[ink][1:] != mark[ink][:-1]).astype(bool)
         L, R, B, T, S = l[ink], r[ink], b[ink], t[ink], size[ink]
         new = hard.copy()
         limits = np.append(np.flatnonzero(hard), len(ink))
@@ -82,16 +82,22 @@ def _rows_and_lines(g: Group, split: float) -> np.ndarray:
     x0, x1, top, bottom, size = (g[c].astype(float) for c in ("x0", "x1", "top", "bottom", "size"))
     order = np.lexsort((np.arange(len(x0)), x0, np.round(bottom)))
     middle, height = (top + bottom) / 2, bottom - top
-    refs = np.empty(len(x0), int)
     row = np.empty(len(x0), int)
-    rows = 0
-    for i in order:
-        r = refs[:rows]
-        fits = np.abs(middle[r] - middle[i]) < 0.45 * np.maximum(height[r], height[i])
-        row[i] = int(np.argmax(fits)) if fits.any() else rows
-        if row[i] == rows:
-            refs[rows] = i
-            rows += 1
+    tallest = float(height.max())
+    rows: list[tuple[float, float, float]] = []  # bottom, middle and height of each row's first word
+    for i, low, mid, tall in zip(order.tolist(), bottom[order].tolist(), middle[order].tolist(), height[order].tolist()):
+        hit = -1
+        # Rows begin in order of their bottoms (to a unit): far enough up, none can match.
+        for r in range(len(rows) - 1, -1, -1):
+            row_low, row_mid, row_tall = rows[r]
+            if row_low < mid - 0.45 * tallest - 2:
+                break
+            if abs(row_mid - mid) < 0.45 * max(row_tall, tall):
+                hit = r  # going backwards, the last hit is the first row
+        if hit < 0:
+            hit = len(rows)
+            rows.append((low, mid, tall))
+        row[i] = hit
     # Stable by x within a row, in the order words came to it.
     arrived = np.empty(len(x0), int)
     arrived[order] = np.arange(len(x0))

@@ -82,21 +82,30 @@ def visual_lines(pieces: DataFrame, keys: list[str] = PAGE, ordinal: str = "line
 
     def rule(g: Group) -> Group:
         x, y, w, h = (g[c].astype(float) for c in ("x", "y", "w", "h"))
-        row = np.full(len(x), -1)
-        rows = 0
+        members_of: list[list[int]] = []
         order = np.argsort(y + h / 2, kind="stable")
-        for n, i in enumerate(order):
-            placed = order[:n]
-            shared = np.minimum(y[placed] + h[placed], y[i] + h[i]) - np.maximum(y[placed], y[i])
-            gap = np.maximum(x[placed], x[i]) - np.minimum(x[placed] + w[placed], x[i] + w[i])
-            fits = (shared >= 0.6 * np.minimum(h[placed], h[i])) & (gap < 1.6 * np.maximum(h[placed], h[i]))
-            if fits.any():
-                row[i] = row[placed[fits]].min()
-            else:
-                row[i], rows = rows, rows + 1
+        tallest = float(h.max())
+        placed: list[tuple[float, float, float, float, float, float, int]] = []
+        for i, c, x0, x1, y0, y1 in zip(order.tolist(), (y + h / 2)[order].tolist(), x[order].tolist(), (x + w)[order].tolist(), y[order].tolist(), (y + h)[order].tolist()):
+            height = y1 - y0
+            best = -1
+            # Centres only grow: past half of both heights nothing earlier can share a row.
+            for n in range(len(placed) - 1, -1, -1):
+                oc, ox0, ox1, oy0, oy1, oh, r = placed[n]
+                if c - oc > (height + tallest) / 2:
+                    break
+                if best in (-1, r) or r < best:
+                    shared = min(oy1, y1) - max(oy0, y0)
+                    if shared >= 0.6 * min(oh, height) and max(ox0, x0) - min(ox1, x1) < 1.6 * max(oh, height):
+                        best = r
+            if best < 0:
+                best = len(members_of)
+                members_of.append([])
+            members_of[best].append(i)
+            placed.append((c, x0, x1, y0, y1, height, best))
         out = []
-        for r in range(rows):
-            members = order[row[order] == r]
+        for found in members_of:
+            members = np.array(found)
             members = members[np.argsort(x[members], kind="stable")]
             text, weight, total = "", 0.0, 0
             for k, i in enumerate(members):
