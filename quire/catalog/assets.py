@@ -140,7 +140,7 @@ def head_crops(spark, d):
 def retained_entries(spark, d):
     e = events(spark, d, "event_id", "ts", "value")
     entries = e.select(F.col("event_id").alias("id"), (F.col("value") * 10000).cast("long").alias("bytes"), F.col("ts").alias("created_at"), (F.col("ts") + F.make_interval(days=(F.col("event_id") % 60).cast("int"))).alias("expires_at"))
-    return assets.retain(entries, F.lit("2024-01-20 00:00:00").cast("timestamp")).select("id", "bytes")
+    return assets.retain(entries, F.lit("2024-01-20 00:00:00Z").cast("timestamp")).select("id", "bytes")
 
 
 def unique_names(spark, d):

@@ -50,7 +50,7 @@ def job_states_stream(spark, d):
 
 def expired_jobs(spark, d):
     s = jobs.job_states(_job_events(events(spark, d)))
-    return jobs.expired(s, F.lit("2024-01-01 10:00:00").cast("timestamp")).select("job_id", "status", F.unix_seconds("expires_at").alias("expires"))
+    return jobs.expired(s, F.lit("2024-01-01 10:00:00Z").cast("timestamp")).select("job_id", "status", F.unix_seconds("expires_at").alias("expires"))
 
 
 def _progress_lines(df):

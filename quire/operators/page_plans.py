@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
@@ -95,8 +95,7 @@ def merge_documents(pages: DataFrame, order: DataFrame, doc: str, page: str, gro
     sizes = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("_size"))
     placed = with_previous(order.join(sizes, doc), [group], ["position"], F.floor(F.col("position") / 256), {"_offset": ("sum", F.col("_size"))})
     totals = placed.groupBy(group).agg(F.sum("_size").alias("total"))
-    rank = F.row_number().over(Window.partitionBy(doc).orderBy(page))
-    numbered = pages.withColumn("_n", rank)
+    numbered = with_previous(pages, [doc], [page], F.floor(F.col(page) / 4096), {"_earlier": ("sum", F.lit(1))}).withColumn("_n", F.col("_earlier") + 1).drop("_earlier")
     out = numbered.join(placed.select(doc, group, "_offset"), doc).join(totals, group)
     return out.withColumn("new_page", F.col("_offset") + F.col("_n")).withColumn("too_long", F.col("total") > max_pages).drop("_offset", "_n")
 
@@ -112,8 +111,8 @@ def number_rows(pages: DataFrame, template: str, start: int, doc: str, page: str
 def format_pages(pages: DataFrame, doc: str, page: str) -> DataFrame:
     """The shortest text for a document's pages: 1-3, 5, 7-8."""
     distinct = pages.select(doc, page).distinct()
-    rank = F.row_number().over(Window.partitionBy(doc).orderBy(page))
-    runs = distinct.withColumn("_run", F.col(page) - rank).groupBy(doc, "_run").agg(F.min(page).alias("s"), F.max(page).alias("e"))
+    ranked = with_previous(distinct, [doc], [page], F.floor(F.col(page) / 4096), {"_rank": ("sum", F.lit(1))})
+    runs = ranked.withColumn("_run", F.col(page) - F.col("_rank")).groupBy(doc, "_run").agg(F.min(page).alias("s"), F.max(page).alias("e"))
     text = F.when(F.col("s") == F.col("e"), F.col("s").cast("string")).otherwise(F.concat(F.col("s").cast("string"), F.lit("-"), F.col("e").cast("string")))
     parts = F.array_sort(F.collect_list(F.struct("s", text.alias("t"))))
     return runs.groupBy(doc).agg(F.array_join(F.transform(parts, lambda p: p["t"]), ", ").alias("pages"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.functions import unicode as un
 from quire.operators.profile import detached_share
-from quire.session import broadcast_if_small
+from quire.session import broadcast_if_small, checkpoint
 
 # --- fixed values -------------------------------------------------------------------------------
 # Fewer letters and digits than this is no text layer.
@@ -88,6 +88,8 @@ def similar_passages(docs: DataFrame, items: DataFrame, minimum: float, doc: str
     vocabulary = broadcast_if_small(item_words.select("word").distinct())
     doc_rows = docs.select(doc, tokens.alias("ws")).select(doc, F.size("ws").alias("doc_words"), F.explode_outer("ws").alias("word"))
     doc_words = doc_rows.join(vocabulary, "word", "left_semi").groupBy(doc, "doc_words", "word").agg(F.count(F.lit(1)).alias("n"))
+    # Read three times below with different columns: written once instead of tokenizing three times.
+    doc_words = checkpoint(doc_words)
 
     rarity = doc_words.groupBy("word").agg(F.count(F.lit(1)).alias("documents"))
     # Items are cut at n - needed + 1 words, repeats counted, rarest first; a word never seen is rarest.

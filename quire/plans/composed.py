@@ -10,6 +10,7 @@ from quire.functions.geometry import box
 from quire.operators import assets, detections, flow, layout, numeric, profile, readings
 from quire.operators.layout import PAGE
 from quire.plans import ranks
+from quire.session import checkpoint
 
 
 def reconstruct_pages(segments: DataFrame, regions: DataFrame, page_height: Column, keys: list[str] = PAGE) -> DataFrame:
@@ -19,7 +20,8 @@ def reconstruct_pages(segments: DataFrame, regions: DataFrame, page_height: Colu
     lines, confidence (3 decimals), language and position per block.
     """
     kept = layout.suppress_regions(layout.usable_regions(regions), keys)
-    placed = layout.assign_regions(segments, kept, keys).withColumn("bucket", F.coalesce("region_no", F.lit(-1)))
+    # Tables, bucket facts and lines all start from the placed lines: written once, read three times.
+    placed = checkpoint(layout.assign_regions(segments, kept, keys).withColumn("bucket", F.coalesce("region_no", F.lit(-1))))
     bucket = [*keys, "bucket"]
     cells = placed.filter("region_kind = 'table'").select(*bucket, "line_no", "x", "y", "w", "h", "text")
     tables = layout.table_texts(layout.build_table(cells, bucket), bucket).select(*bucket, F.col("text").alias("table_text"))
@@ -41,7 +43,7 @@ def reconstruct_pages(segments: DataFrame, regions: DataFrame, page_height: Colu
     blocks = blocks.select(
         *keys, (F.row_number().over(order) - 1).cast("int").alias("block_no"), kind.alias("kind"), F.coalesce("table_text", "text").alias("text"), "x", "y", (F.col("_r") - F.col("x")).alias("w"), (F.col("_b") - F.col("y")).alias("h"),
         "lines", "heights", (F.floor(F.col("confidence") * 1000 + 0.5) / 1000).alias("confidence"), "ordered")
-    named = layout.one_title(layout.promote(blocks, page_height, keys), keys)
+    named = checkpoint(layout.one_title(layout.promote(blocks, page_height, keys), keys))
     return named.join(layout.reading_order(named, keys), [*keys, "block_no"]).withColumn("language", profile.block_language(F.col("text"))).drop("heights")
 
 
@@ -53,32 +55,32 @@ def nested_pages(blocks: DataFrame, keys: list[str] = PAGE) -> DataFrame:
 
 def pdf_page_flow(words: DataFrame, owners: DataFrame, shapes: DataFrame, rules: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     """Free words to lines, blocks and column order; underlines and drawn bullets resolved on the way."""
-    free = flow.claim_words(words, owners, keys).filter("owner IS NULL").drop("owner")
+    free = checkpoint(flow.claim_words(words, owners, keys).filter("owner IS NULL").drop("owner"))
     marked, dividers = flow.mark_underlines(free, rules, keys)
     dots = flow.bullets(shapes, free, keys).withColumn("word_no", F.col("shape_no") + 100_000_000)
     named = [*keys, "word_no", "text", "x0", "x1", "top", "bottom", "size"]
-    lines = flow.pdf_lines(marked.select(*named).unionByName(dots.select(*named)), keys)
+    lines = checkpoint(flow.pdf_lines(marked.select(*named).unionByName(dots.select(*named)), keys))
     blocks = flow.text_blocks(lines, keys)
     inside = lines.join(blocks, [*keys, "line_no"])
     boxes = inside.groupBy(*keys, "block_no").agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.count(F.lit(1)).cast("int").alias("lines"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "x0", "line_no", "text"))), lambda l: l["text"]), "\n").alias("text"))
     flat = dividers.filter((F.col("dir") == "h") & (F.col("b") - F.col("a") >= 8)).select(
         *keys, (F.col("ordinal") + 1_000_000).cast("int").alias("element_no"), F.lit("rule").alias("kind"), F.col("a").alias("x0"), (F.col("pos") - F.col("thick") / 2).alias("top"), F.col("b").alias("x1"), (F.col("pos") + F.col("thick") / 2).alias("bottom"), F.lit(0).alias("lines"), F.lit("").alias("text"))
-    elements = boxes.select(*keys, F.col("block_no").alias("element_no"), F.lit("text").alias("kind"), "x0", "top", "x1", "bottom", "lines", "text").unionByName(flat)
+    elements = checkpoint(boxes.select(*keys, F.col("block_no").alias("element_no"), F.lit("text").alias("kind"), "x0", "top", "x1", "bottom", "lines", "text").unionByName(flat))
     return elements.join(flow.xy_cut_order(elements, keys), [*keys, "element_no"])
 
 
 def scan_page_flow(lines: DataFrame, pictures: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     """Read lines to blocks in column order: noise dropped, sizes snapped to the page's few real ones."""
-    kept = layout.drop_noise(lines, pictures, keys)
+    kept = checkpoint(layout.drop_noise(lines, pictures, keys))
     share = F.when(F.col("text").rlike(tx.DEVANAGARI), layout.FONT_SHARE[1]).otherwise(0.74)
     kept = kept.withColumn("raw_size", F.col("h") * share)
     sizes = numeric.snap_sizes(kept, keys, "raw_size").select(*keys, "raw_size", F.greatest(F.lit(5.0), F.bround(F.col("size") * 2) / 2).alias("size"))
     words = kept.join(sizes, [*keys, "raw_size"]).select(*keys, F.col("line_no").alias("word_no"), "text", F.col("x").alias("x0"), (F.col("x") + F.col("w")).alias("x1"), F.col("y").alias("top"), (F.col("y") + F.col("h")).alias("bottom"), "size")
-    made = flow.pdf_lines(words, keys)
+    made = checkpoint(flow.pdf_lines(words, keys))
     placed = made.join(flow.text_blocks(made, keys), [*keys, "line_no"])
     boxes = placed.groupBy(*keys, "block_no").agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.count(F.lit(1)).cast("int").alias("lines"))
-    elements = boxes.select(*keys, F.col("block_no").alias("element_no"), F.lit("text").alias("kind"), "x0", "top", "x1", "bottom", "lines")
+    elements = checkpoint(boxes.select(*keys, F.col("block_no").alias("element_no"), F.lit("text").alias("kind"), "x0", "top", "x1", "bottom", "lines"))
     return elements.join(flow.xy_cut_order(elements, keys), [*keys, "element_no"])
 
 

@@ -33,15 +33,20 @@ def build_session(app: str = "quire", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def checkpoint_base(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names, from the session or its context."""
+    return spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder the cluster names in ``spark.checkpoint.dir``.
+    """Writes a table once to the checkpoint folder and goes on from there, whatever executors are lost.
 
-    Only where that setting is absent (tests, a laptop) is a folder of our own used.
+    The folder is the one in ``spark.checkpoint.dir``; only where that is absent (tests, a laptop) is one
+    of our own used.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get(CHECKPOINT_CONF) or tempfile.mkdtemp(prefix="spark-quire-", dir=os.environ.get("TMPDIR", "/tmp"))
-        context.setCheckpointDir(folder)
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(checkpoint_base(spark) or tempfile.mkdtemp(prefix="spark-quire-", dir=os.environ.get("TMPDIR", "/tmp")))
     return df.checkpoint(eager=True)
 
 
@@ -58,7 +63,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints: shared storage on a cluster, a temporary one where none is set."""
     import uuid
 
-    base = spark.sparkContext.getConf().get(CHECKPOINT_CONF) or spark.conf.get(CHECKPOINT_CONF, None)
+    base = checkpoint_base(spark)
     if not base:
         return tempfile.mkdtemp(prefix=f"spark-quire-{name}-", dir=os.environ.get("TMPDIR", "/tmp"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

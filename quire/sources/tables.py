@@ -13,10 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def utc(column: str):
+    """A zone-less time of the files as the instant it is in UTC, whatever the session's zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(column)).cast("timestamp")
+
+
 def events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Events with ``ts`` as a timestamp: the files hold it without a zone, which a watermark refuses."""
     df = table(spark, sf_dir, "events")
-    df = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    df = df.withColumn("ts", utc("ts"))
     return df.select(*columns) if columns else df
 
 

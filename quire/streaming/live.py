@@ -13,6 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from quire.operators import cleaning, jobs
 from quire.session import work_folder
+from quire.sources.tables import utc
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "status string, step string, done int, total int, files long, bytes long, error string, created_at timestamp, ended_at timestamp, summary string, last timestamp"
@@ -26,7 +27,7 @@ def event_stream(spark: SparkSession, folder: str, name: str, files_per_batch: i
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
     df = reader.parquet(folder)
-    return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
+    return df.withColumn("ts", utc("ts")) if "ts" in df.columns else df
 
 
 def run_to_table(df: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> tuple[DataFrame, StreamingQuery]:
