@@ -35,8 +35,9 @@ def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict[str,
 
 
 def _with_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    if not keys:
-        return left.crossJoin(right)  # right is one row: the whole table is one group
+    if not keys:  # the whole table is one group, and right is its one row
+        one = F.lit(1).alias("_one")
+        return left.select("*", one).join(right.select("*", one), "_one").drop("_one")
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     condition = F.lit(True)
     for k in keys:
