@@ -47,7 +47,7 @@ def word_boxes(lines: DataFrame, keep: list[str], text: str = "text") -> DataFra
     """Words of a line, each with its share of the line's box by character offset."""
     total = F.greatest(F.length(text), F.lit(1))
     # Outer: an inner explode makes the optimizer test the array first, computing it twice.
-    words = lines.select(*keep, "x", "y", "w", "h", F.col(text).alias("_t"), total.alias("_n"), F.posexplode_outer(tx.by_width(F.col(text), lambda n: match_positions(F.col(text), n(tx.NON_SPACE) + "+"))).alias("word_no", "m")).filter("m IS NOT NULL")
+    words = lines.select(*keep, "x", "y", "w", "h", F.col(text).alias("_t"), total.alias("_n"), F.posexplode_outer(tx.by_width(F.col(text), lambda n: match_positions(F.col(text), n(tx.NON_SPACE) + "+", few=True))).alias("word_no", "m")).filter("m IS NOT NULL")
     size = F.col("m.end") - F.col("m.start")
     return words.select(
         *keep, "word_no", (F.col("x") + F.col("w") * F.col("m.start") / F.col("_n")).alias("x"), "y", (F.col("w") * size / F.col("_n")).alias("w"), "h",

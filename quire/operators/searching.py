@@ -42,25 +42,49 @@ def grouped_search(hits: DataFrame, group: str, item: str, ordinal: str) -> Data
     return rows.join(best, group).orderBy(F.desc("group_score"), "group_first", F.desc("score"), ordinal)
 
 
-def match_positions(text: Column, pattern: str, limit: Column | None = None) -> Column:
-    """Array of (start, end), code points from 0, of every match in a text."""
+# Matches are located in blocks of this many, so that a text with very many costs little more than its length.
+_BLOCK = 64
+
+
+def match_positions(text: Column, pattern: str, limit: Column | None = None, few: bool = False) -> Column:
+    """Array of (start, end), code points from 0, of every match in a text.
+
+    ``few`` is for texts known to be short (a line): the positions are then added up in one go.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if limit is not None:
         found = F.slice(found, F.lit(1), limit)
-    row = F.array(F.struct(F.split(text, pattern, -1).alias("gaps"), found.alias("found")))
+    row = F.struct(F.split(text, pattern, -1).alias("gaps"), found.alias("found"))
 
-    def use(b: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<struct<start:int,end:int>>").alias("out"))
+    def bind(value: Column, use) -> Column:
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def locate(pairs: Column, at: Column) -> Column:
+        zero = F.struct(at.cast("int").alias("at"), F.expr("array()").cast("array<struct<start:int,end:int>>").alias("out"))
 
         def step(acc: Column, pair: Column) -> Column:
-            start = acc["at"] + F.length(pair["gap"])
-            end = start + F.length(pair["word"])
+            start = acc["at"] + pair["gap"]
+            end = start + pair["word"]
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
 
-        pairs = F.zip_with(b["found"], F.slice(b["gaps"], F.lit(1), F.size(b["found"])), lambda w, g: F.struct(w.alias("word"), g.alias("gap")))
         return F.aggregate(pairs, zero, step)["out"]
 
-    return F.when(text.rlike(pattern), F.element_at(F.transform(row, use), 1))
+    def total(lengths: Column) -> Column:
+        return F.aggregate(lengths, F.lit(0), lambda n, v: n + v)
+
+    def in_blocks(pairs: Column) -> Column:
+        part = lambda b: F.slice(pairs, b * _BLOCK + 1, F.lit(_BLOCK))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _BLOCK).cast("int"))
+        sums = F.transform(blocks, lambda b: total(F.transform(part(b), lambda p: p["gap"] + p["word"])))
+        return bind(sums, lambda s: F.flatten(F.transform(blocks, lambda b: locate(part(b), total(F.slice(s, F.lit(1), b))))))
+
+    def use(b: Column) -> Column:
+        pairs = F.zip_with(b["found"], F.slice(b["gaps"], F.lit(1), F.size(b["found"])), lambda w, g: F.struct(F.length(w).alias("word"), F.length(g).alias("gap")))
+        return bind(pairs, (lambda p: locate(p, F.lit(0))) if few else in_blocks)
+
+    # A limit of none, or a text without a match, leaves no pairs to locate.
+    some = text.rlike(pattern) if limit is None else text.rlike(pattern) & (limit > 0)
+    return F.when(some, bind(row, use))
 
 
 def phrase_search(pages: DataFrame, query: str, doc: str, page: str | None, text: str = "text", match_case: bool = False, limit: int = PHRASE_HITS) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import checkpoint
+
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -62,7 +64,8 @@ def islands(df: DataFrame, keys: list[str], order: list[str], bucket: Column, st
 
 def merge_ranges(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", span: int = 4096) -> DataFrame:
     """Ranges of a key that overlap or touch become one."""
-    distinct = df.groupBy(*keys, start).agg(F.max(end).alias(end))
+    # Two carried passes read the ranges twice each; they are written once instead of found four times.
+    distinct = checkpoint(df.groupBy(*keys, start).agg(F.max(end).alias(end)))
     bucket = F.floor(F.col(start) / span)
     seen = with_previous(distinct, keys, [start], bucket, {"_reach": ("max", F.col(end))})
     fresh = F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))
