@@ -74,7 +74,7 @@ def parse_page_json(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
 
 def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Text, Markdown and HTML files up to 5 MB, line ends normalised, HTML as its text; others are refused."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
     name = F.lower("path")
     accepted = files.filter(name.rlike(TEXT_EXTENSIONS) & (F.col("size") <= MAX_TEXT_BYTES))
