@@ -30,7 +30,9 @@ def build_session(app: str = "quire", master: str | None = None, **conf: str) ->
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def checkpoint_base(spark: SparkSession) -> str | None:
@@ -67,3 +69,26 @@ def work_folder(spark: SparkSession, name: str) -> str:
     if not base:
         return tempfile.mkdtemp(prefix=f"spark-quire-{name}-", dir=os.environ.get("TMPDIR", "/tmp"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the session's Python workers this package, once per application.
+
+    Rules that run in Python are imported on the workers; started from elsewhere they would not find them.
+    """
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-quire-package-")) / "quire_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,6 +127,8 @@ def job_states(events: DataFrame, ttl_minutes: int = jobs.TTL_MINUTES, delay: st
     """Job states as they change (update mode), and one row when a finished job expires."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # The processor is also loaded where shipped files are not looked for, so it travels by value.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     flat = events.select("job_id", "ts", "seq", "status", "step", "done", "total", F.col("file.size").alias("file_size"), "error").withWatermark("ts", delay)
     return flat.groupBy("job_id").transformWithStateInPandas(statefulProcessor=JobFold(ttl_minutes), outputStructType=JOB_ROW, outputMode="Update", timeMode="EventTime")
 
