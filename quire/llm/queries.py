@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import substring_dedup, suffix_dedup
+from quire.llm import mixing, pieces, quality_rules, simhash, substring_dedup, suffix_dedup
 from quire.sources.tables import table
 
+#: Where the model file is; it is read on the driver.
+MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of 50-word passages that stand in an earlier document are removed; digest of what is left."""
@@ -45,9 +49,37 @@ g AS (SELECT doc_id, count(*) AS n, sum(gone) AS r, sum(begins) AS s, coalesce(s
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed, coalesce(s, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
 """
 
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes, with its source's size and target."""
+    rows = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times")
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every text and the component of near copies it belongs to."""
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every text, the base rule, and the verdict of the list learned from all labels."""
+    return quality_rules.judged(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every text, and whether decoding them gives it back."""
+    return pieces.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), pieces.load(MODEL)).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op6_mixing": op6_mixing,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {

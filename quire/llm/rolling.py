@@ -20,8 +20,8 @@ _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _BYTES = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**64, 256, dtype=U64)
 # Positions that share a word with the hash when a smallest k-gram is sought; documents stay below 2**31 tokens.
 _LOW = U64(2**31 - 1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -96,7 +96,7 @@ def byte_tokens(block: Texts) -> np.ndarray:
 
 def word_spans(block: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (anything but ASCII white space), and each document's bounds among them."""
-    space = _SPACE[block.data]
+    space = SPACE[block.data]
     n = len(space)
     if not n:
         none = np.zeros(0, np.int64)
