@@ -7,7 +7,8 @@ long as they share their fate:
 
 1. the first digit is that smallest string, the second all that the record's suffixes cover: records equal in
    both are repeated whole;
-2. groups that the second digit splits are dealt out again, in pieces of ``piece`` suffixes;
+2. groups that the second digit splits are dealt out again, in pieces of ``piece`` suffixes, by the bytes that all
+   suffixes of a piece have in common, then by all that they cover;
 3. groups of pieces that this splits are dealt out as single suffixes, through the full depth.
 
 Each distinct record is dealt on once, from the smallest document that holds it. Equal groups after the last pass
@@ -61,7 +62,9 @@ class Sorter:
         far, lo, n = np.repeat(far, count), np.repeat(lo, count), np.repeat(n, count)
         begin = lo + far - np.minimum(far, step * self.piece + self.piece - 1)
         end = lo + far - np.maximum(far - n + 1, step * self.piece)
-        digit = rolling.mix(r.seed[run] + rolling.mix(step.astype(U64) + U64(1)))
+        # All suffixes of a piece begin with bytes that end in this core; other pieces at that distance without it can't equal any.
+        core = r.place[run] - step * self.piece
+        digit = rolling.mix(r.seed[run] + rolling.mix(self.slices.at(core, core + self.depth - self.piece + 1) + step.astype(U64)))
         shape = ((lo + far - begin).astype(U64) << U64(32)) | (end - begin + 1).astype(U64)
         name = rolling.mix(self.slices.at(begin, end + self.depth) + rolling.mix(digit + shape))
         return Pieces(run, begin, end - begin + 1, digit, name)
