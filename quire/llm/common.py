@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +66,6 @@ def signed(x: np.ndarray) -> np.ndarray:
 def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A list<long> column as (row number of each value, value); null lists are empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    parents = np.asarray(pa.compute.list_parent_indices(column))
-    values = pa.compute.list_flatten(column).to_numpy(zero_copy_only=False)
+    parents = np.asarray(pc.list_parent_indices(column))
+    values = pc.list_flatten(column).to_numpy(zero_copy_only=False)
     return parents.astype(np.int64), values.astype(np.int64, copy=False)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import mixing, pieces, quality_rules, simhash, substring_dedup, suffix_dedup
+from quire.llm import host_paths, kd_shards, mixing, pieces, pivot_search, quality_rules, simhash, substring_dedup, suffix_dedup
 from quire.sources.tables import table
 
 #: Where the model file is; it is read on the driver.
@@ -51,12 +51,37 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(r, 0)::BIGINT AS n_
 
 
 
+def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near-equal bytes."""
+    rows = kd_shards.shard(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+    return rows.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, read by its host's consensus path."""
+    return host_paths.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes, with its source's size and target."""
     rows = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times")
 
 
+def op7_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest integer inner products of every hundredth vector with all others."""
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+SQL_OP7 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of every text and the component of near copies it belongs to."""
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -76,7 +101,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op4_kd_shards": op4_kd_shards,
+    "op5_html_extraction": op5_html_extraction,
     "op6_mixing": op6_mixing,
+    "op7_pivot_search": op7_pivot_search,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
@@ -85,4 +113,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": SQL_OP1,
     "op2_suffix_dedup": SQL_OP2,
+    "op7_pivot_search": SQL_OP7,
 }
