@@ -205,8 +205,9 @@ def learn(labelled: DataFrame, most_rules: int = 8, most_conditions: int = 4, pr
     names = list(measures())
     rows = save(labelled.where("bad IS NOT NULL").select(*BASE, *EXTRA, "bad", F.pmod(F.xxhash64(F.lit(9), "row"), F.lit(3)).alias("fold")), "labelled")
     quantiles = rows.agg(*[F.percentile_approx(m, [i / BINS for i in range(1, BINS)], 10000).alias(n) for n, m in measures().items()]).first()
-    cuts = {n: sorted(set(quantiles[n] or ())) for n in names}
-    cuts = {n: c for n, c in cuts.items() if c}
+    values = {n: sorted(set(quantiles[n] or ())) for n in names}
+    # Halfway between neighbours, so that a document just past the last good one isn't rejected.
+    cuts = {n: [(a + b) / 2 for a, b in zip(v, v[1:])] for n, v in values.items() if len(v) > 1}
     if not cuts:
         return []
     binned = [_bin(measures()[n], c).alias(f"bin_{n}") for n, c in cuts.items()]

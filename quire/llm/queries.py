@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import host_paths, kd_shards, mixing, pieces, pivot_search, quality_rules, simhash, substring_dedup, suffix_dedup
+from quire.llm import host_paths, kd_shards, kneser_ney, mixing, pieces, pivot_search, quality_rules, simhash, substring_dedup, suffix_dedup
 from quire.sources.tables import table
 
 #: Where the model file is; it is read on the driver.
@@ -51,6 +51,11 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(r, 0)::BIGINT AS n_
 
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every text under the model of the trusted ones, against its language's threshold."""
+    return kneser_ney.judged(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of near-equal bytes."""
     rows = kd_shards.shard(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
@@ -101,6 +106,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_kd_shards": op4_kd_shards,
     "op5_html_extraction": op5_html_extraction,
     "op6_mixing": op6_mixing,

@@ -129,7 +129,7 @@ def drop_repeats(docs: DataFrame, words: int = 50, seed: int = 12, id_col: str =
         runs = rolling.window_runs(tokens, bounds, depth, seed, slices)
         whole = _listed(block.first + runs.doc, runs.span, rows, names)
         lo, hi = runs.lo[whole], runs.lo[whole] + runs.n[whole] + depth - 1
-        rest = ~whole
+        rest = ~whole & np.isin(block.first + runs.doc, rows)
         at, window = _window_names(slices, runs.lo[rest], runs.n[rest], runs.seed[rest], depth)
         at = at[_listed(block.first + np.repeat(runs.doc[rest], runs.n[rest]), window, rows, names)]
         return rolling.covered(len(tokens), np.append(lo, at), np.append(hi, at + depth))

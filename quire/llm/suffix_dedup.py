@@ -164,7 +164,7 @@ def drop_repeated_bytes(docs: DataFrame, depth: int = 200, seed: int = 40, piece
         rows, names = rows[mine], names[mine]
         s = Sorter(block, *sizes)
         whole = s.listed(np.arange(len(s.runs.lo)), s.runs.span, rows, names)
-        p = s.pieces(~whole)
+        p = s.pieces(~whole & np.isin(s.first + s.runs.doc, rows))
         equal = s.listed(p.run, p.name, rows, names)
         at, name = s.singles(p.lo[~equal], p.n[~equal], p.digit[~equal])
         at = at[s.listed(np.repeat(p.run[~equal], p.n[~equal]), name, rows, names)]
