@@ -65,6 +65,8 @@ class Node(NamedTuple):
     path: str
     parent: int
     dropped: bool
+    #: The path of the container whose <header> this is in, if any.
+    header: str
 
 
 class Block(NamedTuple):
@@ -79,7 +81,7 @@ def _attributes(rest: str) -> dict[str, str]:
 
 def parse(page: str) -> tuple[list[Node], list[Block]]:
     """A page's elements and its text blocks in page order; each block with its innermost element."""
-    nodes = [Node("", "", -1, False)]
+    nodes = [Node("", "", -1, False, "")]
     blocks: list[Block] = []
     stack = [0]
     text: list[str] = []
@@ -148,7 +150,7 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         values = _attributes(rest) if rest.strip(" /\n\t") else {}
         named = values.get("class", "")
         path = f"{parent.path}>{tag}{''.join('.' + _DIGITS.sub('#', c) for c in sorted(named.split()))}" if tag in _CONTAINERS else parent.path
-        node = Node(tag, path, stack[-1], parent.dropped or _is_extra(tag, values, parent, nodes, stack))
+        node = Node(tag, path, stack[-1], parent.dropped or _is_extra(tag, values), parent.header or (parent.path if tag == "header" else ""))
         if rest.endswith("/") and tag not in _INLINE | _CONTAINERS | {"p"}:
             continue
         nodes.append(node)
@@ -162,14 +164,11 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
     return nodes, blocks
 
 
-def _is_extra(tag: str, values: dict[str, str], parent: Node, nodes: list[Node], stack: list[int]) -> bool:
+def _is_extra(tag: str, values: dict[str, str]) -> bool:
     if tag in _HEADINGS:
         return False
     if tag in _DROPPED or "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower():
         return True
-    # A page's header goes; an article's own header keeps its headings and paragraphs.
-    if tag == "header" and not any(nodes[n].tag in ("article", "main") for n in stack):
-        return True
     if set(values.get("role", "").lower().split()) & _DROPPED_ROLES:
         return True
     if tag in ("body", "main", "article", "html"):
@@ -182,7 +181,8 @@ def best_path(nodes: list[Node], blocks: list[Block], part: float = 0.6) -> tupl
     """The page's vote: the innermost container that still holds ``part`` of the text its parent holds, and its score."""
     score = [0] * len(nodes)
     for b in blocks:
-        score[b.node] += max(0, len(b.text) - 2 * b.linked)
+        if not nodes[b.node].header:
+            score[b.node] += max(0, len(b.text) - 2 * b.linked)
     inside: dict[str, int] = {}
     for i in range(len(nodes) - 1, 0, -1):
         score[nodes[i].parent] += score[i]
@@ -200,8 +200,16 @@ def best_path(nodes: list[Node], blocks: list[Block], part: float = 0.6) -> tupl
 
 
 def main_text(nodes: list[Node], blocks: list[Block], path: str) -> str:
-    """The blocks inside the path's containers, joined by empty lines."""
-    return "\n\n".join(b.text for b in blocks if not path or nodes[b.node].path == path or nodes[b.node].path.startswith(path + ">"))
+    """The blocks inside the path's containers, joined by empty lines.
+
+    A page's header goes; the header of the article, or of the chosen container itself, belongs to the text.
+    """
+    def wanted(n: Node) -> bool:
+        inside = not path or n.path == path or n.path.startswith(path + ">")
+        own = not n.header or ">article" in n.header or n.header == path and not path.rpartition(">")[2].startswith("body")
+        return inside and own
+
+    return "\n\n".join(b.text for b in blocks if wanted(nodes[b.node]))
 
 
 def host(url: str) -> Column:

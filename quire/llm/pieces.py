@@ -14,6 +14,7 @@ The vocabulary is read from a model file on the driver and sent to the tasks; it
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import re
 from collections.abc import Iterator
@@ -36,6 +37,10 @@ LONG, KEPT = 256, 200_000
 UNKNOWN_PENALTY = 10.0
 
 
+# Every byte that is no UTF-8 is a replacement character of its own.
+codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
+
+
 class Vocabulary:
     """Pieces, their scores and kinds, as plain data that travels to the tasks."""
 
@@ -303,14 +308,14 @@ def encode(docs: DataFrame, words: Vocabulary, text_col: str = "text", name: str
 def decode(rows: DataFrame, words: Vocabulary, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """Adds the text of a list of ids: pieces joined, space marks as spaces, the leading one dropped; null for null.
 
-    Bytes that are no UTF-8 become the replacement character; ids outside the vocabulary are an error.
+    Bytes that are no UTF-8 become a replacement character each; ids outside the vocabulary are an error.
     """
     columns = [c for c in rows.columns if c != name]
     place = columns.index(ids_col)
     sent = rows.sparkSession.sparkContext.broadcast(words)
 
     def rule(batch: pa.RecordBatch) -> dict:
-        raw, prefix = sent.value.raw, sent.value.prefix
+        raw, prefix, unknown = sent.value.raw, sent.value.prefix, sent.value.unknown
         made = []
         for ids in batch.column(place):
             if not ids.is_valid:
@@ -319,8 +324,9 @@ def decode(rows: DataFrame, words: Vocabulary, ids_col: str = "ids", name: str =
             values = ids.values.to_numpy(zero_copy_only=False)
             if len(values) and (values.min() < 0 or values.max() >= len(raw)):
                 raise ValueError("an id outside the vocabulary")
-            text = b"".join(map(raw.__getitem__, values.tolist())).decode("utf-8", "replace")
-            made.append(text[1:] if prefix and text.startswith(" ") else text)
+            text = b"".join(map(raw.__getitem__, values.tolist())).decode("utf-8", "each_byte")
+            lead = prefix and text.startswith(" ") and next(i for i in values.tolist() if raw[i]) != unknown
+            made.append(text[1:] if lead else text)
         return {c: batch.column(i) for i, c in enumerate(columns)} | {name: made}
 
     schema = T.StructType([*(f for f in rows.schema.fields if f.name in columns), T.StructField(name, T.StringType())])
@@ -328,6 +334,9 @@ def decode(rows: DataFrame, words: Vocabulary, ids_col: str = "ids", name: str =
 
 
 def round_trip(docs: DataFrame, words: Vocabulary, text_col: str = "text") -> DataFrame:
-    """Adds ``ids``, ``n_tokens`` and ``same``: whether decoding gives the text back (a null text counts as empty)."""
+    """Adds ``ids``, ``n_tokens`` and ``same``: whether decoding gives the text back.
+
+    It does but for literal space marks, which become spaces; a null text counts as empty.
+    """
     back = decode(encode(docs, words, text_col), words)
     return back.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("same", F.col("decoded") == F.coalesce(text_col, F.lit(""))).drop("decoded")
