@@ -21,10 +21,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints reach each other, one stays: the smallest id.
-
-    The corpus form links five-word shingles at a distance of 3 bits of 64, which is stricter than a similarity of 0.8.
-    """
+    """Of documents that near copies (five-word shingles, a similarity of 0.8) link, one stays: the smallest id."""
     return simhash.keep_one(docs)
 
 

@@ -107,12 +107,27 @@ def near(queries: np.ndarray, vertical: np.ndarray, radius: int) -> np.ndarray:
     return ~(beyond | over)
 
 
-def forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, representative) links that join everything within the radius."""
+def forest(prints: np.ndarray, radius: int, unit: np.ndarray | None = None, signs: np.ndarray | None = None, agree: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, representative) links that join everything within the radius.
+
+    With ``unit`` only within a unit, and with ``signs`` (a row of bytes each) only where ``agree`` of them agree.
+    """
     n = len(prints)
     vertical = planes(prints)
     tile = max(1, (1 << 19) // max(64, n))
-    rows = np.concatenate([near(prints[i:i + tile], vertical, radius) for i in range(0, n, tile)])
+    rows = []
+    for i in range(0, n, tile):
+        hits = near(prints[i:i + tile], vertical, radius)
+        if unit is not None:
+            a, b = np.nonzero(np.unpackbits(hits.view(np.uint8), axis=1, bitorder="little")[:, :n])
+            good = (unit[i + a] == unit[b]) & (i + a != b)
+            a, b = a[good], b[good]
+            good = (signs[i + a] == signs[b]).sum(axis=1) >= agree
+            flags = np.zeros((len(hits), vertical.shape[1] * 64), bool)
+            flags[a[good], b[good]] = True
+            hits = np.packbits(flags, axis=1, bitorder="little").view(U64)
+        rows.append(hits)
+    rows = np.concatenate(rows)
     unseen = np.packbits(np.arange(vertical.shape[1] * 64) < n, bitorder="little").view(U64)
     node, root = [], []
     for start in range(n):
@@ -131,24 +146,37 @@ def forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return prints[np.concatenate(node)], prints[np.concatenate(root)]
 
 
-def _walk(radius: int):
+def _walk(radius: int, agree: int | None = None):
+    """Walks sorted units, small ones together. Rows are (unit, fingerprint), with ``agree`` also a signature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = np.zeros(0, U64), None
-
-        def linked(prints: np.ndarray) -> pa.RecordBatch:
-            a, b = forest(np.unique(prints), radius)
+        held: list[tuple] = []
+        size, last = 0, None
+
+        def linked() -> pa.RecordBatch:
+            units, prints, signs = (np.concatenate(x) for x in zip(*held))
+            if agree is None:
+                a, b = forest(np.unique(prints), radius)
+            else:
+                order = np.lexsort((prints, units))
+                first = np.ones(len(order), bool)
+                first[1:] = (units[order][1:] != units[order][:-1]) | (prints[order][1:] != prints[order][:-1])
+                order = order[first]
+                a, b = forest(prints[order], radius, units[order], signs[order], agree)
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
             unit, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(U64)
+            signs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(unit), -1) if agree is not None else np.zeros((len(unit), 0), np.uint8)
             starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])) if len(unit) else []
             for lo, hi in zip(starts, [*starts[1:], len(unit)]):
-                if unit[lo] != last and len(held) >= TOGETHER:
-                    yield linked(held)
-                    held = held[:0]
-                held, last = np.concatenate([held, prints[lo:hi]]), unit[lo]
-        if len(held):
-            yield linked(held)
+                if unit[lo] != last and size >= TOGETHER:
+                    yield linked()
+                    size = 0
+                held.append((unit[lo:hi], prints[lo:hi], signs[lo:hi]))
+                size, last = size + hi - lo, unit[lo]
+        if held:
+            yield linked()
 
     return run
 
@@ -161,14 +189,62 @@ def links(prints: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
     part = [F.shiftrightunsigned(value, i * width).bitwiseAND(F.lit((1 << min(width, 64 - i * width)) - 1)) for i in range(parts)]
     keys = [F.lit(n << 2 * width) + F.shiftleft(part[i], width) + part[j] for n, (i, j) in enumerate(combinations(range(parts), 2))]
     tables = prints.select("fingerprint", F.explode(F.array(*keys)).alias("key"))
+    return _met(tables, chunk).mapInArrow(_walk(radius), "a long, b long")
+
+
+def _met(tables: DataFrame, chunk: int) -> DataFrame:
+    """Rows (key, fingerprint, …) of keys that several rows share, dealt into units that are compared as a whole."""
     crowded = save(tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
     members = tables.join(crowded, "key").withColumn("chunks", F.ceil(F.col("n") / chunk)).withColumn("own", F.pmod(F.xxhash64(F.lit(1), "fingerprint"), "chunks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")
-    met = members.select("fingerprint", "key", "chunks", "own", other)
-    unit = F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     # Two chunks that meet are compared as a whole, each with itself too.
-    met = met.where("chunks = 1 OR own <> other").select(unit.alias("unit"), "fingerprint")
-    return met.repartition("unit").sortWithinPartitions("unit").mapInArrow(_walk(radius), "a long, b long")
+    unit = F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    met = members.where("chunks = 1 OR own <> other").select(unit.alias("unit"), *[c for c in tables.columns if c != "key"])
+    return met.repartition("unit").sortWithinPartitions("unit")
+
+
+def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, text_col: str = "text") -> DataFrame:
+    """Adds ``keys`` (array<long>, one per band) and ``signs`` (the low byte of every least hash) of a text's word shingles."""
+    draws = rolling.mix(np.arange(1, bands * rows + 1, dtype=U64))
+    columns = docs.columns
+    place = columns.index(text_col)
+    lower = np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+
+    def rule(batch: pa.RecordBatch) -> dict:
+        keys, signs = [], []
+        for block in rolling.texts(batch.column(place)):
+            tokens, bounds = rolling.word_tokens(block._replace(data=lower[block.data]))
+            slices = rolling.Slices(tokens)
+            n = np.maximum(np.diff(bounds) - shingle + 1, np.minimum(np.diff(bounds), 1))
+            at = rolling.ranges(bounds[:-1], n)
+            doc = np.repeat(np.arange(len(n)), n)
+            hashes = slices.at(at, np.minimum(at + shingle, bounds[1:][doc]))
+            least = np.zeros((len(draws), len(n)), U64)
+            full = n > 0
+            if full.any():
+                starts = (np.cumsum(n) - n)[full]
+                for i, draw in enumerate(draws):
+                    least[i, full] = np.minimum.reduceat(rolling.mix(hashes ^ draw), starts)
+            band = np.zeros((bands, len(n)), U64)
+            for i in range(bands * rows):
+                band[i // rows] = rolling.mix(band[i // rows] + least[i] + U64(i // rows + 1))
+            keys += list(band.T.astype(np.int64, copy=False).view(np.int64))
+            signs += [x.tobytes() for x in np.ascontiguousarray(least.T).astype(np.uint8)]
+        return {c: batch.column(i) for i, c in enumerate(columns)} | {"keys": pa.array(keys, pa.list_(pa.int64())), "signs": signs}
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("signs", T.BinaryType())])
+    return map_batches(docs, rule, schema)
+
+
+def _grouped(rows: DataFrame, linked) -> DataFrame:
+    """Rows (id, fingerprint, …) with the root and the smallest id of their component."""
+    distinct = save(rows.groupBy("fingerprint").agg(F.min(order_id("id")).alias("least")), "distinct")
+    roots = components(linked(distinct))
+    named = distinct.join(roots.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    named = save(named, "named")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(save(named.join(least, "root").select("fingerprint", "root", "component_id"), "groups"), "fingerprint")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,19 +258,31 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col:
     """
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     rows = save(fingerprints(ids, shingle).drop("text"), "fingerprints")
-    distinct = save(rows.groupBy("fingerprint").agg(F.min(order_id("id")).alias("least")), "distinct")
-    roots = components(links(distinct, radius))
-    named = distinct.join(roots.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    named = save(named, "named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = save(named.join(least, "root").select("fingerprint", "root", "component_id"), "groups")
-    out = rows.join(groups, "fingerprint")
+    out = _grouped(rows, lambda prints: links(prints, radius))
+    return out.select(F.col("id").alias(id_col), "text_hash", "fingerprint", "root", F.nullif("component_id", F.lit(LAST)).alias("component_id"))
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 14, bands: int = 8, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``near_duplicates``, for copies whose shingle sets are similar to at least ``similarity``.
+
+    At a similarity of 0.8 fingerprints differ in about ten bits, too many for tables of their parts. So they also meet
+    in buckets of equal bands of least hashes, and link there within ``radius`` bits if the share of agreeing least
+    hashes is not two standard errors below ``similarity``. A pair at 0.8 shares a band in 98 of 100 cases.
+    """
+    ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    own = save(signatures(fingerprints(ids, shingle), shingle, bands, rows).drop("text"), "fingerprints")
+    n = bands * rows
+    agree = int(np.floor(n * (similarity - 2 * (similarity * (1 - similarity) / n) ** 0.5)))
+    # Of equal fingerprints one stands for all.
+    tables = own.groupBy("fingerprint").agg(F.min_by("keys", "signs").alias("keys"), F.min("signs").alias("signs"))
+    tables = save(tables, "tables").select(F.explode("keys").alias("key"), "fingerprint", "signs")
+    out = _grouped(own.drop("keys", "signs"), lambda prints: links(prints, 3).union(_met(tables, CHUNK).mapInArrow(_walk(radius, agree), "a long, b long")))
     return out.select(F.col("id").alias(id_col), "text_hash", "fingerprint", "root", F.nullif("component_id", F.lit(LAST)).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one of each component: the smallest id, then the smallest text hash; of equal rows one."""
-    rows = near_duplicates(docs, radius, shingle, id_col, text_col)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` with one of each component of near copies: the smallest id, then the smallest text hash; of equal rows one."""
+    rows = near_copies(docs, id_col=id_col, text_col=text_col, **how)
     first = rows.groupBy("root").agg(F.min(F.struct(order_id(id_col).alias("i"), F.col("text_hash").alias("h"))).alias("first"))
     chosen = save(first.select(F.col("first.i").alias("__i"), F.col("first.h").alias("__h")), "chosen")
     own = docs.withColumn("__i", order_id(id_col)).withColumn("__h", F.xxhash64(text_col))

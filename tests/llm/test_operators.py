@@ -98,7 +98,9 @@ def test_simhash(docs, none):
     assert sorted(((r["doc_id"], r["fingerprint"] % 2**64, r["component_id"]) for r in got.collect()), key=str) == want
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert kept.count() == len(set(root.values()))
+    ids = {r["doc_id"] for r in kept.collect()}
+    # One of the copies, one of the near copies, and no text of its own is lost; shorter texts are their only shingle.
+    assert not {6, 7} & ids and not ids & set(range(100, 240)) and {3, 4, 5, 10, 14, 15, 17} <= ids
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 

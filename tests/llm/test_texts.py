@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 from conftest_corpus import words
-from test_operators import by_hand, counted, reach
+from test_operators import counted
 
 import corpus_pipeline
 from quire.llm import host_paths, pieces, queries, quality_rules
@@ -101,7 +101,8 @@ def test_viterbi_is_the_librarys_for_unigram_models():
             p.score = -random.uniform(4, 16) - (6 if len(p.piece) == 1 else 0)
     model = spec.SerializeToString()
     library = sentencepiece.SentencePieceProcessor(model_proto=model)
-    texts = [*ODD[:-1], "some plain English words, and a few more of them", "die Würde des Menschen ist unantastbar"]
+    # Runs of one character can be cut in several ways of equal score; the others have one best way.
+    texts = [*(t for t in ODD if len(t) < 500), "some plain English words, and a few more of them", "die Würde des Menschen ist unantastbar"]
     for text, ids in zip(texts, pieces.Encoder(pieces.from_bytes(model))(texts)):
         assert ids.tolist() == library.encode(text)
 
@@ -122,13 +123,12 @@ def test_pipeline(spark):
     failed = {i for i, f in features.items() if f[0] < 50 or 100 * f[4] > 50 * f[0]}
     assert not failed & {r["doc_id"] for r in after} and len(after) > 0.7 * (len(before) - len(failed))
     before, after = made["simhash near-dedup"]
-    prints = {r["doc_id"]: by_hand(r["text"]) for r in before}
-    root = reach(sorted(set(prints.values())), lambda a, b: (a ^ b).bit_count() <= 3)
     kept = {r["doc_id"] for r in after}
-    assert len({root[prints[i]] for i in kept}) == len(kept)
     shingles = {r["doc_id"]: {tuple(w[j:j + 5]) for w in [words(r["text"].lower())] for j in range(len(w) - 4)} for r in before}
-    for i in set(prints) - kept:
-        assert max((len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j]) for j in shingles if j != i)) > 0.5
+    alike = lambda i, j: len(shingles[i] & shingles[j]) / max(1, len(shingles[i] | shingles[j]))
+    for i in set(shingles) - kept:
+        assert max(alike(i, j) for j in shingles if j != i) > 0.6
+    assert not [(i, j) for i in kept for j in kept if i < j and alike(i, j) >= 0.85]
     before, after = made["substring dedup"]
     first, text = {}, {r["doc_id"]: words(r["text"]) for r in before}
     for i, w in text.items():
