@@ -176,7 +176,7 @@ SELECT doc_id, page_no, CASE WHEN coalesce(v, 0) >= 4 OR coalesce(fig, 0) > 0.3
     "font_styles": f"""WITH f AS (SELECT doc_id, [{', '.join(repr(n) for n in FONTS)}][doc_id % {len(FONTS)} + 1] AS font FROM documents),
 n AS (SELECT *, regexp_replace(font, '^[^+]*\\+', '') AS name FROM f), w AS (SELECT *, lower(replace(name, ' ', '')) AS low, list_transform(regexp_extract_all(coalesce(nullif(regexp_extract(name, '^[^-]*-(.*)$', 1), ''), regexp_extract(name, '^[^,]*,(.*)$', 1)), '[A-Z][a-z]*|[a-z]+'), lambda t: lower(t)) AS ts,
   coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_extract(name, '^([^-]*)', 1), '(?:PSMT|PS|MT|Std|Pro|LT)$', ''), '([a-z])([A-Z])', '\\1 \\2', 'g')), ''), 'Arial') AS own FROM n)
-SELECT doc_id, font, {_FAMILY} AS family, list_has_any(ts, {style.STYLE_BOLD.split()}) OR regexp_matches(low, 'bold|black|heavy|semibold|demi|^(cm|lm)bx') AS bold, list_has_any(ts, {style.STYLE_ITALIC.split()}) OR regexp_matches(low, 'italic|oblique|^(cm|lm)(ti|sl|mi)') AS italic FROM w""",
+SELECT doc_id, font, {_FAMILY} AS family, list_has_any(ts, {list(style.STYLE_BOLD)}) OR regexp_matches(low, 'bold|black|heavy|semibold|demi|^(cm|lm)bx') AS bold, list_has_any(ts, {list(style.STYLE_ITALIC)}) OR regexp_matches(low, 'italic|oblique|^(cm|lm)(ti|sl|mi)') AS italic FROM w""",
     "colours": """WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS q, l_linenumber % 3 AS k, l_discount AS d, l_tax AS t FROM lineitem),
 c AS (SELECT *, CASE k WHEN 0 THEN [q, q, q] WHEN 1 THEN [q, d * 10, t * 10] ELSE [(1 - q) * (1 - q / 2), (1 - d * 8) * (1 - q / 2), (1 - t * 8) * (1 - q / 2)] END AS rgb FROM p),
 b AS (SELECT l_orderkey, l_linenumber, list_transform(rgb, lambda v: greatest(0, least(255, round_even(v * 255, 0)))::INT) AS v FROM c)

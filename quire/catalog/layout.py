@@ -158,7 +158,7 @@ def cover_share(spark, d):
 
 def budgeted_pictures(spark, d):
     sized = derive.page_regions(spark, d).withColumn("bytes", (F.col("doc_id") * 37 + F.col("region_no") * 101) % 1000 + 1)
-    return layout.budgeted_top(sized, PAGE, ["doc_id"], ["region_no"], "bytes", 5, 20000).select(*PAGE, "region_no", "bytes")
+    return layout.budgeted_top(sized, PAGE, ["doc_id"], ["region_no"], "bytes", 5, 3000).select(*PAGE, "region_no", "bytes")
 
 
 def cluster_boxes(spark, d):
@@ -265,7 +265,10 @@ SELECT doc_id, page_no, block, lines, CASE WHEN lines = 1 THEN CASE WHEN dev THE
   CASE WHEN lines = 1 THEN CASE WHEN abs((x0 + x1) / 2 - 225) < 18 AND x0 > 54 THEN 'center' WHEN x1 > 382.5 AND x0 > 225 THEN 'right' ELSE 'left' END WHEN sl <= 6.75 AND sb <= 6.75 AND lines >= 3 AND ww > 202.5 THEN 'justify' WHEN sl <= 6.75 THEN 'left' WHEN sr <= 6.75 THEN 'right' WHEN sc <= 10.125 THEN 'center' ELSE 'left' END AS align FROM g""",
     "drop_noise": f"WITH {_REGIONS}, c AS (SELECT *, (doc_id * 3 + line_no * 7) % 100 / 100 AS confidence FROM pl) SELECT doc_id, page_no, line_no FROM c WHERE confidence >= 0.5 AND NOT EXISTS (SELECT 1 FROM rg WHERE label = 'image' AND rg.doc_id = c.doc_id AND rg.page_no = c.page_no AND c.x + c.w / 2 BETWEEN rg.x AND rg.x + rg.w AND c.y + c.h / 2 BETWEEN rg.y AND rg.y + rg.h)",
     "cover_share": f"WITH {_REGIONS}, s AS (SELECT rg.doc_id, rg.page_no, rg.region_no, sum({_overlap('rg', 'pl')}) AS c, any_value(rg.w * rg.h) AS a FROM rg LEFT JOIN pl USING (doc_id, page_no) GROUP BY ALL) SELECT doc_id, page_no, region_no, round(coalesce(c, 0) / greatest(1, a), 6) AS covered FROM s",
-    "budgeted_pictures": f"""WITH {_REGIONS}, z AS (SELECT *, (doc_id * 37 + region_no * 101) % 1000 + 1 AS bytes, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY region_no) AS k FROM rg),
-t AS (SELECT *, sum(bytes) OVER (PARTITION BY doc_id ORDER BY page_no, region_no ROWS UNBOUNDED PRECEDING) AS s FROM z WHERE k <= 5) SELECT doc_id, page_no, region_no, bytes FROM t WHERE s <= 20000""",
+    "budgeted_pictures": f"""WITH RECURSIVE {_REGIONS}, z AS (SELECT *, (doc_id * 37 + region_no * 101) % 1000 + 1 AS bytes, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY region_no) AS k FROM rg),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, region_no) AS n FROM z WHERE k <= 5),
+t AS (SELECT doc_id, n, page_no, region_no, bytes, bytes <= 3000 AS kept, CASE WHEN bytes <= 3000 THEN 3000 - bytes ELSE 3000 END AS room, CASE WHEN bytes > 3000 THEN page_no ELSE -1 END AS closed FROM o WHERE n = 1
+  UNION ALL SELECT o.doc_id, o.n, o.page_no, o.region_no, o.bytes, o.page_no <> t.closed AND o.bytes <= t.room, CASE WHEN o.page_no <> t.closed AND o.bytes <= t.room THEN t.room - o.bytes ELSE t.room END, CASE WHEN o.page_no <> t.closed AND o.bytes > t.room THEN o.page_no ELSE t.closed END FROM t JOIN o ON o.doc_id = t.doc_id AND o.n = t.n + 1)
+SELECT doc_id, page_no, region_no, bytes FROM t WHERE kept""",
     "document_text": f"WITH {WORDS_SQL}, l AS (SELECT doc_id, page_no, block, line, string_agg(text, ' ' ORDER BY word_no) AS t FROM pw GROUP BY ALL), b AS (SELECT doc_id, page_no, block, string_agg(t, chr(10) ORDER BY line) AS t FROM l GROUP BY ALL) SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY page_no, block) AS text FROM b GROUP BY doc_id",
 }

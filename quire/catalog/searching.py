@@ -29,7 +29,7 @@ def phrase_search(spark, d):
 
 
 def phrase_search_turns(spark, d):
-    return searching.phrase_search(table(spark, d, "conversations", "conv_id", "turn", "text"), "de la", "conv_id", "turn", limit=3)
+    return searching.phrase_search(table(spark, d, "conversations", "conv_id", "turn", "text"), "de la", "conv_id", "turn")
 
 
 def merge_ranges(spark, d):
@@ -97,9 +97,8 @@ SELECT * FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 100""",
 WITH s AS (SELECT p_partkey, p_name, p_brand, CASE WHEN starts_with(lower(p_name), 'small') THEN 3 WHEN contains(lower(p_name), 'small') THEN 2 WHEN contains(lower(p_type), 'small') THEN 1 END + CASE WHEN starts_with(lower(p_name), 'economy') THEN 3 WHEN contains(lower(p_name), 'economy') THEN 2 WHEN contains(lower(p_type), 'economy') THEN 1 END AS score FROM part),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS k FROM s WHERE score > 0)
 SELECT a.p_partkey, a.p_name, a.p_brand, a.score, b.score AS group_score, b.p_partkey AS group_first FROM r a JOIN r b ON a.p_brand = b.p_brand AND b.k = 1""",
-    "phrase_search": "WITH " + _hits("documents", "doc_id", "text", r"(?i)the\s*th") + """ SELECT doc_id, ("end" - n)::INT AS start, "end"::INT AS "end" FROM h1 WHERE i <= 5000""",
-    "phrase_search_turns": "WITH " + _hits("conversations", "conv_id, turn", "text", r"(?i)de\s*la") + """, k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS k FROM h1)
-SELECT conv_id, turn, ("end" - n)::INT AS start, "end"::INT AS "end" FROM k WHERE k <= 3""",
+    "phrase_search": "WITH " + _hits("documents", "doc_id", "text", r"(?i)the\s*th") + """ SELECT doc_id, ("end" - n)::INT AS start, "end"::INT AS "end" FROM h1""",
+    "phrase_search_turns": "WITH " + _hits("conversations", "conv_id, turn", "text", r"(?i)de\s*la") + """ SELECT conv_id, turn, ("end" - n)::INT AS start, "end"::INT AS "end" FROM h1""",
     "merge_ranges": _MERGE.replace("RANGES", _RANGES),
     "find_replace": r"""
 WITH t AS (SELECT doc_id, string_split_regex(text, '(?i)the') AS gaps, regexp_extract_all(text, '(?i)the') AS found FROM documents),

@@ -6,8 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values ---------------------------------------------------------------------------------
-STYLE_BOLD = "bold bd black blk heavy hv semibold sb demi demibold medi medium md extrabold xbold ultra"
-STYLE_ITALIC = "italic ital it oblique obl slant sl inclined"
+STYLE_BOLD = ("bold", "bd", "black", "blk", "heavy", "hv", "semibold", "sb", "demi", "demibold", "medi", "medium", "md", "extrabold", "xbold", "ultra")
+STYLE_ITALIC = ("italic", "ital", "it", "oblique", "obl", "slant", "sl", "inclined")
+BOLD_NAME = "bold|black|heavy|semibold|demi"
+BOLD_TEX_NAME = "^(?:cm|lm)bx"
+ITALIC_NAME = "italic|oblique"
+ITALIC_TEX_NAME = "^(?:cm|lm)(?:ti|sl|mi)"
+NAME_SUFFIX = "(?:PSMT|PS|MT|Std|Pro|LT)$"
 # Name patterns and the family they stand for, first match first; none: the face keeps its own name.
 FAMILIES = (
     (r"helvetica|arial|liberationsans|arimo|nimbussan|texgyreheros|franklingothic", "Arial"),
@@ -34,8 +39,8 @@ def _style_words(name: Column) -> Column:
     return F.transform(F.regexp_extract_all(part, F.lit("[A-Z][a-z]*|[a-z]+"), F.lit(0)), F.lower)
 
 
-def _any_of(words: Column, known: str) -> Column:
-    return F.arrays_overlap(words, F.array(*[F.lit(w) for w in known.split()]))
+def _any_of(words: Column, known: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(words, F.array(*[F.lit(w) for w in known]))
 
 
 def font_style(fontname: Column) -> Column:
@@ -43,9 +48,9 @@ def font_style(fontname: Column) -> Column:
     name = F.regexp_replace(fontname, r"^[^+]*\+", "")
     low = F.replace(F.lower(name), F.lit(" "), F.lit(""))
     words = _style_words(name)
-    bold = _any_of(words, STYLE_BOLD) | low.rlike("bold|black|heavy|semibold|demi") | low.rlike("^(?:cm|lm)bx")
-    italic = _any_of(words, STYLE_ITALIC) | low.rlike("italic|oblique") | low.rlike("^(?:cm|lm)(?:ti|sl|mi)")
-    base = F.regexp_replace(F.regexp_extract(name, "^([^-]*)", 1), "(?:PSMT|PS|MT|Std|Pro|LT)$", "")
+    bold = _any_of(words, STYLE_BOLD) | low.rlike(BOLD_NAME) | low.rlike(BOLD_TEX_NAME)
+    italic = _any_of(words, STYLE_ITALIC) | low.rlike(ITALIC_NAME) | low.rlike(ITALIC_TEX_NAME)
+    base = F.regexp_replace(F.regexp_extract(name, "^([^-]*)", 1), NAME_SUFFIX, "")
     pretty = F.trim(F.regexp_replace(base, "(?<=[a-z])(?=[A-Z])", " "))
     own = F.when(pretty == "", "Arial").otherwise(pretty)
     family = own

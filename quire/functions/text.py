@@ -218,20 +218,20 @@ def without_extension(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]*\z", "")
 
 
-def ascii_slug(folded: Column, fallback: str = "image") -> Column:
-    """``folded`` is the NFKD form of the file name."""
+def ascii_slug(folded: Column, fallback: str = "image", length: int = 60) -> Column:
+    """``folded`` is the NFKD form of the file name; the slug has at most ``length`` characters."""
     slug = F.regexp_replace(without_extension(folded), r"[^A-Za-z0-9_" + SPACE + "-]", "")
     slug = F.regexp_replace(strip(slug), "[" + SPACE + "_]+", "-")
-    slug = F.substring(F.lower(F.regexp_replace(slug, "-+", "-")), 1, 60)
+    slug = F.substring(F.lower(F.regexp_replace(slug, "-+", "-")), 1, length)
     return F.when(slug == "", lit(fallback)).otherwise(slug)
 
 
-def document_slug(name: Column, fallback: str = "document") -> Column:
-    """``name`` is in NFC."""
+def document_slug(name: Column, fallback: str = "document", length: int = 80) -> Column:
+    """``name`` is in NFC; the slug has at most ``length`` characters."""
     slug = F.regexp_replace(without_extension(name), r"[^\p{L}\p{M}\p{N}" + SPACE + "_-]", " ")
     slug = F.regexp_replace(strip(slug), "[" + SPACE + "_]+", "-")
     slug = F.regexp_replace(F.regexp_replace(slug, "-+", "-"), "^-+|-+$", "")
-    slug = F.substring(slug, 1, 80)
+    slug = F.substring(slug, 1, length)
     return F.when(slug == "", lit(fallback)).otherwise(slug)
 
 

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from quire.plans.folds import task_count
 
-# Fixed value: past this many lines on a side, lines are not matched up and nothing is marked.
-DIFF_LINES = 2000
-
 
 def lines_changed(before: DataFrame, after: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines removed and added per document as multisets: one signed count, combined before the shuffle."""
@@ -28,17 +25,32 @@ def _kept(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes: dict[str, int] = {}
     x = np.array([codes.setdefault(line, len(codes)) for line in a])
     y = np.array([codes.setdefault(line, len(codes)) for line in b])
-    table = np.zeros((len(x) + 1, len(y) + 1), dtype=np.uint16)
+    # Every k-th row of the table is kept; the rows between two of them are computed again while walking through.
+    k = max(1, int(np.sqrt(len(x))))
+
+    def above(row: np.ndarray, i: int) -> np.ndarray:
+        reach = np.where(y == x[i], row[1:] + 1, row[:-1])
+        return np.append(np.maximum.accumulate(reach[::-1])[::-1], 0).astype(np.int32)
+
+    row = np.zeros(len(y) + 1, np.int32)
+    kept = {len(x): row}
     for i in range(len(x) - 1, -1, -1):
-        reach = np.where(y == x[i], table[i + 1, 1:] + 1, table[i + 1, :-1])
-        table[i, :-1] = np.maximum.accumulate(reach[::-1])[::-1]
+        row = above(row, i)
+        if i % k == 0:
+            kept[i] = row
     in_a, in_b = np.zeros(len(x), bool), np.zeros(len(y), bool)
+    table: dict[int, np.ndarray] = {}
     i = j = 0
     while i < len(x) and j < len(y):
+        if i + 1 not in table or i not in table:
+            end = min(len(x), (i // k + 1) * k)
+            table = {end: kept[end]}
+            for n in range(end - 1, i // k * k - 1, -1):
+                table[n] = above(table[n + 1], n)
         if x[i] == y[j]:
             in_a[i] = in_b[j] = True
             i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
+        elif table[i + 1][j] >= table[i][j + 1]:
             i += 1
         else:
             j += 1
@@ -58,10 +70,7 @@ def line_diff(before: DataFrame, after: DataFrame, key: str = "doc_id", text: st
         for batch in batches:
             for doc, old, new in zip(batch[key], batch["_a"], batch["_b"]):
                 a, b = old.split("\n"), new.split("\n")
-                if max(len(a), len(b)) > DIFF_LINES:
-                    in_a, in_b = np.ones(len(a), bool), np.ones(len(b), bool)
-                else:
-                    in_a, in_b = _kept(a, b)
+                in_a, in_b = _kept(a, b)
                 for side, lines, kept in (("before", a, in_a), ("after", b, in_b)):
                     yield pd.DataFrame({key: doc, "side": side, "line_no": np.arange(len(lines), dtype=np.int32), "line": lines, "changed": ~kept})
 

@@ -10,27 +10,40 @@ from quire.plans.spatial import band_join
 from quire.session import checkpoint
 
 
-def cluster_boxes(boxes: DataFrame, keys: list[str], ident: str, pad: float = 0.0, max_rounds: int = 1000) -> DataFrame:
+def cluster_boxes(boxes: DataFrame, keys: list[str], ident: str, pad: float = 0.0) -> DataFrame:
     """(keys, cluster, x, y, w, h, boxes): repeated until no two clusters touch within ``pad``.
 
-    In a round every box takes the smallest id among itself and the boxes it touches, and boxes of one
-    id become their common box. The largest id of any touching group always disappears, so each round
-    shrinks the table; it is checkpointed so that a lost executor does not replay earlier rounds.
+    In a round the boxes that touch are linked, whole components of links take their smallest id, and boxes of one id
+    become their common box, which may reach more in the next round. Components are found by star contraction, in
+    rounds that grow with the logarithm of a chain. All rounds are checkpointed; the table shrinks with each.
     """
-    state = boxes.select(*keys, F.col(ident).alias("cluster"), "x", "y", "w", "h", F.lit(1).cast("long").alias("boxes"))
-    state = checkpoint(state)
-    count = state.count()
-    for _ in range(max_rounds):
+    names = F.struct(*keys, "cluster")
+    state = checkpoint(boxes.select(*keys, F.col(ident).alias("cluster"), "x", "y", "w", "h", F.lit(1).cast("long").alias("boxes")))
+    while True:
         span = (F.col("y") - pad, F.col("y") + F.col("h") + pad)
         touching = (F.col("cluster") > F.col("r_cluster")) & box().touches(box("r_"), pad)
         pairs = band_join(state, state.select(*keys, "cluster", "x", "y", "w", "h"), keys, span, (F.col("y"), F.col("y") + F.col("h")), touching)
-        lower = pairs.groupBy(*keys, "cluster").agg(F.min("r_cluster").alias("_to"))
-        moved = state.join(lower, [*keys, "cluster"], "left").withColumn("cluster", F.coalesce("_to", "cluster"))
+        links = checkpoint(pairs.select(names.alias("a"), F.struct(*keys, F.col("r_cluster").alias("cluster")).alias("b")).distinct())
+        if links.isEmpty():
+            return state
+        to = _components(links).select(*[F.col("node")[k].alias(k) for k in (*keys, "cluster")], F.col("root.cluster").alias("_to"))
+        moved = state.join(to, [*keys, "cluster"], "left").withColumn("cluster", F.coalesce("_to", "cluster"))
         b = box()
         merged = moved.groupBy(*keys, "cluster").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(b.right).alias("_r"), F.max(b.bottom).alias("_b"), F.sum("boxes").alias("boxes"))
         state = checkpoint(merged.select(*keys, "cluster", "x", "y", (F.col("_r") - F.col("x")).alias("w"), (F.col("_b") - F.col("y")).alias("h"), "boxes"))
-        now = state.count()
-        if now == count:
-            return state
-        count = now
-    raise RuntimeError(f"clusters still merging after {max_rounds} rounds")
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """(node, root) of links (a, b) with b < a: neighbours move to the smallest neighbour until every link ends at its root."""
+    before = None
+    while True:
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("least"))
+        larger = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
+        least = larger.groupBy("a").agg(F.min("b").alias("least"))
+        moved = larger.join(least, "a").where("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        links = checkpoint(moved.union(least.select("a", F.col("least").alias("b"))).distinct())
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before = now

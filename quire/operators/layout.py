@@ -397,15 +397,30 @@ def cover_share(boxes: DataFrame, lines: DataFrame, keys: list[str] = PAGE, iden
 
 
 def budgeted_top(regions: DataFrame, keys: list[str], doc: list[str], order: list[str], size: str, most: int = 12, budget: int = 8 * 1024 * 1024) -> DataFrame:
-    """The first ``most`` per page, and of those per document all before the budget first overflows."""
-    from quire.plans.segments import with_previous
+    """The first ``most`` per page, in a page's order while the document's budget lasts.
 
+    A picture that would overflow the budget costs nothing and ends its page; later pages use what is left. A document
+    is walked as one group, in batches.
+    """
     top = regions.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
     page = [k for k in keys if k not in doc]
-    bucket = F.floor(F.col(page[0]) / 64) if page else F.lit(0)
-    spent = with_previous(top, doc, [*page, *order], bucket, {"_spent": ("sum", F.col(size))})
-    # Sizes are not negative, so the running total only grows: past the first overflow all are past it.
-    return spent.filter(F.col("_spent") + F.col(size) <= budget).drop("_spent")
+    columns = regions.columns
+
+    def rule(g: Group) -> Group | None:
+        left, closed, kept = budget, None, []
+        pages = list(zip(*(g[k] for k in page))) if page else [()] * len(g[size])
+        for i, cost in enumerate(g[size]):
+            if pages[i] == closed:
+                continue
+            if cost > left:
+                closed = pages[i]
+                continue
+            left -= cost
+            kept.append(i)
+        return {c: g[c][kept] for c in columns} if kept else None
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in regions.schema.fields)
+    return fold_groups(top.select(*columns), doc, [*page, *order], schema, rule)
 
 
 def block_layout(lines: DataFrame, keys: list[str], page_width: Column, ordinal: str = "line_no") -> DataFrame:

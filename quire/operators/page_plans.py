@@ -9,17 +9,16 @@ from quire.functions import text as tx
 from quire.plans.segments import with_previous
 
 # --- fixed values ---
-MAX_PAGES = 2000
-MAX_RANGES = 500
-RANGE = r"^(\d{1,5})[" + tx.SPACE + r"]*(?:[-–][" + tx.SPACE + r"]*(\d{1,5})?)?\z"
+RANGE = r"^(\d{1,9})[" + tx.SPACE + r"]*(?:[-–][" + tx.SPACE + r"]*(\d{1,9})?)?\z"
 TURNS = (0, 90, 180, 270)
 # --------------------
 
 
-def parse_specs(specs: DataFrame, counts: DataFrame, doc: str, spec: str = "spec", pages: str = "pages") -> DataFrame:
+def parse_specs(specs: DataFrame, counts: DataFrame, doc: str, spec: str = "spec", pages: str = "pages", max_ranges: int | None = None) -> DataFrame:
     """One row per part of a page list: (doc, ordinal, part, start, end, problem).
 
-    ``problem`` is null for a good part; a list without parts has one row saying ``empty``.
+    ``problem`` is null for a good part; a list without parts has one row saying ``empty``;
+    with ``max_ranges`` a longer list is refused.
     """
     parts = F.filter(F.transform(F.split(spec, "[,;]"), tx.strip), lambda p: p != "")
     rows = specs.join(counts.select(doc, F.col(pages).alias("_pages")), doc).withColumn("_parts", parts)
@@ -29,7 +28,7 @@ def parse_specs(specs: DataFrame, counts: DataFrame, doc: str, spec: str = "spec
     end = F.when(second != "", second.cast("int")).when(F.col("part").rlike("[-–]"), F.col("_pages")).otherwise(start)
     out = out.withColumn("start", start).withColumn("end", F.when(F.col("start").isNotNull(), end.cast("int")))
     problem = (
-        F.when(F.col("part").isNull(), "empty").when(F.col("_n") > MAX_RANGES, "too many")
+        F.when(F.col("part").isNull(), "empty").when(F.lit(False) if max_ranges is None else F.col("_n") > max_ranges, "too many")
         .when(F.col("start").isNull() | (F.col("start") < 1) | (F.col("end") < 1), "syntax")
         .when(F.col("start") > F.col("end"), "backwards").when(F.col("end") > F.col("_pages"), "outside")
     )
@@ -58,14 +57,14 @@ def select_pages(pages: DataFrame, specs: DataFrame, doc: str, page: str, spec:
     return pages.alias("p").join(ranges.alias("r"), hit, "left_semi")
 
 
-def plan_problems(pages: DataFrame, plan: DataFrame, doc: str, page: str) -> DataFrame:
-    """Plans refused as a whole: a page the document lacks, a turn that is not a quarter, or too many rows."""
+def plan_problems(pages: DataFrame, plan: DataFrame, doc: str, page: str, max_pages: int | None = None) -> DataFrame:
+    """Plans refused as a whole: a page the document lacks, a turn that is not a quarter, or more than ``max_pages`` rows."""
     counts = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("_pages"))
     checked = plan.join(counts, doc, "left").groupBy(doc).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if((F.col(page) < 1) | (F.col(page) > F.coalesce("_pages", F.lit(0)))).alias("outside"),
         F.count_if(~F.col("rotate").isin(*TURNS)).alias("turned"))
-    reason = F.when(F.col("rows") > MAX_PAGES, "too many pages").when(F.col("turned") > 0, "not a quarter turn").when(F.col("outside") > 0, "outside")
+    reason = F.when(F.lit(False) if max_pages is None else F.col("rows") > max_pages, "too many pages").when(F.col("turned") > 0, "not a quarter turn").when(F.col("outside") > 0, "outside")
     return checked.select(doc, reason.alias("problem")).filter("problem IS NOT NULL")
 
 
@@ -87,8 +86,8 @@ def split_pages(pages: DataFrame, doc: str, page: str, ranges: DataFrame | None
     return out.withColumn("label", F.when(F.col("start") == F.col("end"), one).otherwise(many)).withColumn("new_page", (F.col(page) - F.col("start") + 1).cast("int")).drop("start", "end")
 
 
-def merge_documents(pages: DataFrame, order: DataFrame, doc: str, page: str, group: str, max_pages: int = MAX_PAGES) -> DataFrame:
-    """Documents of a group one after another: new page numbers, and whether the result is too long.
+def merge_documents(pages: DataFrame, order: DataFrame, doc: str, page: str, group: str, max_pages: int | None = None) -> DataFrame:
+    """Documents of a group one after another: new page numbers, and whether the result is longer than ``max_pages``.
 
     ``order`` holds (group, doc, position). Offsets come from page counts, one row per document.
     """
@@ -97,7 +96,7 @@ def merge_documents(pages: DataFrame, order: DataFrame, doc: str, page: str, gro
     totals = placed.groupBy(group).agg(F.sum("_size").alias("total"))
     numbered = with_previous(pages, [doc], [page], F.floor(F.col(page) / 4096), {"_earlier": ("sum", F.lit(1))}).withColumn("_n", F.col("_earlier") + 1).drop("_earlier")
     out = numbered.join(placed.select(doc, group, "_offset"), doc).join(totals, group)
-    return out.withColumn("new_page", F.col("_offset") + F.col("_n")).withColumn("too_long", F.col("total") > max_pages).drop("_offset", "_n")
+    return out.withColumn("new_page", F.col("_offset") + F.col("_n")).withColumn("too_long", F.lit(False) if max_pages is None else F.col("total") > max_pages).drop("_offset", "_n")
 
 
 def number_rows(pages: DataFrame, template: str, start: int, doc: str, page: str) -> DataFrame:

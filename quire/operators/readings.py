@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.functions import unicode as un
 from quire.operators.profile import detached_share
-from quire.session import broadcast_if_small, checkpoint
+from quire.session import checkpoint
 
 # --- fixed values -------------------------------------------------------------------------------
 # Fewer letters and digits than this is no text layer.
@@ -35,11 +35,11 @@ def bag_counts(df: DataFrame, keys: list[str], tokens: Column, sign: str) -> Dat
 
 
 def agreement(left: DataFrame, right: DataFrame, key: list[str], text: str = "text", tokenizer: str = "reading") -> DataFrame:
-    """Dice coefficient of the two word bags per key; 1 where neither side has words.
+    """Dice coefficient of the two word bags per key, texts in NFC; 1 where neither side has words.
 
     Both sides are counted in one aggregation over (key, word), combined before the shuffle.
     """
-    tokens = TOKENIZERS[tokenizer](F.col(text))
+    tokens = TOKENIZERS[tokenizer](un.composed(F.col(text)))
     both = bag_counts(left, key, tokens, "left").unionByName(bag_counts(right, key, tokens, "right"))
     per_word = both.groupBy(*key, "word").agg(F.sum("left").alias("l"), F.sum("right").alias("r"))
     sums = per_word.groupBy(*key).agg(F.sum(F.least("l", "r")).alias("shared"), F.sum("l").alias("left_words"), F.sum("r").alias("right_words"))
@@ -74,34 +74,37 @@ def multiset_intersection(left: DataFrame, right: DataFrame, columns: list[str])
 
 
 def similar_passages(docs: DataFrame, items: DataFrame, minimum: float, doc: str = "doc_id", item: str = "item_id", text: str = "text", tokenizer: str = "lower") -> DataFrame:
-    """All (document, item) pairs whose agreement reaches ``minimum``.
+    """All (document, item) pairs whose agreement reaches ``minimum``, texts in NFC.
 
-    A pair that reaches it shares at least ``minimum / (2 - minimum)`` of the item's words, so it shares
-    one of the item's rarest words (its first ``n - needed + 1`` in order of rarity). Only pairs meeting
-    on such a word are scored, and only the items' vocabulary leaves the document scan.
+    A pair that reaches it has lengths within ``minimum / (2 - minimum)`` of each other, and shares at least
+    ``a = minimum / 2 * (n + m)`` words, repeats counted; in one order of all words, rarest first, the first
+    ``n - a + 1`` of one side and ``m - a + 1`` of the other share a word. Every word travels with its place in that
+    order, so that the prefixes, which depend on the pair, are a condition of the join. Nothing is capped.
     """
     if not 0 < minimum <= 1:
         raise ValueError("minimum must be above 0 and at most 1")
-    tokens = TOKENIZERS[tokenizer](F.col(text))
-    item_rows = items.select(item, tokens.alias("ws")).select(item, F.size("ws").alias("item_words"), F.explode("ws").alias("word"))
-    item_words = item_rows.groupBy(item, "item_words", "word").agg(F.count(F.lit(1)).alias("m"))
-    vocabulary = broadcast_if_small(item_words.select("word").distinct())
-    doc_rows = docs.select(doc, tokens.alias("ws")).select(doc, F.size("ws").alias("doc_words"), F.explode_outer("ws").alias("word"))
-    doc_words = doc_rows.join(vocabulary, "word", "left_semi").groupBy(doc, "doc_words", "word").agg(F.count(F.lit(1)).alias("n"))
-    # Read three times below with different columns: written once instead of tokenizing three times.
-    doc_words = checkpoint(doc_words)
-
-    rarity = doc_words.groupBy("word").agg(F.count(F.lit(1)).alias("documents"))
-    # Items are cut at n - needed + 1 words, repeats counted, rarest first; a word never seen is rarest.
-    ranked = item_words.join(rarity, "word", "left").groupBy(item, "item_words").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("documents", F.lit(0)).alias("d"), "word", "m"))).alias("ws"))
-    needed = F.ceil(F.lit(minimum) / (2 - F.lit(minimum)) * F.col("item_words") - 1e-9)
-    running = F.aggregate("ws", F.struct(F.lit(0).cast("long").alias("seen"), F.expr("array()").cast("array<string>").alias("keep")), lambda acc, w: F.struct(
-        (acc["seen"] + w["m"]).alias("seen"),
-        F.when(acc["seen"] < F.col("item_words") - needed + 1, F.concat(acc["keep"], F.array(w["word"]))).otherwise(acc["keep"]).alias("keep")))["keep"]
-    prefix = ranked.select(item, F.explode(running).alias("word"))
-    candidates = doc_words.select(doc, "word").join(broadcast_if_small(prefix), "word").select(doc, item).distinct()
-    scored = candidates.join(doc_words, doc).join(item_words, [item, "word"])
+
+    def bags(df: DataFrame, key: str, words: str, count: str) -> DataFrame:
+        rows = df.select(key, TOKENIZERS[tokenizer](un.composed(F.col(text))).alias("ws")).select(key, F.size("ws").alias(words), F.explode("ws").alias("word"))
+        return rows.groupBy(key, words, "word").agg(F.count(F.lit(1)).alias(count))
+
+    def placed(df: DataFrame, key: str, count: str, place: str) -> DataFrame:
+        """Words with how many of the text's words come before them, rarest first."""
+        order = Window.partitionBy(key).orderBy("documents", "word").rowsBetween(Window.unboundedPreceding, -1)
+        return df.join(rarity, "word").withColumn(place, F.coalesce(F.sum(count).over(order), F.lit(0))).drop("documents")
+
+    # Read several times below with different columns: written once instead of tokenizing again.
+    doc_words, item_words = checkpoint(bags(docs, doc, "doc_words", "n")), checkpoint(bags(items, item, "item_words", "m"))
+    rarity = checkpoint(doc_words.select("word").union(item_words.select("word")).groupBy("word").agg(F.count(F.lit(1)).alias("documents")))
+    left, right = placed(doc_words, doc, "n", "doc_place"), placed(item_words, item, "m", "item_place")
+    # A document's words that no item could make it meet on stay behind: its partners are at least so long.
+    shortest = F.ceil(F.lit(minimum) / 2 * (F.col("doc_words") + F.ceil(F.col("doc_words") * minimum / (2 - F.lit(minimum)) - 1e-9)) - 1e-9)
+    left = left.filter(F.col("doc_place") < F.col("doc_words") - shortest + 1)
+    least, most = F.least("doc_words", "item_words"), F.col("doc_words") + F.col("item_words")
+    needed = F.ceil(F.lit(minimum) / 2 * most - 1e-9)
+    early = (F.col("doc_place") < F.col("doc_words") - needed + 1) & (F.col("item_place") < F.col("item_words") - needed + 1) & (2 * least >= F.lit(minimum) * most - 1e-9)
+    candidates = left.join(right, "word").filter(early).select(doc, item).distinct()
+    scored = checkpoint(candidates).join(doc_words, doc).join(item_words, [item, "word"])
     out = scored.groupBy(doc, item, "doc_words", "item_words").agg(F.sum(F.least("n", "m")).alias("shared"))
     dice = 2 * F.col("shared") / (F.col("doc_words") + F.col("item_words"))
     return out.select(doc, item, "shared", dice.alias("agreement")).filter(F.col("agreement") >= minimum)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,6 @@ from quire.functions import text as tx
 from quire.functions import unicode as un
 from quire.plans.segments import merge_ranges, with_previous
 
-# Fixed value: a phrase search reports at most this many hits per document.
-PHRASE_HITS = 5000
-
 
 def keyword_scores(items: DataFrame, query: str, name: str, rest: list[str]) -> DataFrame:
     """Items with a score: per word of the query name prefix 3, name 2, anywhere else 1; null if a word is missing."""
@@ -87,16 +86,19 @@ def match_positions(text: Column, pattern: str, limit: Column | None = None, few
     return F.when(some, bind(row, use))
 
 
-def phrase_search(pages: DataFrame, query: str, doc: str, page: str | None, text: str = "text", match_case: bool = False, limit: int = PHRASE_HITS) -> DataFrame:
-    """Hits of a phrase: document, page, start, end. At most ``limit`` per document, first pages first."""
-    pattern = tx.phrase_pattern(query, match_case)
+def phrase_search(pages: DataFrame, query: str, doc: str, page: str | None, text: str = "text", match_case: bool = False, limit: int | None = None) -> DataFrame:
+    """All hits of a phrase: document, page, start, end; with a ``limit`` the first so many per document, first pages first.
+
+    Query and text are taken in NFC; positions count the composed text.
+    """
+    pattern = tx.phrase_pattern(unicodedata.normalize("NFC", query), match_case)
     keys = [doc] + ([page] if page else [])
-    rows = pages.select(*keys, text)
+    rows = pages.select(*keys, un.composed(F.col(text)).alias(text))
     if pattern is None:
         return rows.limit(0).select(*keys, F.lit(0).alias("start"), F.lit(0).alias("end"))
     rows = rows.filter(F.col(text).rlike(pattern))
-    room = F.lit(limit)
-    if page:
+    room = None if limit is None else F.lit(limit)
+    if page and limit is not None:
         rows = rows.withColumn("_n", F.least(tx.count(F.col(text), pattern), F.lit(limit)))
         rows = with_previous(rows, [doc], [page], F.floor(F.col(page) / 256), {"_earlier": ("sum", F.col("_n"))})
         rows = rows.withColumn("_room", (F.lit(limit) - F.least(F.col("_earlier"), F.lit(limit))).cast("int")).filter("_room > 0")
@@ -119,8 +121,9 @@ def find_replace(docs: DataFrame, query: str, replacement: str, text: str = "tex
     """Texts with every match replaced, and how many there were. The query and the text are taken in NFC."""
     if not query:
         return docs.withColumn("hits", F.lit(0))
-    pattern = tx.find_pattern(query, match_case, whole_word)
-    return docs.withColumn("hits", tx.count(F.col(text), pattern)).withColumn(text, F.regexp_replace(text, pattern, tx.quote_replacement(replacement)))
+    pattern = tx.find_pattern(unicodedata.normalize("NFC", query), match_case, whole_word)
+    replacement = unicodedata.normalize("NFC", replacement)
+    return docs.withColumn(text, un.composed(F.col(text))).withColumn("hits", tx.count(F.col(text), pattern)).withColumn(text, F.regexp_replace(text, pattern, tx.quote_replacement(replacement)))
 
 
 def metadata_audit(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -16,6 +16,14 @@ from pyspark.sql import DataFrame
 Group = dict[str, np.ndarray]
 
 
+def _differ(values: pd.Series) -> np.ndarray:
+    """Where a value differs from the one before; null equals null."""
+    none, v = values.isna().to_numpy(), values.to_numpy()
+    with np.errstate(invalid="ignore"):
+        unequal = np.asarray(v[1:] != v[:-1], bool)
+    return np.where(none[1:] | none[:-1], none[1:] != none[:-1], unequal)
+
+
 def task_count(df: DataFrame) -> int:
     """Tasks for work in Python: as many as the session shuffles into, not fewer than its cores.
 
@@ -35,8 +43,7 @@ def fold_groups(df: DataFrame, keys: list[str], order: list[str], schema: str, r
         changed = np.zeros(len(part), bool)
         changed[0] = True
         for k in keys:
-            v = values[k]
-            changed[1:] |= v[1:] != v[:-1]
+            changed[1:] |= _differ(part[k])
         starts = np.flatnonzero(changed)
         for lo, hi in zip(starts, np.append(starts[1:], len(part))):
             result = rule({c: v[lo:hi] for c, v in values.items()})
@@ -56,7 +63,8 @@ def fold_groups(df: DataFrame, keys: list[str], order: list[str], schema: str, r
             # The last group may go on in the next batch.
             last = np.ones(len(part), bool)
             for k in keys:
-                last &= (part[k] == part[k].iloc[-1]).to_numpy()
+                end = part[k].iloc[-1]
+                last &= (part[k].isna() if pd.isna(end) else part[k] == end).to_numpy()
             first = len(part) - int(np.argmin(last[::-1])) if not last.all() else 0
             held = part.iloc[first:].reset_index(drop=True)
             if first:

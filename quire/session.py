@@ -6,13 +6,9 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
-# A side is broadcast only after its row count has been checked against this.
-BROADCAST_ROWS = 200_000
-
 
 def build_session(app: str = "quire", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs expect; a cluster's own settings win where given."""
@@ -26,6 +22,7 @@ def build_session(app: str = "quire", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.files.maxPartitionBytes": "134217728",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -43,32 +40,28 @@ def checkpoint_base(spark: SparkSession) -> str | None:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Writes a table once to the checkpoint folder and goes on from there, whatever executors are lost.
 
-    The folder is the one in ``spark.checkpoint.dir``; only where that is absent (tests, a laptop) is one
-    of our own used.
+    The folder is the one in ``spark.checkpoint.dir``; only in local mode, where that is absent, is one of
+    our own used.
     """
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(checkpoint_base(spark) or tempfile.mkdtemp(prefix="spark-quire-", dir=os.environ.get("TMPDIR", "/tmp")))
+        spark.sparkContext.setCheckpointDir(checkpoint_base(spark) or _local_folder(spark, "checkpoints"))
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when at most ``limit`` rows exist; otherwise the join stays a shuffle.
-
-    The probe reads at most ``limit + 1`` rows. Use it on dimension-like inputs (plans, presets,
-    label tables, benchmark items), whose size is not known to be bounded in advance.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _local_folder(spark: SparkSession, name: str) -> str:
+    """A temporary folder, for local mode alone: on a cluster other machines would not see it."""
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix=f"spark-quire-{name}-", dir=os.environ.get("TMPDIR", "/tmp"))
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints: shared storage on a cluster, a temporary one where none is set."""
+    """A new folder beside the checkpoints: shared storage on a cluster, a temporary one in local mode where none is set."""
     import uuid
 
     base = checkpoint_base(spark)
-    if not base:
-        return tempfile.mkdtemp(prefix=f"spark-quire-{name}-", dir=os.environ.get("TMPDIR", "/tmp"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else _local_folder(spark, name) + "/data"
 
 
 _SHIPPED: set[str] = set()

@@ -12,7 +12,6 @@ from quire.operators.assets import with_format
 
 # --- fixed values ---
 TSV_COLUMNS = 12
-MAX_TEXT_BYTES = 5 * 1024 * 1024
 TEXT_EXTENSIONS = r"\.(txt|md|markdown|html?)$"
 SCENE_VERSION = 1
 # --------------------
@@ -72,14 +71,20 @@ def parse_page_json(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return flatten_pages(df, F.from_json(column, PAGES)["pages"], keys)
 
 
-def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Text, Markdown and HTML files up to 5 MB, line ends normalised, HTML as its text; others are refused."""
+def read_text_corpus(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """Text, Markdown and HTML files, line ends normalised, HTML as its text; ``problem`` says why a file is refused.
+
+    Other kinds of files, and with ``max_bytes`` larger ones, come without a text.
+    """
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
     name = F.lower("path")
-    accepted = files.filter(name.rlike(TEXT_EXTENSIONS) & (F.col("size") <= MAX_TEXT_BYTES))
+    problem = F.when(~name.rlike(TEXT_EXTENSIONS), "not a text file")
+    if max_bytes is not None:
+        problem = problem.when(F.col("size") > max_bytes, "too large")
+    files = files.withColumn("problem", problem).withColumn("text", F.when(F.col("problem").isNull(), F.col("text")))
     is_html = name.rlike(r"\.html?$")
-    return accepted.withColumn("text", tx.unix_lines(F.when(is_html, ht.html_text(F.col("text"))).otherwise(F.col("text"))))
+    return files.withColumn("text", tx.unix_lines(F.when(is_html, ht.html_text(F.col("text"))).otherwise(F.col("text"))))
 
 
 def parse_progress(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -107,14 +112,14 @@ def read_checked_json(df: DataFrame, column: str, schema: T.StructType, required
     return good, parsed.filter(~ok).drop("r")
 
 
-def checked_scenes(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """Saved boards: version 1 with a non-empty scene; a broken view is dropped, a title is kept to 200 characters."""
+def checked_scenes(df: DataFrame, column: str, title: int | None = 200) -> tuple[DataFrame, DataFrame]:
+    """Saved boards: version 1 with a non-empty scene; a broken view is dropped, a title is kept to ``title`` characters (none: whole)."""
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     view = F.col("r.view")
     good, bad = read_checked_json(
         df, column, SCENE, (F.col("r.version") == SCENE_VERSION) & (F.length("r.scene") > 0),
         {"view": finite(view["scrollX"]) & finite(view["scrollY"]) & finite(view["zoom"]) & (view["zoom"] > 0), "name": tx.strip(F.col("r.name")) != ""})
-    r = F.col("r").withField("savedAt", F.coalesce("r.savedAt", F.lit(0.0))).withField("name", F.substring("r.name", 1, 200))
+    r = F.col("r").withField("savedAt", F.coalesce("r.savedAt", F.lit(0.0))).withField("name", F.substring("r.name", 1, title) if title else F.col("r.name"))
     return good.withColumn("r", r), bad
 
 

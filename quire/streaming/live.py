@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
@@ -18,8 +19,10 @@ from quire.session import work_folder
 from quire.sources.tables import utc
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = "status string, step string, done int, total int, files long, bytes long, error string, created_at timestamp, ended_at timestamp, summary string, last timestamp"
-JOB_ROW = "job_id long, status string, step string, done int, total int, files long, bytes long, error string, created_at timestamp, ended_at timestamp, event string"
+STATE = (
+    "status string, status_at string, step string, done int, total int, step_at string, files long, bytes long, error string, error_at string, "
+    "created_at timestamp, ended_at timestamp, summary string, timer long")
+JOB_ROW = "job_id long, status string, step string, done int, total int, files long, bytes long, error string, created_at timestamp, ended_at timestamp, summary string, event string"
 
 
 def event_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -60,8 +63,11 @@ def dropped_rows(query: StreamingQuery) -> int:
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
 
 
-def stage_durations(progress: DataFrame, delay: str = "10 minutes", longest: str = "1 hour") -> DataFrame:
-    """Begin and end of each stage as they close: starts joined with ends within ``longest``, open ones once it has passed."""
+def stage_durations(progress: DataFrame, delay: str = "10 minutes", longest: str = "30 days") -> DataFrame:
+    """Begin and end of each stage as they close: starts joined with their ends, open ones once the watermark has passed ``longest``.
+
+    ``longest`` bounds what a stream keeps of a stage that never ends; it has to exceed every real stage.
+    """
     p = progress.filter("type = 'stage'").withWatermark("ts", delay)
     begin = p.filter("status = 'active'").select(F.col("run_id"), F.col("stage"), F.col("ts").alias("started"))
     end = p.filter("status = 'done'").select(F.col("run_id").alias("r"), F.col("stage").alias("s"), F.col("ts").alias("ended"), "detail")
@@ -70,7 +76,13 @@ def stage_durations(progress: DataFrame, delay: str = "10 minutes", longest: str
 
 
 class JobFold(StatefulProcessor):
-    """Folds a job's events into its state; after its end a timer in event time lets the state go."""
+    """Folds a job's events into its state, in whatever order they arrive; after its end a timer in event time lets the state go.
+
+    Every field remembers the place (time and number) of the event it comes from, and only a later one replaces it, so
+    that the state after any batches is that of one table of all events.
+    """
+
+    NAMES = ("status", "status_at", "step", "done", "total", "step_at", "files", "bytes", "error", "error_at", "created_at", "ended_at", "summary", "timer")
 
     def __init__(self, ttl_minutes: int):
         self.ttl_ms = ttl_minutes * 60_000
@@ -80,47 +92,76 @@ class JobFold(StatefulProcessor):
         self.state = handle.getValueState("job", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        s = dict(zip(("status", "step", "done", "total", "files", "bytes", "error", "created_at", "ended_at", "summary", "last"), held)) if held else {
-            "status": None, "step": None, "done": 0, "total": 0, "files": 0, "bytes": 0, "error": None, "created_at": None, "ended_at": None, "summary": None, "last": None}
+        s = self._held() or dict.fromkeys(self.NAMES) | {"done": 0, "total": 0, "files": 0, "bytes": 0, "status_at": "", "step_at": "", "error_at": "", "summary": "{}"}
         for part in rows:
-            for e in part.sort_values(["ts", "seq"]).to_dict("records"):
-                self._apply(s, {k: None if not isinstance(v, (dict, list)) and pd.isna(v) else v for k, v in e.items()})
-        self.state.update(tuple(s.values()))
-        if s["ended_at"] is not None:
-            self.handle.registerTimer(int(pd.Timestamp(s["ended_at"], tz="UTC").timestamp() * 1000) + self.ttl_ms)
+            self._fold(s, part)
+        if s["timer"] is not None:
+            self.handle.deleteTimer(s["timer"])
+            s["timer"] = None
+        if s["status"] in ("completed", "failed") and s["ended_at"] is not None:
+            s["timer"] = int(pd.Timestamp(s["ended_at"], tz="UTC").timestamp() * 1000) + self.ttl_ms
+            self.handle.registerTimer(s["timer"])
+        self.state.update(tuple(s[n] for n in self.NAMES))
         yield self._row(key, s, "state")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.state.get()
-        s = dict(zip(("status", "step", "done", "total", "files", "bytes", "error", "created_at", "ended_at", "summary", "last"), held))
-        self.state.clear()
-        yield self._row(key, s, "expired")
+        s = self._held()
+        if s is not None:
+            self.state.clear()
+            yield self._row(key, s, "expired")
 
     def close(self) -> None:
         pass
 
+    def _held(self) -> dict | None:
+        return dict(zip(self.NAMES, self.state.get())) if self.state.exists() else None
+
     @staticmethod
-    def _apply(s: dict, e: dict) -> None:
-        ts = pd.Timestamp(e["ts"]).to_pydatetime()
-        s["created_at"] = min(s["created_at"], ts) if s["created_at"] else ts
-        if e["status"] in ("queued", "processing"):
-            s.update(status=e["status"], step="queued" if e["status"] == "queued" else "starting", done=0, total=0)
-        elif e["status"] in ("completed", "failed"):
-            s.update(status=e["status"], ended_at=ts, error=e["error"] if e["status"] == "failed" else None)
-            if e["status"] == "completed":
-                s["step"] = "completed"
+    def _fold(s: dict, part: pd.DataFrame) -> None:
+        """Adds a batch: sums once, and per field the last row that speaks of it."""
+        part = part.sort_values(["ts", "seq"], kind="stable")
+        place = part["ts"].map(lambda t: f"{pd.Timestamp(t).value:020d}") + part["seq"].map(lambda n: f"/{int(n):020d}")
+        starts = part["status"].isin(["queued", "processing"])
+
+        def newest(rows: pd.Series, at: str) -> pd.Series | None:
+            if not rows.any():
+                return None
+            i = rows[rows].index[-1]
+            if s[at] > place[i]:
+                return None
+            s[at] = place[i]
+            return part.loc[i]
+
+        if (e := newest(part["status"].notna(), "status_at")) is not None:
+            s["status"] = e["status"]
+        if (e := newest(starts | part["step"].notna(), "step_at")) is not None:
+            if e["status"] in ("queued", "processing"):
+                s.update(step="queued" if e["status"] == "queued" else "starting", done=0, total=0)
             else:
-                s.update(files=0, bytes=0)
-        if e["step"] is not None:
-            s.update(step=e["step"], done=int(e["done"] or 0), total=int(e["total"] or 0))
-        if e["file_size"] is not None and s["status"] != "failed":
-            s.update(files=s["files"] + 1, bytes=s["bytes"] + int(e["file_size"]))
+                s.update(step=e["step"], done=0 if pd.isna(e["done"]) else int(e["done"]), total=0 if pd.isna(e["total"]) else int(e["total"]))
+        if (e := newest(part["status"] == "failed", "error_at")) is not None:
+            s["error"] = None if pd.isna(e["error"]) else e["error"]
+        ends = part.loc[part["status"].isin(["completed", "failed"]), "ts"]
+        if len(ends):
+            s["ended_at"] = max(x for x in (s["ended_at"], pd.Timestamp(ends.max()).to_pydatetime()) if x is not None)
+        s["created_at"] = min(x for x in (s["created_at"], pd.Timestamp(part["ts"].min()).to_pydatetime()) if x is not None)
+        s["files"] += int(part["file_size"].notna().sum())
+        s["bytes"] += int(part["file_size"].fillna(0).sum())
+        facts = json.loads(s["summary"])
+        for i, text in part.loc[part["summary"].notna(), "summary"].items():
+            for name, value in json.loads(text).items():
+                if name not in facts or facts[name][0] <= place[i]:
+                    facts[name] = [place[i], value]
+        s["summary"] = json.dumps(facts)
 
     @staticmethod
     def _row(key, s: dict, event: str) -> pd.DataFrame:
-        names = ("status", "step", "done", "total", "files", "bytes", "error", "created_at", "ended_at")
-        return pd.DataFrame({"job_id": [key[0]], **{n: [s[n]] for n in names}, "event": [event]})
+        failed, ended = s["status"] == "failed", s["status"] in ("completed", "failed")
+        facts = {name: value for name, (_, value) in sorted(json.loads(s["summary"]).items())}
+        return pd.DataFrame({
+            "job_id": [key[0]], "status": [s["status"]], "step": ["completed" if s["status"] == "completed" else s["step"]], "done": [s["done"]], "total": [s["total"]],
+            "files": [0 if failed else s["files"]], "bytes": [0 if failed else s["bytes"]], "error": [s["error"] if failed else None], "created_at": [s["created_at"]],
+            "ended_at": [s["ended_at"] if ended else None], "summary": [json.dumps(facts) if facts else None], "event": [event]})
 
 
 def job_states(events: DataFrame, ttl_minutes: int = jobs.TTL_MINUTES, delay: str = "10 minutes") -> DataFrame:
@@ -129,8 +170,9 @@ def job_states(events: DataFrame, ttl_minutes: int = jobs.TTL_MINUTES, delay: st
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # The processor is also loaded where shipped files are not looked for, so it travels by value.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    flat = events.select("job_id", "ts", "seq", "status", "step", "done", "total", F.col("file.size").alias("file_size"), "error").withWatermark("ts", delay)
-    return flat.groupBy("job_id").transformWithStateInPandas(statefulProcessor=JobFold(ttl_minutes), outputStructType=JOB_ROW, outputMode="Update", timeMode="EventTime")
+    flat = events.select("job_id", "ts", "seq", "status", "step", "done", "total", F.col("file.size").alias("file_size"), "error", F.to_json("summary").alias("summary")).withWatermark("ts", delay)
+    rows = flat.groupBy("job_id").transformWithStateInPandas(statefulProcessor=JobFold(ttl_minutes), outputStructType=JOB_ROW, outputMode="Update", timeMode="EventTime")
+    return rows.withColumn("summary", F.from_json("summary", "map<string,string>"))
 
 
 def clean_stream(docs: DataFrame, folder: str, rules=None) -> StreamingQuery:
