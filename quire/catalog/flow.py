@@ -53,7 +53,7 @@ def repair_lines(spark, d):
     lines = derive.page_lines(spark, d).select(*PAGE, "line_no", F.when(l % 7 == 3, F.concat(F.lit("ा "), "text")).otherwise(F.col("text")).alias("text"), F.col("x").alias("x0"), F.col("y").alias("top"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("bottom"))
     half = (F.col("x1") - F.col("x0")) / 2
     readings = derive.page_lines(spark, d).filter("line_no % 14 = 3").select(*PAGE, F.explode(F.array(F.lit(0), F.lit(1))).alias("n"), "text", F.col("x").alias("x0"), F.col("y").alias("top"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("bottom"))
-    readings = readings.select(*PAGE, F.concat(F.lit("नेपाल "), F.col("n").cast("string"), F.lit(" "), F.substring("text", 1, 10)).alias("text"), (F.col("x0") + F.col("n") * half).alias("x0"), "top", (F.col("x0") + (F.col("n") + 1) * half).alias("x1"), "bottom")
+    readings = readings.select(*PAGE, F.concat(F.lit("नेपाल "), F.col("n").cast("string"), F.lit(" "), "text").alias("text"), (F.col("x0") + F.col("n") * half).alias("x0"), "top", (F.col("x0") + (F.col("n") + 1) * half).alias("x1"), "bottom")
     return flow.repair_lines(lines, readings).select(*PAGE, "line_no", "text", "repaired")
 
 
@@ -162,7 +162,7 @@ SELECT s.*, fill FROM s LEFT JOIN f USING (doc_id, page_no, cell_no)""",
     "claim_words": f"""WITH {_PDF}{_REGIONS[len(LINES_SQL):]}, ow AS (SELECT *, CASE label WHEN 'table' THEN 0 WHEN 'text' THEN 1 ELSE 2 END AS pr, CASE label WHEN 'table' THEN 2 WHEN 'text' THEN 1 ELSE 4 END AS pad FROM rg),
 m AS (SELECT pd.doc_id, pd.page_no, word_no, region_no, row_number() OVER (PARTITION BY pd.doc_id, pd.page_no, word_no ORDER BY pr, region_no) AS k FROM pd JOIN ow ON pd.doc_id = ow.doc_id AND pd.page_no = ow.page_no AND x0 >= x - pad AND top >= y - pad AND x1 <= x + ow.w + pad AND bottom <= y + ow.h + pad)
 SELECT pd.doc_id, pd.page_no, pd.word_no, m.region_no AS owner FROM pd LEFT JOIN m ON m.doc_id = pd.doc_id AND m.page_no = pd.page_no AND m.word_no = pd.word_no AND k = 1""",
-    "repair_lines": f"WITH {LINES_SQL} SELECT doc_id, page_no, line_no, CASE WHEN line_no % 14 = 3 THEN 'नेपाल 0 ' || left(text, 10) || ' नेपाल 1 ' || left(text, 10) WHEN line_no % 7 = 3 THEN 'ा ' || text ELSE text END AS text, line_no % 14 = 3 AS repaired FROM pl",
+    "repair_lines": f"WITH {LINES_SQL} SELECT doc_id, page_no, line_no, CASE WHEN line_no % 14 = 3 THEN 'नेपाल 0 ' || text || ' नेपाल 1 ' || text WHEN line_no % 7 = 3 THEN 'ा ' || text ELSE text END AS text, line_no % 14 = 3 AS repaired FROM pl",
     "underlined_words": f"WITH {_UNDER} SELECT doc_id, page_no, word_no, EXISTS (SELECT 1 FROM up JOIN uo USING (doc_id, page_no, ordinal) WHERE up.doc_id = pd.doc_id AND up.page_no = pd.page_no AND up.word_no = pd.word_no) AS underline FROM pd",
     "remaining_rules": f"WITH {_UNDER} SELECT doc_id, page_no, ordinal, thick FROM ur WHERE NOT EXISTS (SELECT 1 FROM uo WHERE uo.doc_id = ur.doc_id AND uo.page_no = ur.page_no AND uo.ordinal = ur.ordinal)",
     "bullets": f"""WITH {_PDF}, sh AS (SELECT doc_id, page_no, line_no AS shape_no, x - 12 AS sx, y + h / 2 AS mid FROM pl WHERE line_no % 4 = 1)

@@ -80,8 +80,8 @@ def list_items(spark, d):
 
 
 def _cells(spark, d):
-    """The first four words of each line as cells of its block, 100 apart."""
-    words = derive.page_words(spark, d).filter("word_no < 4")
+    """The words of each line as cells of its block, 100 apart."""
+    words = derive.page_words(spark, d)
     return words.select(*PAGE, "block", (F.col("line") * 10 + F.col("word_no")).alias("line_no"), (100.0 * F.col("word_no") + F.col("line") % 3 * 4).alias("x"), (20.0 * F.col("line")).alias("y"), "w", F.lit(12.0).alias("h"), "text")
 
 
@@ -162,8 +162,8 @@ def budgeted_pictures(spark, d):
 
 
 def cluster_boxes(spark, d):
-    boxes = derive.page_words(spark, d).filter("conf < 0.3").withColumn("id", F.col("line") * 10000 + F.col("word_no"))
-    return clusters.cluster_boxes(boxes, PAGE, "id", 10.0)
+    boxes = derive.page_words(spark, d).withColumn("id", F.col("line") * 10000 + F.col("word_no"))
+    return clusters.cluster_boxes(boxes, PAGE, "id", 3.0)
 
 
 def document_text(spark, d):
@@ -204,7 +204,7 @@ asg AS (SELECT pl.doc_id, pl.page_no, pl.line_no, pl.text, bs.region_no, bs.kind
 _UM = "list_sort({0})[len({0}) // 2 + 1]"
 _BLOCKS = LINES_SQL + """, b0 AS (SELECT doc_id, page_no, block AS block_no, min(x) AS x, min(y) AS y, max(x + w) AS r, max(y + h) AS b, count(*) AS n, list(h) AS heights FROM pl GROUP BY ALL),
 bk AS (SELECT doc_id, page_no, block_no, CASE WHEN (doc_id + block_no) % 5 = 0 THEN 'title' WHEN block_no % 3 = 2 THEN 'list' ELSE 'paragraph' END AS kind, x, y, r - x AS w, b - y AS h, CASE WHEN block_no % 2 = 0 THEN 2 ELSE n END AS lines, heights FROM b0)"""
-_CELLS = WORDS_SQL + """, ce AS (SELECT doc_id, page_no, block, line, word_no AS c, (100 * word_no + line % 3 * 4)::DOUBLE AS x, (20 * line)::DOUBLE AS y, w, 12.0::DOUBLE AS h, text FROM pw WHERE word_no < 4),
+_CELLS = WORDS_SQL + """, ce AS (SELECT doc_id, page_no, block, line, word_no AS c, (100 * word_no + line % 3 * 4)::DOUBLE AS x, (20 * line)::DOUBLE AS y, w, 12.0::DOUBLE AS h, text FROM pw),
 m1 AS (SELECT *, max(x + w) OVER (PARTITION BY doc_id, page_no, block ORDER BY x, line, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ce),
 m2 AS (SELECT *, sum(CASE WHEN reach IS NULL OR x > reach + 6 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no, block ORDER BY x, line, c ROWS UNBOUNDED PRECEDING) AS col FROM m1),
 sp AS (SELECT doc_id, page_no, block, col, min(x) AS s, max(x + w) AS e FROM m2 GROUP BY ALL),
@@ -228,9 +228,9 @@ ORACLE = {
     "bounds": f"WITH {WORDS_SQL} SELECT doc_id, page_no, block, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, count(*) AS boxes FROM pw GROUP BY ALL",
     "uncertain_words": f"WITH {WORDS_SQL}, l AS (SELECT *, word_no - row_number() OVER (PARTITION BY doc_id, page_no, line ORDER BY word_no) AS g FROM pw WHERE conf < 0.8) SELECT doc_id, page_no, line, min(word_no) AS first, max(word_no) AS last, string_agg(text, ' ' ORDER BY word_no) AS text FROM l GROUP BY doc_id, page_no, line, g",
     "clipped": f"WITH {WORDS_SQL} SELECT doc_id, page_no, count(*) FILTER (x < -1 OR x + w > 381 OR y < -1 OR y + h > 1091) AS clipped, count(*) AS boxes FROM pw GROUP BY ALL",
-    "overlap_pairs": f"""WITH {WORDS_SQL}, b AS (SELECT *, line * 10000 + word_no AS id, floor(x / 20) AS cx, floor(y / 20) AS cy FROM pw)
-SELECT a.doc_id, a.page_no, a.id AS first, b.id AS second, {_overlap('a', 'b')} AS overlap FROM b a JOIN b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.id < b.id AND abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1
-WHERE abs(a.y - b.y) >= 0.5 * least(a.h, b.h) AND {_overlap('a', 'b')} > 0.3 * least(a.w * a.h, b.w * b.h)""",
+    "overlap_pairs": f"""WITH {WORDS_SQL}, b AS (SELECT *, line * 10000 + word_no AS id, floor(x / 20) AS cx, floor(y / 20) AS cy FROM pw), n AS (SELECT * EXCLUDE (cx, cy), cx + dx AS cx, cy + dy AS cy FROM b, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy))
+SELECT a.doc_id, a.page_no, a.id AS first, b.id AS second, {_overlap('a', 'b')} AS overlap FROM n a JOIN b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.cx = b.cx AND a.cy = b.cy
+WHERE a.id < b.id AND abs(a.y - b.y) >= 0.5 * least(a.h, b.h) AND {_overlap('a', 'b')} > 0.3 * least(a.w * a.h, b.w * b.h)""",
     "usable_regions": f"WITH {_USABLE} SELECT doc_id, page_no, region_no, kind, priority, score FROM up",
     "suppress_regions": f"WITH {_KEPT} SELECT doc_id, page_no, region_no, kind FROM kp",
     "assign_regions": f"WITH {_ASSIGNED} SELECT doc_id, page_no, line_no, region_no, region_kind FROM asg",

@@ -43,15 +43,17 @@ def reconciled_readings(spark, d):
 def reading_summary(spark, d):
     layer = derive.page_layer(spark, d)
     out = readings.reconcile_readings(layer, derive.second_readings(spark, d), ["doc_id"])
-    return readings.reading_summary(out.join(documents(spark, d, "doc_id", "source"), "doc_id"), ["source"])
+    return readings.reading_summary(out.join(layer.select("doc_id", "source"), "doc_id"), ["source"])
 
 
 QUERIES = {f.__name__: f for f in (agreement, agreement_turns, similar_passages, shared_words, page_routes, reconciled_readings, reading_summary)}
 
 _READING = r"list_filter(string_split_regex({t}, '[\s\x0B\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}।॥.,;:!?()\"''\x{{2013}}\x{{2014}}-]+'), lambda w: regexp_matches(w, '\p{{L}}'))".replace('\\"', '"')
 _LOWER = r"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_\x{{900}}-\x{{97F}}]+')"
-_SECOND = "SELECT doc_id, CASE WHEN doc_id % 13 = 5 THEN regexp_replace(text, '[aeiou]', 'x', 'g') ELSE replace(text, 'the', 'tbe') END AS ocr_text, (doc_id % 50 + 50) / 100 AS confidence FROM documents WHERE doc_id % 17 <> 4"
-_LAYER = r"""SELECT doc_id, source, regexp_replace(regexp_replace(CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 11 = 1 THEN left(text, 12) WHEN doc_id % 5 = 2 THEN 'पृष्ठ' || chr(10) || text ELSE text END, '^\s+', ''), '\s+$', '') AS text, doc_id % 3 AS images, doc_id % 7 = 3 AS legacy FROM documents"""
+_SECOND = "SELECT doc_id, CASE WHEN doc_id % 13 = 5 THEN regexp_replace(text, '[aeiou]', 'x', 'g') ELSE replace(text, 'the', 'tbe') END AS ocr_text, (doc_id % 50 + 50) / 100 AS confidence FROM documents"
+_LAYER = r"""SELECT doc_id, source, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS text, abs(doc_id) % 3 AS images, legacy FROM (
+  SELECT doc_id, source, CASE WHEN doc_id % 5 = 2 THEN 'पृष्ठ' || chr(10) || text ELSE text END AS text, doc_id % 7 = 3 AS legacy FROM documents
+  UNION ALL SELECT -doc_id - 1, source, CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'p ' || doc_id END, false FROM documents WHERE doc_id % 11 < 2)"""
 _ROUTE = r"""CASE WHEN len(regexp_extract_all(text, '[\p{L}\p{N}]')) < 20 THEN CASE WHEN images > 0 OR text = '' THEN 'scan' END WHEN legacy THEN 'legacy-font' WHEN regexp_matches(text, '[\x{900}-\x{97F}]') THEN 'check' END"""
 
 

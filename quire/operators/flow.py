@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.functions.geometry import Box, edges
 from quire.operators.layout import PAGE, _key_schema
+from quire.session import checkpoint
 from quire.plans.folds import Group, fold_groups
 from quire.plans.spatial import band_join
 
@@ -220,6 +221,7 @@ def claim_words(words: DataFrame, owners: DataFrame, keys: list[str] = PAGE, wor
     Tables claim first, then boxes, then drawings, each in its order: the least (priority, ordinal) of all
     owners holding the word. ``owners`` holds owner, priority, ordinal, pad and its edges.
     """
+    words = checkpoint(words)  # read by the join and again beside its result
     mine, theirs = edges(), edges("r_")
     pairs = band_join(words.select(*keys, word, "x0", "top", "x1", "bottom"), owners, keys, (F.col("top"), F.col("bottom")), (F.col("top") - F.col("pad"), F.col("bottom") + F.col("pad")),
                       mine.within(theirs, F.col("r_pad")))
@@ -247,10 +249,12 @@ def mark_underlines(words: DataFrame, rules: DataFrame, keys: list[str] = PAGE,
 
     A thin horizontal rule hugging the bottom of words underlines them if it is hardly longer than they are.
     """
+    words, rules = checkpoint(words), checkpoint(rules)  # each read twice
     thin = rules.filter((F.col("dir") == "h") & (F.col("thick") <= 1.6))
     drop = F.col("r_pos") - F.col("bottom") + 0.2 * F.col("size")
     fits = (F.col("x0") >= F.col("r_a") - 2) & (F.col("x1") <= F.col("r_b") + 2) & (drop >= 0) & (drop <= 0.35 * F.col("size"))
     pairs = band_join(words.select(*keys, word, "x0", "x1", "bottom", "size"), thin, keys, (F.col("bottom") - F.col("size"), F.col("bottom") + F.col("size")), (F.col("pos"), F.col("pos")), fits)
+    pairs = checkpoint(pairs.select(*keys, word, "x0", "x1", "r_ordinal", "r_a", "r_b"))
     length = F.max(F.col("r_b") - F.col("r_a"))
     real = pairs.groupBy(*keys, "r_ordinal").agg(length.alias("_len"), F.sum(F.col("x1") - F.col("x0")).alias("_sum"), F.count(F.lit(1)).alias("_n")).filter(F.col("_len") <= F.col("_sum") + 6 * F.col("_n") + 4)
     under = pairs.join(real.select(*keys, "r_ordinal"), [*keys, "r_ordinal"], "left_semi").select(*keys, word).distinct().withColumn("underline", F.lit(True))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.functions.geometry import Box, box
 from quire.operators.searching import match_positions
+from quire.session import checkpoint
 from quire.plans.folds import Group, fold_groups
 from quire.plans.spatial import band_join
 
@@ -350,20 +351,21 @@ def clipped(words: DataFrame, width: Column, height: Column, by: list[str], slac
 def overlap_pairs(boxes: DataFrame, keys: list[str], ident: str, cell: float = 20.0, share: float = 0.3) -> DataFrame:
     """Pairs of boxes of different lines that overlap by over 30 % of the smaller, each pair once.
 
-    Boxes are hashed to cells by their top left corner and meet only boxes of the 3 x 3 cells around:
-    an equi join on (page, cell), not a product.
+    Boxes are hashed to cells by their top left corner and meet only boxes of their own and the neighbouring cells:
+    an equi join on (page, cell), not a product. Each pair of cells meets once, from the left or upper one. The boxes
+    are written first, as both sides read them.
     """
-    cells = boxes.select(*keys, ident, "x", "y", "w", "h", F.floor(F.col("x") / cell).alias("_cx"), F.floor(F.col("y") / cell).alias("_cy"))
-    near = F.explode(F.array(*[F.struct((F.col("_cx") + dx).alias("cx"), (F.col("_cy") + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
-    around = cells.withColumn("n", near).withColumn("_cx", F.col("n.cx")).withColumn("_cy", F.col("n.cy")).drop("n")
+    cells = checkpoint(boxes.select(*keys, ident, "x", "y", "w", "h", F.floor(F.col("x") / cell).alias("_cx"), F.floor(F.col("y") / cell).alias("_cy")))
+    near = F.explode(F.array(*[F.struct((F.col("_cx") + dx).alias("cx"), (F.col("_cy") + dy).alias("cy"), F.lit((dx, dy) == (0, 0)).alias("own")) for dx, dy in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))]))
+    around = cells.withColumn("n", near).withColumn("_cx", F.col("n.cx")).withColumn("_cy", F.col("n.cy")).withColumn("_own", F.col("n.own")).drop("n")
     other = cells.select(*[F.col(c).alias(f"r_{c}") for c in cells.columns])
     on = (F.col("_cx") == F.col("r__cx")) & (F.col("_cy") == F.col("r__cy"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"r_{k}"))
     a, b = box(), box("r_")
     smaller = F.least(a.area, b.area)
-    on = on & (F.col(ident) < F.col(f"r_{ident}")) & (F.abs(a.y - b.y) >= 0.5 * F.least(a.h, b.h)) & (smaller > 0) & (a.overlap(b) > share * smaller)
-    return around.join(other, on).select(*keys, F.col(ident).alias("first"), F.col(f"r_{ident}").alias("second"), a.overlap(b).alias("overlap"))
+    on = on & (~F.col("_own") | (F.col(ident) < F.col(f"r_{ident}"))) & (F.abs(a.y - b.y) >= 0.5 * F.least(a.h, b.h)) & (smaller > 0) & (a.overlap(b) > share * smaller)
+    return around.join(other, on).select(*keys, F.least(ident, f"r_{ident}").alias("first"), F.greatest(ident, f"r_{ident}").alias("second"), a.overlap(b).alias("overlap"))
 
 
 def runs_in_blocks(runs: DataFrame, blocks: DataFrame, keys: list[str] = PAGE) -> DataFrame:

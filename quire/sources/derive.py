@@ -29,18 +29,20 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages with a text layer: some nearly empty, some in a legacy font, some part Devanagari."""
+    """Documents as pages with a text layer, some in a legacy font, some part Devanagari; beside them empty and short pages."""
     n = F.col("doc_id")
-    text = F.when(n % 11 == 0, F.lit("")).when(n % 11 == 1, F.substring("text", 1, 12)).when(n % 5 == 2, F.concat(F.lit("पृष्ठ\n"), "text")).otherwise(F.col("text"))
+    text = F.when(n % 5 == 2, F.concat(F.lit("पृष्ठ\n"), "text")).otherwise(F.col("text"))
     fonts = F.when(n % 7 == 3, F.array(F.lit("Helvetica"), F.lit("ABCDEF+Preeti"))).otherwise(F.array(F.lit("Helvetica")))
-    return documents(spark, sf_dir, "doc_id", "source", "text").select("doc_id", "source", text.alias("text"), (n % 3).cast("int").alias("images"), fonts.alias("fonts"))
+    docs = documents(spark, sf_dir, "doc_id", "source", "text")
+    more = docs.filter(n % 11 < 2).select((-n - 1).alias("doc_id"), "source", F.when(n % 11 == 0, "").otherwise(F.concat(F.lit("p "), n.cast("string"))).alias("text"))
+    return docs.select("doc_id", "source", text.alias("text")).unionByName(more).select("doc_id", "source", "text", (F.abs(n) % 3).cast("int").alias("images"), fonts.alias("fonts"))
 
 
 def second_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second reading of those pages: missing for some, far off for some, slightly off for the rest."""
+    """A second reading of the documents' pages: far off for some, slightly off for the rest; none of the added ones."""
     n = F.col("doc_id")
     text = F.when(n % 13 == 5, F.regexp_replace("text", "[aeiou]", "x")).otherwise(F.regexp_replace("text", "the", "tbe"))
-    docs = documents(spark, sf_dir, "doc_id", "text").filter(n % 17 != 4)
+    docs = documents(spark, sf_dir, "doc_id", "text")
     return docs.select("doc_id", text.alias("ocr_text"), ((n % 50 + 50) / 100).alias("confidence"))
 
 
