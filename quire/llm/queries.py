@@ -40,8 +40,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_OP2 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT doc_id, h, length(h) // 2 AS n, unnest(range(length(h) // 2)) AS i FROM d),
-k AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN i + 200 <= n THEN md5_number(substr(h, 2 * i + 1, 400)) END AS win FROM p),
+o AS (SELECT doc_id, length(h) // 2 AS n, unnest(range((length(h) // 2 + 499) // 500)) AS c, h FROM d),
+q AS (SELECT doc_id, n, c, substr(h, 1000 * c + 1, 1398) AS h FROM o),
+p AS (SELECT doc_id, n, c, h, unnest(range(least(500, n - 500 * c))) AS j FROM q),
+k AS (SELECT doc_id, 500 * c + j AS i, substr(h, 2 * j + 1, 2) AS b, CASE WHEN 500 * c + j + 200 <= n THEN md5_number(substr(h, 2 * j + 1, 400)) END AS win FROM p),
 f AS (SELECT doc_id, i, b, CASE WHEN win IS NULL THEN 0 WHEN count(*) OVER (PARTITION BY win) > 1 THEN 1 ELSE 0 END AS again FROM k),
 c AS (SELECT doc_id, i, b, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM f),
 e AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS begins FROM c),
