@@ -56,8 +56,17 @@ def asset_audit(spark, d):
     return composed.asset_audit(m, results, asset_queries.LIMITS)
 
 
+def profile_corpus(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "lang", "source", "text")
+    return composed.profile_corpus(docs, table(spark, d, "labels", "doc_id", "quality"), ["lang", "source"])
+
+
+def search_corpus(spark, d):
+    return composed.search_corpus(table(spark, d, "documents", "doc_id", "text"), "the th", "the he en", "[$1]")
+
+
 def numeric_profile(spark, d):
-    return composed.numeric_profile(events(spark, d, "event_type", "value"), ["event_type"], "value", 0, 100)
+    return composed.numeric_profile(events(spark, d, "event_type", "value"), ["event_type"], "value", 0, 100, k=2.0, minimum=10.0)
 
 
 def page_scorecard(spark, d):
@@ -85,18 +94,27 @@ def list_markers(spark, d):
     return p.select("p_partkey", style.alias("style"), marker.alias("marker"), tx.list_style(marker, F.lit(True)).alias("detected"), tx.list_start(marker).alias("start"))
 
 
-QUERIES = {f.__name__: f for f in (reconstructed_pages, nested_pages, pdf_page_flow, scan_page_flow, detection_review, asset_audit, numeric_profile, page_scorecard, turned_boxes, list_markers)}
+QUERIES = {f.__name__: f for f in (reconstructed_pages, nested_pages, pdf_page_flow, scan_page_flow, detection_review, asset_audit, profile_corpus, search_corpus, numeric_profile, page_scorecard, turned_boxes, list_markers)}
 
 from quire.catalog.assets import _FILES  # noqa: E402
 from quire.catalog.flow import _FRAMES  # noqa: E402
-from quire.catalog.numeric import _otsu, _tonal  # noqa: E402
+from quire.catalog.numeric import ORACLE as _NUMERIC, _otsu, _tonal  # noqa: E402
+from quire.catalog.searching import ORACLE as _SEARCH  # noqa: E402
+from quire.catalog.text_profile import ORACLE as _TEXT  # noqa: E402
 
 ORACLE = {
     "asset_audit": f"""WITH {_FILES}, j AS (SELECT *, size = 0 OR size > 10485760 OR lower(ext) NOT IN ('.jpg', '.jpeg', '.png', '.webp') OR claimed = 'text/html' OR coalesce(format, '') NOT IN ('jpeg', 'png', 'webp') OR width * height > 40000000 AS bad, trunc(size * (40 + colours % 70) / 100)::BIGINT AS small FROM fi),
 g AS (SELECT request_id, count(*) AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (NOT bad) AS accepted, count(*) FILTER (bad) AS refused, sum(size) FILTER (page_id % 6 <> 5) AS o, sum(least(size, small)) FILTER (page_id % 6 <> 5) AS s FROM j GROUP BY ALL)
 SELECT request_id, files, bytes, CASE WHEN files > 18 THEN 'TOO_MANY_FILES' WHEN bytes > 31457280 THEN 'FILE_TOO_LARGE' END AS reason, accepted, refused, (o - s)::BIGINT AS saved, floor((o - s) / greatest(1, o) * 100 + 0.5)::BIGINT AS percent FROM g""",
-    "numeric_profile": f"""SELECT event_type, n, upper_median, threshold, lo, hi, low_contrast, few FROM (SELECT event_type, count(*) AS n, list_sort(list(value))[(count(*) // 2 + 1)::INT] AS upper_median, count(DISTINCT value) <= 400 AS few FROM events GROUP BY event_type)
-JOIN (SELECT event_type, threshold FROM ({_otsu('events', 'event_type', 'value', 100)})) USING (event_type) JOIN (SELECT event_type, lo, hi, hi - lo < 110 AS low_contrast FROM (WITH {_tonal('events', 'event_type', 'value', 100)} SELECT * FROM tones)) USING (event_type)""",
+    "numeric_profile": f"""SELECT event_type, n, upper_median, threshold, lo, hi, low_contrast, few, coalesce(outliers, 0)::BIGINT AS outliers FROM (SELECT event_type, count(*) AS n, list_sort(list(value))[(count(*) // 2 + 1)::INT] AS upper_median, count(DISTINCT value) <= 400 AS few FROM events GROUP BY event_type)
+JOIN (SELECT event_type, threshold FROM ({_otsu('events', 'event_type', 'value', 100)})) USING (event_type) JOIN (SELECT event_type, lo, hi, hi - lo < 110 AS low_contrast FROM (WITH {_tonal('events', 'event_type', 'value', 100)} SELECT * FROM tones)) USING (event_type)
+LEFT JOIN (SELECT event_type, count(*) AS outliers FROM ({_NUMERIC["mad_outliers"]}) GROUP BY event_type) USING (event_type)""",
+    "profile_corpus": f"""SELECT * FROM ({_TEXT["text_profile"].replace("ROLLUP (lang, source)", "lang, source")}) JOIN ({_TEXT["script_language"]}) USING (lang, source)
+JOIN ({_TEXT["label_share"].replace("SELECT d.lang, l.quality", "SELECT d.lang, d.source, l.quality").replace("SELECT lang, count", "SELECT lang, source, count").replace("GROUP BY lang", "GROUP BY lang, source")}) USING (lang, source)""",
+    "search_corpus": f"""WITH h AS (SELECT doc_id, count(*) AS hits, min(start) AS first_hit FROM ({_SEARCH["phrase_search"]}) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS highlights, sum("end" - start)::BIGINT AS highlighted FROM ({_SEARCH["merge_ranges"]}) GROUP BY doc_id),
+r AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)the th'))::BIGINT AS replaced, length(regexp_replace(text, '(?i)the th', '[$1]', 'g')) AS new_length FROM documents WHERE regexp_matches(text, '(?i)the th'))
+SELECT doc_id, coalesce(hits, 0)::BIGINT AS hits, first_hit, coalesce(highlights, 0)::BIGINT AS highlights, coalesce(highlighted, 0)::BIGINT AS highlighted, coalesce(replaced, 0)::BIGINT AS replaced, new_length::INT AS new_length FROM h FULL JOIN m USING (doc_id) FULL JOIN r USING (doc_id)""",
     "page_scorecard": f"""WITH {WORDS_SQL}{_REGIONS[len(LINES_SQL):]}, {_FRAMES[len(LINES_SQL) + 2:].replace('bl AS (SELECT DISTINCT doc_id, page_no, block FROM pl), ', '')},
 ta AS (SELECT doc_id, page_no, unnest({_LOWER.format(t='text')}) AS t FROM pw), tc AS (SELECT doc_id, page_no, unnest({_LOWER.format(t='text')}) AS t FROM pw WHERE conf >= 0.1),
 na AS (SELECT doc_id, page_no, t, count(*) AS n FROM ta GROUP BY ALL), nb AS (SELECT doc_id, page_no, t, count(*) AS n FROM tc GROUP BY ALL),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.functions.geometry import box
-from quire.operators import assets, detections, flow, layout, numeric, profile, readings
+from quire.operators import assets, detections, flow, layout, numeric, profile, readings, searching
 from quire.operators.layout import PAGE
 from quire.plans import ranks
 from quire.session import checkpoint
@@ -98,12 +98,35 @@ def asset_audit(manifest: DataFrame, results: DataFrame, limits: assets.Limits =
     return assets.gate_requests(manifest, limits).join(files, "request_id").join(saved, "request_id", "left")
 
 
-def numeric_profile(df: DataFrame, by: list[str], value: str, low: float, high: float, cap: int = 400) -> DataFrame:
-    """One row per group: count, middle value, two-class threshold, tonal range, few or many values."""
+def profile_corpus(docs: DataFrame, labels: DataFrame, by: list[str], text: str = "text", ident: str = "doc_id", words: int = 50) -> DataFrame:
+    """One row per group: text measures and reading time, script letters and language, and the share of good documents.
+
+    Only labelled documents of at least ``words`` words count for the share. The measures are taken once per document.
+    """
+    measured = profile.text_profile(docs, by, text, rollup=False)
+    letters = profile.detect_language(docs, by, text)
+    marked = docs.select(ident, *by, tx.words(F.col(text)).alias("_words")).join(labels.select(ident, "quality"), ident, "left")
+    share = profile.share_where(marked, by, F.col("quality") == 1, F.col("quality").isNotNull() & (F.col("_words") >= words))
+    return measured.join(letters, by).join(share, by)
+
+
+def search_corpus(docs: DataFrame, phrase: str, words: str, replacement: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document with any of them: hits of a phrase, merged highlights of words and their length, replacements of the phrase."""
+    docs = docs.select(ident, text)
+    hits = searching.phrase_search(docs, phrase, ident, None, text).groupBy(ident).agg(F.count(F.lit(1)).alias("hits"), F.min("start").alias("first_hit"))
+    marks = searching.highlights(docs, words, ident, text).groupBy(ident).agg(F.count(F.lit(1)).alias("highlights"), F.sum(F.col("end") - F.col("start")).alias("highlighted"))
+    changed = searching.find_replace(docs, phrase, replacement, text).filter("hits > 0").select(ident, F.col("hits").cast("long").alias("replaced"), F.length(text).alias("new_length"))
+    return hits.join(marks, ident, "full").join(changed, ident, "full").na.fill(0, ["hits", "highlights", "highlighted", "replaced"])
+
+
+def numeric_profile(df: DataFrame, by: list[str], value: str, low: float, high: float, cap: int = 400, k: float = 10.0, minimum: float = 40.0) -> DataFrame:
+    """One row per group: count, middle value, two-class threshold, tonal range, few or many values, outliers above a robust ceiling."""
+    outliers = numeric.mad_outliers(df, by, value, k, minimum).groupBy(*by).agg(F.count(F.lit(1)).alias("outliers"))
     out = ranks.upper_median(df, by, value)
     out = out.join(numeric.otsu_split(df, by, value, low, high).select(*by, "threshold"), by)
     out = out.join(numeric.tonal_range(df, by, value, low, high).select(*by, "lo", "hi", "low_contrast"), by)
-    return out.join(profile.few_values(df, by, value, cap).select(*by, "few"), by)
+    out = out.join(profile.few_values(df, by, value, cap).select(*by, "few"), by)
+    return out.join(outliers, by, "left").na.fill(0, ["outliers"])
 
 
 def page_scorecard(before: dict[str, DataFrame], after: dict[str, DataFrame], width: Column, height: Column, keys: list[str] = PAGE) -> DataFrame:
@@ -111,6 +134,10 @@ def page_scorecard(before: dict[str, DataFrame], after: dict[str, DataFrame], wi
 
     Both sides hold ``words`` (with an id ``word_id``), ``rules`` and ``pictures``.
     """
+    # The words of a side are derived once; agreement, overlaps and clipping read what was written.
+    box_columns = ("word_id", "text", "x", "y", "w", "h")
+    before = {**before, "words": checkpoint(before["words"].select(*keys, "text"))}
+    after = {**after, "words": checkpoint(after["words"].select(*keys, *box_columns))}
     spaced = lambda t: t["words"].select(*keys, "text")
     out = readings.agreement(spaced(before), spaced(after), keys, tokenizer="lower").select(*keys, (F.floor(F.col("agreement") * 1000 + 0.5) / 1000).alias("text"))
     overlaps = layout.overlap_pairs(after["words"], keys, "word_id").groupBy(*keys).agg(F.count(F.lit(1)).alias("overlap"))
