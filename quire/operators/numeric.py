@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.plans import ranks
 from quire.plans.folds import fold_groups
-from quire.plans.segments import islands, with_previous
+from quire.session import checkpoint
 
 # --- fixed values ---
 BINS = 256
@@ -108,40 +108,84 @@ def change_check(pairs: DataFrame, series: str, order: str, bucket: int = 4096)
     return sums.withColumn("warning", verdict)
 
 
-def _clusters(df: DataFrame, by: list[str], value: str, gap: Column, bucket: float, within) -> DataFrame:
-    """Distinct values with the first value of their cluster; ``within(start, value)`` says which values join."""
-    distinct = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("times"))
-    slot = F.floor(F.col(value) / bucket)
-    seen = with_previous(distinct, by, [value], slot, {"_prev": ("last", F.col(value))})
-    # A gap no cluster can bridge: both sides are independent, whatever the order of merging.
-    apart = islands(seen.withColumn("_cut", F.coalesce(gap, F.lit(True))), by, [value], slot, F.col("_cut")).drop("_cut", "_prev")
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by) + (", " if by else "") + f"`{value}` double, start double, times bigint"
+def _clusters(df: DataFrame, by: list[str], value: str, bucket: float, within) -> DataFrame:
+    """Distinct values with the first value of their cluster; a value joins a cluster if ``within(start, value)``.
 
-    def rule(g):
+    Where a bucket's first cluster begins depends on the bucket before, but only through one value: the first it does
+    not take over. So each bucket is walked from every value it could begin with, all buckets at once; the few results
+    are followed from bucket to bucket; then all buckets are walked again from where they begin.
+    """
+    distinct = checkpoint(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("times")).withColumn("_slot", F.floor(F.col(value) / bucket)))
+    keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by) + (", " if by else "")
+
+    def ahead(v, i):
+        lo, hi = i + 1, len(v)
+        while lo < hi:  # the first value that does not join; joining is monotone in the value
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if within(v[i], v[mid]) else (lo, mid)
+        return lo
+
+    def entries(g):
         v = g[value].astype(float)
-        start = np.empty(len(v))
-        i = 0
+        last = ahead(v, 0)
+        begins, ends = [], []
+        known: dict[int, float] = {}
+        for entry in range(min(last, len(v) - 1), -1, -1):
+            i, path = entry, []
+            while i < len(v) and i not in known:
+                path.append(i)
+                i = ahead(v, i)
+            end = known[i] if i < len(v) else v[path[-1]]
+            known.update(dict.fromkeys(path, end))
+            begins.append(v[entry])
+            ends.append(end)
+        n = len(begins)
+        return {**{c: g[c][:n] for c in (*by, "_slot")}, "_begin": np.array(begins[::-1]), "_end": np.array(ends[::-1])}
+
+    walked = fold_groups(distinct, [*by, "_slot"], [value], keys + "_slot bigint, _begin double, _end double", entries)
+
+    def follow(g):
+        slots, begins, ends = g["_slot"], g["_begin"], g["_end"]
+        changed = np.flatnonzero(np.append(True, slots[1:] != slots[:-1]))
+        out, start = [], None
+        for lo, hi in zip(changed, np.append(changed[1:], len(slots))):
+            out.append(np.nan if start is None else start)
+            free = [i for i in range(lo, hi) if start is None or not within(start, begins[i])]
+            start = ends[free[0]] if free else start
+        return {**{c: g[c][changed] for c in (*by, "_slot")}, "_open": np.array(out)}
+
+    opened = fold_groups(walked, by, ["_slot", "_begin"], keys + "_slot bigint, _open double", follow) if by else fold_groups(walked.withColumn("_one", F.lit(1)), ["_one"], ["_slot", "_begin"], "_slot bigint, _open double", follow)
+    placed = distinct.alias("d").join(opened.alias("o"), _same(by), "left").select("d.*", "o._open")
+
+    def finish(g):
+        v, start = g[value].astype(float), np.empty(len(g[value]))
+        held, i = g["_open"][0], 0
+        while held == held and i < len(v) and within(held, v[i]):
+            i += 1
+        start[:i] = held
         while i < len(v):
-            lo, hi = i + 1, len(v)
-            while lo < hi:  # the first value that does not join; joining is monotone in the value
-                mid = (lo + hi) // 2
-                lo, hi = (mid + 1, hi) if within(v[i], v[mid]) else (lo, mid)
-            start[i:lo] = v[i]
-            i = lo
+            end = ahead(v, i)
+            start[i:end] = v[i]
+            i = end
         return {**{c: g[c] for c in by}, value: v, "start": start, "times": g["times"]}
 
-    return fold_groups(apart, [*by, "island"], [value], schema, rule)
+    return fold_groups(placed, [*by, "_slot"], [value], f"{keys}`{value}` double, start double, times bigint", finish)
+
+
+def _same(by: list[str]) -> Column:
+    on = F.col("d._slot") == F.col("o._slot")
+    for c in by:
+        on = on & F.col(f"d.{c}").eqNullSafe(F.col(f"o.{c}"))
+    return on
 
 
 def snap(df: DataFrame, by: list[str], value: str, tolerance: float = 2.0) -> DataFrame:
     """Each distinct value with the one it snaps to: the first of its cluster, compared with the kept value."""
-    gap = F.col(value) - F.col("_prev") > tolerance
-    return _clusters(df, by, value, gap, max(tolerance, 1e-9) * 1024, lambda s, v: v - s <= tolerance).withColumnRenamed("start", "snapped")
+    return _clusters(df, by, value, max(tolerance, 1e-9) * 16, lambda s, v: v - s <= tolerance).withColumnRenamed("start", "snapped")
 
 
 def snap_sizes(df: DataFrame, by: list[str], value: str, ratio: float = 1.22) -> DataFrame:
     """Each distinct value with the median of its cluster: values up to ``ratio`` times the cluster's first."""
-    gap = F.col(value) > ratio * F.col("_prev")
-    clusters = _clusters(df, by, value, gap, 1024.0, lambda s, v: v <= ratio * s)
+    clusters = _clusters(df, by, value, 64.0, lambda s, v: v <= ratio * s)
     middles = ranks.median(clusters, [*by, "start"], value, "size", weight="times").drop("n")
     return clusters.join(middles, [*by, "start"]).select(*by, value, "size", "times")

@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import checkpoint
+
 CUTS = 64
+#: How often the bucket of a wanted rank is cut again: what is sorted in one task is a group's 1 / CUTS**(RECUTS + 1).
+RECUTS = 2
 
 
 def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column], weight: str | None = None) -> DataFrame:
@@ -18,22 +22,35 @@ def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict[str,
 
     ``weight`` names a column that says how often a row counts.
     """
-    rows = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_count"))
-    fractions = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-    cuts = rows.groupBy(*by).agg(F.percentile_approx("_value", fractions, 1000).alias("_cuts"), F.sum("_count").alias("n"))
-    bucketed = _with_keys(rows, cuts, by).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_value")))).drop("_cuts")
-    totals = bucketed.groupBy(*by, "n", "_bucket").agg(F.sum("_count").alias("_total"))
-    before = F.coalesce(F.sum("_total").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), rank.cast("long").alias("_rank")) for name, rank in ranks.items()]))
-    targets = totals.withColumn("_before", before).select(*by, "_bucket", "_before", "_total", wanted.alias("w")).select(*by, "_bucket", "_before", "_total", "w.*")
-    targets = targets.filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_total")))
-    inside = _with_keys(bucketed.select(*by, "n", "_bucket", "_value", "_count"), targets.select(*by, "_bucket", "_name", (F.col("_rank") - F.col("_before")).alias("_rest")), [*by, "_bucket"])
+    # Cuts, totals and the wanted buckets all read the counted values: written once.
+    rows = checkpoint(df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_count")))
+    sizes = rows.groupBy(*by).agg(F.sum("_count").alias("n"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), rank.cast("long").alias("_rest")) for name, rank in ranks.items()])).alias("w")
+    inside = _bucket_of_rank(rows, sizes.select(*by, "n", wanted).select(*by, "n", "w.*"), by, by)
+    for _ in range(RECUTS):
+        inside = _bucket_of_rank(inside.drop("n", "_rest"), inside.select(*by, "n", "_name", "_rest").distinct(), [*by, "_name"], [*by, "_name"])
     upto = F.sum("_count").over(Window.partitionBy(*by, "_name").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
     found = inside.withColumn("_upto", upto).filter((F.col("_rest") < F.col("_upto")) & (F.col("_rest") >= F.col("_upto") - F.col("_count")))
     picks = [F.max(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in ranks]
     return found.groupBy(*by).agg(F.max("n").alias("n"), *picks)
 
 
+def _bucket_of_rank(rows: DataFrame, wanted: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """The rows (keys, _value, _count) of the bucket that holds each wanted rank, with n, _name and the rank inside it.
+
+    A bucket holds the values between two approximate quantiles of its group.
+    """
+    fractions = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_value", fractions, 1000).alias("_cuts"))
+    bucketed = _with_keys(rows, cuts, keys).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_value")))).drop("_cuts")
+    totals = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_count").alias("_total"))
+    before = F.coalesce(F.sum("_total").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    targets = _with_keys(totals.select(*keys, "_bucket", "_total", before.alias("_before")), wanted, by)
+    targets = targets.filter((F.col("_rest") >= F.col("_before")) & (F.col("_rest") < F.col("_before") + F.col("_total")))
+    more = [c for c in wanted.columns if c not in (*keys, "_rest")]
+    return _with_keys(bucketed, targets.select(*keys, "_bucket", *more, (F.col("_rest") - F.col("_before")).alias("_rest")), [*keys, "_bucket"]).drop("_bucket")
+
+
 def _with_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     if not keys:  # the whole table is one group, and right is its one row
         one = F.lit(1).alias("_one")

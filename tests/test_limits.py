@@ -69,3 +69,27 @@ def test_page_lists_of_any_size(spark):
     counts = spark.createDataFrame([(1, 700), (2, 100001)], "doc long, pages int")
     assert page_plans.parse_specs(specs, counts, "doc").filter("problem IS NOT NULL").count() == 0
     assert page_plans.parse_specs(specs, counts, "doc", max_ranges=500).filter("problem = 'too many'").count() == 600
+
+
+def test_one_dense_group_snaps_bucket_by_bucket(spark):
+    """Values without a gap, far more than a bucket holds, cluster as one walk over all of them would."""
+    import numpy as np
+
+    from quire.operators import numeric
+
+    values = np.unique(np.round(np.random.default_rng(3).uniform(0, 900, 6000), 3))
+    df = spark.createDataFrame([(None, float(v)) for v in values], "g long, v double")
+    want, start = {}, None
+    for v in values:
+        start = v if start is None or v - start > 2.0 else start
+        want[float(v)] = float(start)
+    assert {r.v: r.snapped for r in numeric.snap(df, ["g"], "v").collect()} == want
+    assert {r.v: r.snapped for r in numeric.snap(df, [], "v").collect()} == want
+
+
+def test_ranks_of_one_large_group(spark):
+    from quire.plans import ranks
+
+    df = spark.range(50001).selectExpr("1 AS g", "cast(id * 7919 % 50001 AS double) AS v")
+    assert ranks.median(df, ["g"], "v").first().median == 25000.0
+    assert ranks.upper_median(df.filter("v < 10"), ["g"], "v").first().upper_median == 5.0
