@@ -162,8 +162,8 @@ def budgeted_pictures(spark, d):
 
 
 def cluster_boxes(spark, d):
-    boxes = derive.page_words(spark, d).withColumn("id", F.col("line") * 10000 + F.col("word_no"))
-    return clusters.cluster_boxes(boxes, PAGE, "id", 3.0)
+    """Regions of a page that compete for a block become one."""
+    return clusters.cluster_boxes(derive.page_regions(spark, d), PAGE, "region_no", 2.0)
 
 
 def document_text(spark, d):
@@ -265,6 +265,7 @@ SELECT doc_id, page_no, block, lines, CASE WHEN lines = 1 THEN CASE WHEN dev THE
   CASE WHEN lines = 1 THEN CASE WHEN abs((x0 + x1) / 2 - 225) < 18 AND x0 > 54 THEN 'center' WHEN x1 > 382.5 AND x0 > 225 THEN 'right' ELSE 'left' END WHEN sl <= 6.75 AND sb <= 6.75 AND lines >= 3 AND ww > 202.5 THEN 'justify' WHEN sl <= 6.75 THEN 'left' WHEN sr <= 6.75 THEN 'right' WHEN sc <= 10.125 THEN 'center' ELSE 'left' END AS align FROM g""",
     "drop_noise": f"WITH {_REGIONS}, c AS (SELECT *, (doc_id * 3 + line_no * 7) % 100 / 100 AS confidence FROM pl) SELECT doc_id, page_no, line_no FROM c WHERE confidence >= 0.5 AND NOT EXISTS (SELECT 1 FROM rg WHERE label = 'image' AND rg.doc_id = c.doc_id AND rg.page_no = c.page_no AND c.x + c.w / 2 BETWEEN rg.x AND rg.x + rg.w AND c.y + c.h / 2 BETWEEN rg.y AND rg.y + rg.h)",
     "cover_share": f"WITH {_REGIONS}, s AS (SELECT rg.doc_id, rg.page_no, rg.region_no, sum({_overlap('rg', 'pl')}) AS c, any_value(rg.w * rg.h) AS a FROM rg LEFT JOIN pl USING (doc_id, page_no) GROUP BY ALL) SELECT doc_id, page_no, region_no, round(coalesce(c, 0) / greatest(1, a), 6) AS covered FROM s",
+    "cluster_boxes": f"""WITH {_REGIONS} SELECT doc_id, page_no, min(region_no) AS cluster, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, count(*) AS boxes FROM rg GROUP BY doc_id, page_no, region_no // 2""",
     "budgeted_pictures": f"""WITH RECURSIVE {_REGIONS}, z AS (SELECT *, (doc_id * 37 + region_no * 101) % 1000 + 1 AS bytes, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY region_no) AS k FROM rg),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, region_no) AS n FROM z WHERE k <= 5),
 t AS (SELECT doc_id, n, page_no, region_no, bytes, bytes <= 3000 AS kept, CASE WHEN bytes <= 3000 THEN 3000 - bytes ELSE 3000 END AS room, CASE WHEN bytes > 3000 THEN page_no ELSE -1 END AS closed FROM o WHERE n = 1
