@@ -203,9 +203,10 @@ def _met(tables: DataFrame, chunk: int) -> DataFrame:
     return met.repartition("unit").sortWithinPartitions("unit")
 
 
-def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, text_col: str = "text") -> DataFrame:
-    """Adds ``keys`` (array<long>, one per band) and ``signs`` (the low byte of every least hash) of a text's word shingles."""
-    draws = rolling.mix(np.arange(1, bands * rows + 1, dtype=U64))
+def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, signs: int, text_col: str = "text") -> DataFrame:
+    """Adds ``keys`` (array<long>, a band of ``rows`` least hashes each) and ``signs`` (the low bytes of that many least hashes) of a text's word shingles."""
+    n_signs = max(signs, bands * rows)
+    draws = rolling.mix(np.arange(1, n_signs + 1, dtype=U64))
     columns = docs.columns
     place = columns.index(text_col)
     lower = np.arange(256, dtype=np.uint8)
@@ -243,7 +244,7 @@ def _grouped(rows: DataFrame, linked) -> DataFrame:
     roots = components(linked(distinct))
     named = distinct.join(roots.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     named = save(named, "named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = save(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     return rows.join(save(named.join(least, "root").select("fingerprint", "root", "component_id"), "groups"), "fingerprint")
 
 
@@ -262,17 +263,17 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col:
     return out.select(F.col("id").alias(id_col), "text_hash", "fingerprint", "root", F.nullif("component_id", F.lit(LAST)).alias("component_id"))
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 14, bands: int = 8, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 14, bands: int = 8, rows: int = 4, signs: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As ``near_duplicates``, for copies whose shingle sets are similar to at least ``similarity``.
 
     At a similarity of 0.8 fingerprints differ in about ten bits, too many for tables of their parts. So they also meet
     in buckets of equal bands of least hashes, and link there within ``radius`` bits if the share of agreeing least
-    hashes is not two standard errors below ``similarity``. A pair at 0.8 shares a band in 98 of 100 cases.
+    hashes is not one and a half standard errors below ``similarity``. A pair at 0.8 shares a band in 98 of 100 cases.
     """
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    own = save(signatures(fingerprints(ids, shingle), shingle, bands, rows).drop("text"), "fingerprints")
-    n = bands * rows
-    agree = int(np.floor(n * (similarity - 2 * (similarity * (1 - similarity) / n) ** 0.5)))
+    own = save(signatures(fingerprints(ids, shingle), shingle, bands, rows, signs).drop("text"), "fingerprints")
+    n = max(signs, bands * rows)
+    agree = int(np.floor(n * (similarity - 1.5 * (similarity * (1 - similarity) / n) ** 0.5)))
     # Of equal fingerprints one stands for all.
     tables = own.groupBy("fingerprint").agg(F.min_by("keys", "signs").alias("keys"), F.min("signs").alias("signs"))
     tables = save(tables, "tables").select(F.explode("keys").alias("key"), "fingerprint", "signs")
