@@ -38,6 +38,14 @@ def save(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(schema).parquet(folder)
 
 
+def discard(saved: DataFrame) -> None:
+    """Deletes what ``save`` has written, once nothing will read it again."""
+    jvm, conf = saved.sparkSession.sparkContext._jvm, saved.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {name.rpartition("/")[0] for name in saved.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def order_id(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(LAST))
 

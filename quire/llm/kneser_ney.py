@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import rolling
-from quire.llm.common import map_batches, save, signed
+from quire.llm.common import discard, map_batches, save, signed
 from quire.llm.rolling import U64
 
 START, END = U64(0x51A7E5), U64(0xE4D0F5)
@@ -42,23 +42,36 @@ def _pairs(block: rolling.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return tokens, bounds, v, w
 
 
+def _xxh64(x: np.ndarray, seed: np.ndarray | U64) -> np.ndarray:
+    """XXH64 of 64-bit values, as Spark's xxhash64 chains it over columns."""
+    p1, p2, p3, p4, p5 = (U64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda a, n: (a << U64(n)) | (a >> U64(64 - n))
+    with np.errstate(over="ignore"):
+        h = (seed + p5 + U64(8)) ^ (turn(x * p2, 31) * p1)
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> U64(33))) * p2
+        h = (h ^ (h >> U64(29))) * p3
+    return h ^ (h >> U64(32))
+
+
 def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return rolling.mix(rolling.mix(v) + w)
+    """A pair's name: Spark's ``xxhash64(v, w)``."""
+    return _xxh64(w, _xxh64(v, U64(42)))
 
 
 def _counted(trusted: DataFrame, shard: int, shards: int) -> DataFrame:
     def rule(batch: pa.RecordBatch) -> dict | None:
-        out: dict[str, list] = {"key": [], "v": [], "w": [], "n": []}
+        out: dict[str, list] = {"v": [], "w": [], "n": []}
         for block in rolling.texts(batch.column(0), 1 << 22):
             _, _, v, w = _pairs(block)
             key = pair_key(v, w)
             mine = np.flatnonzero(key % U64(shards) == U64(shard))
             key, first, n = np.unique(key[mine], return_index=True, return_counts=True)
-            for name, values in zip(out, (signed(key), signed(v[mine][first]), signed(w[mine][first]), n)):
+            for name, values in zip(out, (signed(v[mine][first]), signed(w[mine][first]), n)):
                 out[name].append(values)
-        return {k: np.concatenate(x) for k, x in out.items()} if out["key"] else None
+        return {k: np.concatenate(x) for k, x in out.items()} if out["v"] else None
 
-    return map_batches(trusted, rule, "key long, v long, w long, n long").groupBy("key").agg(F.first("v").alias("v"), F.first("w").alias("w"), F.sum("n").alias("n"))
+    return map_batches(trusted, rule, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -85,9 +98,10 @@ class Model:
     """Pairs, contexts, words as tables; constants; the most frequent entries as arrays."""
 
     def __init__(self, trusted: DataFrame, shards: int, frequent: int):
-        pairs = save(_counted(trusted, 0, shards), "pairs")
-        for shard in range(1, shards):
-            pairs = pairs.unionByName(save(_counted(trusted, shard, shards), "pairs"))
+        turns = max(1, shards // 3)
+        pairs = save(_counted(trusted, 0, turns), "pairs")
+        for turn in range(1, turns):
+            pairs = pairs.unionByName(save(_counted(trusted, turn, turns), "pairs"))
         self.pairs, self.shards = pairs, shards
         self.d = _discounts(pairs)
         contexts = pairs.groupBy("v").agg(F.sum("n").alias("total"), _taken(self.d).alias("taken"))
@@ -118,7 +132,8 @@ class Model:
 
     def entries(self, shard: int) -> DataFrame:
         """(key, value) of the shard's pairs and words."""
-        mine = self.pairs.where(_shard(F.col("key"), self.shards) == shard).join(self.contexts, "v").join(self.words, "w")
+        key = F.xxhash64("v", "w")
+        mine = self.pairs.where(_shard(key, self.shards) == shard).withColumn("key", key).join(self.contexts, "v").join(self.words, "w")
         p = F.greatest(F.col("n") - _discount(self.d), F.lit(0.0)) / F.col("total") + F.col("g") * F.col("p")
         pairs = mine.select("key", (F.log(p) - F.log("g") - F.log("p")).alias("value"))
         return pairs.union(self.single.where(_shard(F.col("key"), self.shards) == shard).select("key", "value"))
@@ -130,17 +145,21 @@ def _shard(key: Column, shards: int) -> Column:
 
 
 def _asked(rows: DataFrame, model: Model, shard: int) -> DataFrame:
-    """(key, row, n, sum, words): a document's keys of the shard; in the first, also what needs no lookup."""
+    """(key, row, n): a document's keys of the shard and how often each occurs.
+
+    The first shard also has two rows per document that find no entry: the sum of what needs no lookup, which is
+    negative, and the number of tokens less a half.
+    """
     shards, unknown, frame, (known, values) = model.shards, math.log(model.unknown), model.frame, model.frequent
     sent = rows.sparkSession.sparkContext.broadcast((known, values))
 
     def rule(batch: pa.RecordBatch) -> dict | None:
         ids = batch.column(0).to_numpy()
         known, values = sent.value
-        out: dict[str, list] = {"key": [], "row": [], "n": [], "sum": [], "words": []}
+        out: dict[str, list] = {"key": [], "row": [], "n": []}
 
-        def put(key: np.ndarray, row: np.ndarray, n: np.ndarray, sums: np.ndarray, words: np.ndarray) -> None:
-            for name, x in zip(out, (key, row, n, sums, words)):
+        def put(key: np.ndarray, row: np.ndarray, n: np.ndarray) -> None:
+            for name, x in zip(out, (key, row, n)):
                 out[name].append(x)
 
         for block in rolling.texts(batch.column(1)):
@@ -155,8 +174,9 @@ def _asked(rows: DataFrame, model: Model, shard: int) -> DataFrame:
             if shard == 0:
                 sums = np.bincount(doc, values[at] * often if len(known) else None, docs) if len(word) else np.zeros(docs)
                 n = np.diff(bounds)
-                zero = np.zeros(docs, np.int64)
-                put(signed(rolling.mix(own.astype(U64))), own, zero, sums + n * unknown + frame, n + 1)
+                aside = signed(rolling.mix(own.astype(U64)))
+                put(aside, own, sums + n * unknown + frame)
+                put(aside, own, n + 0.5)
             keys = np.concatenate([tokens[~often], pair_key(v, w)])
             owner = np.concatenate([doc[~often], np.repeat(np.arange(docs), np.diff(bounds) + 1)])
             mine = np.flatnonzero(keys % U64(shards) == U64(shard))
@@ -167,25 +187,33 @@ def _asked(rows: DataFrame, model: Model, shard: int) -> DataFrame:
             first[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
             begin = np.flatnonzero(first)
             n = np.diff(np.append(begin, len(keys)))
-            put(signed(keys[begin]), own[owner[begin]], n, np.zeros(len(begin)), np.zeros(len(begin), np.int64))
+            put(signed(keys[begin]), own[owner[begin]], n.astype(np.float64))
         return {k: np.concatenate(x) for k, x in out.items()} if out["key"] else None
 
-    return map_batches(rows, rule, "key long, row long, n long, sum double, words long")
+    return map_batches(rows, rule, "key long, row long, n double")
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, shards: int = 6, frequent: int = 1 << 16, text_col: str = "text") -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, shards: int = 12, frequent: int = 1 << 16, text_col: str = "text", spent: bool = False) -> DataFrame:
     """(row, n_tokens, log_prob, perplexity) per distinct row of ``docs`` (row long, text), under the model of ``trusted`` (text).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z as a-z; the end of a text counts as a token. A null or empty text has that
-    one token. Without trusted text every word is unknown.
+    one token. Without trusted text every word is unknown. ``spent`` deletes the saved trusted table as soon as
+    it is counted.
     """
     model = Model(trusted.select(text_col), shards, frequent)
+    if spent:
+        discard(trusted)
     rows = docs.select("row", text_col)
     total = None
     for shard in range(shards):
-        met = _asked(rows, model, shard).join(save(model.entries(shard), "entries"), "key", "left")
-        value = F.col("n") * F.coalesce("value", F.lit(0.0)) + F.col("sum")
-        part = save(met.groupBy("row").agg(F.sum(value).alias("log_prob"), F.sum("words").alias("n_tokens")), "sums")
+        entries = save(model.entries(shard), "entries")
+        met = _asked(rows, model, shard).join(entries.hint("shuffle_hash"), "key", "left")
+        n = F.col("n")
+        # A half marks the number of tokens; a negative number is a sum.
+        tokens = F.when(n % 1 == 0.5, (n + 0.5).cast("long")).otherwise(0)
+        value = F.when(n < 0, n).when(n % 1 == 0.5, 0.0).otherwise(n * F.coalesce("value", F.lit(0.0)))
+        part = save(met.groupBy("row").agg(F.sum(value).alias("log_prob"), F.sum(tokens).alias("n_tokens")), "sums")
+        discard(entries)
         total = part if total is None else total.unionByName(part)
     out = total.groupBy("row").agg(F.sum("log_prob").alias("log_prob"), F.sum("n_tokens").alias("n_tokens"))
     return out.withColumn("perplexity", F.exp(-F.col("log_prob") / F.col("n_tokens")))
@@ -203,7 +231,7 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, id_col:
     good = labels.where(f"{id_col} IS NOT NULL").groupBy(F.col(id_col).alias("id")).agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good")).where("good = 1").select("id")
     held_out = F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(5)) == 0
     trusted = save(own.join(good, "id", "left_semi").where(~held_out).select("text"), "trusted")
-    scored = save(perplexities(own, trusted, text_col="text", **how), "scored")
+    scored = save(perplexities(own, trusted, text_col="text", spent=True, **how), "scored")
     rows = save(own.withColumn("held_out", held_out).drop("text").join(scored, "row"), "rows")
     bounds = rows.where("held_out").join(good, "id", "left_semi").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold"))
     bounds = bounds.withColumnRenamed("lang", "of")
