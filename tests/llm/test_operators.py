@@ -127,6 +127,28 @@ def test_chunked_buckets_keep_links(spark):
     assert groups(lambda p: named.get(p, p)) == groups(root.get)
 
 
+@pytest.mark.parametrize("how", [{}, {"chunk": 16, "words": 4000}])
+def test_near_copies_are_exact(spark, how):
+    """Texts link at a similarity of 0.8 or more and never below, in one unit or chunk by chunk."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for family in range(30):
+        base = [f"{family}w{i}" for i in range(int(rng.integers(60, 300)))]
+        rows.append(" ".join(base))
+        for part in rng.uniform(0.0, 0.12, 12):
+            made = [f"{w}x{rng.integers(9)}" if rng.random() < part else w for w in base]
+            rows.append(" ".join(made[:int(len(made) * rng.uniform(0.8, 1))]))
+    # Four and three common shingles of five: at 0.8 and just below it.
+    rows += ["a b c d e f g h", "a b c d e f g h i", "k l m n o p q", "k l m n o p q r", "w " * 90, "w " * 9, "W w w w", "", None]
+    sets = [{tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for w in (words((t or "").lower()) for t in rows)]
+    alike = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    root, least = reach(range(len(rows)), alike), {}
+    for i in range(len(rows)):
+        least.setdefault(root[i], i)
+    got = simhash.near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), **how)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: least[r] for i, r in root.items()}
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 300)], "a long, b long")
     assert {(r["node"], r["root"]) for r in components(chain).collect()} == {(i, 1) for i in range(2, 301)}
