@@ -178,7 +178,11 @@ def _is_extra(tag: str, values: dict[str, str]) -> bool:
 
 
 def best_path(nodes: list[Node], blocks: list[Block], part: float = 0.6) -> tuple[str, int]:
-    """The page's vote: the innermost container that still holds ``part`` of the text its parent holds, and its score."""
+    """The page's vote: the container of its text, and its score.
+
+    An article or main that holds ``part`` of the text is it, whole. Other containers are entered if nothing but
+    extras is left outside; from the body, if a tenth of its text at most is.
+    """
     score = [0] * len(nodes)
     for b in blocks:
         if not nodes[b.node].header:
@@ -189,14 +193,17 @@ def best_path(nodes: list[Node], blocks: list[Block], part: float = 0.6) -> tupl
     for i, n in enumerate(nodes):
         if n.tag in _CONTAINERS:
             inside[n.path] = inside.get(n.path, 0) + score[i]
+    articles = {n.path for n in nodes if n.tag in ("article", "main")}
     path, held = "", score[0]
-    while True:
-        under = [(s, p) for p, s in inside.items() if p.startswith(path + ">") and s > 0 and s >= part * held]
+    while path not in articles:
+        least = 0.9 * held if path.count(">") < 2 else held
+        under = [(s, p) for p, s in inside.items() if p.startswith(path + ">") and s > 0 and s >= (part * held if p in articles else least)]
         if not under:
             return path, held
         # The outermost of those first; equal depth: more text, then the smaller path.
         path = min(under, key=lambda x: (x[1].count(">"), -x[0], x[1]))[1]
         held = inside[path]
+    return path, held
 
 
 def main_text(nodes: list[Node], blocks: list[Block], path: str) -> str:

@@ -32,6 +32,18 @@ def test_page_parts():
     assert host_paths.main_text(nodes, blocks, path) == TEXT
 
 
+@pytest.mark.parametrize("page", [
+    "<body><nav>x</nav><article><h1>Head</h1><p>{lead}</p><div class=body><p>{rest}</p></div></article></body>",
+    "<body><main><h1>Head</h1><section class=a><p>{lead}</p></section><section class=b><p>{rest}</p></section></main><aside>x</aside></body>",
+    "<body><div id=wrap><div class=sidebar>x</div><div class=post><h1>Head</h1><div class=intro><p>{lead}</p></div><div class=rest><p>{rest}</p></div></div></div></body>",
+    "<body><h1>Head</h1><div class=intro><p>{lead}</p></div><div class=rest><p>{rest}</p></div></body>",
+])
+def test_no_part_of_an_article_is_cut(page):
+    lead, rest = " ".join(["lead"] * 50), " ".join(["rest"] * 100)
+    nodes, blocks = host_paths.parse(page.format(lead=lead, rest=rest))
+    assert host_paths.main_text(nodes, blocks, host_paths.best_path(nodes, blocks)[0]) == f"Head\n\n{lead}\n\n{rest}"
+
+
 @pytest.mark.parametrize("page", ["", "plain", "<", "<p", "<p>x</b></p>", "<!-- open", "<script>never", "</div></div>", "<div " + "a" * 5000, "<div>" * 3000 + "deep", '<a title="open>x</a>', "<![CDATA[x]]>y", "\x00<b>퟿"])
 def test_broken_pages_do_not_fail(page):
     nodes, blocks = host_paths.parse(page)
