@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import hard_negatives, host_paths, kd_shards, kneser_ney, mixing, pieces, pivot_search, quality_rules, simhash, substring_dedup, suffix_dedup
+from quire.llm import hard_negatives, host_paths, kd_shards, kneser_ney, mixing, minhash, periodic_runs, pieces, pivot_search, quality_rules, simhash, substring_dedup, suffix_dedup
 from quire.sources.tables import table
 
+WORD = r"[^\x20\x09-\x0D]+"
+
 #: Where the model file is; it is read on the driver.
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -105,6 +107,35 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), pieces.load(MODEL)).drop("text")
 
 
+def _planted(text: Column, doc_id: Column) -> Column:
+    """One text in ten repeats what begins at one of its words with a period, both drawn from the id's checksum; a null id leaves the text as it is."""
+    draw = F.crc32(doc_id.cast("string"))
+    g = F.floor(draw / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+
+    # The lambda binds the words, which are found once.
+    made = F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), lambda words: F.when(F.size(words) > 0, repeated(words)).otherwise(""))
+    return F.when((draw % 10 == 0) & text.isNotNull(), made[0]).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words that repeat with a period in every text, the longest, and digests of all runs and of the text with each run cut to its first period."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("text", _planted(F.col("text"), F.col("doc_id")))
+    rows = periodic_runs.collapse(docs)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    rows = rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("l"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"), "n_words")
+    exponent = F.floor(F.lit(1000) * F.col("l.length") / -F.col("l.period"))
+    return rows.select("doc_id", "n_runs", (-F.col("l.start")).alias("start"), F.col("l.length").alias("length"), (-F.col("l.period")).alias("period"), exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector's five nearest of its label; every seventh row's label is moved on by one."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -123,6 +154,12 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 """
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every text among those whose five-word shingles are alike in 85 of 100, one of each kept."""
+    rows = minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), similarity=0.85)
+    return rows.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -134,7 +171,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_minhash_near_dedup": op13_minhash_near_dedup,
 }
 
 ORACLE: dict[str, str] = {
