@@ -8,6 +8,7 @@ sets link along a star, and what stays apart is compared on (``set_links``), alw
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 from functools import cache
 
@@ -94,7 +95,7 @@ def sets(docs: DataFrame, shingle: int, bands: int, rows: int, text_col: str = "
     return map_batches(docs, rule, T.StructType([*(docs.schema[c] for c in columns), *kinds]))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.85, shingle: int = 5, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.85, shingle: int = 5, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", **units: int) -> DataFrame:
     """Per row: its id, ``n_shingles`` (distinct word shingles, A-Z as lower case), ``shape`` (a hash of the set) and ``component_id``.
 
     Texts link if the exact Jaccard similarity of their sets is at least ``similarity``; a component holds what links reach
@@ -102,22 +103,28 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.85, shingle: int = 5,
     all bands differ in 7 of a thousand million pairs. A text of fewer words is one shingle; without words (null, empty)
     it has none, is linked with nothing and is its own component. A null id comes after every other and names a component
     only where all its ids are null (then null). Repeated rows stay rows; an empty table gives an empty one. Further columns
-    are not read. Shingles are named by 64-bit hashes.
+    are not read. Shingles are named by 64-bit hashes. ``units`` may set ``chunk`` and ``words`` of ``set_links.links``.
     """
     ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     own = save(sets(ids, shingle, bands, rows), "sets")
-    named = grouped(own, Fraction(str(similarity)))
+    named = grouped(own, Fraction(str(similarity)), **units)
     component = F.coalesce("component_id", order_id("id"))
     return own.select("id", "size", "shape").join(named, "shape", "left").select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "shape", F.nullif(component, F.lit(LAST)).alias("component_id"))
 
 
-def grouped(own: DataFrame, share: Fraction) -> DataFrame:
-    """(shape, root, component_id) of every set: of rows (row, id, size, shape, keys, set) as ``sets`` adds them."""
+def grouped(own: DataFrame, share: Fraction, further: Callable[[DataFrame], DataFrame] | None = None, empty: bool = False, **units: int) -> DataFrame:
+    """(shape, root, component_id) of every set: of rows (row, id, size, shape, keys, set) as ``sets`` adds them.
+
+    ``further`` gives more buckets (key, shape, size) from one row per shape; with ``empty`` the empty set is a shape too, linked with nothing.
+    """
     # One row stands for all with its set.
-    distinct = save(own.where("size > 0").groupBy("shape").agg(F.min("row").alias("row"), F.min(order_id("id")).alias("least")), "distinct")
-    chosen = own.join(distinct.select("row"), "row", "left_semi")
+    some = own if empty else own.where("size > 0")
+    distinct = save(some.groupBy("shape").agg(F.min("row").alias("row"), F.min(order_id("id")).alias("least")), "distinct")
+    chosen = own.where("size > 0").join(distinct.select("row"), "row", "left_semi")
     buckets = chosen.select(F.explode("keys").alias("key"), "shape", "size").distinct()
-    roots = components(links(buckets, chosen.select("shape", "set"), share)).withColumnRenamed("node", "shape")
+    if further:
+        buckets = buckets.union(further(chosen))
+    roots = components(links(buckets, chosen.select("shape", "set"), share, **units)).withColumnRenamed("node", "shape")
     named = save(distinct.drop("row").join(roots, "shape", "left").withColumn("root", F.coalesce("root", "shape")), "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return save(named.join(least, "root").select("shape", "root", "component_id"), "groups")

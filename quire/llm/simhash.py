@@ -6,8 +6,8 @@ differ. A bucket too large for one task is dealt into chunks that meet chunk by
 fingerprints stand as bit planes; a word operation updates 64 distances at once in carry-save counters, and a
 block is left as soon as all its distances exceed the radius. Tasks report a spanning forest, never all pairs.
 
-Near copies by a share of common shingles are proposed by bands of least hashes and by fingerprints, and link only
-where the exact share is reached.
+Near copies by a share of common shingles are proposed by fingerprints and by bands of least hashes, and link only
+where the exact share is reached (``set_links``).
 """
 
 from __future__ import annotations
@@ -23,15 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm import rolling
+from quire.llm import minhash, rolling
 from quire.llm.common import LAST, map_batches, order_id, save
 from quire.llm.components import components
+from quire.llm.set_links import dealt
 
 U64 = np.uint64
 #: Fingerprints of a bucket that are compared in one go, and small buckets that are put together.
 CHUNK, TOGETHER = 4096, 512
-#: Shingles of texts that are compared in one go.
-WORDS = 1 << 20
 
 
 def fingerprint(words: list[bytes], shingle: int) -> int:
@@ -179,138 +178,7 @@ def _met(tables: DataFrame, chunk: int) -> DataFrame:
     """Rows (key, fingerprint) of keys that several rows share, dealt into units that are compared as a whole."""
     crowded = save(tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
     members = tables.join(crowded, "key").withColumn("chunks", F.ceil(F.col("n") / chunk))
-    return _dealt(members, "key", "fingerprint").repartition("unit").sortWithinPartitions("unit")
-
-
-def _dealt(members: DataFrame, group: str, node: str) -> DataFrame:
-    """Each group's rows dealt into ``chunks`` that meet two by two; a unit is what a task compares as a whole."""
-    columns = [c for c in members.columns if c not in (group, "n", "chunks")]
-    members = members.withColumn("own", F.pmod(F.xxhash64(F.lit(1), node), "chunks"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    # Two chunks that meet are compared as a whole, each with itself too.
-    unit = F.when(F.col("chunks") == 1, F.col(group)).otherwise(F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")))
-    return members.where("chunks = 1 OR own <> other").select(unit.alias("unit"), *columns)
-
-
-def shingle_sets(block: rolling.Texts, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes of each text's word shingles, sorted, and each text's bounds among them."""
-    lower = np.arange(256, dtype=np.uint8)
-    lower[65:91] += 32
-    tokens, bounds = rolling.word_tokens(block._replace(data=lower[block.data]))
-    n = np.maximum(np.diff(bounds) - shingle + 1, np.minimum(np.diff(bounds), 1))
-    at = rolling.ranges(bounds[:-1], n)
-    doc = np.repeat(np.arange(len(n)), n)
-    hashes = rolling.Slices(tokens).at(at, np.minimum(at + shingle, bounds[1:][doc]))
-    hashes = hashes[np.lexsort((hashes, doc))]
-    first = np.ones(len(hashes), bool)
-    first[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
-    return hashes[first], np.searchsorted(doc[first], np.arange(len(n) + 1))
-
-
-def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, text_col: str = "text") -> DataFrame:
-    """Adds what a text's set of word shingles gives: ``shape`` (a hash of the whole set), ``size`` and ``keys``
-    (array<long>, one per band of least hashes; none without words)."""
-    draws = rolling.mix(np.arange(1, bands * rows + 1, dtype=U64))
-    columns = docs.columns
-    place = columns.index(text_col)
-
-    def rule(batch: pa.RecordBatch) -> dict:
-        keys, shapes, sizes = [], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-        for block in rolling.texts(batch.column(place)):
-            hashes, bounds = shingle_sets(block, shingle)
-            n = np.diff(bounds)
-            full = n > 0
-            band, shape = np.zeros((bands, len(n)), U64), np.zeros(len(n), U64)
-            if full.any():
-                starts = bounds[:-1][full]
-                shape[full] = rolling.mix(np.add.reduceat(rolling.mix(hashes + U64(1)), starts) + n[full].astype(U64))
-                for i, draw in enumerate(draws):
-                    b = i // rows
-                    band[b, full] = rolling.mix(band[b, full] + np.minimum.reduceat(rolling.mix(hashes ^ draw), starts) + U64(b + 1))
-            keys += [k if some else [] for k, some in zip(band.T.astype(np.int64, copy=False).view(np.int64), full)]
-            shapes.append(shape)
-            sizes.append(n)
-        return {c: batch.column(i) for i, c in enumerate(columns)} | {"shape": np.concatenate(shapes).view(np.int64), "size": np.concatenate(sizes), "keys": pa.array(keys, pa.list_(pa.int64()))}
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("shape", T.LongType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-    return map_batches(docs, rule, schema)
-
-
-def copies(keys: list[np.ndarray], sets: list[np.ndarray], share: Fraction) -> tuple[list[int], list[int]]:
-    """Links (by number) that join all sets which have a key in common and a Jaccard similarity of ``share`` or more.
-
-    Every set is held against all that share a key with it and that no link has reached so far.
-    """
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    bounds = np.append(0, np.cumsum(sizes))
-    names, words = np.unique(np.concatenate(sets), return_inverse=True)
-    key = np.unique(np.concatenate(keys), return_inverse=True)[1]
-    order = np.argsort(key, kind="stable")
-    members = np.repeat(np.arange(n), [len(k) for k in keys])[order]
-    starts = np.searchsorted(key[order], np.arange(key.max() + 2))
-    own = np.split(key, np.cumsum([len(k) for k in keys])[:-1])
-    has, unseen = np.zeros(len(names), bool), np.ones(n, bool)
-    a, b = [], []
-    for start in range(n):
-        frontier = [start] if unseen[start] else []
-        unseen[start] = False
-        while frontier:
-            i = frontier.pop()
-            met = np.concatenate([members[starts[k]:starts[k + 1]] for k in own[i]])
-            met = np.unique(met[unseen[met]])
-            met = met[share.numerator * np.maximum(sizes[met], sizes[i]) <= share.denominator * np.minimum(sizes[met], sizes[i])]
-            if not len(met):
-                continue
-            mine = words[bounds[i]:bounds[i + 1]]
-            has[mine] = True
-            shared = np.add.reduceat(has[words[rolling.ranges(bounds[met], sizes[met])]].astype(np.int64), np.cumsum(sizes[met]) - sizes[met])
-            has[mine] = False
-            found = met[share.denominator * shared >= share.numerator * (sizes[met] + sizes[i] - shared)].tolist()
-            unseen[found] = False
-            frontier += found
-            a += found
-            b += [i] * len(found)
-    return a, b
-
-
-def _compared(shingle: int, share: Fraction):
-    """Walks sorted units of rows (unit, shape, keys, text); links their shapes."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes, keys, sets, found = [], [], [], ([], [])
-        last = None
-
-        def done() -> None:
-            for out, numbers in zip(found, copies(keys, sets, share)):
-                out.extend(shapes[i] for i in numbers)
-            for x in (shapes, keys, sets):
-                x.clear()
-
-        def told() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
-            for x in found:
-                x.clear()
-            return out
-
-        for batch in batches:
-            unit, shape = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            offsets, values = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
-            for block in rolling.texts(batch.column(3)):
-                hashes, bounds = shingle_sets(block, shingle)
-                for j, row in enumerate(range(block.first, block.first + len(bounds) - 1)):
-                    if unit[row] != last and shapes:
-                        done()
-                        if len(found[0]) >= CHUNK:
-                            yield told()
-                    last = unit[row]
-                    shapes.append(shape[row])
-                    keys.append(values[offsets[row]:offsets[row + 1]].copy())
-                    sets.append(hashes[bounds[j]:bounds[j + 1]].copy())
-        if shapes:
-            done()
-        yield told()
-
-    return run
+    return dealt(members, "key", "fingerprint").repartition("unit").sortWithinPartitions("unit")
 
 
 def _grouped(rows: DataFrame, linked, node: str = "fingerprint") -> DataFrame:
@@ -338,41 +206,36 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col:
     return out.select(F.col("id").alias(id_col), "text_hash", "fingerprint", "root", F.nullif("component_id", F.lit(LAST)).alias("component_id"))
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 3, bands: int = 24, rows: int = 4, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, words: int = WORDS) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 3, bands: int = 32, rows: int = 4, id_col: str = "doc_id", text_col: str = "text", **units: int) -> DataFrame:
     """Per row: its id, ``text_hash``, ``shape`` (a hash of the text's set of word shingles), ``root`` (of the
-    component: its smallest shape) and ``component_id``, as in ``near_duplicates``.
+    component: one of its shapes) and ``component_id``, as in ``near_duplicates``.
 
-    Shapes link if the exact Jaccard similarity of their sets is at least ``similarity``. Which pairs are compared is
-    proposed by equal bands of least hashes and by fingerprints that links of ``radius`` bits join; a pair at 0.8 shares
-    none of 24 bands in 3 of a million cases. What proposals reach is compared in one unit, or chunk by chunk
-    if it has more than ``chunk`` texts or ``words`` shingles. Texts without words are one shape.
+    Shapes link if the exact Jaccard similarity of their sets is at least ``similarity``. Fingerprints that links of
+    ``radius`` bits join, and equal bands of least hashes, only propose what is compared; a pair at 0.8 shares none of
+    32 bands in 5 of a hundred million cases. Texts without words are one shape.
     """
-    ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    own = save(signatures(fingerprints(ids, shingle), shingle, bands, rows).drop("text"), "signatures")
-    # Texts of equal sets have equal keys and, but for how often a shingle occurs, equal fingerprints.
-    shapes = save(own.where("size > 0").groupBy("shape").agg(F.min(F.struct("text_hash", "fingerprint", "size", "keys")).alias("s")).select("shape", "s.*"), "shapes")
-    near_prints = components(links(shapes.select("fingerprint").distinct(), radius)).withColumnsRenamed({"node": "fingerprint", "root": "near"})
-    shapes = shapes.join(near_prints, "fingerprint", "left").withColumn("keys", F.array_append("keys", F.coalesce("near", "fingerprint"))).drop("near", "fingerprint")
-    shapes = save(shapes, "shapes")
-    tables = shapes.select(F.explode("keys").alias("key"), "shape")
-    crowded = save(tables.groupBy("key").agg(F.count("*").alias("n"), F.min("shape").alias("b")).where("n > 1"), "crowded")
-    proposed = components(tables.join(crowded, "key").select(F.col("shape").alias("a"), "b"))
-    proposed = save(proposed.union(proposed.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("shape"), F.col("root").alias("group")), "proposed")
-    members = save(shapes.join(proposed, "shape"), "members")
-    totals = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("size") / words)).alias("chunks"))
-    wanted = save(_dealt(members.join(totals, "group").drop("size"), "group", "shape"), "wanted")
-    # A text is read once, however many rows have it.
-    texts = ids.groupBy("text_hash").agg(F.first("text").alias("text"))
-    met = texts.join(wanted, "text_hash").select("unit", "shape", "keys", "text").repartition("unit").sortWithinPartitions("unit")
-    found = met.mapInArrow(_compared(shingle, Fraction(str(similarity))), "a long, b long")
-    out = _grouped(own.select("id", "text_hash", "shape"), lambda _: found, "shape")
+    ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    own = save(minhash.sets(fingerprints(ids, shingle), shingle, bands, rows), "sets")
+
+    def alike(chosen: DataFrame) -> DataFrame:
+        prints = chosen.select("fingerprint", "shape", "size")
+        near = components(links(prints.select("fingerprint").distinct(), radius)).withColumnsRenamed({"node": "fingerprint", "root": "near"})
+        return prints.join(near, "fingerprint", "left").select(F.xxhash64(F.lit("near"), F.coalesce("near", "fingerprint")).alias("key"), "shape", "size")
+
+    named = minhash.grouped(own, Fraction(str(similarity)), alike, empty=True, **units)
+    out = own.select("id", "text_hash", "shape").join(named, "shape")
     return out.select(F.col("id").alias(id_col), "text_hash", "shape", "root", F.nullif("component_id", F.lit(LAST)).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` with one of each component of near copies: the smallest id, then the smallest text hash; of equal rows one."""
     rows = near_copies(docs, id_col=id_col, text_col=text_col, **how)
-    first = rows.groupBy("root").agg(F.min(F.struct(order_id(id_col).alias("i"), F.col("text_hash").alias("h"))).alias("first"))
-    chosen = save(first.select(F.col("first.i").alias("__i"), F.col("first.h").alias("__h")), "chosen")
+    keys = save(rows.groupBy(order_id(id_col).alias("__i"), F.col("text_hash").alias("__h")).agg(F.min("root").alias("root"), F.count("*").alias("n")), "keys")
+    first = keys.groupBy("root").agg(F.min(F.struct("__i", "__h")).alias("first")).select("first.*")
+    gone = save(keys.join(first, ["__i", "__h"], "left_anti").select("__i", "__h"), "gone")
+    several = save(keys.where("n > 1").join(gone, ["__i", "__h"], "left_anti").select("__i", "__h"), "several")
     own = docs.withColumn("__i", order_id(id_col)).withColumn("__h", F.xxhash64(text_col))
-    return own.join(chosen, ["__i", "__h"], "left_semi").dropDuplicates(["__i", "__h"]).drop("__i", "__h")
+    kept = own.join(gone, ["__i", "__h"], "left_anti")
+    # Whole rows are only compared where an id and text come more than once.
+    once = kept.join(several, ["__i", "__h"], "left_anti")
+    return once.union(kept.join(several, ["__i", "__h"], "left_semi").dropDuplicates(["__i", "__h"]).select(once.columns)).drop("__i", "__h")
