@@ -25,7 +25,7 @@ from quire.llm.set_links import links, shapes, shingle_sets
 
 U64 = np.uint64
 #: Bands and signs per band; texts whose bins are filled in one go.
-BANDS, ROWS, TOGETHER = 32, 5, 4096
+BANDS, ROWS, TOGETHER = 20, 4, 4096
 
 
 @cache
@@ -100,7 +100,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.85, shingle: int = 5,
 
     Texts link if the exact Jaccard similarity of their sets is at least ``similarity``; a component holds what links reach
     and is named by its smallest id. Texts meet if they agree in one of ``bands`` bands of ``rows`` signs: at 0.85
-    all bands differ in 7 of a thousand million pairs. A text of fewer words is one shingle; without words (null, empty)
+    all bands differ in 4 of ten million pairs. A text of fewer words is one shingle; without words (null, empty)
     it has none, is linked with nothing and is its own component. A null id comes after every other and names a component
     only where all its ids are null (then null). Repeated rows stay rows; an empty table gives an empty one. Further columns
     are not read. Shingles are named by 64-bit hashes. ``units`` may set ``chunk`` and ``words`` of ``set_links.links``.
@@ -115,16 +115,17 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.85, shingle: int = 5,
 def grouped(own: DataFrame, share: Fraction, further: Callable[[DataFrame], DataFrame] | None = None, empty: bool = False, **units: int) -> DataFrame:
     """(shape, root, component_id) of every set: of rows (row, id, size, shape, keys, set) as ``sets`` adds them.
 
-    ``further`` gives more buckets (key, shape, size) from one row per shape; with ``empty`` the empty set is a shape too, linked with nothing.
+    ``further`` gives more buckets (key, shape) from one row per shape; with ``empty`` the empty set is a shape too, linked with nothing.
     """
     # One row stands for all with its set.
     some = own if empty else own.where("size > 0")
     distinct = save(some.groupBy("shape").agg(F.min("row").alias("row"), F.min(order_id("id")).alias("least")), "distinct")
-    chosen = own.where("size > 0").join(distinct.select("row"), "row", "left_semi")
-    buckets = chosen.select(F.explode("keys").alias("key"), "shape", "size").distinct()
+    chosen = save(own.where("size > 0").drop("id", "set").join(distinct.select("row"), "row", "left_semi"), "chosen")
+    buckets = chosen.select(F.explode("keys").alias("key"), "shape")
     if further:
         buckets = buckets.union(further(chosen))
-    roots = components(links(buckets, chosen.select("shape", "set"), share, **units)).withColumnRenamed("node", "shape")
+    linked = links(buckets, chosen.select("shape", "row", "size"), own.select("row", "set"), share, **units)
+    roots = components(linked).withColumnRenamed("node", "shape")
     named = save(distinct.drop("row").join(roots, "shape", "left").withColumn("root", F.coalesce("root", "shape")), "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return save(named.join(least, "root").select("shape", "root", "component_id"), "groups")

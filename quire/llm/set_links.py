@@ -156,30 +156,34 @@ def _units(share: Fraction):
     return run
 
 
-def links(buckets: DataFrame, sets: DataFrame, share: Fraction, chunk: int = CHUNK, words: int = WORDS) -> DataFrame:
+def links(buckets: DataFrame, shapes: DataFrame, sets: DataFrame, share: Fraction, chunk: int = CHUNK, words: int = WORDS) -> DataFrame:
     """Links (a, b) that join all sets which share a bucket and whose Jaccard similarity is at least ``share``.
 
-    ``buckets`` has distinct rows (key, shape, size), ``sets`` one row (shape, set array<long> in unsigned order) per shape.
+    ``buckets`` has rows (key, shape), ``shapes`` one row (shape, row, size) per shape, ``sets`` rows (row, set array<long> in
+    unsigned order), more than the shapes' own perhaps. Only sets that share a bucket are read on.
     """
     crowded = save(buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("shape").alias("center")).where("n > 1"), "crowded")
     members = save(buckets.join(crowded, "key").where("shape <> center"), "members")
     edges = save(members.select("shape", "center").distinct(), "edges")
+    wanted = shapes.join(edges.select("shape").union(edges.select("center")).distinct(), "shape", "left_semi")
+    sets = save(sets.join(save(wanted, "wanted"), "row").select("shape", "size", "set"), "wanted_sets")
     parts = edges.groupBy("center").agg(F.ceil(F.count("*") / SPLIT).alias("parts")).where("parts > 1")
     edges = edges.join(parts, "center", "left").withColumn("part", F.pmod(F.xxhash64("shape"), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
     asked = edges.join(sets, "shape").select("center", "part", F.lit(True).alias("member"), "shape", "set")
-    centers = edges.select("center", "part").distinct().join(sets.withColumnRenamed("shape", "center"), "center").select("center", "part", F.lit(False).alias("member"), F.col("center").alias("shape"), "set")
+    own = sets.select(F.col("shape").alias("center"), "set")
+    centers = edges.select("center", "part").distinct().join(own, "center").select("center", "part", F.lit(False).alias("member"), F.col("center").alias("shape"), "set")
     stars = asked.union(centers).repartition("center", "part").sortWithinPartitions("center", "part", "member")
     linked = save(stars.mapInArrow(_stars(share), LINKS), "linked")
 
     roots = components(linked).select(F.col("node").alias("shape"), "root")
-    rest = members.where("n > 2").join(roots, "shape", "left").withColumn("root", F.coalesce("root", "shape"))
-    rest = save(rest.select("key", "shape", "size", "root"), "rest")
+    rest = members.where("n > 2").join(roots, "shape", "left").join(sets.select("shape", "size"), "shape")
+    rest = save(rest.select("key", "shape", "size", F.coalesce("root", "shape").alias("root")), "rest")
     open_ = rest.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("root").alias("least"), F.max("root").alias("most"), F.bit_xor("shape").alias("x"), F.bit_xor(F.xxhash64("shape")).alias("y")).where("least < most")
     # Buckets of the same sets are compared once.
     open_ = open_.groupBy("n", "words", "x", "y").agg(F.min("key").alias("key"))
     open_ = open_.select("key", F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("words") / words)).alias("chunks"))
-    dealt_ = dealt(rest.join(save(open_, "open"), "key").drop("size"), "key", "shape")
-    met = dealt_.join(sets, "shape").select("unit", "shape", "root", "set").repartition("unit").sortWithinPartitions("unit", "shape")
+    units = dealt(rest.join(save(open_, "open"), "key").drop("size"), "key", "shape")
+    met = units.join(sets, "shape").select("unit", "shape", "root", "set").repartition("unit").sortWithinPartitions("unit", "shape")
     return linked.union(met.mapInArrow(_units(share), LINKS))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -177,11 +178,10 @@ def test_minhash_near_duplicates(spark, docs, none, how, monkeypatch):
 def test_star_leaves_no_link_behind(spark):
     """Two sets that are alike, but unlike the smallest of their bucket, are linked."""
     made = {5: range(0, 100), 6: range(50, 150), 7: range(52, 150), 8: range(51, 150), 9: range(53, 153)}
-    sets = spark.createDataFrame([(k, sorted(v)) for k, v in made.items()], "shape long, set array<long>")
-    buckets = spark.createDataFrame([(1, k, len(v)) for k, v in made.items()] + [(2, k, len(v)) for k, v in made.items()], "key long, shape long, size long")
-    from fractions import Fraction
-
-    found = set_links.links(buckets, sets, Fraction(9, 10)).collect()
+    sets = spark.createDataFrame([(k + 10, sorted(v)) for k, v in made.items()] + [(1, [1, 2])], "row long, set array<long>")
+    shapes = spark.createDataFrame([(k, k + 10, len(v)) for k, v in made.items()], "shape long, row long, size long")
+    buckets = spark.createDataFrame([(key, k) for key in (1, 2) for k in made], "key long, shape long")
+    found = set_links.links(buckets, shapes, sets, Fraction(9, 10)).collect()
     joined = {frozenset((r["a"], r["b"])) for r in found}
     assert 5 not in {x for pair in joined for x in pair} and {x for pair in joined for x in pair} == {6, 7, 8, 9} and len(joined) == 3
 
