@@ -16,6 +16,8 @@ from quire.session import work_folder
 
 #: A null id stands after every other id.
 LAST = 2**63 - 1
+#: Bytes of a batch that a rule sees at a time.
+PART = 8 << 20
 
 
 def save(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -38,12 +40,13 @@ def save(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(schema).parquet(folder)
 
 
-def discard(saved: DataFrame) -> None:
+def discard(*saved: DataFrame) -> None:
     """Deletes what ``save`` has written, once nothing will read it again."""
-    jvm, conf = saved.sparkSession.sparkContext._jvm, saved.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {name.rpartition("/")[0] for name in saved.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    for table in saved:
+        jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def order_id(column: str) -> Column:
@@ -51,18 +54,23 @@ def order_id(column: str) -> Column:
 
 
 def map_batches(df: DataFrame, rule: Callable[[pa.RecordBatch], dict | None], schema: str | T.StructType) -> DataFrame:
-    """``rule`` turns an Arrow batch into the columns of the result (None: no rows)."""
+    """``rule`` turns an Arrow batch into the columns of the result (None: no rows).
+
+    A large batch is handed over in parts, so that what a rule holds at a time is bounded by ``PART`` bytes or one row.
+    """
     shape = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = rule(batch)
-            if columns is not None:
-                arrays = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip((columns[f.name] for f in arrow), arrow)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        for whole in batches:
+            step = max(1, whole.num_rows * PART // max(PART, whole.nbytes))
+            for batch in (whole.slice(at, step) for at in range(0, max(1, whole.num_rows), step)):
+                columns = rule(batch)
+                if columns is not None:
+                    arrays = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip((columns[f.name] for f in arrow), arrow)]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, shape)
 

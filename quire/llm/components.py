@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import save
+from quire.llm.common import discard, save
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -16,7 +16,9 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour."""
     both = _both_ways(links)
     least = save(both.groupBy("a").agg(F.min("b").alias("least")), "large_star")
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
+    out = save(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct(), "links")
+    discard(least)
+    return out
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -24,7 +26,9 @@ def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = save(down.groupBy("a").agg(F.min("b").alias("least")), "small_star")
     moved = down.join(least, "a").where("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return moved.union(least.select("a", F.col("least").alias("b"))).distinct()
+    out = save(moved.union(least.select("a", F.col("least").alias("b"))).distinct(), "links")
+    discard(least)
+    return out
 
 
 def _state(links: DataFrame) -> tuple:
@@ -39,7 +43,10 @@ def components(links: DataFrame) -> DataFrame:
     links = save(links.where("a <> b").distinct(), "links")
     state = _state(links)
     while state[0]:
-        links = save(_small_star(save(_large_star(links), "links")), "links")
+        large = _large_star(links)
+        small = _small_star(large)
+        discard(links, large)
+        links = small
         after = _state(links)
         if after == state:
             break

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import rolling
-from quire.llm.common import LAST, map_batches, order_id, save
+from quire.llm.common import LAST, discard, map_batches, order_id, save
 from quire.llm.components import components
 from quire.llm.set_links import links, shapes, shingle_sets
 
@@ -69,15 +69,18 @@ def band_keys(hashes: np.ndarray, bounds: np.ndarray, bands: int, rows: int) ->
     return np.concatenate(made)
 
 
-def sets(docs: DataFrame, shingle: int, bands: int, rows: int, text_col: str = "text") -> DataFrame:
-    """Adds ``size`` (of a text's set of word shingles), ``shape`` (a hash of the set), ``keys`` (one per band; none for an empty set) and ``set``."""
+def sets(docs: DataFrame, shingle: int, bands: int, rows: int, text_col: str = "text", **also: Callable[[rolling.Texts], np.ndarray]) -> DataFrame:
+    """Turns the text into ``size`` (of a text's set of word shingles), ``shape`` (a hash of the set), ``keys`` (one per band; none for an empty set) and ``set``; ``also`` into further longs."""
     columns = [c for c in docs.columns if c != text_col]
     place = docs.columns.index(text_col)
     places = {c: docs.columns.index(c) for c in columns}
 
     def rule(batch: pa.RecordBatch) -> dict:
         size, shape, keys, offsets, values = [], [], [], [np.zeros(1, np.int64)], []
+        more = {name: [np.zeros(0, np.int64)] for name in also}
         for block in rolling.texts(batch.column(place)):
+            for name, made in also.items():
+                more[name].append(made(block))
             hashes, bounds = shingle_sets(block, shingle)
             n = np.diff(bounds)
             full = n > 0
@@ -89,9 +92,9 @@ def sets(docs: DataFrame, shingle: int, bands: int, rows: int, text_col: str = "
             values.append(hashes.view(np.int64))
         whole = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets), pa.int32()), pa.array(np.concatenate(values) if values else [], pa.int64()))
         out = {c: batch.column(i) for c, i in places.items()}
-        return out | {"size": np.concatenate(size or [np.zeros(0, np.int64)]), "shape": np.concatenate(shape or [np.zeros(0, np.int64)]), "keys": pa.array(keys, pa.list_(pa.int64())), "set": whole}
+        return out | {"size": np.concatenate(size or [np.zeros(0, np.int64)]), "shape": np.concatenate(shape or [np.zeros(0, np.int64)]), "keys": pa.array(keys, pa.list_(pa.int64())), "set": whole} | {name: np.concatenate(made) for name, made in more.items()}
 
-    kinds = [T.StructField("size", T.LongType()), T.StructField("shape", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("set", T.ArrayType(T.LongType()))]
+    kinds = [T.StructField("size", T.LongType()), T.StructField("shape", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("set", T.ArrayType(T.LongType())), *(T.StructField(name, T.LongType()) for name in also)]
     return map_batches(docs, rule, T.StructType([*(docs.schema[c] for c in columns), *kinds]))
 
 
@@ -107,9 +110,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.85, shingle: int = 5,
     """
     ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     own = save(sets(ids, shingle, bands, rows), "sets")
+    narrow = save(own.select("id", "size", "shape"), "rows")
     named = grouped(own, Fraction(str(similarity)), **units)
+    discard(own)
     component = F.coalesce("component_id", order_id("id"))
-    return own.select("id", "size", "shape").join(named, "shape", "left").select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "shape", F.nullif(component, F.lit(LAST)).alias("component_id"))
+    return narrow.join(named, "shape", "left").select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "shape", F.nullif(component, F.lit(LAST)).alias("component_id"))
 
 
 def grouped(own: DataFrame, share: Fraction, further: Callable[[DataFrame], DataFrame] | None = None, empty: bool = False, **units: int) -> DataFrame:
@@ -125,7 +130,9 @@ def grouped(own: DataFrame, share: Fraction, further: Callable[[DataFrame], Data
     if further:
         buckets = buckets.union(further(chosen))
     linked = links(buckets, chosen.select("shape", "row", "size"), own.select("row", "set"), share, **units)
-    roots = components(linked).withColumnRenamed("node", "shape")
-    named = save(distinct.drop("row").join(roots, "shape", "left").withColumn("root", F.coalesce("root", "shape")), "named")
+    roots = components(linked)
+    named = save(distinct.drop("row").join(roots.withColumnRenamed("node", "shape"), "shape", "left").withColumn("root", F.coalesce("root", "shape")), "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return save(named.join(least, "root").select("shape", "root", "component_id"), "groups")
+    out = save(named.join(least, "root").select("shape", "root", "component_id"), "groups")
+    discard(distinct, chosen, linked, roots, named)
+    return out

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import rolling
-from quire.llm.common import map_batches, save
+from quire.llm.common import discard, map_batches, save
 
 U64 = np.uint64
 #: Thresholds tried per measure; they are quantiles over all labelled documents.
@@ -257,7 +257,10 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass the base rule and the list learned from ``labels``; columns as they are."""
     mine = features(docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")), "text").drop("text")
-    rules = learn(training_rows(save(mine.withColumnRenamed("row", id_col), "features"), labels, id_col))
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    counted = save(mine.withColumnRenamed("row", id_col), "features")
+    rules = learn(training_rows(counted, labels, id_col))
+    discard(counted)
+    others = [c for c in docs.columns if c != text_col]
+    whole = docs.select(F.struct(*others).alias("row"), F.col(text_col).alias("text"))
     kept = features(whole, "text").where(~base_failed() & verdict(rules))
-    return kept.select("row.*")
+    return kept.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))

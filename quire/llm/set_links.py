@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import rolling
-from quire.llm.common import save
+from quire.llm.common import discard, save
 from quire.llm.components import components
 
 U64 = np.uint64
 #: Members of a star's part; sets and set elements of a chunk whose units are compared as a whole.
 SPLIT, CHUNK, WORDS = 4096, 2048, 1 << 20
+#: Row numbers, of 24 bytes each, that may be sent to every task.
+SENT = 1 << 21
 LINKS = "a long, b long"
 
 
@@ -166,25 +168,30 @@ def links(buckets: DataFrame, shapes: DataFrame, sets: DataFrame, share: Fractio
     members = save(buckets.join(crowded, "key").where("shape <> center"), "members")
     edges = save(members.select("shape", "center").distinct(), "edges")
     wanted = shapes.join(edges.select("shape").union(edges.select("center")).distinct(), "shape", "left_semi")
-    sets = save(sets.join(save(wanted, "wanted"), "row").select("shape", "size", "set"), "wanted_sets")
+    wanted = save(wanted, "wanted")
+    # Few enough row numbers are sent to where the sets lie, instead of all sets to them.
+    rows = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+    whole = save(sets.join(rows, "row").select("shape", "size", "set"), "wanted_sets")
     parts = edges.groupBy("center").agg(F.ceil(F.count("*") / SPLIT).alias("parts")).where("parts > 1")
-    edges = edges.join(parts, "center", "left").withColumn("part", F.pmod(F.xxhash64("shape"), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
-    asked = edges.join(sets, "shape").select("center", "part", F.lit(True).alias("member"), "shape", "set")
-    own = sets.select(F.col("shape").alias("center"), "set")
-    centers = edges.select("center", "part").distinct().join(own, "center").select("center", "part", F.lit(False).alias("member"), F.col("center").alias("shape"), "set")
+    dealt_edges = edges.join(parts, "center", "left").withColumn("part", F.pmod(F.xxhash64("shape"), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
+    asked = dealt_edges.join(whole, "shape").select("center", "part", F.lit(True).alias("member"), "shape", "set")
+    own = whole.select(F.col("shape").alias("center"), "set")
+    centers = dealt_edges.select("center", "part").distinct().join(own, "center").select("center", "part", F.lit(False).alias("member"), F.col("center").alias("shape"), "set")
     stars = asked.union(centers).repartition("center", "part").sortWithinPartitions("center", "part", "member")
     linked = save(stars.mapInArrow(_stars(share), LINKS), "linked")
 
-    roots = components(linked).select(F.col("node").alias("shape"), "root")
-    rest = members.where("n > 2").join(roots, "shape", "left").join(sets.select("shape", "size"), "shape")
+    found = components(linked)
+    rest = members.where("n > 2").join(found.select(F.col("node").alias("shape"), "root"), "shape", "left").join(whole.select("shape", "size"), "shape")
     rest = save(rest.select("key", "shape", "size", F.coalesce("root", "shape").alias("root")), "rest")
-    open_ = rest.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("root").alias("least"), F.max("root").alias("most"), F.bit_xor("shape").alias("x"), F.bit_xor(F.xxhash64("shape")).alias("y")).where("least < most")
+    apart = rest.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("root").alias("least"), F.max("root").alias("most"), F.bit_xor("shape").alias("x"), F.bit_xor(F.xxhash64("shape")).alias("y")).where("least < most")
     # Buckets of the same sets are compared once.
-    open_ = open_.groupBy("n", "words", "x", "y").agg(F.min("key").alias("key"))
-    open_ = open_.select("key", F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("words") / words)).alias("chunks"))
-    units = dealt(rest.join(save(open_, "open"), "key").drop("size"), "key", "shape")
-    met = units.join(sets, "shape").select("unit", "shape", "root", "set").repartition("unit").sortWithinPartitions("unit", "shape")
-    return linked.union(met.mapInArrow(_units(share), LINKS))
+    apart = apart.groupBy("n", "words", "x", "y").agg(F.min("key").alias("key"))
+    apart = save(apart.select("key", F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("words") / words)).alias("chunks")), "apart")
+    units = dealt(rest.join(apart, "key").drop("size"), "key", "shape")
+    met = units.join(whole, "shape").select("unit", "shape", "root", "set").repartition("unit").sortWithinPartitions("unit", "shape")
+    out = save(linked.union(met.mapInArrow(_units(share), LINKS)), "set_links")
+    discard(crowded, members, edges, wanted, whole, linked, found, rest, apart)
+    return out
 
 
 def dealt(members: DataFrame, group: str, node: str) -> DataFrame:

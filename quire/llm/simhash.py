@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import minhash, rolling
-from quire.llm.common import LAST, map_batches, order_id, save
+from quire.llm.common import LAST, discard, map_batches, order_id, save
 from quire.llm.components import components
 from quire.llm.set_links import dealt
 
@@ -47,6 +47,12 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(U64)[0])
 
 
+def prints(block: rolling.Texts, shingle: int) -> np.ndarray:
+    """The fingerprint of every text of the block, as a long."""
+    data = block.data.tobytes().lower()
+    return np.array([fingerprint(data[a:b].split(), shingle) for a, b in zip(block.bounds[:-1], block.bounds[1:])], U64).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, text_col: str = "text", name: str = "fingerprint") -> DataFrame:
     """Adds the 64-bit SimHash of a text's word shingles, as a long.
 
@@ -58,11 +64,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text_col: str = "text", name
     place = columns.index(text_col)
 
     def rule(batch: pa.RecordBatch) -> dict:
-        made = []
-        for block in rolling.texts(batch.column(place)):
-            data = block.data.tobytes().lower()
-            made.extend(fingerprint(data[a:b].split(), shingle) for a, b in zip(block.bounds[:-1], block.bounds[1:]))
-        return {c: batch.column(i) for i, c in enumerate(columns)} | {name: np.array(made, U64).view(np.int64)}
+        made = [np.zeros(0, np.int64), *(prints(block, shingle) for block in rolling.texts(batch.column(place)))]
+        return {c: batch.column(i) for i, c in enumerate(columns)} | {name: np.concatenate(made)}
 
     schema = T.StructType([*(f for f in docs.schema.fields if f.name in columns), T.StructField(name, T.LongType())])
     return map_batches(docs.select(*columns), rule, schema)
@@ -215,15 +218,17 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radi
     28 bands in 4 of ten million cases. Texts without words are one shape.
     """
     ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    own = save(minhash.sets(fingerprints(ids, shingle), shingle, bands, rows), "sets")
+    own = save(minhash.sets(ids, shingle, bands, rows, fingerprint=lambda block: prints(block, shingle)), "sets")
+    narrow = save(own.select("id", "text_hash", "shape"), "rows")
 
     def alike(chosen: DataFrame) -> DataFrame:
-        prints = chosen.select("fingerprint", "shape")
-        near = components(links(prints.select("fingerprint").distinct(), radius)).withColumnsRenamed({"node": "fingerprint", "root": "near"})
-        return prints.join(near, "fingerprint", "left").select(F.xxhash64(F.lit("near"), F.coalesce("near", "fingerprint")).alias("key"), "shape")
+        marked = chosen.select("fingerprint", "shape")
+        near = components(links(marked.select("fingerprint").distinct(), radius)).withColumnsRenamed({"node": "fingerprint", "root": "near"})
+        return marked.join(near, "fingerprint", "left").select(F.xxhash64(F.lit("near"), F.coalesce("near", "fingerprint")).alias("key"), "shape")
 
     named = minhash.grouped(own, Fraction(str(similarity)), alike, empty=True, **units)
-    out = own.select("id", "text_hash", "shape").join(named, "shape")
+    discard(own)
+    out = narrow.join(named, "shape")
     return out.select(F.col("id").alias(id_col), "text_hash", "shape", "root", F.nullif("component_id", F.lit(LAST)).alias("component_id"))
 
 
