@@ -24,8 +24,8 @@ from quire.llm.components import components
 from quire.llm.set_links import links, shapes, shingle_sets
 
 U64 = np.uint64
-#: Bands and signs per band; texts whose bins are filled in one go.
-BANDS, ROWS, TOGETHER = 20, 4, 4096
+#: Bands and signs per band; texts whose bins are filled in one go; bytes of text handled in one go.
+BANDS, ROWS, TOGETHER, BLOCK = 20, 4, 2048, 1 << 18
 
 
 @cache
@@ -78,7 +78,7 @@ def sets(docs: DataFrame, shingle: int, bands: int, rows: int, text_col: str = "
     def rule(batch: pa.RecordBatch) -> dict:
         size, shape, keys, offsets, values = [], [], [], [np.zeros(1, np.int64)], []
         more = {name: [np.zeros(0, np.int64)] for name in also}
-        for block in rolling.texts(batch.column(place)):
+        for block in rolling.texts(batch.column(place), BLOCK):
             for name, made in also.items():
                 more[name].append(made(block))
             hashes, bounds = shingle_sets(block, shingle)

@@ -73,7 +73,7 @@ class Texts(NamedTuple):
     bounds: np.ndarray
 
 
-def texts(column: pa.Array, limit: int = 1 << 20) -> Iterator[Texts]:
+def texts(column: pa.Array, limit: int = 1 << 18) -> Iterator[Texts]:
     """The column's texts in blocks of about ``limit`` bytes; a longer text is a block of its own. Null is empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     n = len(column)

@@ -23,7 +23,7 @@ from quire.llm.components import components
 U64 = np.uint64
 #: Members of a star's part; sets and set elements of a chunk whose units are compared as a whole.
 SPLIT, CHUNK, WORDS = 4096, 2048, 1 << 20
-#: Row numbers, of 24 bytes each, that may be sent to every task.
+#: Rows, of some 32 bytes, of a table that may be sent to every task.
 SENT = 1 << 21
 LINKS = "a long, b long"
 
@@ -158,6 +158,11 @@ def _units(share: Fraction):
     return run
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table, sent to every task if it has few enough rows: the other side then stays where it lies."""
+    return F.broadcast(table) if table.count() <= SENT else table
+
+
 def links(buckets: DataFrame, shapes: DataFrame, sets: DataFrame, share: Fraction, chunk: int = CHUNK, words: int = WORDS) -> DataFrame:
     """Links (a, b) that join all sets which share a bucket and whose Jaccard similarity is at least ``share``.
 
@@ -165,18 +170,18 @@ def links(buckets: DataFrame, shapes: DataFrame, sets: DataFrame, share: Fractio
     unsigned order), more than the shapes' own perhaps. Only sets that share a bucket are read on.
     """
     crowded = save(buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("shape").alias("center")).where("n > 1"), "crowded")
-    members = save(buckets.join(crowded, "key").where("shape <> center"), "members")
+    members = save(buckets.join(_sent(crowded), "key").where("shape <> center"), "members")
     edges = save(members.select("shape", "center").distinct(), "edges")
     wanted = shapes.join(edges.select("shape").union(edges.select("center")).distinct(), "shape", "left_semi")
     wanted = save(wanted, "wanted")
-    # Few enough row numbers are sent to where the sets lie, instead of all sets to them.
-    rows = F.broadcast(wanted) if wanted.count() <= SENT else wanted
-    whole = save(sets.join(rows, "row").select("shape", "size", "set"), "wanted_sets")
+    whole = save(sets.join(_sent(wanted), "row").select("shape", "size", "set"), "wanted_sets")
     parts = edges.groupBy("center").agg(F.ceil(F.count("*") / SPLIT).alias("parts")).where("parts > 1")
-    dealt_edges = edges.join(parts, "center", "left").withColumn("part", F.pmod(F.xxhash64("shape"), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
-    asked = dealt_edges.join(whole, "shape").select("center", "part", F.lit(True).alias("member"), "shape", "set")
+    pairs = edges.join(parts, "center", "left").withColumn("part", F.pmod(F.xxhash64("shape"), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
+    pairs = save(pairs, "pairs")
+    asked = whole.join(_sent(pairs), "shape").select("center", "part", F.lit(True).alias("member"), "shape", "set")
     own = whole.select(F.col("shape").alias("center"), "set")
-    centers = dealt_edges.select("center", "part").distinct().join(own, "center").select("center", "part", F.lit(False).alias("member"), F.col("center").alias("shape"), "set")
+    heads = save(pairs.select("center", "part").distinct(), "heads")
+    centers = own.join(_sent(heads), "center").select("center", "part", F.lit(False).alias("member"), F.col("center").alias("shape"), "set")
     stars = asked.union(centers).repartition("center", "part").sortWithinPartitions("center", "part", "member")
     linked = save(stars.mapInArrow(_stars(share), LINKS), "linked")
 
@@ -187,10 +192,10 @@ def links(buckets: DataFrame, shapes: DataFrame, sets: DataFrame, share: Fractio
     # Buckets of the same sets are compared once.
     apart = apart.groupBy("n", "words", "x", "y").agg(F.min("key").alias("key"))
     apart = save(apart.select("key", F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("words") / words)).alias("chunks")), "apart")
-    units = dealt(rest.join(apart, "key").drop("size"), "key", "shape")
-    met = units.join(whole, "shape").select("unit", "shape", "root", "set").repartition("unit").sortWithinPartitions("unit", "shape")
+    units = save(dealt(rest.join(_sent(apart), "key").drop("size"), "key", "shape"), "units")
+    met = whole.join(_sent(units), "shape").select("unit", "shape", "root", "set").repartition("unit").sortWithinPartitions("unit", "shape")
     out = save(linked.union(met.mapInArrow(_units(share), LINKS)), "set_links")
-    discard(crowded, members, edges, wanted, whole, linked, found, rest, apart)
+    discard(crowded, members, edges, wanted, whole, pairs, heads, linked, found, rest, apart, units)
     return out
 
 
