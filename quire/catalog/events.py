@@ -23,7 +23,7 @@ def rate_windows_stream(spark, d):
     return out.withColumn("window_start", F.unix_seconds("window_start"))
 
 
-def _job_events(df):
+def _job_events(df, *more):
     """Six events to a job: queued, started, progress, a file, facts, and an end (some fail, some go on)."""
     n, k = F.col("event_id"), F.col("event_id") % 6
     going = F.col("event_type") == "view"
@@ -34,7 +34,7 @@ def _job_events(df):
         F.when(k == 2, "reading").when((k == 5) & going, "saving").alias("step"), F.when((k == 2) | ((k == 5) & going), v).alias("done"), F.when((k == 2) | ((k == 5) & going), F.lit(500)).alias("total"),
         F.when(k == 3, F.struct(F.concat(F.lit("f"), n.cast("string")).alias("name"), (v * 100).cast("long").alias("size"))).alias("file"),
         F.when(k == 4, F.create_map(F.lit("pages"), v.cast("string"), F.lit("mode"), F.col("event_type"))).when(k == 1, F.create_map(F.lit("mode"), F.lit("early"), F.lit("start"), v.cast("string"))).alias("summary"),
-        F.when((k == 5) & (F.col("event_type") == "error"), "PROCESSING_FAILED").alias("error"))
+        F.when((k == 5) & (F.col("event_type") == "error"), "PROCESSING_FAILED").alias("error"), *more)
 
 
 def job_states(spark, d):
@@ -60,6 +60,68 @@ def job_states_late(spark, d):
     return states.select("job_id", "status", "step", "done", "total", "files", "bytes", "error", F.unix_seconds("created_at").alias("created"), F.unix_seconds("ended_at").alias("ended"), F.col("summary")["pages"].alias("pages"), F.col("summary")["mode"].alias("mode"), F.col("summary")["start"].alias("start"))
 
 
+def job_states_handed_over(spark, d):
+    """The first half of every job's events read as a table, the second as a stream that goes on from it."""
+    early, rest = F.col("event_id") % 6 < 3, F.col("event_id") % 6 >= 3
+    first = _job_events(events(spark, d).where(early))
+    stream = _job_events(live.event_stream(spark, d, "events").where(rest))
+    out, _ = live.run_to_table(live.job_states(stream, seed=live.job_seed(first)), "jobs", "update", ["job_id", "event"])
+    states = out.filter("event = 'state'").drop("event")
+    # Jobs that the stream says nothing of are as the table left them.
+    quiet = jobs.job_states(first).join(states.select("job_id"), "job_id", "left_anti")
+    both = states.unionByName(quiet.select(*[F.col(f.name).cast(f.dataType) for f in states.schema.fields]))
+    return both.select("job_id", "status", "step", "done", "total", "files", "bytes", "error", F.unix_seconds("created_at").alias("created"), F.unix_seconds("ended_at").alias("ended"), F.col("summary")["pages"].alias("pages"), F.col("summary")["mode"].alias("mode"), F.col("summary")["start"].alias("start"))
+
+
+def _ops_events(df):
+    """Job events with who asked, whether it counts as processing, and two stages that begin and end."""
+    k = F.col("seq") % 6
+    stage = F.when(k.isin(1, 5), "work").when(k.isin(2, 3), "read")
+    mark = F.when(k.isin(1, 2), "active").when((k == 3) | F.col("status").isin("completed", "failed"), "done")
+    made = _job_events(df, F.col("user_id").alias("client"), (F.col("event_type") == "purchase").alias("heavy"))
+    return made.withColumns({"mark": mark, "stage": F.when(mark.isNotNull(), stage)})
+
+
+def _arriving(spark, d, batch, batches):
+    """The event table as a stream of ``batches`` batches, each of several files; ``batch`` numbers them."""
+    folder, files = work_folder(spark, "arriving"), 4
+    rows = events(spark, d, "event_id", "event_type", "value", "ts", "user_id")
+    for i in range(batches):
+        rows.where(batch == i).repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", str(files)).parquet(folder)
+
+
+def _share(spark, d, parts):
+    """Which of ``parts`` equal stretches of time an event lies in."""
+    n = events(spark, d, "event_id").agg(F.max("event_id") + 1).first()[0] or 1
+    return F.floor(F.col("event_id") * parts / n)
+
+
+def ops_stream(spark, d):
+    """One streaming query from events to job states, expired jobs, stages and rates, as one table of its tables."""
+    stream = _ops_events(_arriving(spark, d, _share(spark, d, 6), 6))
+    made = live.ops_stream(stream, work_folder(spark, "ops"))
+    empty = {"key": "long", "status": "string", "step": "string", "done": "long", "files": "long", "bytes": "long", "begun": "long", "ended": "long", "seconds": "double"}
+
+    def rows(kind, key, **columns):
+        return made[kind].select(F.lit(kind).alias("kind"), F.col(key).alias("key"), *[columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in empty.items() if c != "key"])
+
+    at = F.unix_seconds
+    out = rows("jobs", "job_id", **{c: F.col(c) for c in ("status", "step", "done", "files", "bytes")}, begun=at("created_at"), ended=at("ended_at"))
+    out = out.union(rows("expired", "job_id", status=F.col("status"), ended=at("expires_at")))
+    out = out.union(rows("stages", "job_id", step=F.col("stage"), begun=at("started"), ended=at("ended"), seconds=F.col("seconds")))
+    out = out.union(rows("rates", "client", begun=at("window_start"), done=F.col("requests"), files=F.col("processing")))
+    return out.union(rows("late", "job_id", begun=at("at")))
+
+
+def late_rows(spark, d):
+    """Events that come after the watermark of their batch, kept with the epoch they came in: every seventh arrives a stretch of time too late."""
+    share = _share(spark, d, 6)
+    stream = _ops_events(_arriving(spark, d, share + F.when(F.col("event_id") % 7 == 3, 1).otherwise(0), 7))
+    late = live.ops_stream(stream, work_folder(spark, "late"))["late"]
+    return late.select("job_id", "client", F.unix_seconds("at").alias("at"), "seq", "epoch")
+
+
 def expired_jobs(spark, d):
     s = jobs.job_states(_job_events(events(spark, d)))
     return jobs.expired(s, F.lit("2024-01-01 10:00:00Z").cast("timestamp")).select("job_id", "status", F.unix_seconds("expires_at").alias("expires"))
@@ -153,7 +215,7 @@ def corpus_export_html(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    rate_windows, rate_windows_stream, job_states, job_states_stream, job_states_late, expired_jobs, progress_events, stage_durations, stage_durations_stream, clean_stream, ocr_table, page_json, checked_json, quarantined_json,
+    rate_windows, rate_windows_stream, job_states, job_states_stream, job_states_late, job_states_handed_over, ops_stream, late_rows, expired_jobs, progress_events, stage_durations, stage_durations_stream, clean_stream, ocr_table, page_json, checked_json, quarantined_json,
     corpus_export, corpus_export_html)}
 
 from quire.catalog.layout import WORDS_SQL  # noqa: E402
@@ -177,6 +239,18 @@ ORACLE = {
     "job_states": _JOBS + " SELECT * FROM o",
     "job_states_stream": _JOBS + " SELECT * FROM o",
     "job_states_late": _JOBS + " SELECT * FROM o",
+    "job_states_handed_over": _JOBS + " SELECT * FROM o",
+    "ops_stream": _JOBS + """, w AS (SELECT max(tm) - 600 AS edge FROM e),
+g AS (SELECT job_id, 'work' AS step, max(tm) FILTER (k = 1) AS begun, max(tm) FILTER (k = 5 AND t <> 'view') AS ended FROM e GROUP BY job_id UNION ALL SELECT job_id, 'read', max(tm) FILTER (k = 2), max(tm) FILTER (k = 3) FROM e GROUP BY job_id),
+r AS (SELECT user_id, tm // 900 * 900 AS begun, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS heavy FROM (SELECT user_id, event_type, 1704067200 + event_id * 10 AS tm FROM events) GROUP BY ALL)
+SELECT 'jobs' AS kind, job_id AS key, status, step, done::BIGINT AS done, files, bytes, created AS begun, ended, NULL::DOUBLE AS seconds FROM o
+UNION ALL SELECT 'expired', job_id, status, NULL, NULL, NULL, NULL, NULL, ended + 1800, NULL FROM o, w WHERE ended + 1800 <= edge
+UNION ALL SELECT 'stages', job_id, NULL, step, NULL, NULL, NULL, begun, ended, (ended - begun)::DOUBLE FROM g WHERE begun IS NOT NULL OR ended IS NOT NULL
+UNION ALL SELECT 'rates', user_id, NULL, NULL, n, heavy, NULL, begun, NULL, NULL FROM r""",
+    "late_rows": """WITH n AS (SELECT max(event_id) + 1 AS n FROM events),
+e AS (SELECT event_id, user_id, 1704067200 + event_id * 10 AS tm, event_id * 6 // n + CASE WHEN event_id % 7 = 3 THEN 1 ELSE 0 END AS b FROM events, n),
+m AS (SELECT b, max(max(tm)) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 600 AS edge FROM e GROUP BY b)
+SELECT event_id // 6 AS job_id, user_id AS client, tm AS "at", event_id AS seq, e.b::INTEGER AS epoch FROM e JOIN m ON e.b = m.b WHERE tm < edge""",
     "expired_jobs": _JOBS + " SELECT job_id, status, ended + 1800 AS expires FROM o WHERE ended + 1800 <= epoch(TIMESTAMP '2024-01-01 10:00:00')",
     "progress_events": f"WITH {_PROGRESS} SELECT run_id, tm AS \"at\", type, stage, status, lines, code FROM p",
     "stage_durations": f"WITH {_STAGES} SELECT s.run_id, stage, started, ended, (ended - started)::DOUBLE AS seconds, lines, outcome FROM s LEFT JOIN o USING (run_id)",

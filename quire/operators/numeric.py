@@ -69,7 +69,7 @@ def robust_stretch(df: DataFrame, by: list[str], value: str, low: float = 0, hig
     spread = tonal_range(df, by, value, low, high)
     scaled = (bin_of(F.col(value), low, high) - F.col("lo")) * (F.lit(255.0) / (F.col("hi") - F.col("lo")))
     level = F.when(F.col("stretch"), F.bround(F.greatest(F.lit(0.0), F.least(F.lit(255.0), scaled)))).otherwise(bin_of(F.col(value), low, high))
-    return df.join(spread, by).withColumn("stretched", level.cast("int")).drop("lo", "hi", "stretch")
+    return ranks.with_keys(df, spread, by).withColumn("stretched", level.cast("int")).drop("lo", "hi", "stretch")
 
 
 def mad_outliers(df: DataFrame, by: list[str], value: str, k: float = 10.0, minimum: float = 40.0) -> DataFrame:
@@ -79,15 +79,15 @@ def mad_outliers(df: DataFrame, by: list[str], value: str, k: float = 10.0, mini
     are counted in one pass.
     """
     middle = ranks.median(df, by, value, "_median").drop("n")
-    spread = ranks.median(df.join(middle, by).withColumn("_away", F.abs(F.col(value) - F.col("_median"))), by, "_away", "_mad").drop("n")
-    base = middle.join(spread, by).select(*by, "_median", "_mad", F.greatest(F.lit(minimum), F.col("_median") + k * (F.col("_mad") * MAD_SCALE + 1.0)).alias("_floor"))
+    spread = ranks.median(ranks.with_keys(df, middle, by).withColumn("_away", F.abs(F.col(value) - F.col("_median"))), by, "_away", "_mad").drop("n")
+    base = ranks.with_keys(middle, spread, by).select(*by, "_median", "_mad", F.greatest(F.lit(minimum), F.col("_median") + k * (F.col("_mad") * MAD_SCALE + 1.0)).alias("_floor"))
     candidates = [F.col("_floor") * MAD_RAISE**i for i in range(MAD_STEPS)]
-    counts = df.join(base, by).groupBy(*by, "_median", "_mad", "_floor").agg(F.count(value).alias("_n"), *[F.count_if(F.col(value) > c).alias(f"_c{i}") for i, c in enumerate(candidates)])
+    counts = ranks.with_keys(df, base, by).groupBy(*by, "_median", "_mad", "_floor").agg(F.count(value).alias("_n"), *[F.count_if(F.col(value) > c).alias(f"_c{i}") for i, c in enumerate(candidates)])
     ceiling = candidates[-1]
     for i in range(MAD_STEPS - 2, -1, -1):
         ceiling = F.when(F.col(f"_c{i}") / F.col("_n") <= MAD_SHARE, candidates[i]).otherwise(ceiling)
     chosen = counts.select(*by, F.col("_median").alias("median"), F.col("_mad").alias("mad"), ceiling.alias("ceiling"))
-    return df.join(chosen, by).filter(F.col(value) > F.col("ceiling"))
+    return ranks.with_keys(df, chosen, by).filter(F.col(value) > F.col("ceiling"))
 
 
 def change_check(pairs: DataFrame, series: str, order: str, bucket: int = 4096) -> DataFrame:

@@ -107,7 +107,7 @@ def profile_corpus(docs: DataFrame, labels: DataFrame, by: list[str], text: str
     letters = profile.detect_language(docs, by, text)
     marked = docs.select(ident, *by, tx.words(F.col(text)).alias("_words")).join(labels.select(ident, "quality"), ident, "left")
     share = profile.share_where(marked, by, F.col("quality") == 1, F.col("quality").isNotNull() & (F.col("_words") >= words))
-    return measured.join(letters, by).join(share, by)
+    return ranks.with_keys(ranks.with_keys(measured, letters, by), share, by)
 
 
 def search_corpus(docs: DataFrame, phrase: str, words: str, replacement: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -123,10 +123,9 @@ def numeric_profile(df: DataFrame, by: list[str], value: str, low: float, high:
     """One row per group: count, middle value, two-class threshold, tonal range, few or many values, outliers above a robust ceiling."""
     outliers = numeric.mad_outliers(df, by, value, k, minimum).groupBy(*by).agg(F.count(F.lit(1)).alias("outliers"))
     out = ranks.upper_median(df, by, value)
-    out = out.join(numeric.otsu_split(df, by, value, low, high).select(*by, "threshold"), by)
-    out = out.join(numeric.tonal_range(df, by, value, low, high).select(*by, "lo", "hi", "low_contrast"), by)
-    out = out.join(profile.few_values(df, by, value, cap).select(*by, "few"), by)
-    return out.join(outliers, by, "left").na.fill(0, ["outliers"])
+    for side in (numeric.otsu_split(df, by, value, low, high).select(*by, "threshold"), numeric.tonal_range(df, by, value, low, high).select(*by, "lo", "hi", "low_contrast"), profile.few_values(df, by, value, cap).select(*by, "few")):
+        out = ranks.with_keys(out, side, by)
+    return ranks.with_keys(out, outliers, by, "left").na.fill(0, ["outliers"])
 
 
 def page_scorecard(before: dict[str, DataFrame], after: dict[str, DataFrame], width: Column, height: Column, keys: list[str] = PAGE) -> DataFrame:

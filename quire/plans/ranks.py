@@ -42,16 +42,17 @@ def _bucket_of_rank(rows: DataFrame, wanted: DataFrame, keys: list[str], by: lis
     """
     fractions = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
     cuts = rows.groupBy(*keys).agg(F.percentile_approx("_value", fractions, 1000).alias("_cuts"))
-    bucketed = _with_keys(rows, cuts, keys).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_value")))).drop("_cuts")
+    bucketed = with_keys(rows, cuts, keys).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_value")))).drop("_cuts")
     totals = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_count").alias("_total"))
     before = F.coalesce(F.sum("_total").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    targets = _with_keys(totals.select(*keys, "_bucket", "_total", before.alias("_before")), wanted, by)
+    targets = with_keys(totals.select(*keys, "_bucket", "_total", before.alias("_before")), wanted, by)
     targets = targets.filter((F.col("_rest") >= F.col("_before")) & (F.col("_rest") < F.col("_before") + F.col("_total")))
     more = [c for c in wanted.columns if c not in (*keys, "_rest")]
-    return _with_keys(bucketed, targets.select(*keys, "_bucket", *more, (F.col("_rest") - F.col("_before")).alias("_rest")), [*keys, "_bucket"]).drop("_bucket")
+    return with_keys(bucketed, targets.select(*keys, "_bucket", *more, (F.col("_rest") - F.col("_before")).alias("_rest")), [*keys, "_bucket"]).drop("_bucket")
 
 
-def _with_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def with_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joined on keys that may be null: null meets null."""
     if not keys:  # the whole table is one group, and right is its one row
         one = F.lit(1).alias("_one")
         return left.select("*", one).join(right.select("*", one), "_one").drop("_one")
@@ -59,7 +60,7 @@ def _with_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     condition = F.lit(True)
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(renamed, condition).drop(*[f"_r_{k}" for k in keys])
+    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
 

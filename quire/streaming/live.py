@@ -95,14 +95,27 @@ class JobFold(StatefulProcessor):
         s = self._held() or dict.fromkeys(self.NAMES) | {"done": 0, "total": 0, "files": 0, "bytes": 0, "status_at": "", "step_at": "", "error_at": "", "summary": "{}"}
         for part in rows:
             self._fold(s, part)
+        self._wait(s)
+        self.state.update(tuple(s[n] for n in self.NAMES))
+        yield self._row(key, s, "state")
+
+    def _wait(self, s: dict) -> None:
+        """Sets the timer anew: a finished job's state goes some time after its end."""
         if s["timer"] is not None:
             self.handle.deleteTimer(s["timer"])
             s["timer"] = None
         if s["status"] in ("completed", "failed") and s["ended_at"] is not None:
             s["timer"] = int(pd.Timestamp(s["ended_at"], tz="UTC").timestamp() * 1000) + self.ttl_ms
             self.handle.registerTimer(s["timer"])
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Goes on from what ``job_seed`` has made of earlier events."""
+        held = {n: None if pd.isna(v) else v for n, v in initialState.iloc[0].items()}
+        s = {n: held.get(n) for n in self.NAMES} | {n: int(held[n]) for n in ("done", "total", "files", "bytes")}
+        for name in ("created_at", "ended_at"):
+            s[name] = None if s[name] is None else pd.Timestamp(s[name]).to_pydatetime()
+        self._wait(s)
         self.state.update(tuple(s[n] for n in self.NAMES))
-        yield self._row(key, s, "state")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         s = self._held()
@@ -164,17 +177,196 @@ class JobFold(StatefulProcessor):
             "ended_at": [s["ended_at"] if ended else None], "summary": [json.dumps(facts) if facts else None], "event": [event]})
 
 
-def job_states(events: DataFrame, ttl_minutes: int = jobs.TTL_MINUTES, delay: str = "10 minutes") -> DataFrame:
-    """Job states as they change (update mode), and one row when a finished job expires."""
-    spark = events.sparkSession
+def _job_input(events: DataFrame) -> DataFrame:
+    return events.select("job_id", "ts", "seq", "status", "step", "done", "total", F.col("file.size").alias("file_size"), "error", F.to_json("summary").alias("summary"))
+
+
+def _by_value(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    # The processor is also loaded where shipped files are not looked for, so it travels by value.
+    # The processors are also loaded where shipped files are not looked for, so they travel by value.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    flat = events.select("job_id", "ts", "seq", "status", "step", "done", "total", F.col("file.size").alias("file_size"), "error", F.to_json("summary").alias("summary")).withWatermark("ts", delay)
-    rows = flat.groupBy("job_id").transformWithStateInPandas(statefulProcessor=JobFold(ttl_minutes), outputStructType=JOB_ROW, outputMode="Update", timeMode="EventTime")
+
+
+def job_seed(events: DataFrame) -> DataFrame:
+    """What ``job_states`` would hold after a table of events, one row per job: the state a stream goes on from.
+
+    Every part is an aggregate that is combined before the shuffle, however many events a job has.
+    """
+    place = F.concat(F.lpad((F.unix_micros("ts") * 1000).cast("string"), 20, "0"), F.lit("/"), F.lpad(F.col("seq").cast("string"), 20, "0"))
+    starts, ends = F.col("status").isin("queued", "processing"), F.col("status").isin("completed", "failed")
+    moves = F.coalesce(starts, F.lit(False)) | F.col("step").isNotNull()
+    step = F.when(F.col("status") == "queued", "queued").when(F.col("status") == "processing", "starting").otherwise(F.col("step"))
+    counted = lambda c: F.when(F.coalesce(starts, F.lit(False)), 0).otherwise(F.coalesce(c, F.lit(0)))
+    rows = events.withColumn("_place", place)
+    at = lambda when: F.when(when, F.col("_place"))
+    latest = lambda value, when: F.max_by(value, at(when))
+    said, failed = F.col("status").isNotNull(), F.col("status") == "failed"
+    jobs_ = rows.groupBy("job_id").agg(
+        latest(F.col("status"), said).alias("status"), F.coalesce(F.max(at(said)), F.lit("")).alias("status_at"), latest(step, moves).alias("step"),
+        F.coalesce(latest(counted("done"), moves), F.lit(0)).cast("int").alias("done"), F.coalesce(latest(counted("total"), moves), F.lit(0)).cast("int").alias("total"), F.coalesce(F.max(at(moves)), F.lit("")).alias("step_at"),
+        F.count("file.size").alias("files"), F.coalesce(F.sum("file.size"), F.lit(0)).cast("long").alias("bytes"), latest(F.col("error"), failed).alias("error"), F.coalesce(F.max(at(failed)), F.lit("")).alias("error_at"),
+        F.min("ts").alias("created_at"), F.max(F.when(ends, F.col("ts"))).alias("ended_at"))
+    facts = rows.where("summary IS NOT NULL").select("job_id", "_place", F.explode("summary").alias("name", "value"))
+    facts = facts.groupBy("job_id", "name").agg(F.max(F.struct("_place", "value")).alias("f"))
+    facts = facts.groupBy("job_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", F.array("f._place", "f.value"))))).alias("summary"))
+    return jobs_.join(facts, "job_id", "left").withColumns({"summary": F.coalesce("summary", F.lit("{}")), "timer": F.lit(None).cast("long")})
+
+
+def job_states(events: DataFrame, ttl_minutes: int = jobs.TTL_MINUTES, delay: str = "10 minutes", seed: DataFrame | None = None) -> DataFrame:
+    """Job states as they change (update mode), and one row when a finished job expires.
+
+    ``seed`` (from ``job_seed``) is what earlier events, read as a table, have left: the stream goes on from it.
+    """
+    _by_value(events.sparkSession)
+    flat = _job_input(events).withWatermark("ts", delay)
+    rows = flat.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=JobFold(ttl_minutes), outputStructType=JOB_ROW, outputMode="Update", timeMode="EventTime", initialState=seed.groupBy("job_id") if seed is not None else None)
     return rows.withColumn("summary", F.from_json("summary", "map<string,string>"))
 
 
+OPS_ROW = JOB_ROW.replace("job_id long", "kind string, ts timestamp, client long, job_id long") + ", at timestamp, seq long, stage string, started timestamp, ended timestamp, heavy boolean"
+RATE_ROW = OPS_ROW + ", window_start timestamp, requests long, processing long"
+
+
+def _shaped(rows: pd.DataFrame, shape: str) -> pd.DataFrame:
+    """The columns of ``shape``, in its order; those that ``rows`` lacks are null, whatever their type."""
+    nothing = pd.Series([None] * len(rows), index=rows.index, dtype=object)
+    return pd.DataFrame({name: rows[name] if name in rows else nothing for name in (c.split()[0] for c in shape.split(", "))})
+
+
+def _tagged(kind: str, ts, **columns) -> pd.DataFrame:
+    """Rows of one kind; what that kind hasn't is null."""
+    return _shaped(pd.DataFrame({"kind": kind, "ts": ts, **columns}), OPS_ROW)
+
+
+class OpsFold(JobFold):
+    """A job's events in one pass: its state, its stages, its expiry, its late rows, and its requests passed on.
+
+    Rows older than the watermark of their batch are given out as late and change nothing. ``ts`` of what goes on is
+    never older than the watermark, so that the next operator's holds too.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.stages = handle.getValueState("stages", "events string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        part = pd.concat(list(rows), ignore_index=True)
+        edge = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        late = part["at"] < edge
+        if late.any():
+            some = part[late]
+            yield _tagged("late", edge, job_id=key[0], client=some["client"], at=some["at"], seq=some["seq"])
+        part = part[~late].rename(columns={"at": "ts"})
+        if not len(part):
+            return
+        yield _tagged("request", part["ts"], job_id=key[0], client=part["client"], at=part["ts"], seq=part["seq"], heavy=part["heavy"])
+        for row in super().handleInputRows(key, iter([part]), timerValues):
+            yield _tagged("job", part["ts"].max(), **row)
+        marks = json.loads(self.stages.get()[0]) if self.stages.exists() else []
+        new = part[part["mark"].notna()]
+        if len(new):
+            marks += [[m, s, pd.Timestamp(t).value] for m, s, t in zip(new["mark"], new["stage"], new["ts"])]
+            self.stages.update((json.dumps(marks),))
+            for stage, begun, done in self._timed(marks):
+                yield _tagged("stage", part["ts"].max(), job_id=[key[0]], stage=[stage], started=[begun], ended=[done])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for row in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
+            self.stages.clear()
+            yield _tagged("expired", pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms"), **row)
+
+    @staticmethod
+    def _timed(marks: list) -> list[tuple]:
+        """Per stage its first start and its last end; what comes after the run's end doesn't count."""
+        end = min((t for m, _, t in marks if m in ("result", "error")), default=None)
+        live = [x for x in marks if x[1] is not None and (end is None or x[2] <= end)]
+        when = lambda stage, mark: [t for m, s, t in live if s == stage and m == mark]
+        stamp = lambda t: None if t is None else pd.Timestamp(t)
+        return [(s, stamp(min(when(s, "active"), default=None)), stamp(max(when(s, "done"), default=None))) for s in dict.fromkeys(x[1] for x in live)]
+
+
+class RateFold(StatefulProcessor):
+    """Counts the requests of a client per window and hands every other row on; windows well past the watermark are let go."""
+
+    def __init__(self, minutes: int):
+        self.width = minutes * 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.windows = handle.getMapState("windows", "start long", "requests long, processing long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        part = pd.concat(list(rows), ignore_index=True)
+        asked = part["kind"] == "request"
+        if (~asked).any():
+            yield _shaped(part[~asked], RATE_ROW)
+        if not asked.any():
+            return
+        starts = part.loc[asked, "at"].map(lambda t: pd.Timestamp(t).value // 1_000_000 // self.width * self.width)
+        for start, heavy in part.loc[asked, "heavy"].groupby(starts):
+            held = self.windows.getValue((int(start),)) if self.windows.containsKey((int(start),)) else (0, 0)
+            if not held[0]:
+                self.handle.registerTimer(int(start) + self.width)
+            counts = held[0] + len(heavy), held[1] + int(heavy.sum())
+            self.windows.updateValue((int(start),), counts)
+            row = {"kind": "rate", "ts": part["ts"].max(), "client": key[0], "window_start": pd.Timestamp(int(start), unit="ms"), "requests": counts[0], "processing": counts[1]}
+            yield _shaped(pd.DataFrame([row]), RATE_ROW)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        start = expiredTimerInfo.getExpiryTimeInMs() - self.width
+        if self.windows.containsKey((start,)):
+            self.windows.removeKey((start,))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def ops_stream(events: DataFrame, folder: str, ttl_minutes: int = jobs.TTL_MINUTES, delay: str = "10 minutes") -> dict[str, DataFrame]:
+    """One query over one source of job events, and the five tables it writes: jobs, expired, stages, rates, late.
+
+    ``events`` has the columns of ``job_states``' and ``client``, ``heavy`` (counts as processing), ``stage`` and ``mark`` (active, done,
+    result, error). Jobs are folded first; their rows go on, with the watermark, to the fold of clients. Every epoch
+    is written in one go, overwritten if it is replayed; the last row of a key stands. Late rows are kept, and each epoch's
+    number of them is observed as ``late``.
+    """
+    spark = events.sparkSession
+    _by_value(spark)
+    # Late rows have to reach the fold, so its input has the event's time in a column that carries no watermark.
+    flat = events.withWatermark("ts", delay).withColumn("at", F.timestamp_micros(F.unix_micros("ts")))
+    flat = flat.select("job_id", "at", "seq", "status", "step", "done", "total", F.col("file.size").alias("file_size"), "error", F.to_json("summary").alias("summary"), "client", "heavy", "stage", "mark")
+    folded = flat.groupBy("job_id").transformWithStateInPandas(statefulProcessor=OpsFold(ttl_minutes), outputStructType=OPS_ROW, outputMode="Append", timeMode="EventTime", eventTimeColumnName="ts")
+    minutes = int(jobs.WINDOW.split()[0])
+    # Rows without a client go by their job, so that no one task has them all.
+    whose = F.coalesce("client", -F.col("job_id") - 1).alias("whose")
+    rated = folded.select("*", whose).groupBy("whose").transformWithStateInPandas(statefulProcessor=RateFold(minutes), outputStructType=RATE_ROW, outputMode="Append", timeMode="EventTime")
+    watched = rated.observe("ops", F.count_if(F.col("kind") == "late").alias("late"))
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/out/epoch={epoch}")
+
+    query = watched.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    schema = T.StructType([*watched.schema.fields, T.StructField("epoch", T.IntegerType())])
+    out = spark.read.schema(schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+
+    def newest(kind: str, keys: list[str], columns: list[str]) -> DataFrame:
+        rows = out.where(F.col("kind") == kind)
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "epoch").alias("s")).select(*keys, "s.*")
+
+    job = ["status", "step", "done", "total", "files", "bytes", "error", "created_at", "ended_at", "summary"]
+    seconds = (F.unix_micros("ended") - F.unix_micros("started")) / 1e6
+    rates = newest("rate", ["client", "window_start"], ["requests", "processing"])
+    return {
+        "jobs": newest("job", ["job_id"], job).withColumn("summary", F.from_json("summary", "map<string,string>")),
+        "expired": newest("expired", ["job_id"], ["status", "ended_at"]).withColumn("expires_at", F.col("ended_at") + F.make_interval(mins=F.lit(ttl_minutes))),
+        "stages": newest("stage", ["job_id", "stage"], ["started", "ended"]).withColumn("seconds", seconds),
+        "rates": rates.withColumns({"over_all": F.col("requests") > jobs.API_LIMIT, "over_processing": F.col("processing") > jobs.PROCESSING_LIMIT}),
+        "late": out.where("kind = 'late'").select("job_id", "client", "at", "seq", "epoch"),
+    }
+
+
 def clean_stream(docs: DataFrame, folder: str, rules=None) -> StreamingQuery:
     """Cleans arriving documents: the texts and the counts of every epoch, each written once."""
     def write(batch: DataFrame, epoch: int) -> None:

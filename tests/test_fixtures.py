@@ -323,3 +323,18 @@ def test_running_values_match_a_plain_window(spark):
     plain = df.select("k", "n", F.coalesce(F.sum("v").over(w), F.lit(0)).alias("s"), F.max("v").over(w).alias("m"), F.lag("v").over(Window.partitionBy("k").orderBy("n")).alias("l"))
     split = segments.with_previous(df, ["k"], ["n"], F.floor(F.col("n") / 37), {"s": ("sum", F.col("v")), "m": ("max", F.col("v")), "l": ("last", F.col("v"))}).select("k", "n", "s", "m", "l")
     assert sorted(rows(plain), key=str) == sorted(rows(split), key=str)
+
+
+def test_null_groups_keep_their_rows(spark):
+    """A group whose key is null is a group like any other."""
+    from quire.operators import numeric
+    from quire.plans import composed
+
+    rows = [(g, float(i % 40)) for g in ("a", None) for i in range(200)] + [("a", 900.0), (None, 950.0), (None, 960.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    assert {r["g"]: r["count"] for r in numeric.robust_stretch(df, ["g"], "v").groupBy("g").count().collect()} == {"a": 201, None: 202}
+    assert sorted((str(r["g"]), r["v"]) for r in numeric.mad_outliers(df, ["g"], "v").collect()) == [("None", 950.0), ("None", 960.0), ("a", 900.0)]
+    assert {r["g"]: r["outliers"] for r in composed.numeric_profile(df, ["g"], "v", 0, 256).collect()} == {"a": 1, None: 2}
+    docs = spark.createDataFrame([(i, "word " * 60, g) for i, g in enumerate(["x", "x", None, "y", None])], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    assert {r["lang"] for r in composed.profile_corpus(docs, labels, ["lang"]).collect()} == {"x", "y", None}
