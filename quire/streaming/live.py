@@ -224,6 +224,8 @@ def job_states(events: DataFrame, ttl_minutes: int = jobs.TTL_MINUTES, delay: st
     return rows.withColumn("summary", F.from_json("summary", "map<string,string>"))
 
 
+#: Keys that rows without a client are spread over.
+SPREAD = 256
 OPS_ROW = JOB_ROW.replace("job_id long", "kind string, ts timestamp, client long, job_id long") + ", at timestamp, seq long, stage string, started timestamp, ended timestamp, heavy boolean"
 RATE_ROW = OPS_ROW + ", window_start timestamp, requests long, processing long"
 
@@ -254,22 +256,24 @@ class OpsFold(JobFold):
         part = pd.concat(list(rows), ignore_index=True)
         edge = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
         late = part["at"] < edge
+        made = []
         if late.any():
             some = part[late]
-            yield _tagged("late", edge, job_id=key[0], client=some["client"], at=some["at"], seq=some["seq"])
+            made.append(_tagged("late", edge, job_id=key[0], client=some["client"], at=some["at"], seq=some["seq"]))
         part = part[~late].rename(columns={"at": "ts"})
-        if not len(part):
-            return
-        yield _tagged("request", part["ts"], job_id=key[0], client=part["client"], at=part["ts"], seq=part["seq"], heavy=part["heavy"])
-        for row in super().handleInputRows(key, iter([part]), timerValues):
-            yield _tagged("job", part["ts"].max(), **row)
-        marks = json.loads(self.stages.get()[0]) if self.stages.exists() else []
+        if len(part):
+            made.append(_tagged("request", part["ts"], job_id=key[0], client=part["client"], at=part["ts"], seq=part["seq"], heavy=part["heavy"]))
+            for row in super().handleInputRows(key, iter([part]), timerValues):
+                made.append(_tagged("job", part["ts"].max(), **row))
         new = part[part["mark"].notna()]
         if len(new):
+            marks = json.loads(self.stages.get()[0]) if self.stages.exists() else []
             marks += [[m, s, pd.Timestamp(t).value] for m, s, t in zip(new["mark"], new["stage"], new["ts"])]
             self.stages.update((json.dumps(marks),))
-            for stage, begun, done in self._timed(marks):
-                yield _tagged("stage", part["ts"].max(), job_id=[key[0]], stage=[stage], started=[begun], ended=[done])
+            names, begun, done = zip(*self._timed(marks)) if self._timed(marks) else ((), (), ())
+            made.append(_tagged("stage", part["ts"].max(), job_id=key[0], stage=list(names), started=pd.Series(begun, dtype="datetime64[ns]"), ended=pd.Series(done, dtype="datetime64[ns]")))
+        # One table a call: every table given out is a message of its own.
+        yield pd.concat(made, ignore_index=True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         for row in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
@@ -338,8 +342,8 @@ def ops_stream(events: DataFrame, folder: str, ttl_minutes: int = jobs.TTL_MINUT
     flat = flat.select("job_id", "at", "seq", "status", "step", "done", "total", F.col("file.size").alias("file_size"), "error", F.to_json("summary").alias("summary"), "client", "heavy", "stage", "mark")
     folded = flat.groupBy("job_id").transformWithStateInPandas(statefulProcessor=OpsFold(ttl_minutes), outputStructType=OPS_ROW, outputMode="Append", timeMode="EventTime", eventTimeColumnName="ts")
     minutes = int(jobs.WINDOW.split()[0])
-    # Rows without a client go by their job, so that no one task has them all.
-    whose = F.coalesce("client", -F.col("job_id") - 1).alias("whose")
+    # Rows without a client are spread by their job, so that no one task has them all.
+    whose = F.coalesce("client", -1 - F.pmod(F.xxhash64("job_id"), F.lit(SPREAD))).alias("whose")
     rated = folded.select("*", whose).groupBy("whose").transformWithStateInPandas(statefulProcessor=RateFold(minutes), outputStructType=RATE_ROW, outputMode="Append", timeMode="EventTime")
     watched = rated.observe("ops", F.count_if(F.col("kind") == "late").alias("late"))
 
