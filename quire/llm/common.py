@@ -16,6 +16,8 @@ from quire.session import work_folder
 
 #: A null id stands after every other id.
 LAST = 2**63 - 1
+#: Settings of the Arrow batches while a table is written.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: Bytes of a batch that a rule sees at a time.
 PART = 8 << 20
 
@@ -23,13 +25,21 @@ PART = 8 << 20
 def save(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Writes a table once to the shared folder and reads it from there, whatever executors are lost.
 
+    Rows go to Python rules in small Arrow batches meanwhile, since what both sides hold of a batch lies outside the heap.
     What was shuffled for it can go: the driver's garbage is collected, so that Spark drops those files.
     The folder goes when the session ends.
     """
     spark = df.sparkSession
     folder = work_folder(spark, name)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(folder)
+    before = {name: spark.conf.get(name) for name in BATCHES}
+    try:
+        for name, value in BATCHES.items():
+            spark.conf.set(name, value)
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(folder)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
