@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -18,14 +19,12 @@ from pyspark.sql import types as T
 
 from quire.llm.common import map_batches, save
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>",
-    re.S,
-)
+_OPEN = re.compile(r"<(?:(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)|(?P<other>!--|!\[CDATA\[|[!?]))")
+_TAG_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _DIGITS = re.compile(r"\d+")
 _NAME_PARTS = re.compile(r"[^a-z]+")
+_SPECIAL_ENDS = {"!--": "-->", "![CDATA[": "]]>"}
 
 # Fixed values of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,25 +47,44 @@ _PARAGRAPH_ENDERS = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 
+# Elements that matter to where an open paragraph, item or cell ends.
+_LIMITING = frozenset().union(*(ended | limits for ended, limits in _ENDS.values()))
+
 # What is no article, whatever host it is on: elements, roles, and words of class names and ids.
-_DROPPED = frozenset("head nav footer aside form script style noscript template svg math canvas button select textarea iframe object audio video dialog menu title".split())
+_DROPPED = frozenset("head nav footer aside script style noscript template svg math canvas button select datalist textarea label legend iframe object audio video dialog menu title".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
-_DROPPED_WORDS = frozenset(
+_COMMENT_WORDS = frozenset("comment comments disqus respond reply replies discussion".split())
+_DROPPED_WORDS = _COMMENT_WORDS | frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices alert"
     " nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars aside widget widgets footer masthead topbar toolbar"
-    " comment comments disqus respond reply replies discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay".split()
+    " share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay".split()
 )
+# A name that begins so tells what a page has or lacks; it doesn't name the element.
+_MODIFIERS = frozenset("has with without no not non is hide show js layout".split())
+_UNMARKED = frozenset("html body main article".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _CONTAINERS = frozenset("body main article section div td".split())
 
+# How sure it is that a marked element is an extra. A mark below CERTAIN is lifted from an element that turns out to hold
+# the page's article; a mark's number is the share of the page's text from which on it does.
+CERTAIN, BY_NAME, BY_COMMENT_PART, BY_PART = 2.0, 1.0, 0.9, 0.5
+#: An element with the page's first h1 needs this share at most.
+WITH_HEADING = 0.25
+
 
 class Node(NamedTuple):
     tag: str
-    path: str
+    #: Number of its path among the page's paths.
+    path: int
     parent: int
+    #: Itself or the nearest element around it that is not inline.
+    outer: int
+    #: In an element that is surely an extra: its text is not read.
     dropped: bool
-    #: The path of the container whose <header> this is in, if any.
-    header: str
+    #: How surely the element itself is an extra; 0 for none.
+    mark: float
+    #: Number of the path of the container whose <header> this is in; -1 for none.
+    header: int
 
 
 class Block(NamedTuple):
@@ -75,21 +93,43 @@ class Block(NamedTuple):
     linked: int
 
 
+class Page(NamedTuple):
+    """Elements in page order, and the tree of their generalised container paths (number: parent and name)."""
+    nodes: list[Node]
+    parents: list[int]
+    names: list[str]
+
+
 def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2].strip("\"'")) if m[2] else "" for m in _ATTRIBUTE.finditer(rest)}
 
 
-def parse(page: str) -> tuple[list[Node], list[Block]]:
-    """A page's elements and its text blocks in page order; each block with its innermost element."""
-    nodes = [Node("", "", -1, False, "")]
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag that is open at ``at`` has its >, outside quotes; a quote that is never closed is a plain character."""
+    while found := _TAG_STOP.search(page, at):
+        mark, place = found[0], found.start()
+        if mark == ">":
+            return place
+        at = page.index(mark, place + 1) + 1 if place < last[mark] else place + 1
+    return -1
+
+
+def parse(page: str) -> tuple[Page, list[Block]]:
+    """A page's elements and its text blocks in page order; each block with its innermost element.
+
+    One pass, every character read a bounded number of times. A tag that never ends is text, as all that follows.
+    """
+    made = Page([Node("", 0, -1, 0, False, 0, -1)], [-1], [""])
+    nodes, known = made.nodes, {}
     blocks: list[Block] = []
-    stack = [0]
+    stack, limiting = [0], []
+    open_tags: Counter[str] = Counter()
     text: list[str] = []
-    linked = links = 0
-    owner = 0
+    linked = owner = 0
+    last = {quote: page.rfind(quote) for quote in "\"'"}
 
     def flush() -> None:
-        nonlocal linked, owner
+        nonlocal linked
         words = " ".join("".join(text).split())
         if words:
             blocks.append(Block(words, owner, linked))
@@ -101,35 +141,44 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         if not raw or nodes[stack[-1]].dropped:
             return
         if not text:
-            owner = next(n for n in reversed(stack) if nodes[n].tag not in _INLINE)
-        made = html.unescape(raw)
-        text.append(made)
-        if links:
-            linked += len(made.strip())
+            owner = nodes[stack[-1]].outer
+        plain = html.unescape(raw)
+        text.append(plain)
+        if open_tags["a"]:
+            linked += len(plain.strip())
 
     def pop_to(depth: int) -> None:
-        nonlocal links
-        links -= sum(nodes[n].tag == "a" for n in stack[depth:])
+        open_tags.subtract(nodes[n].tag for n in stack[depth:])
         del stack[depth:]
+        while limiting and limiting[-1] >= depth:
+            limiting.pop()
+
+    def path_of(tag: str, parent: int, named: str) -> int:
+        name = f"{tag}{''.join('.' + _DIGITS.sub('#', c) for c in sorted(named.replace('>', ' ').split()))}"
+        if (parent, name) not in known:
+            known[parent, name] = len(made.names)
+            made.parents.append(parent)
+            made.names.append(name)
+        return known[parent, name]
 
     at = 0
-    while True:
-        found = _TOKEN.search(page, at)
-        said(page[at:found.start()] if found else page[at:])
-        if not found:
-            break
-        at = found.end()
-        tag = found["tag"]
-        if tag is None:
+    while found := _OPEN.search(page, at):
+        said(page[at:found.start()])
+        if found["other"]:
+            close = _SPECIAL_ENDS.get(found["other"], ">")
+            end = page.find(close, found.end())
+            at = len(page) if end < 0 else end + len(close)
             continue
-        tag = tag.lower()
+        end = _tag_end(page, found.end(), last)
+        if end < 0:
+            at = found.start()
+            break
+        tag, rest, at = found["tag"].lower(), page[found.end():end], end + 1
         if tag not in _INLINE:
             flush()
         if found["close"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag == tag:
-                    pop_to(depth)
-                    break
+            if open_tags[tag]:
+                pop_to(next(depth for depth in range(len(stack) - 1, 0, -1) if nodes[stack[depth]].tag == tag))
             continue
         if tag == "br":
             said(" ")
@@ -138,85 +187,168 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             continue
         if tag in _ENDS or tag in _PARAGRAPH_ENDERS:
             ended, limits = _ENDS.get(tag) or _ENDS["p"]
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in reversed(limiting) if any(open_tags[name] for name in ended) else ():
                 name = nodes[stack[depth]].tag
                 if name in ended:
                     pop_to(depth)
                     break
                 if name in limits:
                     break
-        parent = nodes[stack[-1]]
-        rest = found["rest"]
+        up = stack[-1]
+        parent = nodes[up]
         values = _attributes(rest) if rest.strip(" /\n\t") else {}
-        named = values.get("class", "")
-        path = f"{parent.path}>{tag}{''.join('.' + _DIGITS.sub('#', c) for c in sorted(named.split()))}" if tag in _CONTAINERS else parent.path
-        node = Node(tag, path, stack[-1], parent.dropped or _is_extra(tag, values), parent.header or (parent.path if tag == "header" else ""))
+        path = path_of(tag, parent.path, values.get("class", "")) if tag in _CONTAINERS else parent.path
+        mark = _mark(tag, values)
+        # An inline extra stands inside a block of text, so it is left out at once.
+        dropped = parent.dropped or mark == CERTAIN or tag in _INLINE and mark == BY_NAME
         if rest.endswith("/") and tag not in _INLINE | _CONTAINERS | {"p"}:
             continue
-        nodes.append(node)
+        header = parent.path if tag == "header" and parent.header < 0 else parent.header
+        nodes.append(Node(tag, path, up, parent.outer if tag in _INLINE else len(nodes), dropped, mark, header))
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>|\Z", re.I).search(page, at)
-            at = end.end()
+            closing = re.compile(rf"</{re.escape(tag)}\s*+>|\Z", re.I).search(page, at)
+            at = closing.end()
             continue
+        if tag in _LIMITING:
+            limiting.append(len(stack))
         stack.append(len(nodes) - 1)
-        links += tag == "a"
+        open_tags[tag] += 1
+    said(page[at:])
     flush()
-    return nodes, blocks
+    return made, _without_extras(nodes, blocks)
 
 
-def _is_extra(tag: str, values: dict[str, str]) -> bool:
+def _mark(tag: str, values: dict[str, str]) -> float:
+    """How surely an element is an extra, by itself."""
     if tag in _HEADINGS:
-        return False
+        return 0
     if tag in _DROPPED or "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower():
-        return True
+        return CERTAIN
     if set(values.get("role", "").lower().split()) & _DROPPED_ROLES:
-        return True
-    if tag in ("body", "main", "article", "html"):
-        return False
-    names = f"{values.get('class', '')} {values.get('id', '')}".lower()
-    return bool(names.strip()) and not _DROPPED_WORDS.isdisjoint(_NAME_PARTS.split(names))
+        return BY_NAME
+    mark = BY_PART if tag == "form" else 0
+    for name in f"{values.get('class', '')} {values.get('id', '')}".lower().split():
+        parts = [part for part in _NAME_PARTS.split(name) if part]
+        if not parts or parts[0] in _MODIFIERS:
+            continue
+        if _DROPPED_WORDS.issuperset(parts):
+            return BY_NAME
+        ends = {parts[0], parts[-1]}
+        if ends & _DROPPED_WORDS:
+            mark = max(mark, BY_COMMENT_PART if ends & _COMMENT_WORDS else BY_PART)
+    return mark
+
 
+def _without_extras(nodes: list[Node], blocks: list[Block]) -> list[Block]:
+    """The blocks outside marked elements; those that turn out to hold the page's article lose their mark.
 
-def best_path(nodes: list[Node], blocks: list[Block], part: float = 0.6) -> tuple[str, int]:
+    These are: the elements around the page's main or, without one, its unmarked article with the most text (one that is
+    in a marked element only if all are); those with nothing else beside them, or with so much of the page's unlinked text as their mark asks for.
+    """
+    held = [0] * len(nodes)
+    for b in blocks:
+        held[b.node] += max(0, len(b.text) - b.linked)
+    for i in range(len(nodes) - 1, 0, -1):
+        held[nodes[i].parent] += held[i]
+    inside = [False]
+    for n in nodes[1:]:
+        inside.append(inside[n.parent] or n.mark > 0 and n.tag not in _UNMARKED)
+    mains = [i for i, n in enumerate(nodes) if n.tag == "main" and held[i]]
+    articles = mains[:1] or [i for i, n in enumerate(nodes) if n.tag == "article" and held[i] and not n.mark]
+    articles = [i for i in articles if not inside[i]] or articles
+    around = _around(nodes, max(articles, key=lambda i: (held[i], -i), default=0))
+    titled = _around(nodes, next((i for i, n in enumerate(nodes) if n.tag == "h1" and n.header < 0), 0))
+    extra = [False] * len(nodes)
+    for i, n in enumerate(nodes[1:], 1):
+        marked = 0 < n.mark < CERTAIN and n.tag not in _UNMARKED and i not in around
+        enough = min(n.mark, WITH_HEADING) if i in titled else n.mark
+        extra[i] = extra[n.parent] or marked and held[i] < enough * held[0]
+    return [b for b in blocks if not extra[b.node]]
+
+
+def _around(nodes: list[Node], at: int) -> set[int]:
+    found = set()
+    while at > 0:
+        found.add(at)
+        at = nodes[at].parent
+    return found
+
+
+def _below(page: Page, top: int) -> list[bool]:
+    """Per path: whether it is ``top`` or goes on from it. A path's number is greater than its parent's."""
+    below = [top == 0]
+    for path in range(1, len(page.names)):
+        below.append(path == top or below[page.parents[path]])
+    return below
+
+
+def _written(page: Page, path: int) -> str:
+    names = []
+    while path:
+        names.append(page.names[path])
+        path = page.parents[path]
+    return "".join(f">{name}" for name in reversed(names))
+
+
+def best_path(page: Page, blocks: list[Block], part: float = 0.6) -> tuple[str, int]:
     """The page's vote: the container of its text, and its score.
 
     An article or main that holds ``part`` of the text is it, whole. Other containers are entered if nothing but
     extras is left outside; from the body, if a tenth of its text at most is.
     """
+    nodes = page.nodes
     score = [0] * len(nodes)
     for b in blocks:
-        if not nodes[b.node].header:
+        if nodes[b.node].header < 0:
             score[b.node] += max(0, len(b.text) - 2 * b.linked)
-    inside: dict[str, int] = {}
+    inside = [0] * len(page.names)
     for i in range(len(nodes) - 1, 0, -1):
         score[nodes[i].parent] += score[i]
-    for i, n in enumerate(nodes):
-        if n.tag in _CONTAINERS:
-            inside[n.path] = inside.get(n.path, 0) + score[i]
+        if nodes[i].tag in _CONTAINERS:
+            inside[nodes[i].path] += score[i]
+    depth, under = [0], [[] for _ in page.names]
+    for path in range(1, len(page.names)):
+        depth.append(depth[page.parents[path]] + 1)
+        under[page.parents[path]].append(path)
     articles = {n.path for n in nodes if n.tag in ("article", "main")}
-    path, held = "", score[0]
+
+    def first(paths: list[int]) -> int:
+        """The outermost; equal depth: more text, then the smaller name."""
+        return min(paths, key=lambda p: (depth[p], -inside[p], page.names[p]))
+
+    path, held = 0, score[0]
     while path not in articles:
-        least = 0.9 * held if path.count(">") < 2 else held
-        under = [(s, p) for p, s in inside.items() if p.startswith(path + ">") and s > 0 and s >= (part * held if p in articles else least)]
-        if not under:
-            return path, held
-        # The outermost of those first; equal depth: more text, then the smaller path.
-        path = min(under, key=lambda x: (x[1].count(">"), -x[0], x[1]))[1]
+        least = 0.9 * held if depth[path] < 2 else held
+        fit = [p for p in under[path] if inside[p] > 0 and inside[p] >= (part * held if p in articles else least)]
+        if not fit:
+            below = _below(page, path)
+            fit = [p for p in articles if below[p] and inside[p] > 0 and inside[p] >= part * held]
+        if not fit:
+            break
+        path = first(fit)
         held = inside[path]
-    return path, held
+    return _written(page, path), held
 
 
-def main_text(nodes: list[Node], blocks: list[Block], path: str) -> str:
+def main_text(page: Page, blocks: list[Block], path: str) -> str:
     """The blocks inside the path's containers, joined by empty lines.
 
     A page's header goes; the header of the article, or of the chosen container itself, belongs to the text.
     """
+    known = {(parent, name): number for number, (parent, name) in enumerate(zip(page.parents, page.names))}
+    top = 0
+    for name in path.split(">")[1:]:
+        top = known.get((top, name), -1)
+    below = _below(page, top)
+    in_article = [False]
+    for parent, name in zip(page.parents[1:], page.names[1:]):
+        in_article.append(in_article[parent] or name.startswith("article"))
+
     def wanted(n: Node) -> bool:
-        inside = not path or n.path == path or n.path.startswith(path + ">")
-        own = not n.header or ">article" in n.header or n.header == path and not path.rpartition(">")[2].startswith("body")
-        return inside and own
+        own = n.header < 0 or in_article[n.header] or n.header == top and not page.names[top].startswith("body")
+        return below[n.path] and own
 
-    return "\n\n".join(b.text for b in blocks if wanted(nodes[b.node]))
+    return "\n\n".join(b.text for b in blocks if wanted(page.nodes[b.node]))
 
 
 def host(url: str) -> Column:
@@ -228,7 +360,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Per page: its id, url, ``text`` (blocks in page order joined by two \\n) and ``n_chars`` (code points).
 
     Left out everywhere: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of
-    readers and of the markup. White space inside a block becomes one space. A null or empty page has an empty
+    readers and of the markup. An element that is one of these only by its class, id or role, or a form, is left out
+    unless it holds the page's article. White space inside a block becomes one space. A null or empty page has an empty
     text; a page without a host votes for itself only; repeated rows are rows each and vote each; ties go to more
     text, then to the greater path. An empty table gives an empty one.
     """
@@ -247,9 +380,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def read(batch: pa.RecordBatch) -> dict:
         texts = []
         for page, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            nodes, blocks = parse(page or "")
-            text = main_text(nodes, blocks, path) if path is not None else ""
-            texts.append(text or main_text(nodes, blocks, best_path(nodes, blocks)[0]))
+            parsed, blocks = parse(page or "")
+            text = main_text(parsed, blocks, path) if path is not None else ""
+            texts.append(text or main_text(parsed, blocks, best_path(parsed, blocks)[0]))
         return {"id": batch.column(0), "url": batch.column(1), "text": texts, "n_chars": [len(t) for t in texts]}
 
     kind = pages.schema["id"].dataType

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -50,6 +51,44 @@ def test_broken_pages_do_not_fail(page):
     host_paths.main_text(nodes, blocks, host_paths.best_path(nodes, blocks)[0])
 
 
+@pytest.mark.parametrize("page, also", [
+    ("<body><nav>m</nav><div class='content has-sidebar'><p>{0}</p></div></body>", ""),
+    ("<body><div id=page class='layout-sidebar-right'><article><p>{0}</p></article></div></body>", ""),
+    ("<body><article><div class='post with-comments'><p>{0}</p></div></article></body>", ""),
+    ("<body><div class='no-ads'><p>{0}</p></div></body>", ""),
+    ("<body><form id=aspnetForm><label>Find</label><input><select><option>x</select><p>{0}</p></form></body>", ""),
+    ("<body><article><p>a</p><div class='text social-history'><p>{0}</p></div></article></body>", "a\n\n"),
+    ("<body><div id='discussion-article'><p>{0}</p></div></body>", ""),
+    ("<body><div class=widget><main><p>{0}</p></main></div><div class=sidebar>x</div></body>", ""),
+    ("<body><div class='article-widget'><h1>a</h1><p>{0}</p></div><div class=comments><article>x y</article></div></body>", "a\n\n"),
+])
+def test_a_marked_wrapper_keeps_the_article(page, also):
+    text = " ".join(["word"] * 100)
+    parsed, blocks = host_paths.parse(page.format(text))
+    assert host_paths.main_text(parsed, blocks, host_paths.best_path(parsed, blocks)[0]) == also + text
+
+
+@pytest.mark.parametrize("extra", [
+    "<div class=comments><p>{0}</p></div>", "<section id=comments><article><p>{0}</p></article></section>", "<div class='comment-list'><p>{0}</p></div>",
+    "<div class='social-share'>{1}</div>", "<div class='site-footer'>{1}</div>", "<form><label>Your name</label><p>{1}</p></form>", "<div class='left-sidebar'>{1}</div>", "<div role=search>{1}</div>",
+])
+@pytest.mark.parametrize("inside", [True, False])
+def test_extras_go_however_long_readers_comment(extra, inside):
+    text, long, short = " ".join(["word"] * 100), " ".join(["remark"] * 400), " ".join(["aside"] * 30)
+    made = extra.format(long, short)
+    parsed, blocks = host_paths.parse(f"<body><article><h1>Head</h1><p>{text}</p>{made}</article></body>" if inside else f"<body><article><h1>Head</h1><p>{text}</p></article>{made}</body>")
+    assert host_paths.main_text(parsed, blocks, host_paths.best_path(parsed, blocks)[0]) == f"Head\n\n{text}"
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 100_000 + "deep", "<b>" * 50_000 + "<hr>x" * 50_000, "<div class=a>x" * 50_000, "</p>" * 200_000 + "x", "<a \">\" " * 150_000, "<li><ul>" * 50_000 + "<b>" * 20_000 + "<li>x</li>" * 50_000])
+def test_hostile_pages_take_a_time_that_grows_with_their_size(page):
+    began = time.process_time()
+    parsed, blocks = host_paths.parse(page)
+    path, _ = host_paths.best_path(parsed, blocks)
+    assert host_paths.main_text(parsed, blocks, path)
+    assert time.process_time() - began < 10
+
+
 def test_hosts_agree(spark):
     """A page whose own best container is another is read by its host's path; without the path, by its own."""
     usual = '<body><div class="top"><p>{0}</p></div><div class="main-{1}"><p>{2}</p></div></body>'
