@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import rolling
-from quire.llm.common import lists, map_batches, order_id, save, signed
+from quire.llm.common import LAST, lists, map_batches, order_id, save, signed
 
-ORDER, FOUND = "__order", "__found"
+#: Rows are found again by order and part; the part tells rows without an id, which all come last, from one another.
+ORDER, PART, FOUND = "__order", "__part", "__found"
 
 
 def _window_names(slices: rolling.Slices, lo: np.ndarray, n: np.ndarray, seed: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,27 +39,36 @@ def _listed(doc: np.ndarray, names: np.ndarray, rows: np.ndarray, found: np.ndar
 def _runs(docs: DataFrame, text: str, depth: int, seed: int) -> DataFrame:
     def rule(batch: pa.RecordBatch) -> dict | None:
         ids = batch.column(0).to_numpy()
-        out: dict[str, list] = {"seed": [], "span": [], "doc": []}
-        for block in rolling.texts(batch.column(1)):
+        parts = batch.column(1).to_numpy()
+        out: dict[str, list] = {"seed": [], "span": [], "doc": [], "part": []}
+        for block in rolling.texts(batch.column(2)):
             tokens, bounds = rolling.word_tokens(block)
             runs = rolling.window_runs(tokens, bounds, depth, seed)
             out["seed"].append(signed(runs.seed))
             out["span"].append(signed(runs.span))
             out["doc"].append(ids[block.first + runs.doc])
+            out["part"].append(parts[block.first + runs.doc])
         return {k: np.concatenate(v) for k, v in out.items()} if out["doc"] else None
 
-    return map_batches(docs.select(ORDER, text), rule, "seed long, span long, doc long")
+    return map_batches(docs.select(ORDER, PART, text), rule, "seed long, span long, doc long, part long")
 
 
 def _extended(docs: DataFrame, text: str, open_classes: DataFrame, depth: int, seed: int) -> DataFrame:
-    """The windows of the named classes, each in the smallest document that holds the class."""
-    wanted = open_classes.groupBy(F.col("first").alias(ORDER)).agg(F.collect_list("span").alias(FOUND))
+    """The windows of the named classes, each in the smallest document that holds the class.
+
+    A class of rows without an id only has no smallest one: its windows are taken in each of them.
+    """
+    named = open_classes.where(F.col("first") < LAST).select(F.col("first").alias(ORDER), F.lit(0).cast("long").alias(PART), "span")
+    last = open_classes.where(F.col("first") == LAST).select("seed", "span")
+    late = _runs(docs.where(F.col(ORDER) == LAST), text, depth, seed).join(last, ["seed", "span"]).select(F.col("doc").alias(ORDER), F.col("part").alias(PART), "span")
+    wanted = named.unionByName(late).groupBy(ORDER, PART).agg(F.collect_set("span").alias(FOUND))
 
     def rule(batch: pa.RecordBatch) -> dict | None:
         ids = batch.column(0).to_numpy()
-        rows, found = lists(batch.column(2))
-        out: dict[str, list] = {"seed": [], "window": [], "doc": []}
-        for block in rolling.texts(batch.column(1)):
+        parts = batch.column(1).to_numpy()
+        rows, found = lists(batch.column(3))
+        out: dict[str, list] = {"seed": [], "window": [], "doc": [], "part": []}
+        for block in rolling.texts(batch.column(2)):
             tokens, bounds = rolling.word_tokens(block)
             if not len(tokens):
                 continue
@@ -69,9 +79,10 @@ def _extended(docs: DataFrame, text: str, open_classes: DataFrame, depth: int, s
             out["window"].append(signed(names))
             out["seed"].append(signed(np.repeat(runs.seed[take], runs.n[take])))
             out["doc"].append(np.repeat(ids[block.first + runs.doc[take]], runs.n[take]))
+            out["part"].append(np.repeat(parts[block.first + runs.doc[take]], runs.n[take]))
         return {k: np.concatenate(v) for k, v in out.items()} if out["doc"] else None
 
-    return map_batches(docs.select(ORDER, text).join(wanted, ORDER), rule, "seed long, window long, doc long")
+    return map_batches(docs.select(ORDER, PART, text).join(wanted, [ORDER, PART]), rule, "seed long, window long, doc long, part long")
 
 
 def drop_repeats(docs: DataFrame, words: int = 50, seed: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,16 +98,17 @@ def drop_repeats(docs: DataFrame, words: int = 50, seed: int = 12, id_col: str =
     """
     depth = words
     seed = min(seed, depth)
-    kept = docs.withColumn(ORDER, order_id(id_col))
+    part = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.lit(0).cast("long"))
+    kept = docs.withColumn(PART, part).withColumn(ORDER, order_id(id_col))
     runs = _runs(kept, text_col, depth, seed)
     classes = save(runs.groupBy("seed", "span").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "classes")
     several = classes.groupBy("seed").agg(F.count("*").alias("n"), F.min("first").alias("a"), F.max("last").alias("b")).where("n > 1 AND a < b").select("seed")
     windows = save(_extended(kept, text_col, classes.join(several, "seed"), depth, seed), "windows")
     earliest = windows.groupBy("seed", "window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-    matched = windows.join(save(earliest, "earliest"), ["seed", "window"]).where("doc > first").select(F.col("doc").alias(ORDER), F.col("window").alias("name"))
+    matched = windows.join(save(earliest, "earliest"), ["seed", "window"]).where("doc > first").select(F.col("doc").alias(ORDER), F.col("part").alias(PART), F.col("window").alias("name"))
     shared = save(classes.where("first < last").drop("last"), "shared")
-    whole = runs.join(shared, ["seed", "span"]).where("doc > first").select(F.col("doc").alias(ORDER), F.col("span").alias("name"))
-    found = whole.unionByName(matched).groupBy(ORDER).agg(F.collect_list("name").alias(FOUND))
+    whole = runs.join(shared, ["seed", "span"]).where("doc > first").select(F.col("doc").alias(ORDER), F.col("part").alias(PART), F.col("span").alias("name"))
+    found = whole.unionByName(matched).groupBy(ORDER, PART).agg(F.collect_list("name").alias(FOUND))
 
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     place = columns.index(text_col)
@@ -136,5 +148,5 @@ def drop_repeats(docs: DataFrame, words: int = 50, seed: int = 12, id_col: str =
 
     kinds = [f for f in docs.schema.fields if f.name in columns]
     schema = T.StructType([*kinds, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return map_batches(kept.join(found, ORDER, "left").select(*columns, FOUND), cut, schema)
+    return map_batches(kept.join(found, [ORDER, PART], "left").select(*columns, FOUND), cut, schema)
 

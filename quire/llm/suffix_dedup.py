@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import rolling
-from quire.llm.common import lists, map_batches, order_id, save, signed
+from quire.llm.common import lists, map_batches, save, signed
 from quire.llm.rolling import U64
 
 ORDER, FOUND = "__order", "__found"
@@ -142,7 +142,10 @@ def drop_repeated_bytes(docs: DataFrame, depth: int = 200, seed: int = 40, piece
     """
     seed = min(seed, depth)
     sizes = (depth, seed, piece)
-    kept = docs.withColumn(ORDER, order_id(id_col))
+    # The key only finds rows again, so a hash of the text parts rows without an id, and 16 bits of it rows that repeat one.
+    hashed = F.xxhash64(text_col)
+    key = F.coalesce(F.col(id_col).cast("long").bitwiseXOR(F.shiftleft(hashed.bitwiseAND(F.lit(0xFFFF)), 40)), hashed)
+    kept = docs.withColumn(ORDER, key)
     records = _records(kept, text_col, sizes)
     runs = save(_groups(records), "runs")
     pieces = save(_dealt(kept, text_col, _split(runs), sizes, False), "pieces")

@@ -25,9 +25,7 @@ def rows_of(docs):
     return [(r["doc_id"], r["text"]) for r in docs.collect()]
 
 
-@pytest.mark.parametrize("depth", [50, 7])
-def test_substring_dedup(docs, none, depth):
-    rows = rows_of(docs)
+def without_repeats(rows, depth):
     first = {}
     for i, t in rows:
         w = words(t)
@@ -41,15 +39,11 @@ def test_substring_dedup(docs, none, depth):
             if first[tuple(w[p:p + depth])] < (BIG if i is None else i):
                 gone.update(range(p, p + depth))
         want.append((i, " ".join(x for j, x in enumerate(w) if j not in gone), len(w), len(gone)))
-    cut = substring_dedup.drop_repeats(docs, depth)
-    assert set(cut.columns) == {*docs.columns, "n_removed"}
-    assert plain(cut, "doc_id", "text", "n_words", "n_removed") == sorted(want, key=str)
-    assert substring_dedup.drop_repeats(none, depth).count() == 0
+    return sorted(want, key=str)
 
 
-@pytest.mark.parametrize("depth", [200, 9])
-def test_suffix_dedup(docs, none, depth):
-    rows = [(i, (t or "").encode()) for i, t in rows_of(docs)]
+def without_repeated_bytes(rows, depth):
+    rows = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(t[p:p + depth] for _, t in rows for p in range(len(t) - depth + 1))
     want = []
     for i, t in rows:
@@ -59,12 +53,43 @@ def test_suffix_dedup(docs, none, depth):
                 gone[p:p + depth] = True
         spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
         want.append((i, bytes(x for x, g in zip(t, gone) if not g), len(t), int(gone.sum()), spans))
-    cut = suffix_dedup.drop_repeated_bytes(docs, depth)
-    got = sorted(((r["doc_id"], bytes(r["kept"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in cut.collect()), key=str)
-    assert got == sorted(want, key=str)
+    return sorted(want, key=str)
+
+
+def bytes_left(cut):
+    return sorted(((r["doc_id"], bytes(r["kept"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in cut.collect()), key=str)
+
+
+@pytest.mark.parametrize("depth", [50, 7])
+def test_substring_dedup(docs, none, depth):
+    cut = substring_dedup.drop_repeats(docs, depth)
+    assert set(cut.columns) == {*docs.columns, "n_removed"}
+    assert plain(cut, "doc_id", "text", "n_words", "n_removed") == without_repeats(rows_of(docs), depth)
+    assert substring_dedup.drop_repeats(none, depth).count() == 0
+
+
+@pytest.mark.parametrize("depth", [200, 9])
+def test_suffix_dedup(docs, none, depth):
+    assert bytes_left(suffix_dedup.drop_repeated_bytes(docs, depth)) == without_repeated_bytes(rows_of(docs), depth)
     assert suffix_dedup.drop_repeated_bytes(none, depth).count() == 0
 
 
+def test_many_rows_without_ids_or_of_one_id(spark):
+    """Passages of rows with ids stand, in parts and in full, in rows without ids and rows of one id, some of them equal."""
+    rng = np.random.default_rng(8)
+    passages = [" ".join(map(str, rng.integers(0, 10**6, 30))) for _ in range(12)]
+
+    def text():
+        taken = [passages[k].split()[slice(*sorted(rng.integers(0, 31, 2)))] if rng.random() < 0.5 else passages[k].split() for k in rng.integers(0, 12, 2)]
+        return " ".join([str(rng.integers(0, 10**6)), *taken[0], str(rng.integers(0, 10**6)), *taken[1]])
+
+    rows = [(i, text()) for i in range(10)] + [(None, text()) for _ in range(30)] + [(7, text()) for _ in range(30)]
+    rows += [(i, t) for i, t in rows[-40:-20]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert plain(substring_dedup.drop_repeats(df, 10), "doc_id", "text", "n_words", "n_removed") == without_repeats(rows, 10)
+    assert bytes_left(suffix_dedup.drop_repeated_bytes(df, 60, 20)) == without_repeated_bytes(rows, 60)
+
+
 def by_hand(text, size=3):
     w = (text or "").encode().lower().split()
     shingles = [b" ".join(w[i:i + size]) for i in range(len(w) - size + 1)] or ([b" ".join(w)] if w else [])
