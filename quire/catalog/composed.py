@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from quire.catalog import assets as asset_queries
+from quire.catalog import flow as flow_queries
+from quire.catalog import page_plans as plan_queries
 from quire.catalog.layout import WORDS_SQL, _REGIONS, LINES_SQL, _overlap
 from quire.catalog.readings import _LOWER
 from quire.functions import text as tx
@@ -33,11 +35,7 @@ def nested_pages(spark, d):
 def pdf_page_flow(spark, d):
     owners = derive.page_regions(spark, d).filter("label = 'table'").select(
         *PAGE, F.col("region_no").alias("owner"), F.lit(0).alias("priority"), F.col("region_no").alias("ordinal"), F.lit(2.0).alias("pad"), F.col("x").alias("x0"), F.col("y").alias("top"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("bottom"))
-    l = derive.page_lines(spark, d)
-    mid = F.col("y") + F.col("h") / 2
-    shapes = l.filter("line_no % 4 = 1").select(*PAGE, F.col("line_no").alias("shape_no"), (F.col("x") - 12.0).alias("x0"), (F.col("x") - 8.0).alias("x1"), (mid - 2).alias("top"), (mid + 2).alias("bottom"), F.lit(True).alias("filled"), F.lit(False).alias("stroked"))
-    rules = l.filter("line_no % 5 < 2").select(*PAGE, F.col("line_no").alias("ordinal"), F.lit("h").alias("dir"), (F.col("y") + F.col("h") * 1.05).alias("pos"), (F.col("x") - 1).alias("a"), (F.col("x") + F.col("w") + F.when(F.col("line_no") % 5 == 1, 500.0).otherwise(1.0)).alias("b"), F.lit(1.0).alias("thick"))
-    return composed.pdf_page_flow(derive.pdf_words(spark, d), owners, shapes, rules)
+    return composed.pdf_page_flow(derive.pdf_words(spark, d), owners, flow_queries.line_shapes(spark, d), flow_queries.line_rules(spark, d))
 
 
 def scan_page_flow(spark, d):
@@ -56,6 +54,19 @@ def asset_audit(spark, d):
     return composed.asset_audit(m, results, asset_queries.LIMITS)
 
 
+#: How a bundle's pages are cut into parts, by bundle.
+CUTS = ("1-2; 3-", "2-", "1, 1-3")
+
+
+def page_plans(spark, d):
+    """Chosen pages of ten conversations each, arranged, bundled, numbered and cut."""
+    pages = plan_queries._pages(spark, d)
+    order = pages.select("conv_id").distinct().select("conv_id", F.floor(F.col("conv_id") / 10).alias("bundle"), (F.col("conv_id") % 10).alias("position"))
+    options = F.array(*[F.lit(c) for c in CUTS])
+    cuts = order.select("bundle").distinct().select("bundle", F.element_at(options, (F.col("bundle") % len(CUTS) + 1).cast("int")).alias("spec"))
+    return composed.page_plans(pages, plan_queries._specs(spark, d), plan_queries._plan(spark, d), order, cuts, "conv_id", "page", "bundle", "Page {n} of {total}")
+
+
 def profile_corpus(spark, d):
     docs = table(spark, d, "documents", "doc_id", "lang", "source", "text")
     return composed.profile_corpus(docs, table(spark, d, "labels", "doc_id", "quality"), ["lang", "source"])
@@ -94,10 +105,11 @@ def list_markers(spark, d):
     return p.select("p_partkey", style.alias("style"), marker.alias("marker"), tx.list_style(marker, F.lit(True)).alias("detected"), tx.list_start(marker).alias("start"))
 
 
-QUERIES = {f.__name__: f for f in (reconstructed_pages, nested_pages, pdf_page_flow, scan_page_flow, detection_review, asset_audit, profile_corpus, search_corpus, numeric_profile, page_scorecard, turned_boxes, list_markers)}
+QUERIES = {f.__name__: f for f in (reconstructed_pages, nested_pages, pdf_page_flow, scan_page_flow, detection_review, asset_audit, page_plans, profile_corpus, search_corpus, numeric_profile, page_scorecard, turned_boxes, list_markers)}
 
 from quire.catalog.assets import _FILES  # noqa: E402
 from quire.catalog.flow import _FRAMES  # noqa: E402
+from quire.catalog.page_plans import _PAGES, _PARTS, _PLAN  # noqa: E402
 from quire.catalog.numeric import ORACLE as _NUMERIC, _otsu, _tonal  # noqa: E402
 from quire.catalog.searching import ORACLE as _SEARCH  # noqa: E402
 from quire.catalog.text_profile import ORACLE as _TEXT  # noqa: E402
@@ -106,6 +118,16 @@ ORACLE = {
     "asset_audit": f"""WITH {_FILES}, j AS (SELECT *, size = 0 OR size > 10485760 OR lower(ext) NOT IN ('.jpg', '.jpeg', '.png', '.webp') OR claimed = 'text/html' OR coalesce(format, '') NOT IN ('jpeg', 'png', 'webp') OR width * height > 40000000 AS bad, trunc(size * (40 + colours % 70) / 100)::BIGINT AS small FROM fi),
 g AS (SELECT request_id, count(*) AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (NOT bad) AS accepted, count(*) FILTER (bad) AS refused, sum(size) FILTER (page_id % 6 <> 5) AS o, sum(least(size, small)) FILTER (page_id % 6 <> 5) AS s FROM j GROUP BY ALL)
 SELECT request_id, files, bytes, CASE WHEN files > 18 THEN 'TOO_MANY_FILES' WHEN bytes > 31457280 THEN 'FILE_TOO_LARGE' END AS reason, accepted, refused, (o - s)::BIGINT AS saved, floor((o - s) / greatest(1, o) * 100 + 0.5)::BIGINT AS percent FROM g""",
+    "page_plans": f"""WITH {_PARTS}{_PLAN[len(_PAGES):]},
+sel AS (SELECT DISTINCT pg.conv_id, pg.page FROM pg JOIN good ON pg.conv_id = good.conv_id AND pg.page BETWEEN good.start AND good."end"),
+arr AS (SELECT conv_id, page, ordinal AS place, (rotation + rotate) % 360 AS rotation FROM plan JOIN pg USING (conv_id, page) JOIN sel USING (conv_id, page) WHERE conv_id NOT IN (SELECT conv_id FROM bad WHERE problem IS NOT NULL)),
+me AS (SELECT conv_id // 10 AS bundle, *, row_number() OVER w AS new_page, count(*) OVER (PARTITION BY conv_id // 10) AS total FROM arr WINDOW w AS (PARTITION BY conv_id // 10 ORDER BY conv_id % 10, place)),
+bu AS (SELECT DISTINCT bundle, total FROM me),
+cu AS (SELECT bundle, unnest(CASE bundle % 3 WHEN 0 THEN [[0, 1, 2], [1, 3, total]] WHEN 1 THEN [[0, 2, total]] ELSE [[0, 1, 1], [1, 1, 3]] END) AS c FROM bu WHERE total >= CASE WHEN bundle % 3 = 1 THEN 2 ELSE 3 END),
+di AS (SELECT DISTINCT conv_id, page FROM arr), ru AS (SELECT conv_id, page, page - row_number() OVER (PARTITION BY conv_id ORDER BY page) AS g FROM di),
+sp2 AS (SELECT conv_id, min(page) AS s, max(page) AS e FROM ru GROUP BY conv_id, g), fo AS (SELECT conv_id, string_agg(CASE WHEN s = e THEN s::VARCHAR ELSE s || '-' || e END, ', ' ORDER BY s) AS taken FROM sp2 GROUP BY conv_id)
+SELECT me.bundle, conv_id, page, rotation, new_page, 'Page ' || new_page || ' of ' || total AS label, taken, c[1]::INT AS part_no, CASE WHEN c[2] = c[3] THEN 'page-' || c[2] ELSE 'pages-' || c[2] || '-' || c[3] END AS part, (new_page - c[2] + 1)::INT AS part_page
+FROM me JOIN fo USING (conv_id) LEFT JOIN cu ON me.bundle = cu.bundle AND new_page BETWEEN c[2] AND c[3]""",
     "numeric_profile": f"""SELECT event_type, n, upper_median, threshold, lo, hi, low_contrast, few, coalesce(outliers, 0)::BIGINT AS outliers FROM (SELECT event_type, count(*) AS n, list_sort(list(value))[(count(*) // 2 + 1)::INT] AS upper_median, count(DISTINCT value) <= 400 AS few FROM events GROUP BY event_type)
 JOIN (SELECT event_type, threshold FROM ({_otsu('events', 'event_type', 'value', 100)})) USING (event_type) JOIN (SELECT event_type, lo, hi, hi - lo < 110 AS low_contrast FROM (WITH {_tonal('events', 'event_type', 'value', 100)} SELECT * FROM tones)) USING (event_type)
 LEFT JOIN (SELECT event_type, count(*) AS outliers FROM ({_NUMERIC["mad_outliers"]}) GROUP BY event_type) USING (event_type)""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.functions.geometry import box
 from quire.operators import assets, detections, flow, layout, numeric, profile, readings, searching
+from quire.operators import page_plans as plans
 from quire.operators.layout import PAGE
 from quire.plans import ranks
 from quire.session import checkpoint
@@ -98,6 +99,27 @@ def asset_audit(manifest: DataFrame, results: DataFrame, limits: assets.Limits =
     return assets.gate_requests(manifest, limits).join(files, "request_id").join(saved, "request_id", "left")
 
 
+def page_plans(pages: DataFrame, specs: DataFrame, plan: DataFrame, order: DataFrame, cuts: DataFrame, doc: str, page: str, group: str, template: str, start: int = 1) -> DataFrame:
+    """Page lists and plans to bundles: one row per page of a bundle and part it goes to.
+
+    ``specs`` names the pages a document gives, ``plan`` arranges and turns them, ``order`` puts documents into
+    groups, ``cuts`` (group, spec) names the parts of a group. Documents whose list or plan is refused give nothing;
+    a group whose cuts are refused, and pages outside all parts, have null parts. ``label`` numbers a group's pages
+    from ``start``; ``taken`` is the text of the pages that a document gave.
+    """
+    chosen = plans.select_pages(pages, specs, doc, page).select(doc, page)
+    arranged = plans.organize(pages, plan, doc, page).withColumnRenamed("new_page", "_place")
+    arranged = checkpoint(arranged.join(chosen, [doc, page], "left_semi"))  # read for the order, the totals and the texts
+    bundled = checkpoint(plans.merge_documents(arranged, order, doc, "_place", group).drop("_place", "total", "too_long"))
+    labelled = plans.number_rows(bundled, template, start, group, "new_page")
+    totals = bundled.groupBy(group).agg(F.count(F.lit(1)).cast("int").alias("pages"))
+    ranges = plans.accepted_ranges(plans.parse_specs(cuts, totals, group), group)
+    numbers = bundled.select(group, F.col("new_page").alias("_n"))
+    parts = plans.split_pages(numbers, group, "_n", ranges).select(group, F.col("_n").alias("new_page"), "part_no", F.col("label").alias("part"), F.col("new_page").alias("part_page"))
+    taken = plans.format_pages(arranged, doc, page).withColumnRenamed("pages", "taken")
+    return labelled.join(taken, doc).join(parts, [group, "new_page"], "left")
+
+
 def profile_corpus(docs: DataFrame, labels: DataFrame, by: list[str], text: str = "text", ident: str = "doc_id", words: int = 50) -> DataFrame:
     """One row per group: text measures and reading time, script letters and language, and the share of good documents.
 
