@@ -76,13 +76,15 @@ def mad_outliers(df: DataFrame, by: list[str], value: str, k: float = 10.0, mini
     """Rows above a robust ceiling: median + k times (1.4826 MAD + 1), at least ``minimum``.
 
     A ceiling that flags more than 4 % of a group is raised by 1.3, up to five times; all six candidates
-    are counted in one pass.
+    are counted in one pass. Rows are read to count each value and to return those above, nothing between needs them.
     """
-    middle = ranks.median(df, by, value, "_median").drop("n")
-    spread = ranks.median(ranks.with_keys(df, middle, by).withColumn("_away", F.abs(F.col(value) - F.col("_median"))), by, "_away", "_mad").drop("n")
+    values = checkpoint(df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value)).agg(F.count(F.lit(1)).alias("_times")))
+    middle = ranks.median(values, by, value, "_median", weight="_times").drop("n")
+    spread = ranks.median(ranks.with_keys(values, middle, by).withColumn("_away", F.abs(F.col(value) - F.col("_median"))), by, "_away", "_mad", weight="_times").drop("n")
     base = ranks.with_keys(middle, spread, by).select(*by, "_median", "_mad", F.greatest(F.lit(minimum), F.col("_median") + k * (F.col("_mad") * MAD_SCALE + 1.0)).alias("_floor"))
     candidates = [F.col("_floor") * MAD_RAISE**i for i in range(MAD_STEPS)]
-    counts = ranks.with_keys(df, base, by).groupBy(*by, "_median", "_mad", "_floor").agg(F.count(value).alias("_n"), *[F.count_if(F.col(value) > c).alias(f"_c{i}") for i, c in enumerate(candidates)])
+    above = [F.sum(F.when(F.col(value) > c, F.col("_times")).otherwise(0)).alias(f"_c{i}") for i, c in enumerate(candidates)]
+    counts = ranks.with_keys(values, base, by).groupBy(*by, "_median", "_mad", "_floor").agg(F.sum("_times").alias("_n"), *above)
     ceiling = candidates[-1]
     for i in range(MAD_STEPS - 2, -1, -1):
         ceiling = F.when(F.col(f"_c{i}") / F.col("_n") <= MAD_SHARE, candidates[i]).otherwise(ceiling)

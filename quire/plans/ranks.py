@@ -13,28 +13,38 @@ from pyspark.sql import functions as F
 from quire.session import checkpoint
 
 CUTS = 64
-#: How often the bucket of a wanted rank is cut again: what is sorted in one task is a group's 1 / CUTS**(RECUTS + 1).
-RECUTS = 2
+#: Distinct values that one task orders; what holds more is cut into buckets first, again and again.
+ORDERED = 1 << 18
 
 
-def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column], weight: str | None = None) -> DataFrame:
+def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column], weight: str | None = None, ordered: int = ORDERED) -> DataFrame:
     """One row per group: ``n`` and, per name, the value at a 0-based rank given as an expression of ``n``.
 
-    ``weight`` names a column that says how often a row counts.
+    ``weight`` names a column that says how often a row counts. A group, or a wanted rank's bucket, is cut only while one of
+    them holds more than ``ordered`` distinct values.
     """
     # Cuts, totals and the wanted buckets all read the counted values: written once.
     rows = checkpoint(df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_count")))
     sizes = rows.groupBy(*by).agg(F.sum("_count").alias("n"))
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), rank.cast("long").alias("_rest")) for name, rank in ranks.items()])).alias("w")
-    inside = _bucket_of_rank(rows, sizes.select(*by, "n", wanted).select(*by, "n", "w.*"), by, by)
-    for _ in range(RECUTS):
-        inside = _bucket_of_rank(inside.drop("n", "_rest"), inside.select(*by, "n", "_name", "_rest").distinct(), [*by, "_name"], [*by, "_name"])
+    targets, named = sizes.select(*by, "n", wanted).select(*by, "n", "w.*"), [*by, "_name"]
+    if _most(rows, by) <= ordered:
+        inside = with_keys(rows, targets, by)
+    else:
+        inside = checkpoint(_bucket_of_rank(rows, targets, by, by))
+        while _most(inside, named) > ordered:
+            inside = checkpoint(_bucket_of_rank(inside.drop("n", "_rest"), inside.select(*by, "n", "_name", "_rest").distinct(), named, named))
     upto = F.sum("_count").over(Window.partitionBy(*by, "_name").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
     found = inside.withColumn("_upto", upto).filter((F.col("_rest") < F.col("_upto")) & (F.col("_rest") >= F.col("_upto") - F.col("_count")))
     picks = [F.max(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in ranks]
     return found.groupBy(*by).agg(F.max("n").alias("n"), *picks)
 
 
+def _most(rows: DataFrame, keys: list[str]) -> int:
+    """The number of values of the largest group."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("_values")).agg(F.max("_values")).first()[0] or 0
+
+
 def _bucket_of_rank(rows: DataFrame, wanted: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """The rows (keys, _value, _count) of the bucket that holds each wanted rank, with n, _name and the rank inside it.
 

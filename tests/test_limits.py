@@ -5,7 +5,8 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import changes, clusters, layout, page_plans, readings, searching
+from quire.operators import changes, clusters, layout, numeric, page_plans, readings, searching
+from quire.plans import ranks
 from quire.plans.folds import fold_groups
 from quire.sources import readers
 
@@ -93,3 +94,26 @@ def test_ranks_of_one_large_group(spark):
     df = spark.range(50001).selectExpr("1 AS g", "cast(id * 7919 % 50001 AS double) AS v")
     assert ranks.median(df, ["g"], "v").first().median == 25000.0
     assert ranks.upper_median(df.filter("v < 10"), ["g"], "v").first().upper_median == 5.0
+
+
+def test_ranks_cut_as_often_as_needed(spark):
+    """The same order statistics whether a group is ordered whole or cut, and cut again, down to a few values."""
+    rows = [(None if i % 3 == 0 else "ab"[i % 3 - 1], float(i * 7919 % 10007)) for i in range(9000)] + [("few", 1.0), ("few", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    groups = {}
+    for k, v in rows:
+        if v is not None:
+            groups.setdefault(k, []).append(v)
+    expected = {k: (len(v), sorted(v)[len(v) // 2], sorted(v)[len(v) // 10]) for k, v in groups.items()}
+    ranks_wanted = {"middle": F.floor(F.col("n") / 2), "low": F.floor(F.col("n") / 10)}
+    for ordered in (10, 100, 1 << 18):
+        found = ranks.order_statistics(df, ["k"], "v", ranks_wanted, ordered=ordered).collect()
+        assert {r.k: (r.n, r.middle, r.low) for r in found} == expected
+    assert ranks.order_statistics(df.limit(0), ["k"], "v", ranks_wanted).collect() == []
+
+
+def test_outliers_of_a_null_group(spark):
+    """Rows without a group are a group; equal values count as often as they occur."""
+    rows = [(i, None if i % 2 else "a", 500.0 if i in (4, 5) else float(i // 2 % 5)) for i in range(200)] + [(200, "a", None)]
+    found = numeric.mad_outliers(spark.createDataFrame(rows, "id long, k string, v double"), ["k"], "v").collect()
+    assert sorted((r.id, r.k, r.median, r.mad) for r in found) == [(4, "a", 2.0, 1.0), (5, None, 2.0, 1.0)]
