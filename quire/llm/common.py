@@ -63,6 +63,22 @@ def order_id(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(LAST))
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after each of whose batches the worker gives back the memory that Arrow keeps for later ones.
+
+    A worker lives on beside the heap while other tasks run.
+    """
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+        for out in run(batches):
+            yield out
+            del out
+            pool.release_unused()
+        pool.release_unused()
+
+    return walk
+
+
 def map_batches(df: DataFrame, rule: Callable[[pa.RecordBatch], dict | None], schema: str | T.StructType) -> DataFrame:
     """``rule`` turns an Arrow batch into the columns of the result (None: no rows).
 
@@ -82,7 +98,7 @@ def map_batches(df: DataFrame, rule: Callable[[pa.RecordBatch], dict | None], sc
                     arrays = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip((columns[f.name] for f in arrow), arrow)]
                     yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.mapInArrow(run, shape)
+    return df.mapInArrow(released(run), shape)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

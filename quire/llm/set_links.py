@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import rolling
-from quire.llm.common import discard, save
+from quire.llm.common import discard, released, save
 from quire.llm.components import components
 
 U64 = np.uint64
@@ -183,7 +183,7 @@ def links(buckets: DataFrame, shapes: DataFrame, sets: DataFrame, share: Fractio
     heads = save(pairs.select("center", "part").distinct(), "heads")
     centers = own.join(_sent(heads), "center").select("center", "part", F.lit(False).alias("member"), F.col("center").alias("shape"), "set")
     stars = asked.union(centers).repartition("center", "part").sortWithinPartitions("center", "part", "member")
-    linked = save(stars.mapInArrow(_stars(share), LINKS), "linked")
+    linked = save(stars.mapInArrow(released(_stars(share)), LINKS), "linked")
 
     found = components(linked)
     rest = members.where("n > 2").join(found.select(F.col("node").alias("shape"), "root"), "shape", "left").join(whole.select("shape", "size"), "shape")
@@ -194,7 +194,7 @@ def links(buckets: DataFrame, shapes: DataFrame, sets: DataFrame, share: Fractio
     apart = save(apart.select("key", F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("words") / words)).alias("chunks")), "apart")
     units = save(dealt(rest.join(_sent(apart), "key").drop("size"), "key", "shape"), "units")
     met = whole.join(_sent(units), "shape").select("unit", "shape", "root", "set").repartition("unit").sortWithinPartitions("unit", "shape")
-    out = save(linked.union(met.mapInArrow(_units(share), LINKS)), "set_links")
+    out = save(linked.union(met.mapInArrow(released(_units(share)), LINKS)), "set_links")
     discard(crowded, members, edges, wanted, whole, pairs, heads, linked, found, rest, apart, units)
     return out
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import minhash, rolling
-from quire.llm.common import LAST, discard, map_batches, order_id, save
+from quire.llm.common import LAST, discard, map_batches, order_id, released, save
 from quire.llm.components import components
 from quire.llm.set_links import dealt
 
@@ -174,7 +174,7 @@ def links(prints: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
     part = [F.shiftrightunsigned(value, i * width).bitwiseAND(F.lit((1 << min(width, 64 - i * width)) - 1)) for i in range(parts)]
     keys = [F.lit(n << 2 * width) + F.shiftleft(part[i], width) + part[j] for n, (i, j) in enumerate(combinations(range(parts), 2))]
     tables = prints.select("fingerprint", F.explode(F.array(*keys)).alias("key"))
-    return _met(tables, chunk).mapInArrow(_walk(radius), "a long, b long")
+    return _met(tables, chunk).mapInArrow(released(_walk(radius)), "a long, b long")
 
 
 def _met(tables: DataFrame, chunk: int) -> DataFrame:
