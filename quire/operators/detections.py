@@ -27,9 +27,10 @@ _COLUMNS = [f.split()[0] for f in _FIELDS.split(", ")]
 def join_text_regions(regions: DataFrame, image: str = "image_id") -> DataFrame:
     """Pieces of one line of text become one region: like angle, same centre line, little gap.
 
-    A piece is compared with the region as grown so far, left to right, so an image is walked.
+    A piece is compared with the region as grown so far, left to right, so an image is walked. ``place`` is a region's
+    number in that order, which later steps follow.
     """
-    schema = f"{image} {regions.schema[image].dataType.simpleString()}, {_FIELDS}"
+    schema = f"{image} {regions.schema[image].dataType.simpleString()}, {_FIELDS}, place int"
 
     def rule(g: Group) -> Group:
         n = len(g["x"])
@@ -50,11 +51,16 @@ def join_text_regions(regions: DataFrame, image: str = "image_id") -> DataFrame:
             score[k] = max(score[k], score[i])
             el[k] = max(el[k], w[k] / max(1.0, h[k]))
         k = np.array(joined, dtype=int)
-        return {image: g[image][k], "region_no": g["region_no"][k], "type": g["type"][k], "score": score[k], "x": x[k], "y": y[k], "w": w[k], "h": h[k], "angle": angle[k], "line_height": lh[k], "elongation": el[k]}
+        return {image: g[image][k], "region_no": g["region_no"][k], "type": g["type"][k], "score": score[k], "x": x[k], "y": y[k], "w": w[k], "h": h[k], "angle": angle[k], "line_height": lh[k], "elongation": el[k], "place": np.arange(len(k))}
 
     return fold_groups(regions.select(image, *_COLUMNS), [image], ["region_no"], schema, rule)
 
 
+def _place(regions: DataFrame) -> Column:
+    """A region's place among its image's: the one given to joined texts, or else its number."""
+    return F.col("place" if "place" in regions.columns else "region_no").cast("int").alias("place")
+
+
 def mark_patterns(texts: DataFrame, image: str = "image_id") -> DataFrame:
     """Texts of which at least three (itself included) have a height within 20 % of its own become a pattern.
 
@@ -67,7 +73,7 @@ def mark_patterns(texts: DataFrame, image: str = "image_id") -> DataFrame:
     near = counts.withColumn("_at0", F.explode(F.array(F.col("_step") - 2, F.col("_step") - 1, F.col("_step"), F.col("_step") + 1)))
     close = (F.col(image) == F.col("_image")) & (F.col("_at0") == F.col("_at")) & (F.abs(F.col("_other") - F.col("line_height")) <= F.col("line_height") * SIMILAR)
     similar = near.join(other, close).groupBy(image, "line_height").agg(F.sum("_m").alias("similar"))
-    return texts.join(similar, [image, "line_height"]).withColumn("type", F.when(F.col("similar") >= PATTERN_LINES, "pattern").otherwise(F.col("type"))).select(image, *_COLUMNS)
+    return texts.join(similar, [image, "line_height"]).withColumn("type", F.when(F.col("similar") >= PATTERN_LINES, "pattern").otherwise(F.col("type"))).select(image, *_COLUMNS, _place(texts))
 
 
 def merge_overlays(texts: DataFrame, overlays: DataFrame, image: str = "image_id") -> DataFrame:
@@ -75,8 +81,8 @@ def merge_overlays(texts: DataFrame, overlays: DataFrame, image: str = "image_id
 
     Overlays take their first text in order; a text already grown is met as grown, so an image is walked.
     """
-    both = texts.select(image, *_COLUMNS, F.lit(0).alias("_overlay")).unionByName(overlays.select(image, *_COLUMNS, F.lit(1).alias("_overlay")))
-    schema = f"{image} {texts.schema[image].dataType.simpleString()}, {_FIELDS}"
+    both = texts.select(image, *_COLUMNS, _place(texts), F.lit(0).alias("_overlay")).unionByName(overlays.select(image, *_COLUMNS, _place(overlays), F.lit(1).alias("_overlay")))
+    schema = f"{image} {texts.schema[image].dataType.simpleString()}, {_FIELDS}, place int"
 
     def rule(g: Group) -> Group:
         over = g["_overlay"] == 1
@@ -96,9 +102,9 @@ def merge_overlays(texts: DataFrame, overlays: DataFrame, image: str = "image_id
             right, bottom = max(x[k] + w[k], x[i] + w[i]), max(y[k] + h[k], y[i] + h[i])
             x[k], y[k] = min(x[k], x[i]), min(y[k], y[i])
             w[k], h[k], kind[k], angle[k], lh[k] = right - x[k], bottom - y[k], "logo", 0.0, math.inf
-        return {image: g[image][keep], "region_no": g["region_no"][keep], "type": kind[keep], "score": g["score"][keep], "x": x[keep], "y": y[keep], "w": w[keep], "h": h[keep], "angle": angle[keep], "line_height": lh[keep], "elongation": g["elongation"][keep]}
+        return {image: g[image][keep], "region_no": g["region_no"][keep], "type": kind[keep], "score": g["score"][keep], "x": x[keep], "y": y[keep], "w": w[keep], "h": h[keep], "angle": angle[keep], "line_height": lh[keep], "elongation": g["elongation"][keep], "place": g["place"][keep]}
 
-    return fold_groups(both, [image], ["_overlay", "region_no"], schema, rule)
+    return fold_groups(both, [image], ["_overlay", "place", "region_no"], schema, rule)
 
 
 def location_prior(width: Column, height: Column) -> Column:
@@ -110,7 +116,10 @@ def location_prior(width: Column, height: Column) -> Column:
 
 
 def score_detections(regions: DataFrame, width: Column, height: Column, image: str = "image_id", top: int = TOP) -> DataFrame:
-    """Confidence from score, place, shape and angle; the best twelve of an image from 0.4 up, preselected from 0.6."""
+    """Confidence from score, place, shape and angle; the best twelve of an image from 0.4 up, preselected from 0.6.
+
+    Of equals, texts come before overlays, then by ``place``.
+    """
     c = F.col("score") * location_prior(width, height)
     kind, angle = F.col("type"), F.abs(F.coalesce("angle", F.lit(0.0)))
     c = F.when(kind.isin("text", "pattern") & (F.coalesce("elongation", F.lit(3.0)) < 1.8), c * 0.6).otherwise(c)
@@ -118,5 +127,5 @@ def score_detections(regions: DataFrame, width: Column, height: Column, image: s
     c = F.when(kind == "pattern", F.least(F.lit(1.0), c + 0.1)).otherwise(c)
     c = F.when(angle > 12, F.least(F.lit(1.0), c + 0.05)).otherwise(c)
     scored = regions.withColumn("_c", c).filter(F.col("_c") >= MIN_CONFIDENCE).withColumn("confidence", F.bround("_c", 3)).drop("_c")
-    rank = F.row_number().over(Window.partitionBy(image).orderBy(F.desc("confidence"), (kind == "overlay").cast("int"), "region_no"))
+    rank = F.row_number().over(Window.partitionBy(image).orderBy(F.desc("confidence"), (kind == "overlay").cast("int"), _place(regions), "region_no"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top).withColumn("preselected", F.col("confidence") >= PRESELECT)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import style
 from quire.functions import text as tx
 from quire.operators import assets, changes, cleaning, clusters, flow, jobs, layout, numeric, page_plans, profile, readings, searching
-from quire.plans import ranks, segments
+from quire.plans import composed, ranks, segments
 from quire.sources import readers
 
 PAGE = ["doc_id", "page_no"]
@@ -338,3 +338,13 @@ def test_null_groups_keep_their_rows(spark):
     docs = spark.createDataFrame([(i, "word " * 60, g) for i, g in enumerate(["x", "x", None, "y", None])], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
     assert {r["lang"] for r in composed.profile_corpus(docs, labels, ["lang"]).collect()} == {"x", "y", None}
+
+
+def test_detections_follow_the_order_of_joined_texts(spark):
+    """Texts go left to right from the join on: an overlay takes the leftmost one, and ties in score follow it."""
+    columns = "image_id int, region_no int, type string, score double, x double, y double, w double, h double, angle double, line_height double, elongation double"
+    texts = spark.createDataFrame([(1, 1, "text", 0.8, 300.0, 550.0, 50.0, 20.0, 0.0, 20.0, 3.0), (1, 2, "text", 0.8, 10.0, 550.0, 50.0, 20.0, 0.0, 20.0, 3.0)], columns)
+    overlay = spark.createDataFrame([(1, 0, "overlay", 0.8, 0.0, 540.0, 400.0, 40.0, 0.0, 20.0, 3.0)], columns)
+    for overlays, kinds in ((overlay.limit(0), ["text", "text"]), (overlay, ["logo", "text"])):
+        found = composed.detection_review(texts, overlays, F.lit(800.0), F.lit(600.0)).orderBy("rank").collect()
+        assert [(r["rank"], r.region_no, r.type) for r in found] == [(1, 2, kinds[0]), (2, 1, kinds[1])]
