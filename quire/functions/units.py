@@ -21,12 +21,26 @@ def mm_to_pixels(mm: Column, dpi: Column) -> Column:
     return rounded(mm / 25.4 * dpi).cast("int")
 
 
+def two_decimals(value: Column) -> Column:
+    """A number from 1 up with two decimals, as C prints it: the exact binary value rounded, ties to even.
+
+    Java's formatter rounds the shortest decimal that names the value, and ties up. The fraction is counted in 2^-52,
+    which is exact, and its hundredths fit a long.
+    """
+    whole = F.floor(value)
+    parts = ((value - whole) * F.lit(float(2**52))).cast("long") * 100
+    down, rest = F.shiftright(parts, 52), parts % 2**52
+    up = (rest > 2**51) | ((rest == 2**51) & (down % 2 == 1))
+    hundredths = whole * 100 + down + up.cast("long")
+    return F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
+
+
 def ratio_label(width: Column, height: Column) -> Column:
     """4:5 where both sides reduce to at most 32, else 1.91:1 or 1:1.91."""
     # Euclid over a fixed number of steps: sides are below 2^31, and 46 steps settle any such pair.
     step = lambda acc, _: F.struct(F.when(acc["b"] == 0, acc["a"]).otherwise(acc["b"]).alias("a"), F.when(acc["b"] == 0, F.lit(0)).otherwise(acc["a"] % acc["b"]).alias("b"))
     d = F.aggregate(F.sequence(F.lit(1), F.lit(46)), F.struct(width.cast("int").alias("a"), height.cast("int").alias("b")), step)["a"]
-    short = lambda v: F.regexp_replace(F.format_string("%.2f", v), "0$", "")
+    short = lambda v: F.regexp_replace(two_decimals(v), "0$", "")
     exact = (width / d <= 32) & (height / d <= 32)
     return (
         F.when(exact, F.concat((width / d).cast("int").cast("string"), F.lit(":"), (height / d).cast("int").cast("string")))

@@ -5,6 +5,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import units
 from quire.operators import changes, clusters, layout, numeric, page_plans, readings, searching
 from quire.plans import ranks
 from quire.plans.folds import fold_groups
@@ -117,3 +118,11 @@ def test_outliers_of_a_null_group(spark):
     rows = [(i, None if i % 2 else "a", 500.0 if i in (4, 5) else float(i // 2 % 5)) for i in range(200)] + [(200, "a", None)]
     found = numeric.mad_outliers(spark.createDataFrame(rows, "id long, k string, v double"), ["k"], "v").collect()
     assert sorted((r.id, r.k, r.median, r.mad) for r in found) == [(4, "a", 2.0, 1.0), (5, None, 2.0, 1.0)]
+
+
+def test_ratios_round_the_exact_value_and_ties_to_even(spark):
+    pairs = [(57, 8), (59, 8), (201, 200), (8, 57), (1999, 1000), (9000, 6000), (33, 1), (3299, 100), (1, 3300)]
+    df = spark.createDataFrame(pairs, "w int, h int").select("w", "h", units.ratio_label(F.col("w") * 33, F.col("h") * 33).alias("r"), units.two_decimals(F.greatest("w", "h") / F.least("w", "h")).alias("two"))
+    for r in df.collect():
+        assert r.two == f"{max(r.w, r.h) / min(r.w, r.h):.2f}"
+    assert {(r.w, r.h): r.r for r in df.collect()}[57, 8] == "7.12:1"
