@@ -153,8 +153,7 @@ def stage_durations_stream(spark, d):
 
 def clean_stream(spark, d):
     folder = work_folder(spark, "cleaned")
-    schema = table(spark, d, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d).select("doc_id", "lang", "text")
+    docs = live.event_stream(spark, d, "documents").select("doc_id", "lang", "text")
     live.clean_stream(spread_stream(docs), folder).awaitTermination()
     out = spark.read.option("basePath", f"{folder}/texts").parquet(f"{folder}/texts")
     return out.groupBy("lang").agg(*[F.sum(r).alias(r) for r in tx.CLEAN_RULES])

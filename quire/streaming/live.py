@@ -26,12 +26,15 @@ JOB_ROW = "job_id long, status string, step string, done int, total int, files l
 
 
 def event_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """A parquet table of a folder as a stream, with ``ts`` as a timestamp."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A parquet table, one file or a folder of files, as a stream, with ``ts`` as a timestamp."""
+    path = f"{folder}/{name}.parquet"
+    found = spark.read.parquet(path)
+    reader = spark.readStream.schema(found.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
-    df = reader.parquet(folder)
+    # A stream reads folders: of the table's own, or of all tables, where this one is a single file.
+    single = any(f.rsplit("/", 2)[1:] != [f"{name}.parquet"] * 2 and f.endswith(f"/{name}.parquet") for f in found.inputFiles()[:1])
+    df = reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder) if single else reader.parquet(path)
     return df.withColumn("ts", utc("ts")) if "ts" in df.columns else df
 
 

@@ -10,6 +10,7 @@ from quire.operators import changes, clusters, layout, numeric, page_plans, read
 from quire.plans import ranks
 from quire.plans.folds import fold_groups
 from quire.sources import readers
+from quire.streaming import live
 
 
 def test_every_hit_of_a_phrase(spark):
@@ -120,6 +121,12 @@ def test_outliers_of_a_null_group(spark):
     assert sorted((r.id, r.k, r.median, r.mad) for r in found) == [(4, "a", 2.0, 1.0), (5, None, 2.0, 1.0)]
 
 
+def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
+    spark.range(40).selectExpr("id AS doc_id", "concat('a  b', id) AS text").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out, _ = live.run_to_table(live.event_stream(spark, str(tmp_path), "documents"), "docs", "append")
+    assert sorted(r.doc_id for r in out.collect()) == list(range(40))
+
+
 def test_ratios_round_the_exact_value_and_ties_to_even(spark):
     pairs = [(57, 8), (59, 8), (201, 200), (8, 57), (1999, 1000), (9000, 6000), (33, 1), (3299, 100), (1, 3300)]
     df = spark.createDataFrame(pairs, "w int, h int").select("w", "h", units.ratio_label(F.col("w") * 33, F.col("h") * 33).alias("r"), units.two_decimals(F.greatest("w", "h") / F.least("w", "h")).alias("two"))
