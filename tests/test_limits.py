@@ -127,6 +127,53 @@ def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
     assert sorted(r.doc_id for r in out.collect()) == list(range(40))
 
 
+class _Store:
+    """A state store of one value that counts its writes."""
+
+    def __init__(self):
+        self.value, self.writes, self.timers = None, 0, set()
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.writes = value, self.writes + 1
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+def test_jobs_of_a_slot_are_folded_with_one_write_a_batch():
+    import pandas as pd
+
+    rows = [dict(job=str(j), place=f"{k:020d}/{k:020d}", us=k * 10**6, status={0: "queued", 1: "processing", 4: "completed"}.get(k), step="reading" if k == 2 else None, done=7 if k == 2 else 0, total=9 if k == 2 else 0,
+                 files=int(k == 3), bytes=50 * (k == 3), error=None, summary=f'{{"n": "{k}"}}' if k in (1, 3) else None) for j in range(500) for k in range(5)]
+    part = pd.DataFrame(rows)
+    late = part.place.str.endswith("1") | part.place.str.endswith("2")
+    seen = []
+    for batches in ([part], [part[~late], part[late]], [part[late], part[~late]]):
+        store, fold = _Store(), live.JobFold(30)
+        fold.init(store)
+        for b in batches:
+            (out,) = fold.handleInputRows((0,), iter([b]), None)
+        assert store.writes == len(batches) and store.timers == {4000 + 30 * 60_000} and len(out) == 500
+        seen.append(out.sort_values("job_id").to_dict("records"))
+    assert seen[0] == seen[1] == seen[2]
+    assert seen[0][3] == {"job_id": 3, "status": "completed", "step": "completed", "done": 7, "total": 9, "files": 1, "bytes": 50, "error": None, "created_us": 0, "ended_us": 4 * 10**6, "summary": '{"n": "3"}', "event": "state"}
+
+
 def test_ratios_round_the_exact_value_and_ties_to_even(spark):
     pairs = [(57, 8), (59, 8), (201, 200), (8, 57), (1999, 1000), (9000, 6000), (33, 1), (3299, 100), (1, 3300)]
     df = spark.createDataFrame(pairs, "w int, h int").select("w", "h", units.ratio_label(F.col("w") * 33, F.col("h") * 33).alias("r"), units.two_decimals(F.greatest("w", "h") / F.least("w", "h")).alias("two"))
