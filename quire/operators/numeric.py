@@ -111,39 +111,36 @@ def change_check(pairs: DataFrame, series: str, order: str, bucket: int = 4096)
     return sums.withColumn("warning", verdict)
 
 
-def _clusters(df: DataFrame, by: list[str], value: str, bucket: float, within) -> DataFrame:
-    """Distinct values with the first value of their cluster; a value joins a cluster if ``within(start, value)``.
+def _clusters(df: DataFrame, by: list[str], value: str, slot: Column, reach, within) -> DataFrame:
+    """Distinct values with the first value of their cluster; a value joins a cluster if ``within(start, value)``, up to about ``reach(start)``.
 
-    Where a bucket's first cluster begins depends on the bucket before, but only through one value: the first it does
-    not take over. So each bucket is walked from every value it could begin with, all buckets at once; the few results
-    are followed from bucket to bucket; then all buckets are walked again from where they begin.
+    Where a slot's first cluster begins depends on the slot before, but only through one value: the first it does
+    not take over. So each slot, some clusters wide, is walked from every value it could begin with, all slots at once; the
+    results are followed from slot to slot; then all slots are walked again from where they begin.
     """
-    distinct = checkpoint(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("times")).withColumn("_slot", F.floor(F.col(value) / bucket)))
+    distinct = checkpoint(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("times")).withColumn("_slot", slot.cast("long")))
     keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by) + (", " if by else "")
 
-    def ahead(v, i):
-        lo, hi = i + 1, len(v)
-        while lo < hi:  # the first value that does not join; joining is monotone in the value
-            mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if within(v[i], v[mid]) else (lo, mid)
-        return lo
+    def nexts(v):
+        """For every value the place of the first one after it that does not join it: looked up, then put right by the rule itself."""
+        own = np.arange(len(v)) + 1
+        at = np.maximum(np.searchsorted(v, reach(v), "right"), own)
+        while (off := np.flatnonzero((at < len(v)) & within(v, v[np.minimum(at, len(v) - 1)]))).size:
+            at[off] += 1
+        while (off := np.flatnonzero((at > own) & ~within(v, v[at - 1]))).size:
+            at[off] -= 1
+        return at
 
     def entries(g):
         v = g[value].astype(float)
-        last = ahead(v, 0)
-        begins, ends = [], []
-        known: dict[int, float] = {}
-        for entry in range(min(last, len(v) - 1), -1, -1):
-            i, path = entry, []
-            while i < len(v) and i not in known:
-                path.append(i)
-                i = ahead(v, i)
-            end = known[i] if i < len(v) else v[path[-1]]
-            known.update(dict.fromkeys(path, end))
-            begins.append(v[entry])
-            ends.append(end)
-        n = len(begins)
-        return {**{c: g[c][:n] for c in (*by, "_slot")}, "_begin": np.array(begins[::-1]), "_end": np.array(ends[::-1])}
+        n, after = len(v), nexts(v)
+        end = np.where(after < n, np.minimum(after, n - 1), np.arange(n))
+        while not np.array_equal(further := end[end], end):
+            end = further
+        begins = np.arange(min(after[0], n - 1) + 1)
+        # Of neighbours that come to the same end, the last one says all.
+        begins = begins[np.append(end[begins[1:]] != end[begins[:-1]], True)]
+        return {**{c: g[c][:len(begins)] for c in (*by, "_slot")}, "_begin": v[begins], "_end": v[end[begins]]}
 
     walked = fold_groups(distinct, [*by, "_slot"], [value], keys + "_slot bigint, _begin double, _end double", entries)
 
@@ -153,8 +150,8 @@ def _clusters(df: DataFrame, by: list[str], value: str, bucket: float, within) -
         out, start = [], None
         for lo, hi in zip(changed, np.append(changed[1:], len(slots))):
             out.append(np.nan if start is None else start)
-            free = [i for i in range(lo, hi) if start is None or not within(start, begins[i])]
-            start = ends[free[0]] if free else start
+            free = np.ones(1, bool) if start is None else ~within(start, begins[lo:hi])
+            start = ends[lo + int(np.argmax(free))] if free.any() else start
         return {**{c: g[c][changed] for c in (*by, "_slot")}, "_open": np.array(out)}
 
     opened = fold_groups(walked, by, ["_slot", "_begin"], keys + "_slot bigint, _open double", follow) if by else fold_groups(walked.withColumn("_one", F.lit(1)), ["_one"], ["_slot", "_begin"], "_slot bigint, _open double", follow)
@@ -162,14 +159,13 @@ def _clusters(df: DataFrame, by: list[str], value: str, bucket: float, within) -
 
     def finish(g):
         v, start = g[value].astype(float), np.empty(len(g[value]))
-        held, i = g["_open"][0], 0
-        while held == held and i < len(v) and within(held, v[i]):
-            i += 1
+        held, after = g["_open"][0], nexts(v)
+        free = ~within(held, v) if held == held else np.ones(1, bool)
+        i = int(np.argmax(free)) if free.any() else len(v)
         start[:i] = held
         while i < len(v):
-            end = ahead(v, i)
-            start[i:end] = v[i]
-            i = end
+            start[i:after[i]] = v[i]
+            i = after[i]
         return {**{c: g[c] for c in by}, value: v, "start": start, "times": g["times"]}
 
     return fold_groups(placed, [*by, "_slot"], [value], f"{keys}`{value}` double, start double, times bigint", finish)
@@ -184,11 +180,14 @@ def _same(by: list[str]) -> Column:
 
 def snap(df: DataFrame, by: list[str], value: str, tolerance: float = 2.0) -> DataFrame:
     """Each distinct value with the one it snaps to: the first of its cluster, compared with the kept value."""
-    return _clusters(df, by, value, max(tolerance, 1e-9) * 16, lambda s, v: v - s <= tolerance).withColumnRenamed("start", "snapped")
+    return _clusters(df, by, value, F.floor(F.col(value) / (max(tolerance, 1e-9) * 16)), lambda s: s + tolerance, lambda s, v: v - s <= tolerance).withColumnRenamed("start", "snapped")
 
 
 def snap_sizes(df: DataFrame, by: list[str], value: str, ratio: float = 1.22) -> DataFrame:
     """Each distinct value with the median of its cluster: values up to ``ratio`` times the cluster's first."""
-    clusters = _clusters(df, by, value, 64.0, lambda s, v: v <= ratio * s)
+    # Slots are as wide as sixteen clusters. Below 0 a cluster is one value; those slots come before all others.
+    v, wide = F.col(value), 16 * float(np.log(ratio)) if ratio > 1 else 64.0
+    below = F.greatest(F.floor(v / 64), F.lit(-2**61)) - F.lit(2**61)
+    clusters = _clusters(df, by, value, F.when(v > 0, F.floor((F.log(v) if ratio > 1 else v) / wide)).otherwise(below), lambda s: ratio * s, lambda s, v: v <= ratio * s)
     middles = ranks.median(clusters, [*by, "start"], value, "size", weight="times").drop("n")
     return clusters.join(middles, [*by, "start"]).select(*by, value, "size", "times")

@@ -163,6 +163,22 @@ def test_rules_are_read_once_for_all_sides_of_a_box(spark, few_documents):
     assert "FileScan" not in _plan(catalog.queries()["find_boxes"](spark, few_documents))
 
 
+def test_sizes_of_any_magnitude_snap_and_few_beginnings_are_followed(spark, monkeypatch):
+    made, fold = [], numeric.fold_groups
+    monkeypatch.setattr(numeric, "fold_groups", lambda *a, **b: made.append(fold(*a, **b)) or made[-1])
+    values = sorted({-70.5, -3.0, -2.9, 0.0} | {round(0.01 * 1.002**i, 7) for i in range(9000)})
+    df = spark.createDataFrame([("a", v) for v in values], "g string, v double")
+    start, members = None, {}
+    for v in values:
+        if start is None or v > 1.22 * start:
+            start = v
+        members.setdefault(start, []).append(v)
+    want = {v: (m[(len(m) - 1) // 2] + m[len(m) // 2]) / 2 for m in members.values() for v in m}
+    got = {r.v: r.size for r in numeric.snap_sizes(df, ["g"], "v").collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) <= 1e-12 * abs(want[v]) for v in values)
+    assert made[0].count() < len(values) / 4
+
+
 class _Store:
     """A state store of one value that counts its writes."""
 
