@@ -157,6 +157,13 @@ def test_rows_that_lie_together_are_put_in_order_as_a_shuffle_would(spark, few_d
     assert rows[0] == rows[1] and len(rows[0]) > 100
 
 
+def test_overlapping_boxes_meet_where_their_documents_lie(spark, few_documents):
+    from quire import catalog
+
+    plan = _plan(catalog.queries()["overlap_pairs"](spark, few_documents))
+    assert "Scan ExistingRDD" not in plan and plan.count("Exchange hashpartitioning(doc_id") == plan.count("Exchange hashpartitioning(") > 0
+
+
 def test_rules_are_read_once_for_all_sides_of_a_box(spark, few_documents):
     from quire import catalog
 
