@@ -239,3 +239,24 @@ def test_ratios_round_the_exact_value_and_ties_to_even(spark):
     for r in df.collect():
         assert r.two == f"{max(r.w, r.h) / min(r.w, r.h):.2f}"
     assert {(r.w, r.h): r.r for r in df.collect()}[57, 8] == "7.12:1"
+
+
+def test_words_of_any_line_have_their_places(spark):
+    import re
+
+    from quire.functions import text as tx
+
+    rows = ["", " ", "one", "two words here", " lead", "trail ", "a  b", "tab\tand\u00a0space", "é \U0001f600 ü x", "\u3000wide\u2003x", "नमस्ते सबै  जना", "w " * 300 + "end", "x" * 400, "line\u2028break a", None]
+    lines = spark.createDataFrame([(i, t, 3.0, 5.0, 60.0, 12.0) for i, t in enumerate(rows)], "n int, text string, x double, y double, w double, h double")
+    wanted = [(n, k, 3.0 + 60.0 * m.start() / max(1, len(t)), 60.0 * len(m[0]) / max(1, len(t)), m[0]) for n, t in enumerate(rows) if t for k, m in enumerate(re.finditer("[^" + re.escape(tx.SPACE_CHARS) + "]+", t))]
+    assert sorted((r.n, r.word_no, r.x, r.w, r.text) for r in layout.word_boxes(lines, ["n"]).collect()) == sorted(wanted)
+
+
+@pytest.mark.parametrize("name", ["claim_words", "underlined_words", "remaining_rules", "bullets", "page_class", "page_scorecard", "pdf_page_flow"])
+def test_page_words_are_not_written_nor_shuffled_by_joins(spark, name):
+    from quire import catalog
+
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan
+    moved = [line for line in plan.split("\n") if "Exchange" in line and "word_no" in line]
+    assert not moved or name == "pdf_page_flow"
