@@ -11,7 +11,7 @@ from quire.sources.tables import documents, table
 def agreement(spark, d):
     left = documents(spark, d, "doc_id", "text")
     right = derive.second_readings(spark, d).select("doc_id", F.col("ocr_text").alias("text"))
-    return readings.agreement(left, right, ["doc_id"]).select("doc_id", "shared", "left_words", "right_words", F.round("agreement", 6).alias("agreement"))
+    return readings.agreement(left, right, ["doc_id"], whole=True).select("doc_id", "shared", "left_words", "right_words", F.round("agreement", 6).alias("agreement"))
 
 
 def agreement_turns(spark, d):
