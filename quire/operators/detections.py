@@ -24,6 +24,14 @@ _FIELDS = "region_no int, type string, score double, x double, y double, w doubl
 _COLUMNS = [f.split()[0] for f in _FIELDS.split(", ")]
 
 
+def _lesser(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(b < a, b, a)
+
+
+def _larger(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(b > a, b, a)
+
+
 def join_text_regions(regions: DataFrame, image: str = "image_id") -> DataFrame:
     """Pieces of one line of text become one region: like angle, same centre line, little gap.
 
@@ -33,27 +41,29 @@ def join_text_regions(regions: DataFrame, image: str = "image_id") -> DataFrame:
     schema = f"{image} {regions.schema[image].dataType.simpleString()}, {_FIELDS}, place int"
 
     def rule(g: Group) -> Group:
-        n = len(g["x"])
-        x, y, w, h, angle, lh, el, score = (g[c].astype(float).copy() for c in ("x", "y", "w", "h", "angle", "line_height", "elongation", "score"))
-        joined: list[int] = []
-        for i in np.argsort(x, kind="stable"):
-            j = np.array(joined, dtype=int)
+        order = np.argsort(g["x"].astype(float), axis=1, kind="stable")
+        g = {c: np.take_along_axis(v, order, axis=1) for c, v in g.items()}
+        x, y, w, h, angle, lh, el, score = (g[c].astype(float) for c in ("x", "y", "w", "h", "angle", "line_height", "elongation", "score"))
+        joined = np.zeros(x.shape, bool)
+        joined[:, 0] = True
+        for i in range(1, x.shape[1]):
+            j, one = slice(0, i), slice(i, i + 1)
             fits = (
-                (np.abs(angle[j] - angle[i]) < 8) & (np.abs(y[j] + h[j] / 2 - y[i] - h[i] / 2) < np.maximum(h[j], h[i]) * 0.5)
-                & (x[i] - (x[j] + w[j]) < np.maximum(lh[j], lh[i]) * 1.2) & (x[i] + w[i] > x[j]))
-            if not fits.any():
-                joined.append(int(i))
-                continue
-            k = int(j[np.argmax(fits)])
-            left, top = min(x[k], x[i]), min(y[k], y[i])
-            right, bottom = max(x[k] + w[k], x[i] + w[i]), max(y[k] + h[k], y[i] + h[i])
-            x[k], y[k], w[k], h[k] = left, top, right - left, bottom - top
-            score[k] = max(score[k], score[i])
-            el[k] = max(el[k], w[k] / max(1.0, h[k]))
-        k = np.array(joined, dtype=int)
-        return {image: g[image][k], "region_no": g["region_no"][k], "type": g["type"][k], "score": score[k], "x": x[k], "y": y[k], "w": w[k], "h": h[k], "angle": angle[k], "line_height": lh[k], "elongation": el[k], "place": np.arange(len(k))}
-
-    return fold_groups(regions.select(image, *_COLUMNS), [image], ["region_no"], schema, rule)
+                joined[:, j] & (np.abs(angle[:, j] - angle[:, one]) < 8) & (np.abs(y[:, j] + h[:, j] / 2 - y[:, one] - h[:, one] / 2) < np.maximum(h[:, j], h[:, one]) * 0.5)
+                & (x[:, one] - (x[:, j] + w[:, j]) < np.maximum(lh[:, j], lh[:, one]) * 1.2) & (x[:, one] + w[:, one] > x[:, j]))
+            found = fits.any(axis=1)
+            joined[~found, i] = True
+            r = np.flatnonzero(found)
+            k = np.argmax(fits[r], axis=1)
+            left, top = _lesser(x[r, k], x[r, i]), _lesser(y[r, k], y[r, i])
+            right, bottom = _larger(x[r, k] + w[r, k], x[r, i] + w[r, i]), _larger(y[r, k] + h[r, k], y[r, i] + h[r, i])
+            x[r, k], y[r, k], w[r, k], h[r, k] = left, top, right - left, bottom - top
+            score[r, k] = _larger(score[r, k], score[r, i])
+            el[r, k] = _larger(el[r, k], w[r, k] / _larger(np.ones(len(r)), h[r, k]))
+        out = {"x": x, "y": y, "w": w, "h": h, "score": score, "angle": angle, "line_height": lh, "elongation": el, "place": np.cumsum(joined, axis=1) - 1}
+        return {c: {**g, **out}[c][joined] for c in (image, *_COLUMNS, "place")}
+
+    return fold_groups(regions.select(image, *_COLUMNS), [image], ["region_no"], schema, rule, alike=True)
 
 
 def _place(regions: DataFrame) -> Column:
@@ -61,19 +71,39 @@ def _place(regions: DataFrame) -> Column:
     return F.col("place" if "place" in regions.columns else "region_no").cast("int").alias("place")
 
 
-def mark_patterns(texts: DataFrame, image: str = "image_id") -> DataFrame:
+def _similar(h: np.ndarray) -> np.ndarray:
+    """How many heights of a row's group are within 20 % of its own, itself included."""
+    if h.shape[1] <= 64:
+        return sum((np.abs(h[:, j:j + 1] - h) <= h * SIMILAR).astype(int) for j in range(h.shape[1]))
+    out = np.zeros(h.shape, int)
+    for group, counts in zip(h, out):
+        known = np.flatnonzero(np.isfinite(group) & (group >= 0))
+        values, at, n = np.unique(group[known], return_inverse=True, return_counts=True)
+        before = np.append(0, np.cumsum(n))
+        # A little too wide, then drawn in to where the rule itself ends.
+        lo = np.searchsorted(values, values * (1 - SIMILAR) * (1 - 1e-9))
+        hi = np.searchsorted(values, values * (1 + SIMILAR) * (1 + 1e-9), side="right")
+        far = lambda i: np.abs(values[i] - values) > values * SIMILAR
+        while far(lo).any():
+            lo += far(lo)
+        while far(hi - 1).any():
+            hi -= far(hi - 1)
+        counts[known] = (before[hi] - before[lo])[at]
+    return out
+
+
+def mark_patterns(texts: DataFrame, image: str = "image_id", together: bool = False) -> DataFrame:
     """Texts of which at least three (itself included) have a height within 20 % of its own become a pattern.
 
-    Heights are counted first, then meet on logarithmic steps: within 20 % is at most one step of 1.25
-    away, so an image with very many lines costs its distinct heights only.
+    Images of one size are compared at once; an image with very many lines costs its distinct heights only.
     """
-    step = F.floor(F.ln("line_height") / math.log(1.25))
-    counts = texts.groupBy(image, "line_height").agg(F.count(F.lit(1)).alias("_n")).withColumn("_step", step)
-    other = counts.select(F.col(image).alias("_image"), F.col("line_height").alias("_other"), F.col("_n").alias("_m"), F.col("_step").alias("_at"))
-    near = counts.withColumn("_at0", F.explode(F.array(F.col("_step") - 2, F.col("_step") - 1, F.col("_step"), F.col("_step") + 1)))
-    close = (F.col(image) == F.col("_image")) & (F.col("_at0") == F.col("_at")) & (F.abs(F.col("_other") - F.col("line_height")) <= F.col("line_height") * SIMILAR)
-    similar = near.join(other, close).groupBy(image, "line_height").agg(F.sum("_m").alias("similar"))
-    return texts.join(similar, [image, "line_height"]).withColumn("type", F.when(F.col("similar") >= PATTERN_LINES, "pattern").otherwise(F.col("type"))).select(image, *_COLUMNS, _place(texts))
+    schema = f"{image} {texts.schema[image].dataType.simpleString()}, {_FIELDS}, place int"
+
+    def rule(g: Group) -> Group:
+        kind = np.where(_similar(g["line_height"].astype(float)) >= PATTERN_LINES, "pattern", g["type"])
+        return {c: v.ravel() for c, v in {**g, "type": kind}.items()}
+
+    return fold_groups(texts.select(image, *_COLUMNS, _place(texts)), [image], [], schema, rule, together, alike=True)
 
 
 def merge_overlays(texts: DataFrame, overlays: DataFrame, image: str = "image_id") -> DataFrame:
@@ -86,25 +116,29 @@ def merge_overlays(texts: DataFrame, overlays: DataFrame, image: str = "image_id
 
     def rule(g: Group) -> Group:
         over = g["_overlay"] == 1
-        x, y, w, h, angle, lh = (g[c].astype(float).copy() for c in ("x", "y", "w", "h", "angle", "line_height"))
+        x, y, w, h, angle, lh = (g[c].astype(float) for c in ("x", "y", "w", "h", "angle", "line_height"))
         kind = g["type"].copy()
-        t = np.flatnonzero(~over)
         keep = ~over
-        for i in np.flatnonzero(over):
-            wide = np.maximum(0, np.minimum(x[t] + w[t], x[i] + w[i]) - np.maximum(x[t], x[i]))
-            tall = np.maximum(0, np.minimum(y[t] + h[t], y[i] + h[i]) - np.maximum(y[t], y[i]))
-            small = np.minimum(w[t] * h[t], w[i] * h[i])
-            fits = wide * tall / np.where(small == 0, 1.0, small) > OVERLAY_SHARE
-            if not fits.any():
-                keep[i] = True
-                continue
-            k = int(t[np.argmax(fits)])
-            right, bottom = max(x[k] + w[k], x[i] + w[i]), max(y[k] + h[k], y[i] + h[i])
-            x[k], y[k] = min(x[k], x[i]), min(y[k], y[i])
-            w[k], h[k], kind[k], angle[k], lh[k] = right - x[k], bottom - y[k], "logo", 0.0, math.inf
-        return {image: g[image][keep], "region_no": g["region_no"][keep], "type": kind[keep], "score": g["score"][keep], "x": x[keep], "y": y[keep], "w": w[keep], "h": h[keep], "angle": angle[keep], "line_height": lh[keep], "elongation": g["elongation"][keep], "place": g["place"][keep]}
-
-    return fold_groups(both, [image], ["_overlay", "place", "region_no"], schema, rule)
+        for i in np.flatnonzero(over.any(axis=0)):
+            # Texts come before overlays.
+            mine, one = np.flatnonzero(over[:, i]), slice(i, i + 1)
+            tx, ty, tw, th = (v[mine, :i] for v in (x, y, w, h))
+            ox, oy, ow, oh = (v[mine, one] for v in (x, y, w, h))
+            wide = np.maximum(0, np.minimum(tx + tw, ox + ow) - np.maximum(tx, ox))
+            tall = np.maximum(0, np.minimum(ty + th, oy + oh) - np.maximum(ty, oy))
+            small = np.minimum(tw * th, ow * oh)
+            fits = ~over[mine, :i] & (wide * tall / np.where(small == 0, 1.0, small) > OVERLAY_SHARE)
+            found = fits.any(axis=1)
+            keep[mine[~found], i] = True
+            r = mine[found]
+            k = np.argmax(fits[found], axis=1) if i else r
+            right, bottom = _larger(x[r, k] + w[r, k], x[r, i] + w[r, i]), _larger(y[r, k] + h[r, k], y[r, i] + h[r, i])
+            x[r, k], y[r, k] = _lesser(x[r, k], x[r, i]), _lesser(y[r, k], y[r, i])
+            w[r, k], h[r, k], kind[r, k], angle[r, k], lh[r, k] = right - x[r, k], bottom - y[r, k], "logo", 0.0, math.inf
+        out = {"type": kind, "x": x, "y": y, "w": w, "h": h, "angle": angle, "line_height": lh}
+        return {c: {**g, **out}[c][keep] for c in (image, *_COLUMNS, "place")}
+
+    return fold_groups(both, [image], ["_overlay", "place", "region_no"], schema, rule, alike=True)
 
 
 def location_prior(width: Column, height: Column) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import units
-from quire.operators import changes, clusters, layout, numeric, page_plans, readings, searching
+from quire.operators import changes, clusters, detections, layout, numeric, page_plans, readings, searching
 from quire.plans import ranks
 from quire.plans.folds import fold_groups
 from quire.sources import readers
@@ -260,3 +260,30 @@ def test_page_words_are_not_written_nor_shuffled_by_joins(spark, name):
     assert "ExistingRDD" not in plan
     moved = [line for line in plan.split("\n") if "Exchange" in line and "word_no" in line]
     assert not moved or name == "pdf_page_flow"
+
+
+def test_detections_of_one_size_are_walked_at_once(spark):
+    import random
+
+    import numpy as np
+
+    dice = random.Random(5)
+    rows = [(image, n, dice.choice(["text", "text", "overlay"]), dice.random(), dice.randrange(9) * 40.0, dice.randrange(4) * 20.0, dice.randrange(1, 8) * 20.0, dice.choice([10.0, 12.0, 20.0]), dice.choice([0.0, 5.0, 20.0]), dice.choice([10.0, 12.0, 20.0]), 2.0) for image in range(60) for n in range(1 + image % 9)]
+    df = spark.createDataFrame(rows, "image_id long, region_no int, type string, score double, x double, y double, w double, h double, angle double, line_height double, elongation double")
+    joined = {(r.image_id, r.region_no): (r.x, r.y, r.w, r.h, r.score) for r in detections.join_text_regions(df.filter("type = 'text'")).collect()}
+    wanted = {}
+    for image in range(60):
+        kept = []
+        for _, no, _, score, x, y, w, h, angle, lh, _ in sorted((r for r in rows if r[0] == image and r[2] == "text"), key=lambda r: (r[4], r[1])):
+            for k in kept:
+                if abs(k[6] - angle) < 8 and abs(k[2] + k[4] / 2 - y - h / 2) < max(k[4], h) * 0.5 and x - (k[1] + k[3]) < max(k[7], lh) * 1.2 and x + w > k[1]:
+                    left, top, right, bottom = min(k[1], x), min(k[2], y), max(k[1] + k[3], x + w), max(k[2] + k[4], y + h)
+                    k[1:6] = [left, top, right - left, bottom - top, max(k[5], score)]
+                    break
+            else:
+                kept.append([no, x, y, w, h, score, angle, lh])
+        wanted.update({(image, k[0]): tuple(k[1:6]) for k in kept})
+    assert joined == wanted
+    heights = np.array([dice.choice([1.0, 1.2, 1.25, 1.5, 0.96, 7.0, 0.0]) for _ in range(300)])
+    slow = [int((np.abs(heights - v) <= v * detections.SIMILAR).sum()) for v in heights]
+    assert detections._similar(heights[None, :])[0].tolist() == slow and detections._similar(heights[:60][None, :]).shape == (1, 60)
