@@ -17,6 +17,8 @@ MIN_LETTERS = 20
 LEGACY_FONT = r"(?i)preeti|kantipur|himali|sagarmatha|aakriti|ganess?h|kanchan|shangrila|pcs.?nepali|fontasy|navjeevan"
 TRUST_AGREEMENT = 0.5
 TRUST_DETACHED = 0.05
+# Most words of items that every task holds; more are shuffled.
+KNOWN_WORDS = 2_000_000
 MODES = ("auto", "text", "ocr")
 # ------------------------------------------------------------------------------------------------
 
@@ -86,24 +88,39 @@ def similar_passages(docs: DataFrame, items: DataFrame, minimum: float, doc: str
     A pair that reaches it has lengths within ``minimum / (2 - minimum)`` of each other, and shares at least
     ``a = minimum / 2 * (n + m)`` words, repeats counted; in one order of all words, rarest first, the first
     ``n - a + 1`` of one side and ``m - a + 1`` of the other share a word. Every word travels with its place in that
-    order, so that the prefixes, which depend on the pair, are a condition of the join. Nothing is capped.
+    order, so that the prefixes, which depend on the pair, are a condition of the join. Documents that no item's length
+    lets reach it, and words that no item holds, are left out before anything is shuffled. Nothing is capped.
     """
     if not 0 < minimum <= 1:
         raise ValueError("minimum must be above 0 and at most 1")
 
-    def bags(df: DataFrame, key: str, words: str, count: str) -> DataFrame:
-        rows = df.select(key, TOKENIZERS[tokenizer](un.composed(F.col(text))).alias("ws")).select(key, F.size("ws").alias(words), F.explode("ws").alias("word"))
+    def counted(df: DataFrame, key: str, words: str) -> DataFrame:
+        return df.select(key, TOKENIZERS[tokenizer](un.composed(F.col(text))).alias("ws")).select(key, F.size("ws").alias(words), "ws")
+
+    def bags(df: DataFrame, key: str, words: str, count: str, known: DataFrame | None = None) -> DataFrame:
+        rows = df.select(key, words, F.explode("ws").alias("word"))
+        rows = rows if known is None else rows.join(known, "word", "left_semi")
         return rows.groupBy(key, words, "word").agg(F.count(F.lit(1)).alias(count))
 
     def placed(df: DataFrame, key: str, count: str, place: str) -> DataFrame:
-        """Words with how many of the text's words come before them, rarest first."""
+        """Words with how many of the text's known words come before them, rarest first."""
         order = Window.partitionBy(key).orderBy("documents", "word").rowsBetween(Window.unboundedPreceding, -1)
         return df.join(rarity, "word").withColumn(place, F.coalesce(F.sum(count).over(order), F.lit(0))).drop("documents")
 
     # Read several times below with different columns: written once instead of tokenizing again.
-    doc_words, item_words = checkpoint(bags(docs, doc, "doc_words", "n")), checkpoint(bags(items, item, "item_words", "m"))
+    item_words = checkpoint(bags(counted(items, item, "item_words"), item, "item_words", "m"))
+    known = checkpoint(item_words.select("word").distinct())
+    lengths = item_words.agg(F.min("item_words").alias("least"), F.max("item_words").alias("most")).first()
+    # No item meets a text that the longest or the shortest of them cannot meet; a word that no item holds is only counted.
+    n = F.col("doc_words")
+    reach = lambda m: 2 * F.least(n, m) >= F.lit(minimum) * (n + m) - 1e-9
+    near = reach(F.least(F.greatest(n, F.lit(lengths["least"])), F.lit(lengths["most"]))) if lengths["most"] else F.lit(False)
+    near_docs = counted(docs, doc, "doc_words").filter(near)
+    doc_words = checkpoint(bags(near_docs, doc, "doc_words", "n", F.broadcast(known) if known.count() <= KNOWN_WORDS else known))
     rarity = checkpoint(doc_words.select("word").union(item_words.select("word")).groupBy("word").agg(F.count(F.lit(1)).alias("documents")))
     left, right = placed(doc_words, doc, "n", "doc_place"), placed(item_words, item, "m", "item_place")
+    # In the order of all words those that no item holds come first.
+    left = left.withColumn("doc_place", F.col("doc_place") + F.col("doc_words") - F.sum("n").over(Window.partitionBy(doc)))
     # A document's words that no item could make it meet on stay behind: its partners are at least so long.
     shortest = F.ceil(F.lit(minimum) / 2 * (F.col("doc_words") + F.ceil(F.col("doc_words") * minimum / (2 - F.lit(minimum)) - 1e-9)) - 1e-9)
     left = left.filter(F.col("doc_place") < F.col("doc_words") - shortest + 1)

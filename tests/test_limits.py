@@ -287,3 +287,28 @@ def test_detections_of_one_size_are_walked_at_once(spark):
     heights = np.array([dice.choice([1.0, 1.2, 1.25, 1.5, 0.96, 7.0, 0.0]) for _ in range(300)])
     slow = [int((np.abs(heights - v) <= v * detections.SIMILAR).sum()) for v in heights]
     assert detections._similar(heights[None, :])[0].tolist() == slow and detections._similar(heights[:60][None, :]).shape == (1, 60)
+
+
+@pytest.mark.parametrize("minimum", [0.2, 0.5, 1.0])
+def test_unknown_words_and_far_lengths_lose_no_similar_passage(spark, minimum, monkeypatch):
+    import random
+    from collections import Counter
+
+    dice = random.Random(7)
+    words = lambda known, strange: " ".join(dice.choice("abcdefgh") for _ in range(known)) + "".join(f" z{dice.randrange(10**6)}" for _ in range(strange))
+    docs = [(i, words(dice.randrange(30), dice.choice([0, 1, 5, 40, 300]))) for i in range(80)] + [(80, ""), (81, "a b c d")]
+    items = [(i, words(dice.randrange(1, 25), 0)) for i in range(20)] + [(20, "a b c d"), (21, "")]
+    written = []
+    monkeypatch.setattr(readings, "checkpoint", lambda df: written.append(df) or df)
+    out = readings.similar_passages(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"), minimum)
+    wanted = set()
+    for d, a in docs:
+        for i, b in items:
+            n, m = Counter(a.split()), Counter(b.split())
+            shared, total = sum((n & m).values()), sum(n.values()) + sum(m.values())
+            if shared and 2 * shared >= minimum * total:
+                wanted.add((d, i, shared))
+    assert {(r.doc_id, r.item_id, r.shared) for r in out.collect()} == wanted
+    assert not any(df.filter("word LIKE 'z%'").count() for df in written if "doc_words" in df.columns and "word" in df.columns)
+    none = spark.createDataFrame([], "item_id int, text string")
+    assert readings.similar_passages(spark.createDataFrame(docs, "doc_id int, text string"), none, minimum).count() == 0
