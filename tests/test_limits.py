@@ -312,3 +312,59 @@ def test_unknown_words_and_far_lengths_lose_no_similar_passage(spark, minimum, m
     assert not any(df.filter("word LIKE 'z%'").count() for df in written if "doc_words" in df.columns and "word" in df.columns)
     none = spark.createDataFrame([], "item_id int, text string")
     assert readings.similar_passages(spark.createDataFrame(docs, "doc_id int, text string"), none, minimum).count() == 0
+
+
+def _fold_inputs(monkeypatch):
+    """The rules that the layout folds hand to Spark, with how they take their groups."""
+    made, fold = [], layout.fold_groups
+    monkeypatch.setattr(layout, "fold_groups", lambda df, keys, order, schema, rule, *a, **how: made.append((rule, how)) or fold(df, keys, order, schema, rule, *a, **how))
+    return made
+
+
+def test_pages_are_walked_many_at_a_time(spark, monkeypatch):
+    made = _fold_inputs(monkeypatch)
+    box = "doc_id int, page_no int, {} int, x double, y double, w double, h double"
+    layout.visual_lines(spark.createDataFrame([], box.format("line_no") + ", text_height double, confidence double, text string"))
+    layout.suppress_regions(spark.createDataFrame([], box.format("region_no") + ", kind string, priority int, score double"))
+    layout.reading_order(spark.createDataFrame([], box.format("block_no")))
+    assert [how for _, how in made] == [{"all_at_once": True}, {"alike": True}, {"alike": True}]
+
+
+def test_stacked_pieces_are_lines_as_they_are(spark):
+    """Pages of stacked pieces, of pieces side by side, of boxes without height, of infinite ones; pieces of several groups in one batch."""
+    rows = [(1, 1, i, 5.1 * i, 20.3 * i, 7.7, 12.1, f" t{i}  ") for i in range(9)]
+    rows += [(1, 2, 0, 0.0, 0.0, 10.0, 10.0, "a"), (1, 2, 1, 13.0, 1.0, 10.0, 10.0, "b"), (1, 2, 2, 0.0, 30.0, 10.0, 10.0, "c"), (1, 2, 3, 40.0, 30.0, 10.0, 10.0, "")]
+    rows += [(2, 1, 0, 0.0, 0.0, 5.0, 0.0, "a"), (2, 1, 1, 4.0, 0.0, 5.0, 0.0, "b"), (2, 1, 2, 0.0, 9.0, 5.0, 0.0, "c")]
+    rows += [(2, 2, 0, 0.0, 0.0, 5.0, float("inf"), "a"), (2, 2, 1, 0.0, 9.0, 5.0, 3.0, "b")]
+    df = spark.createDataFrame([(*r[:7], r[6], 0.3, r[7]) for r in rows], "doc_id int, page_no int, line_no int, x double, y double, w double, h double, text_height double, confidence double, text string")
+    out = {(r.doc_id, r.page_no, r.line_no): r for r in layout.visual_lines(df.repartition(1)).collect()}
+    for _, _, i, x, y, w, h, text in rows[:9]:
+        r = out[1, 1, i]
+        assert (r.x, r.y, r.w, r.h, r.text, r.pieces, r.text_height) == (x, y, (x + w) - x, (y + h) - y, text.strip(), 1, h) and abs(r.confidence - 0.3) < 1e-12
+    page = lambda d, p: [(n, out[d, p, n].text, out[d, p, n].pieces) for _, q, n in sorted(k for k in out if k[0] == d and k[1] == p) if q == p]
+    assert page(1, 2) == [(0, "a b", 2), (1, "c", 1), (2, "", 1)] and out[1, 2, 2].confidence == 0.0
+    assert page(2, 1) == [(0, "ab", 2), (1, "c", 1)] and len(page(2, 2)) == 2
+
+
+def test_regions_and_orders_of_many_pages_equal_brute_force(spark):
+    import functools
+    import random
+
+    rng = random.Random(3)
+    rows = [(1, p, i, rng.choice([0.0, 40.0, 90.0]) + rng.random(), rng.uniform(0, 200), rng.uniform(30, 60), rng.uniform(10, 50), rng.randrange(3), rng.choice([0.5, 0.7, 0.9])) for p in range(40) for i in range(rng.choice([1, 2, 5, 5, 5, 9, 70]))]
+    df = spark.createDataFrame(rows, "doc_id int, page_no int, region_no int, x double, y double, w double, h double, priority int, score double").withColumn("kind", F.lit("text"))
+    kept = layout.suppress_regions(df).collect()
+    order = layout.reading_order(df.withColumnRenamed("region_no", "block_no")).collect()
+    for p in range(40):
+        page, want = [r for r in rows if r[1] == p], []
+        for r in sorted(page, key=lambda r: (r[7], -r[8])):
+            shared = lambda o: max(min(o[3] + o[5], r[3] + r[5]) - max(o[3], r[3]), 0) * max(min(o[4] + o[6], r[4] + r[6]) - max(o[4], r[4]), 0)  # noqa: B023, E731
+            if all(shared(o) <= layout.DUPLICATE_REGION * min(o[5] * o[6], r[5] * r[6]) for o in want):
+                want.append(r)
+        assert sorted((k["rank"], k.region_no) for k in kept if k.page_no == p) == [(n, r[2]) for n, r in enumerate(want)]
+
+        def compare(a, b):
+            beside = min(a[4] + a[6], b[4] + b[6]) - max(a[4], b[4]) > 0 and (a[3] + a[5] <= b[3] or b[3] + b[5] <= a[3])
+            return a[3] - b[3] if beside else a[4] - b[4]
+
+        assert [o.block_no for o in sorted((o for o in order if o.page_no == p), key=lambda o: o.position)] == [r[2] for r in sorted(page, key=functools.cmp_to_key(compare))]
