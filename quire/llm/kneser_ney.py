@@ -8,11 +8,12 @@ is kept as additive entries: one per word, log p(w) + log g(w) (as a target and
 per pair seen, log p(w|v) - log g(v) - log p(w). A document's log probability is then a sum over its words and
 pairs, whatever is missing adding nothing but the unknown word's share, and it needs no second lookup for back-off.
 Counts are joined shard by shard of the key space: what a shard needs on disk goes before the next one begins. The
-most frequent entries, a bounded table, are added in the tasks that read the texts.
+most frequent words' and pairs' entries, two bounded tables, are added in the tasks that read the texts.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -98,11 +99,10 @@ class Model:
     """Pairs, contexts, words as tables; constants; the most frequent entries as arrays."""
 
     def __init__(self, trusted: DataFrame, shards: int, frequent: int):
-        turns = max(1, shards // 3)
-        pairs = save(_counted(trusted, 0, turns), "pairs")
-        for turn in range(1, turns):
-            pairs = pairs.unionByName(save(_counted(trusted, turn, turns), "pairs"))
-        self.pairs, self.shards = pairs, shards
+        # A shard's pairs lie in one of the tables, by the remainder of its number.
+        turns = next(n for n in range(max(1, shards // 3), 0, -1) if shards % n == 0)
+        self.turns, self.shards = [save(_counted(trusted, turn, turns), "pairs") for turn in range(turns)], shards
+        pairs = functools.reduce(DataFrame.unionByName, self.turns)
         self.d = _discounts(pairs)
         contexts = pairs.groupBy("v").agg(F.sum("n").alias("total"), _taken(self.d).alias("taken"))
         self.contexts = save(contexts.select("v", "total", (F.col("taken") / F.col("total")).alias("g")), "contexts")
@@ -122,9 +122,11 @@ class Model:
         start = self.contexts.where(F.col("v") == int(START)).select(F.log("g")).first()
         end = self.words.where(F.col("w") == int(END)).select(F.log("p")).first()
         self.frame = (start[0] if start else 0.0) + (end[0] if end else math.log(self.unknown))
+        often = F.broadcast(pairs.orderBy(F.desc("n"), "v", "w").limit(frequent))
+        top += self._priced(F.broadcast(self.contexts.join(often, "v")).join(self.words, "w")).collect()  # bounded by ``frequent``
         keys = np.array([r[0] for r in top], np.int64)
         order = np.argsort(keys)
-        self.frequent = keys[order], np.array([r[1] for r in top], np.float64)[order]
+        self.frequent = Frequent(keys[order], np.array([r[1] for r in top], np.float64)[order])
 
     @staticmethod
     def _marks() -> list[int]:
@@ -132,12 +134,32 @@ class Model:
 
     def entries(self, shard: int) -> DataFrame:
         """(key, value) of the shard's pairs and words."""
-        key = F.xxhash64("v", "w")
-        mine = self.pairs.where(_shard(key, self.shards) == shard).withColumn("key", key).join(self.contexts, "v").join(self.words, "w")
-        p = F.greatest(F.col("n") - _discount(self.d), F.lit(0.0)) / F.col("total") + F.col("g") * F.col("p")
-        pairs = mine.select("key", (F.log(p) - F.log("g") - F.log("p")).alias("value"))
+        mine = self.turns[shard % len(self.turns)].where(_shard(F.xxhash64("v", "w"), self.shards) == shard)
+        pairs = self._priced(mine.join(self.contexts, "v").join(self.words, "w"))
         return pairs.union(self.single.where(_shard(F.col("key"), self.shards) == shard).select("key", "value"))
 
+    def _priced(self, pairs: DataFrame) -> DataFrame:
+        """(key, value) of pairs that have met their contexts and words."""
+        p = F.greatest(F.col("n") - _discount(self.d), F.lit(0.0)) / F.col("total") + F.col("g") * F.col("p")
+        return pairs.select(F.xxhash64("v", "w").alias("key"), (F.log(p) - F.log("g") - F.log("p")).alias("value"))
+
+
+class Frequent:
+    """Sorted keys and their values; most keys that are not among them are told by their first bits."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        self.begins = np.zeros(1 << 20, bool)
+        self.begins[keys.view(U64) >> U64(44)] = True
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``keys`` are there, and their values."""
+        at = np.flatnonzero(self.begins[keys >> U64(44)])
+        asked = signed(keys[at])
+        place = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        there = self.keys[place] == asked if len(at) else np.zeros(0, bool)
+        return at[there], self.values[place[there]]
+
 
 def _shard(key: Column, shards: int) -> Column:
     """The key's shard as an unsigned number."""
@@ -147,15 +169,15 @@ def _shard(key: Column, shards: int) -> Column:
 def _asked(rows: DataFrame, model: Model, shard: int) -> DataFrame:
     """(key, row, n): a document's keys of the shard and how often each occurs.
 
-    The first shard also has two rows per document that find no entry: the sum of what needs no lookup, which is
-    negative, and the number of tokens less a half.
+    The first shard also has two rows per document that find no entry: under the row itself the number of tokens, under its
+    complement the sum of what needs no lookup.
     """
-    shards, unknown, frame, (known, values) = model.shards, math.log(model.unknown), model.frame, model.frequent
-    sent = rows.sparkSession.sparkContext.broadcast((known, values))
+    shards, unknown, frame = model.shards, math.log(model.unknown), model.frame
+    sent = rows.sparkSession.sparkContext.broadcast(model.frequent)
 
     def rule(batch: pa.RecordBatch) -> dict | None:
         ids = batch.column(0).to_numpy()
-        known, values = sent.value
+        frequent = sent.value
         out: dict[str, list] = {"key": [], "row": [], "n": []}
 
         def put(key: np.ndarray, row: np.ndarray, n: np.ndarray) -> None:
@@ -164,30 +186,25 @@ def _asked(rows: DataFrame, model: Model, shard: int) -> DataFrame:
 
         for block in rolling.texts(batch.column(1)):
             tokens, bounds, v, w = _pairs(block)
-            docs = len(bounds) - 1
+            n = np.diff(bounds)
+            docs = len(n)
             own = ids[block.first:block.first + docs]
-            doc = np.repeat(np.arange(docs), np.diff(bounds))
-            word = signed(tokens)
-            at = np.searchsorted(known, word)
-            at[at == len(known)] = 0
-            often = known[at] == word if len(known) else np.zeros(len(word), bool)
+            keys = np.concatenate([tokens, pair_key(v, w)])
+            owner = np.concatenate([np.repeat(np.arange(docs), n), np.repeat(np.arange(docs), n + 1)])
             if shard == 0:
-                sums = np.bincount(doc, values[at] * often if len(known) else None, docs) if len(word) else np.zeros(docs)
-                n = np.diff(bounds)
-                aside = signed(rolling.mix(own.astype(U64)))
-                put(aside, own, sums + n * unknown + frame)
-                put(aside, own, n + 0.5)
-            keys = np.concatenate([tokens[~often], pair_key(v, w)])
-            owner = np.concatenate([doc[~often], np.repeat(np.arange(docs), np.diff(bounds) + 1)])
+                at, value = frequent.find(keys)
+                put(own, own, n + 1.0)
+                put(~own, own, np.bincount(owner[at], value, docs) + n * unknown + frame)
             mine = np.flatnonzero(keys % U64(shards) == U64(shard))
+            # What is frequent is in the sums.
+            mine = np.delete(mine, frequent.find(keys[mine])[0])
             keys, owner = keys[mine], owner[mine]
             order = np.lexsort((keys, owner))
             keys, owner = keys[order], owner[order]
             first = np.ones(len(keys), bool)
             first[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
             begin = np.flatnonzero(first)
-            n = np.diff(np.append(begin, len(keys)))
-            put(signed(keys[begin]), own[owner[begin]], n.astype(np.float64))
+            put(signed(keys[begin]), own[owner[begin]], np.diff(np.append(begin, len(keys))).astype(np.float64))
         return {k: np.concatenate(x) for k, x in out.items()} if out["key"] else None
 
     return map_batches(rows, rule, "key long, row long, n double")
@@ -208,10 +225,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame, shards: int = 12, frequent
     for shard in range(shards):
         entries = save(model.entries(shard), "entries")
         met = _asked(rows, model, shard).join(entries.hint("shuffle_hash"), "key", "left")
-        n = F.col("n")
-        # A half marks the number of tokens; a negative number is a sum.
-        tokens = F.when(n % 1 == 0.5, (n + 0.5).cast("long")).otherwise(0)
-        value = F.when(n < 0, n).when(n % 1 == 0.5, 0.0).otherwise(n * F.coalesce("value", F.lit(0.0)))
+        of_row, of_sum = F.col("key") == F.col("row"), F.col("key") == F.bitwise_not("row")
+        # What finds no entry adds nothing.
+        met = met.where(F.col("value").isNotNull() | of_row | of_sum)
+        tokens = F.when(of_row, F.col("n").cast("long")).otherwise(0)
+        value = F.when(of_sum, F.col("n")).when(of_row, 0.0).otherwise(F.col("n") * F.col("value"))
         part = save(met.groupBy("row").agg(F.sum(value).alias("log_prob"), F.sum(tokens).alias("n_tokens")), "sums")
         discard(entries)
         total = part if total is None else total.unionByName(part)

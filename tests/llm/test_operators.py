@@ -348,3 +348,25 @@ def test_digests(spark):
     row = QUERIES["op1_substring_dedup"](spark, "/root/testdata/sf0.001").where("n_removed = 0").first()
     text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where(f"doc_id = {row['doc_id']}").first()["text"]
     assert row["kept_sha256"] == hashlib.sha256(" ".join(words(text)).encode()).hexdigest()
+
+
+def test_frequent_words_and_pairs_are_neither_asked_for_nor_lost(spark):
+    """Texts whose words and pairs are all in the bounded tables send their two sums; with small tables they score the same."""
+    texts = ["a b a b c", "b a b", "c c a b", "", "a"]
+    rows = spark.createDataFrame([(n * 7919 - 9000, t) for n, t in enumerate(texts)], "row long, text string")
+    model = kneser_ney.Model(rows.select("text"), 6, 1000)
+    asked = [r for shard in range(6) for r in kneser_ney._asked(rows, model, shard).collect()]
+    assert sorted(r.key for r in asked) == sorted(k for n in range(len(texts)) for k in (n * 7919 - 9000, ~(n * 7919 - 9000)))
+    scores = [{r.row: (r.n_tokens, round(r.log_prob, 9)) for r in kneser_ney.perplexities(rows, rows, shards=6, frequent=n).collect()} for n in (1000, 3, 0)]
+    assert scores[0] == scores[1] == scores[2] and len(scores[0]) == len(texts)
+
+
+def test_a_shard_reads_the_pairs_of_its_own_table(spark):
+    rows = spark.createDataFrame([(n, f"w{n} w{n + 1} x w{n % 7}") for n in range(60)], "row long, text string")
+    model = kneser_ney.Model(rows.select("text"), 6, 4)
+    files = [set(t.inputFiles()) for t in model.turns]
+    for shard in range(6):
+        read = {f for f in model.entries(shard).inputFiles() if "/pairs-" in f or "-pairs-" in f}
+        assert read == files[shard % 2]
+    wanted = model.turns[0].union(model.turns[1]).selectExpr("xxhash64(v, w)").union(model.single.select("key")).collect()
+    assert sorted(r.key for shard in range(6) for r in model.entries(shard).collect()) == sorted(r[0] for r in wanted)
