@@ -7,7 +7,8 @@ The model counts all trusted text. Its probability of w after v,
 is kept as additive entries: one per word, log p(w) + log g(w) (as a target and as the next word's context), and one
 per pair seen, log p(w|v) - log g(v) - log p(w). A document's log probability is then a sum over its words and
 pairs, whatever is missing adding nothing but the unknown word's share, and it needs no second lookup for back-off.
-Counts are joined shard by shard of the key space: what a shard needs on disk goes before the next one begins. The
+Counts meet their contexts and words table by table, a few shards of the key space each, and texts their entries shard by
+shard: what either needs on disk goes before the next one begins. The
 most frequent words' and pairs' entries, two bounded tables, are added in the tasks that read the texts.
 """
 
@@ -26,20 +27,50 @@ from quire.llm.common import discard, map_batches, save, signed
 from quire.llm.rolling import U64
 
 START, END = U64(0x51A7E5), U64(0xE4D0F5)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Bytes of a word that are read eight at a time.
+LONG = 64
+#: Which bytes of eight belong to a word, by their number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+_STEP = U64(0x9E3779B97F4A7C15)
+
+
+def _words(block: rolling.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit value per word (A-Z as a-z), and each document's bounds among the words.
+
+    Words are read eight bytes at a time; those of more than ``LONG`` bytes take a hash over prefix sums.
+    """
+    start, end, bounds = rolling.word_spans(block)
+    n = end - start
+    data = np.zeros(len(block.data) + 8, np.uint8)
+    data[:-8] = block.data
+    data += (data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5)  # A-Z
+    eight = np.ndarray(len(block.data), "<u8", data, strides=(1,))
+    out = rolling.mix((eight[start] & _FIRST[np.minimum(n, 8)]) + n.astype(U64) * _STEP)
+    more = np.flatnonzero((n > 8) & (n <= LONG))
+    for at in range(8, LONG, 8):
+        more = more[n[more] > at]
+        if not len(more):
+            break
+        out[more] = rolling.mix(out[more] * _STEP + (eight[start[more] + at] & _FIRST[np.minimum(n[more] - at, 8)]))
+    long = np.flatnonzero(n > LONG)
+    if len(long):
+        own = rolling.Texts(0, data[rolling.ranges(start[long], n[long])], np.zeros(0, np.int64))
+        ends = np.cumsum(n[long])
+        out[long] = rolling.Slices(rolling.byte_tokens(own)).at(ends - n[long], ends)
+    return out, bounds
 
 
 def _pairs(block: rolling.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes (A-Z as a-z) and bounds; contexts and targets of all pairs, each document framed by start and end."""
-    tokens, bounds = rolling.word_tokens(block._replace(data=_LOWER[block.data]))
+    tokens, bounds = _words(block)
     docs = len(bounds) - 1
-    n = np.diff(bounds)
-    at = np.arange(len(tokens)) + np.repeat(np.arange(docs), n)
     v, w = np.empty((2, len(tokens) + docs), U64)
-    firsts, ends = bounds[:-1] + np.arange(docs), bounds[1:] + np.arange(docs)
-    w[at], v[at + 1] = tokens, tokens
-    v[firsts], w[ends] = START, END
+    at = np.ones(len(v), bool)
+    ends = bounds[1:] + np.arange(docs)
+    at[ends] = False
+    w[at], w[ends] = tokens, END
+    v[1:] = w[:-1]
+    v[bounds[:-1] + np.arange(docs)] = START
     return tokens, bounds, v, w
 
 
@@ -60,15 +91,26 @@ def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return _xxh64(w, _xxh64(v, U64(42)))
 
 
-def _counted(trusted: DataFrame, shard: int, shards: int) -> DataFrame:
+def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    """A word's shard by its hash, as ``_shard``."""
+    return (key >> U64(32)) * U64(shards) >> U64(32)
+
+
+def _crossed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What chooses a pair's shard: cheaper than its name, which only its shard needs."""
+    return v ^ (w >> U64(1))
+
+
+def _counted(trusted: DataFrame, shard: int, shards: int, of: int) -> DataFrame:
+    """Pairs (v, w, n) of the shards, ``of`` in all, whose number leaves ``shard`` by ``shards``."""
     def rule(batch: pa.RecordBatch) -> dict | None:
         out: dict[str, list] = {"v": [], "w": [], "n": []}
         for block in rolling.texts(batch.column(0), 1 << 22):
             _, _, v, w = _pairs(block)
-            key = pair_key(v, w)
-            mine = np.flatnonzero(key % U64(shards) == U64(shard))
-            key, first, n = np.unique(key[mine], return_index=True, return_counts=True)
-            for name, values in zip(out, (signed(v[mine][first]), signed(w[mine][first]), n)):
+            mine = np.flatnonzero(_shard_of(_crossed(v, w), of) % U64(shards) == U64(shard))
+            v, w = v[mine], w[mine]
+            _, first, n = np.unique(pair_key(v, w), return_index=True, return_counts=True)
+            for name, values in zip(out, (signed(v[first]), signed(w[first]), n)):
                 out[name].append(values)
         return {k: np.concatenate(x) for k, x in out.items()} if out["v"] else None
 
@@ -101,7 +143,7 @@ class Model:
     def __init__(self, trusted: DataFrame, shards: int, frequent: int):
         # A shard's pairs lie in one of the tables, by the remainder of its number.
         turns = next(n for n in range(max(1, shards // 3), 0, -1) if shards % n == 0)
-        self.turns, self.shards = [save(_counted(trusted, turn, turns), "pairs") for turn in range(turns)], shards
+        self.turns, self.shards = [save(_counted(trusted, turn, turns, shards), "pairs") for turn in range(turns)], shards
         pairs = functools.reduce(DataFrame.unionByName, self.turns)
         self.d = _discounts(pairs)
         contexts = pairs.groupBy("v").agg(F.sum("n").alias("total"), _taken(self.d).alias("taken"))
@@ -134,14 +176,19 @@ class Model:
 
     def entries(self, shard: int) -> DataFrame:
         """(key, value) of the shard's pairs and words."""
-        mine = self.turns[shard % len(self.turns)].where(_shard(F.xxhash64("v", "w"), self.shards) == shard)
-        pairs = self._priced(mine.join(self.contexts, "v").join(self.words, "w"))
-        return pairs.union(self.single.where(_shard(F.col("key"), self.shards) == shard).select("key", "value"))
+        return self.turn(shard % len(self.turns)).where(F.col("shard") == shard).drop("shard")
+
+    def turn(self, turn: int) -> DataFrame:
+        """(key, value, shard) of the pairs of one table and the words of its shards."""
+        mine = self.turns[turn].withColumn("shard", _shard(F.col("v").bitwiseXOR(F.shiftrightunsigned("w", 1)), self.shards))
+        pairs = self._priced(mine.join(self.contexts, "v").join(self.words, "w"), "shard")
+        words = self.single.select("key", "value", _shard(F.col("key"), self.shards).alias("shard"))
+        return pairs.union(words.where(F.col("shard") % len(self.turns) == turn))
 
-    def _priced(self, pairs: DataFrame) -> DataFrame:
+    def _priced(self, pairs: DataFrame, *also: str) -> DataFrame:
         """(key, value) of pairs that have met their contexts and words."""
         p = F.greatest(F.col("n") - _discount(self.d), F.lit(0.0)) / F.col("total") + F.col("g") * F.col("p")
-        return pairs.select(F.xxhash64("v", "w").alias("key"), (F.log(p) - F.log("g") - F.log("p")).alias("value"))
+        return pairs.select(F.xxhash64("v", "w").alias("key"), (F.log(p) - F.log("g") - F.log("p")).alias("value"), *also)
 
 
 class Frequent:
@@ -162,8 +209,8 @@ class Frequent:
 
 
 def _shard(key: Column, shards: int) -> Column:
-    """The key's shard as an unsigned number."""
-    return F.pmod(F.pmod(F.shiftrightunsigned(key, 1), F.lit(shards)) * 2 + key.bitwiseAND(F.lit(1).cast("long")), F.lit(shards))
+    """The key's shard, by its upper half."""
+    return F.shiftright(F.shiftrightunsigned(key, 32) * shards, 32)
 
 
 def _asked(rows: DataFrame, model: Model, shard: int) -> DataFrame:
@@ -189,16 +236,21 @@ def _asked(rows: DataFrame, model: Model, shard: int) -> DataFrame:
             n = np.diff(bounds)
             docs = len(n)
             own = ids[block.first:block.first + docs]
-            keys = np.concatenate([tokens, pair_key(v, w)])
-            owner = np.concatenate([np.repeat(np.arange(docs), n), np.repeat(np.arange(docs), n + 1)])
             if shard == 0:
-                at, value = frequent.find(keys)
+                sums = n * unknown + frame
+                for keys, ends in ((tokens, bounds), (pair_key(v, w), bounds + np.arange(docs + 1))):
+                    at, value = frequent.find(keys)
+                    sums += np.bincount(np.searchsorted(ends, at, side="right") - 1, value, docs)
                 put(own, own, n + 1.0)
-                put(~own, own, np.bincount(owner[at], value, docs) + n * unknown + frame)
-            mine = np.flatnonzero(keys % U64(shards) == U64(shard))
+                put(~own, own, sums)
+            words = np.flatnonzero(_shard_of(tokens, shards) == U64(shard))
+            pairs = np.flatnonzero(_shard_of(_crossed(v, w), shards) == U64(shard))
+            keys = np.concatenate([tokens[words], pair_key(v[pairs], w[pairs])])
+            owner = np.concatenate([np.searchsorted(bounds, words, side="right"), np.searchsorted(bounds + np.arange(docs + 1), pairs, side="right")]) - 1
             # What is frequent is in the sums.
-            mine = np.delete(mine, frequent.find(keys[mine])[0])
-            keys, owner = keys[mine], owner[mine]
+            rare = np.ones(len(keys), bool)
+            rare[frequent.find(keys)[0]] = False
+            keys, owner = keys[rare], owner[rare]
             order = np.lexsort((keys, owner))
             keys, owner = keys[order], owner[order]
             first = np.ones(len(keys), bool)
@@ -222,17 +274,20 @@ def perplexities(docs: DataFrame, trusted: DataFrame, shards: int = 12, frequent
         discard(trusted)
     rows = docs.select("row", text_col)
     total = None
-    for shard in range(shards):
-        entries = save(model.entries(shard), "entries")
-        met = _asked(rows, model, shard).join(entries.hint("shuffle_hash"), "key", "left")
-        of_row, of_sum = F.col("key") == F.col("row"), F.col("key") == F.bitwise_not("row")
-        # What finds no entry adds nothing.
-        met = met.where(F.col("value").isNotNull() | of_row | of_sum)
-        tokens = F.when(of_row, F.col("n").cast("long")).otherwise(0)
-        value = F.when(of_sum, F.col("n")).when(of_row, 0.0).otherwise(F.col("n") * F.col("value"))
-        part = save(met.groupBy("row").agg(F.sum(value).alias("log_prob"), F.sum(tokens).alias("n_tokens")), "sums")
+    for turn, pairs in enumerate(model.turns):
+        entries = save(model.turn(turn), "entries", "shard")
+        discard(pairs)
+        for shard in range(turn, shards, len(model.turns)):
+            own = entries.where(F.col("shard") == shard).drop("shard")
+            met = _asked(rows, model, shard).join(own.hint("shuffle_hash"), "key", "left")
+            of_row, of_sum = F.col("key") == F.col("row"), F.col("key") == F.bitwise_not("row")
+            # What finds no entry adds nothing.
+            met = met.where(F.col("value").isNotNull() | of_row | of_sum)
+            tokens = F.when(of_row, F.col("n").cast("long")).otherwise(0)
+            value = F.when(of_sum, F.col("n")).when(of_row, 0.0).otherwise(F.col("n") * F.col("value"))
+            part = save(met.groupBy("row").agg(F.sum(value).alias("log_prob"), F.sum(tokens).alias("n_tokens")), "sums")
+            total = part if total is None else total.unionByName(part)
         discard(entries)
-        total = part if total is None else total.unionByName(part)
     out = total.groupBy("row").agg(F.sum("log_prob").alias("log_prob"), F.sum("n_tokens").alias("n_tokens"))
     return out.withColumn("perplexity", F.exp(-F.col("log_prob") / F.col("n_tokens")))
 

@@ -370,3 +370,31 @@ def test_a_shard_reads_the_pairs_of_its_own_table(spark):
         assert read == files[shard % 2]
     wanted = model.turns[0].union(model.turns[1]).selectExpr("xxhash64(v, w)").union(model.single.select("key")).collect()
     assert sorted(r.key for shard in range(6) for r in model.entries(shard).collect()) == sorted(r[0] for r in wanted)
+
+
+def test_words_are_told_apart_by_all_their_bytes(spark):
+    """Equal words in any case and place have one value, others not; a pair's shard is the same for numpy and Spark."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from quire.llm import rolling
+
+    stem = "abcdefgh" * 12
+    own = [stem[:n] for n in range(1, 97)] + [stem[:n] + "\0" for n in range(1, 97)] + [stem[:n - 1] + "é" for n in range(1, 97)] + ["É", "[", "{", "@", "`"]
+    block = next(rolling.texts(pa.array([" ".join(own), "\t".join(reversed([w.upper().replace("É", "é") if "é" in w else w if w in "É[{@`" else w.upper() for w in own])), "", None])))
+    tokens, bounds = kneser_ney._words(block)
+    assert bounds.tolist() == [0, len(own), 2 * len(own), 2 * len(own), 2 * len(own)]
+    assert tokens[:len(own)].tolist() == tokens[len(own):][::-1].tolist() and len(set(tokens.tolist())) == len(own)
+    _, _, v, w = kneser_ney._pairs(block)
+    assert len(v) == len(w) == 2 * len(own) + 4 and (v[1:len(own) + 1] == tokens[:len(own)]).all() and v[len(own) + 1] == kneser_ney.START and w[len(own)] == w[-1] == kneser_ney.END
+    crossed = kneser_ney._crossed(v, w)
+    table = spark.createDataFrame([(int(x),) for x in crossed.view(np.int64)], "x long")
+    assert [r[0] for r in table.select(kneser_ney._shard(F.col("x"), 12)).collect()] == kneser_ney._shard_of(crossed, 12).tolist()
+
+
+def test_contexts_and_words_are_joined_once_per_table_of_pairs(spark, monkeypatch):
+    rows = spark.createDataFrame([(n, f"w{n} w{n + 1} x w{n % 7}") for n in range(60)], "row long, text string")
+    made = []
+    monkeypatch.setattr(kneser_ney, "save", lambda df, name, *by, save=kneser_ney.save: made.append(name) or save(df, name, *by))
+    kneser_ney.perplexities(rows, rows, shards=6, frequent=4).count()
+    assert made.count("pairs") == made.count("entries") == 2 and made.count("sums") == 6
