@@ -398,3 +398,13 @@ def test_contexts_and_words_are_joined_once_per_table_of_pairs(spark, monkeypatc
     monkeypatch.setattr(kneser_ney, "save", lambda df, name, *by, save=kneser_ney.save: made.append(name) or save(df, name, *by))
     kneser_ney.perplexities(rows, rows, shards=6, frequent=4).count()
     assert made.count("pairs") == made.count("entries") == 2 and made.count("sums") == 6
+
+
+def test_a_worker_gives_back_what_it_kept_once_a_task_ends(monkeypatch):
+    from quire.llm import common, rolling
+
+    told = []
+    monkeypatch.setattr(common, "_trim", lambda: told.append(1))
+    assert list(common.released(lambda batches: batches)(iter([1, 2, 3]))) == [1, 2, 3] and told == [1]
+    monkeypatch.setattr(rolling, "_powers", {})
+    assert len(rolling.powers(10)) == 10 and rolling._powers["base"].nbytes <= 1 << 19
