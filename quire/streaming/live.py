@@ -117,7 +117,8 @@ class SlotFold(StatefulProcessor):
         """Takes out of the state what has come to its end."""
         held, _ = self._read()
         ends, fired = self._ends(held), expiredTimerInfo.getExpiryTimeInMs()
-        over = (ends != NONE) & ((ends <= fired) | (ends < timerValues.getCurrentWatermarkInMs()))
+        # A timer set here is looked at with the next batch only, so what ends at the watermark itself goes with the rest.
+        over = (ends != NONE) & ((ends <= fired) | (ends <= timerValues.getCurrentWatermarkInMs()))
         self._write(held[~over].reset_index(drop=True), None)
         return held[over].reset_index(drop=True)
 
@@ -147,10 +148,10 @@ class JobFold(SlotFold):
         yield self._rows(held.iloc[touched], "state")
 
     def _ends(self, held: pd.DataFrame) -> np.ndarray:
-        """When each job's state goes, in milliseconds."""
+        """When each job's state goes, in whole milliseconds, none too early."""
         ended = held["ended"].to_numpy("int64")
         over = held["status"].isin(["completed", "failed"]).to_numpy() & (ended != NONE)
-        return np.where(over, ended // 1000 + self.ttl_ms, NONE)
+        return np.where(over, -(-ended // 1000) + self.ttl_ms, NONE)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Goes on from what ``job_seed`` has made of earlier events."""

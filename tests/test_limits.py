@@ -368,3 +368,16 @@ def test_regions_and_orders_of_many_pages_equal_brute_force(spark):
             return a[3] - b[3] if beside else a[4] - b[4]
 
         assert [o.block_no for o in sorted((o for o in order if o.page_no == p), key=lambda o: o.position)] == [r[2] for r in sorted(page, key=functools.cmp_to_key(compare))]
+
+
+def test_a_job_expires_when_the_watermark_reaches_its_end(spark, tmp_path, monkeypatch):
+    """Ends before and at the watermark expire, though one slot holds both; an end just after it does not."""
+    monkeypatch.setattr(live, "SLOTS", 1)
+    base = 1704067200
+    rows = [(1, (base - 60) * 10**6, "failed"), (2, base * 10**6, "completed"), (3, base * 10**6 + 1, "completed"), (4, (base + 1800 + 600) * 10**6, "queued")]
+    events = spark.createDataFrame([(j, t, n, s) for n, (j, t, s) in enumerate(rows)], "job_id long, t long, seq long, status string")
+    more = {"step": "string", "done": "int", "total": "int", "file": "struct<name:string,size:long>", "summary": "map<string,string>", "error": "string", "client": "long", "heavy": "boolean", "mark": "string", "stage": "string"}
+    events = events.select("job_id", F.timestamp_micros("t").alias("ts"), "seq", "status", *[F.lit(None).cast(t).alias(c) for c, t in more.items()])
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    made = live.ops_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), str(tmp_path / "ops"))
+    assert sorted(r.job_id for r in made["expired"].collect()) == [1, 2]
