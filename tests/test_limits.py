@@ -381,3 +381,26 @@ def test_a_job_expires_when_the_watermark_reaches_its_end(spark, tmp_path, monke
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
     made = live.ops_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), str(tmp_path / "ops"))
     assert sorted(r.job_id for r in made["expired"].collect()) == [1, 2]
+
+
+def test_boxes_overlap_however_far_apart_their_corners_are(spark):
+    """A word under the far end of a long one, and boxes of all sizes against every pair of their page."""
+    import random
+
+    from quire.plans import composed
+
+    rnd = random.Random(7)
+    rows = [(1, 1, 1, 30.0, 0.0, 300.0, 22.0), (1, 1, 2, 200.0, 12.0, 60.0, 12.0), (1, 2, 1, 0.0, 0.0, 0.0, 5.0), (1, 2, 2, 0.0, 2.0, float("nan"), 9.0)]
+    rows += [(d, p, n, rnd.choice([-40.0, 0.0, 3.5, 19.0]) + rnd.randint(0, 300), float(rnd.randint(0, 90)), float(rnd.randint(0, 120)), rnd.choice([0.0, 4.0, 12.0, 12.5, 70.0])) for d in (2, 3) for p in (1, 2) for n in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, page_no int, word_id int, x double, y double, w double, h double")
+    wanted = set()
+    for i, (d, p, n, x, y, w, h) in enumerate(rows):
+        for e, q, m, u, v, s, t in rows[:i]:
+            over = max(0.0, min(x + w, u + s) - max(x, u)) * max(0.0, min(y + h, v + t) - max(y, v))
+            if (d, p) == (e, q) and min(w * h, s * t) > 0 and abs(y - v) >= 0.5 * min(h, t) and over > 0.3 * min(w * h, s * t):
+                wanted.add((d, p, min(n, m), max(n, m), over))
+    assert (1, 1, 1, 2, 600.0) in wanted
+    assert sorted((r.doc_id, r.page_no, r.first, r.second, r.overlap) for r in layout.all_overlaps(df, ["doc_id", "page_no"], "word_id").collect()) == sorted(wanted)
+    side = {"words": df.filter("doc_id = 1").withColumn("text", F.lit("a")), "rules": df.limit(0), "pictures": df.limit(0)}
+    card = composed.page_scorecard(side, side, F.lit(400.0), F.lit(400.0))
+    assert {r.page_no: r.overlap for r in card.collect()} == {1: 1, 2: 0}
