@@ -404,3 +404,41 @@ def test_boxes_overlap_however_far_apart_their_corners_are(spark):
     side = {"words": df.filter("doc_id = 1").withColumn("text", F.lit("a")), "rules": df.limit(0), "pictures": df.limit(0)}
     card = composed.page_scorecard(side, side, F.lit(400.0), F.lit(400.0))
     assert {r.page_no: r.overlap for r in card.collect()} == {1: 1, 2: 0}
+
+
+def _line_words(rnd, pages, odd=True):
+    """Words of lines, some high enough to meet the line above, some far apart, some of no extent."""
+    rows = []
+    for d in range(pages):
+        for line in range(rnd.randint(1, 9)):
+            x, h = rnd.choice([30.0, 50.0]), rnd.choice([12.0, 16.0, 22.0])
+            for k in range(rnd.randint(1, 8)):
+                w = 6.0 * rnd.randint(1, 9)
+                rows.append((d, 1, line * 100 + k, x, 20.0 * line - rnd.choice([0.0] * 9 + [11.0]), w, rnd.choice([h] * 12 + [0.0, float("nan")]) if odd and d % 4 == 3 else h, h, rnd.random(), rnd.choice(["a", " bc", "def ", " é", ""])))
+                x += w + rnd.choice([6.0, 6.0, 6.0, 2.0, 0.0, 40.0, -3.0])
+    return rows
+
+
+def test_visual_lines_of_many_pages_equal_pieces_placed_one_by_one(spark):
+    import random
+
+    rows = _line_words(random.Random(3), 120, odd=False)
+    wanted = set()
+    for d in {r[0] for r in rows}:
+        page = sorted((r for r in rows if r[0] == d), key=lambda r: (r[4] + r[6] / 2, r[2]))
+        lines = []
+        for p in page:
+            fits = lambda o: min(p[4] + p[6], o[4] + o[6]) - max(p[4], o[4]) >= 0.6 * min((p[4] + p[6]) - p[4], (o[4] + o[6]) - o[4]) and max(p[3], o[3]) - min(p[3] + p[5], o[3] + o[5]) < 1.6 * max(p[6], o[6])  # noqa: B023,E731
+            found = next((line for line in lines if any(map(fits, line))), None)
+            lines.append([p]) if found is None else found.append(p)
+        for line in lines:
+            line.sort(key=lambda r: r[3])
+            text = line[0][9].strip()
+            for a, b in zip(line, line[1:]):
+                text += ("" if b[3] - (a[3] + a[5]) < min(a[6], b[6]) * 0.25 else " ") + b[9].strip()
+            sure = sum(r[8] * len(r[9]) for r in line) / max(1, sum(len(r[9]) for r in line))
+            wanted.add((d, min(r[3] for r in line), min(r[4] for r in line), text, len(line), sorted(r[7] for r in line)[len(line) // 2], round(sure, 9)))
+    df = spark.createDataFrame(rows, "doc_id long, page_no int, line_no int, x double, y double, w double, h double, text_height double, confidence double, text string")
+    made = layout.visual_lines(df)
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.x, r.y, r.text, r.pieces, r.text_height, round(r.confidence, 9)) for r in made.collect()} == wanted
