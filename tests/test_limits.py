@@ -442,3 +442,38 @@ def test_visual_lines_of_many_pages_equal_pieces_placed_one_by_one(spark):
     made = layout.visual_lines(df)
     assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
     assert {(r.doc_id, r.x, r.y, r.text, r.pieces, r.text_height, round(r.confidence, 9)) for r in made.collect()} == wanted
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_tables_of_many_blocks_equal_tables_built_one_by_one(odd):
+    """Cells on lines and scattered ones, of no or negative extent, or without a number."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(11)
+    groups = []
+    for n in range(300):
+        rows = rnd.randint(1, 6)
+        scattered = odd and n % 3 == 0
+        groups.append([(
+            rnd.uniform(0, 300) if scattered else 100.0 * k + rnd.choice([0.0, 4.0, 8.0]), 20.0 * r + (rnd.uniform(0, 20) if scattered else 0.0),
+            rnd.choice([-9.0, 0.0, 30.0, float("nan")] if scattered and n % 2 else [6.0, 36.0, 150.0]), rnd.choice([0.0, 12.0, 16.0]) if scattered else 12.0, rnd.choice(["a", " b ", "é c"])) for r in range(rows) for k in range(rnd.randint(1, 5))])
+    cells = [c for g in groups for c in g]
+    g = {k: np.array([c[i] for c in cells]) for i, k in enumerate("xywh")}
+    starts = np.cumsum([0, *map(len, groups[:-1])])
+    made = layout._tables({**g, "text": pa.array([c[4] for c in cells])}, starts)
+    got = list(zip(made["table"].tolist(), made["row_no"].tolist(), made["col_no"].tolist(), made["text"].to_pylist(), made["col_share"].tolist(), made["row_share"].tolist()))
+    wanted = []
+    for n, (lo, size) in enumerate(zip(starts, map(len, groups))):
+        x, y, w, h = (g[c][lo:lo + size] for c in "xywh")
+        found = layout._table(x, y, w, h)
+        if found:
+            row, col, across, down = found
+            wide, tall = (np.floor(s / s.sum() * 1000 + 0.5) / 1000 for s in (np.maximum(1.0, np.diff(v)) for v in (across, down)))
+            for r in range(len(tall)):
+                for c in range(len(wide)):
+                    inside = sorted((i for i in np.argsort(y + h / 2, kind="stable") if (row[i], col[i]) == (r, c)), key=lambda i: x[i])
+                    wanted.append((n, r, c, " ".join(cells[lo + i][4].strip() for i in inside), wide[c], tall[r]))
+    assert len(wanted) > 500 and str(got) == str([tuple(v.item() if hasattr(v, "item") else v for v in t) for t in wanted])
