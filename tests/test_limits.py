@@ -489,3 +489,46 @@ def test_texts_of_tables_are_joined_where_they_are_built(spark):
     assert got == wanted and got[0] == (2, 1, "2.0.0\t2.0.1\t2.0.2\n2.1.0\t\t2.1.2", 2)
     plan = catalog.queries()["table_texts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_lines_and_blocks_of_many_pages_equal_words_placed_one_by_one(spark):
+    """Rows by their first word, in order of bottoms; a page's blocks are the same alone as among others."""
+    import random
+
+    import numpy as np
+
+    from quire.operators import flow
+
+    rnd = random.Random(5)
+    rows = [(d, p, n, t, x, x + w, y, y + h, s) for d, p, n, x, y, w, h, s, _, t in _line_words(rnd, 90, odd=False)]
+    rows += [(d, 2, n, "z", x := rnd.uniform(0, 300), x + 20, y := rnd.uniform(0, 200), y + rnd.choice([0.0, 8.0, 12.5, 30.0]), 12.0) for d in range(30) for n in range(60)]
+    wanted = []
+    for key in sorted({r[:2] for r in rows}):
+        words = [r for r in rows if r[:2] == key]
+        firsts, members = [], []
+        for r in sorted(words, key=lambda r: (np.round(r[7]), r[4])):
+            mid, tall = (r[6] + r[7]) / 2, r[7] - r[6]
+            hit = next((k for k, (m, t) in enumerate(firsts) if abs(m - mid) < 0.45 * max(t, tall)), None)
+            if hit is None:
+                firsts.append((mid, tall))
+                members.append([])
+                hit = len(members) - 1
+            members[hit].append(r)
+        for row in members:
+            row.sort(key=lambda r: r[4])
+            line = [row[0]]
+            for a, b in zip(row, row[1:]):
+                if b[4] - a[5] > max(1.6 * max(a[8], b[8]), 14.0):
+                    wanted.append((*key, line))
+                    line = []
+                line.append(b)
+            wanted.append((*key, line))
+    wanted = sorted((d, p, min(r[4] for r in w), min(r[6] for r in w), max(r[5] for r in w), max(r[7] for r in w), float(np.median([r[8] for r in w])), " ".join(r[3] for r in w), len(w)) for d, p, w in wanted)
+    df = spark.createDataFrame(rows, "doc_id long, page_no int, word_no int, text string, x0 double, x1 double, top double, bottom double, size double")
+    made = flow.pdf_lines(df)
+    lines = made.collect()
+    assert sorted(tuple(r[c] for c in ("doc_id", "page_no", "x0", "top", "x1", "bottom", "size", "text", "words")) for r in lines) == wanted
+    placed = flow.text_blocks(made)
+    assert "MapInArrow" in placed._jdf.queryExecution().executedPlan().toString() and "MapInPandas" not in placed._jdf.queryExecution().executedPlan().toString()
+    together = {r for r in placed.collect() if r.doc_id == 7}
+    assert together == set(flow.text_blocks(made.filter("doc_id = 7")).collect()) and len({r.block_no for r in together}) > 1
