@@ -532,3 +532,43 @@ def test_lines_and_blocks_of_many_pages_equal_words_placed_one_by_one(spark):
     assert "MapInArrow" in placed._jdf.queryExecution().executedPlan().toString() and "MapInPandas" not in placed._jdf.queryExecution().executedPlan().toString()
     together = {r for r in placed.collect() if r.doc_id == 7}
     assert together == set(flow.text_blocks(made.filter("doc_id = 7")).collect()) and len({r.block_no for r in together}) > 1
+
+
+def test_runs_of_characters_in_rows_of_one_or_of_a_line(spark):
+    """Characters one by one against a walk, and the same with those of a line in one row."""
+    import random
+
+    from quire.operators import flow
+    from quire.sources import derive
+
+    rnd = random.Random(2)
+    rows = []
+    for d in range(60):
+        x, y, bold, size, colour = 0.0, 700.0, False, 12.0, "#000000"
+        for n in range(rnd.randint(1, 80)):
+            ch = rnd.choice(["a", "b", "é", " ", " ", "\t", "\n", "\x02", "c", "d"])
+            bold, size, colour = rnd.choice([bold] * 9 + [not bold]), rnd.choice([size] * 9 + [12.5, 13.0]), rnd.choice([colour] * 12 + ["#ff0000", None])
+            x, y = (0.0, y - 14) if ch == "\n" and d % 2 else (x + rnd.choice([6.0] * 9 + [30.0, -40.0]), y + rnd.choice([0.0] * 15 + [9.0]))
+            rows.append((d, 1, n, ch, x, x + 6, y, y + size, size, bold, False, colour))
+    wanted = []
+    for d in range(60):
+        run, low, high, reach = None, 0, 0, 0
+        for _, _, _, ch, l, r, b, t, size, bold, italic, colour in (c for c in rows if c[0] == d):
+            if ch in "\n\x02":
+                run = None
+            elif ch.isspace():
+                if run:
+                    run[1] += " "
+            else:
+                if run and [bold, italic, colour] == run[7:] and abs(run[6] - size) < 0.6 and (min(run[5], t) - max(run[4], b) > 0.4 * min(run[5] - run[4], t - b) or t <= b) and l - run[3] < max(2.0, size * 1.5):
+                    run[1], run[2], run[3], run[4], run[5] = run[1] + ch, min(run[2], l), max(run[3], r), min(run[4], b), max(run[5], t)
+                else:
+                    run = [d, ch, l, r, b, t, size, bold, italic, colour]
+                    wanted.append(run)
+    df = spark.createDataFrame(rows, "doc_id long, page_no int, char_no int, ch string, l double, r double, b double, t double, size double, bold boolean, italic boolean, colour string")
+    order = lambda runs: sorted(map(str, runs))
+    assert order(tuple(r[c] for c in ("doc_id", "text", "l", "r", "b", "t", "size", "bold", "italic", "colour")) for r in flow.char_runs(df).collect()) == order(map(tuple, wanted))
+    data = "/root/testdata/sf0.001"
+    one, line = (flow.char_runs(chars.filter("doc_id % 5 = 0")) for chars in (derive.page_chars(spark, data), derive.line_chars(spark, data)))
+    assert "MapInArrow" in one._jdf.queryExecution().executedPlan().toString()
+    assert order(one.collect()) == order(line.collect())
