@@ -36,22 +36,25 @@ def bag_counts(df: DataFrame, keys: list[str], tokens: Column, sign: str) -> Dat
     return exploded.select(*keys, "word", (one if sign == "left" else none).alias("left"), (one if sign == "right" else none).alias("right"))
 
 
-def agreement(left: DataFrame, right: DataFrame, key: list[str], text: str = "text", tokenizer: str = "reading", whole: bool = False) -> DataFrame:
+def agreement(left: DataFrame, right: DataFrame, key: list[str], text: str = "text", tokenizer: str = "reading", whole: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Dice coefficient of the two word bags per key, texts in NFC; 1 where neither side has words.
 
     Both sides are counted in one aggregation over (key, word), combined before the shuffle. With ``whole``, for keys
-    of one text a side, the texts are shuffled instead, which take less room than their words.
+    of one text a side, the texts are shuffled instead, which take less room than their words; ``carry`` then names
+    numbers of the right side that come along.
     """
     tokens = TOKENIZERS[tokenizer](un.composed(F.col(text)))
     if whole:
-        sides = [df.select(*key, F.col(text).alias(text), F.lit(side).alias("_side")) for df, side in ((left, "left"), (right, "right"))]
-        met = sides[0].unionByName(sides[1]).repartition(*key).select(*key, "_side", F.explode_outer(tokens).alias("word"))
+        # Composed before they are dealt out: what comes back from Python has no known place, and its words would be shuffled again.
+        sides = [df.select(*key, un.composed(F.col(text)).alias(text), F.lit(side).alias("_side"), *(carry if side == "right" else ())) for df, side in ((left, "left"), (right, "right"))]
+        met = sides[0].unionByName(sides[1], allowMissingColumns=True).repartition(*key).select(*key, "_side", *carry, F.explode_outer(TOKENIZERS[tokenizer](F.col(text))).alias("word"))
         count = lambda side: F.when(F.col("word").isNotNull() & (F.col("_side") == side), 1).otherwise(0).alias(side)
-        both = met.select(*key, "word", count("left"), count("right"))
+        both = met.select(*key, "word", *carry, count("left"), count("right"))
     else:
         both = bag_counts(left, key, tokens, "left").unionByName(bag_counts(right, key, tokens, "right"))
-    per_word = both.groupBy(*key, "word").agg(F.sum("left").alias("l"), F.sum("right").alias("r"))
-    sums = per_word.groupBy(*key).agg(F.sum(F.least("l", "r")).alias("shared"), F.sum("l").alias("left_words"), F.sum("r").alias("right_words"))
+    carried = [F.max(c).alias(c) for c in carry]
+    per_word = both.groupBy(*key, "word").agg(F.sum("left").alias("l"), F.sum("right").alias("r"), *carried)
+    sums = per_word.groupBy(*key).agg(F.sum(F.least("l", "r")).alias("shared"), F.sum("l").alias("left_words"), F.sum("r").alias("right_words"), *carried)
     total = F.col("left_words") + F.col("right_words")
     return sums.withColumn("agreement", F.when(total == 0, F.lit(1.0)).otherwise(2 * F.col("shared") / total))
 

@@ -572,3 +572,18 @@ def test_runs_of_characters_in_rows_of_one_or_of_a_line(spark):
     one, line = (flow.char_runs(chars.filter("doc_id % 5 = 0")) for chars in (derive.page_chars(spark, data), derive.line_chars(spark, data)))
     assert "MapInArrow" in one._jdf.queryExecution().executedPlan().toString()
     assert order(one.collect()) == order(line.collect())
+
+
+def test_a_pages_words_are_counted_without_being_shuffled(spark):
+    from quire import catalog
+    from quire.plans import composed
+
+    plan = catalog.queries()["page_scorecard"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Exchange" in line and "word#" in line]
+    words = [(1, 1, 1, 0.0, "Café"), (1, 1, 2, 500.0, "ने"), (1, 1, 3, 0.0, "a,a"), (1, 2, 1, 0.0, None), (2, 1, 1, 0.0, "ΟΣ")]
+    kept = [(1, 1, 1, 0.0, "CAFÉ"), (1, 1, 3, -9.0, "a"), (1, 2, 1, 0.0, "new"), (3, 1, 1, 900.0, "ος")]
+    sides = [spark.createDataFrame(rows, "doc_id long, page_no int, word_id int, x double, text string").withColumns({"y": F.lit(0.0), "w": F.lit(9.0), "h": F.lit(9.0)}) for rows in (words, kept)]
+    none = sides[0].limit(0)
+    before, after = ({"words": side, "rules": none, "pictures": none} for side in sides)
+    card = composed.page_scorecard(before, after, F.lit(400.0), F.lit(400.0))
+    assert {(r.doc_id, r.page_no): (r.text, r.clipped) for r in card.collect()} == {(1, 1): (0.667, 1), (1, 2): (0.0, 0), (2, 1): (0.0, 0), (3, 1): (0.0, 1)}
