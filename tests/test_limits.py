@@ -587,3 +587,20 @@ def test_a_pages_words_are_counted_without_being_shuffled(spark):
     before, after = ({"words": side, "rules": none, "pictures": none} for side in sides)
     card = composed.page_scorecard(before, after, F.lit(400.0), F.lit(400.0))
     assert {(r.doc_id, r.page_no): (r.text, r.clipped) for r in card.collect()} == {(1, 1): (0.667, 1), (1, 2): (0.0, 0), (2, 1): (0.0, 0), (3, 1): (0.0, 1)}
+
+
+def test_blocks_of_a_page_flow_are_made_where_their_words_lie(spark):
+    import random
+
+    from quire import catalog
+    from quire.operators import flow
+
+    plan = catalog.queries()["pdf_page_flow"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # Documents and rules as texts, and what the pages are made of in the end; no words.
+    assert not [line for line in plan.split("\n") if "Exchange" in line and "block_no" in line] and plan.count("Exchange hashpartitioning(doc_id") == plan.count("REPARTITION_BY_NUM") and "MapInPandas" not in plan
+    rows = [(d, p, n, t, x, x + w, y, y + h, s) for d, p, n, x, y, w, h, s, _, t in _line_words(random.Random(8), 40, odd=False)]
+    lines = flow.pdf_lines(spark.createDataFrame(rows, "doc_id long, page_no int, word_no int, text string, x0 double, x1 double, top double, bottom double, size double"))
+    keys = ["doc_id", "page_no"]
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "x0", "line_no", "text"))), lambda v: v["text"]), "\n")
+    wanted = flow.text_blocks(lines, keys, keep=True).groupBy(*keys, "block_no").agg(F.min("x0"), F.min("top"), F.max("x1"), F.max("bottom"), F.count(F.lit(1)).cast("int"), text)
+    assert sorted(map(tuple, flow.block_boxes(lines).collect())) == sorted(map(tuple, wanted.collect()))
